@@ -67,7 +67,7 @@ def register_new(
     )
     if ledger is not None:
         fresh = fresh.join(ledger.select(col(content_hash)), content_hash, "left_anti")
-    return assign_ids(fresh, order, tie, ledger, **ranges)
+    return assign_ids(fresh, order, tie, ledger, derived=True, **ranges)
 
 
 def resolve_ids(batch: DataFrame, content_hash: str, ledger: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def experiment_rows(
         pairs = [x for k, v in entries.items() for x in (F.lit(k), v.cast(kind))]
         return F.create_map(*pairs)
 
-    numbered = assign_ids(runs, order, tie, ledger, **ranges)
+    numbered = assign_ids(runs, order, tie, ledger, derived=True, **ranges)
     return numbered.select(
         "id",
         name.alias("name"),
@@ -121,7 +121,7 @@ def model_rows(
     joined = experiments.join(
         promoted.select(col(key).alias("run_key"), "promoted"), "run_key", "left"
     )
-    numbered = number_rows(joined, "id", "run_key", "_no", **ranges)
+    numbered = number_rows(joined, "id", "run_key", "_no", derived=True, **ranges)
     return numbered.select(
         F.col("_no").alias("id"),
         (F.col("_no") + F.lit(start)).alias("version_num"),
@@ -211,7 +211,8 @@ def production_history(
         F.col("_before").isNull() | (F.col("_before") != F.col("model"))
     )
     spans = previous_row(
-        changed.drop("_before"), key, "since", "_tie", F.col("since"), "until", following=True, **ranges
+        changed.drop("_before"), key, "since", "_tie", F.col("since"), "until",
+        following=True, derived=True, **ranges,
     )
     return spans.withColumn("is_current", F.col("until").isNull()).drop("_tie")
 

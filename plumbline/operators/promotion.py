@@ -101,5 +101,6 @@ def _with_margin(best: DataFrame, key: str, order: str, tie: str, margin: float,
     ).drop("_pk", "_pt")
     promoted_value = F.when(F.col("_promoted"), F.col("_m"))
     return running_max_before(
-        marked.drop("_best"), [key], order, tie, promoted_value, "champion_before", **ranges
+        marked.drop("_best"), [key], order, tie, promoted_value, "champion_before",
+        derived=True, **ranges,
     ).drop("_promoted")

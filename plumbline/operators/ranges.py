@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import written
+
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 8192
 SAMPLE_PER_RANGE = 100
@@ -108,17 +110,25 @@ class Cells:
 
 
 def ordered_cells(
-    df: DataFrame, order: str, tie: str, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame,
+    order: str,
+    tie: str,
+    rows_per_range: int = ROWS_PER_RANGE,
+    derived: bool = False,
 ) -> Cells:
     """Cut rows along (order, tie) into cells of about ``rows_per_range`` rows.
 
     A value of ``order`` that holds many rows is cut further along ``tie``, so one
-    timestamp shared by a third of all rows still spreads over many cells.
+    timestamp shared by a third of all rows still spreads over many cells. Cutting
+    reads the rows several times, so a ``derived`` frame (the result of a shuffle) is
+    written once first, unless it fits one cell.
     """
     n_rows = df.count()
     n_ranges = range_count(n_rows, rows_per_range)
     if n_ranges == 1:
         return Cells(df.withColumn(Cells.CELL, F.lit(0).cast("bigint")), True)
+    if derived:
+        df = written(df)
 
     keyed = df.withColumns({"_o": order_value(df, order), "_t": order_value(df, tie)})
     quantiles = sampled_quantiles(keyed, ["_o", "_t"], n_rows, n_ranges)

@@ -27,9 +27,10 @@ def number_rows(
     tie: str,
     name: str = "row_no",
     rows_per_range: int = ROWS_PER_RANGE,
+    derived: bool = False,
 ) -> DataFrame:
     """Consecutive numbers from 1 along (order, tie), without a global sort."""
-    cells = ordered_cells(df, order, tie, rows_per_range)
+    cells = ordered_cells(df, order, tie, rows_per_range, derived)
     inside = Window.partitionBy(Cells.CELL).orderBy(col(order), col(tie))
     local = F.row_number().over(inside).cast("bigint")
     if cells.single:
@@ -57,9 +58,10 @@ def previous_row(
     name: str,
     following: bool = False,
     rows_per_range: int = ROWS_PER_RANGE,
+    derived: bool = False,
 ) -> DataFrame:
     """Value of the row before (or, with ``following``, after) within the key."""
-    cells = ordered_cells(df, order, tie, rows_per_range)
+    cells = ordered_cells(df, order, tie, rows_per_range, derived)
     frame = cells.frame.withColumn("_v", F.struct(value.alias("v")))
     shift = F.lead if following else F.lag
     inside = _window(keys, Cells.CELL).orderBy(col(order), col(tie))
@@ -87,9 +89,10 @@ def running_max_before(
     value: Column,
     name: str,
     rows_per_range: int = ROWS_PER_RANGE,
+    derived: bool = False,
 ) -> DataFrame:
     """Largest value among the earlier rows of the key, NULL on the first."""
-    cells = ordered_cells(df, order, tie, rows_per_range)
+    cells = ordered_cells(df, order, tie, rows_per_range, derived)
     frame = cells.frame.withColumn("_v", value)
     inside = (
         _window(keys, Cells.CELL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/plumbline/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str = "stage") -> DataFrame:
+    """The frame as a table in the shared folder: computed once, read from there on.
+
+    Unlike cached blocks the table outlives the executors that wrote it.
+    """
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -81,15 +81,25 @@ def windowed_bins(
 
 
 def write_counts(
-    counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    counts: DataFrame,
+    path: str,
+    checkpoint: str,
+    closed_only: bool = False,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Keep the newest state of all windows as a table."""
+    """Write windowed counts as a table.
+
+    By default the table is the newest state of all windows. With ``closed_only`` a
+    window is written once, when the watermark has passed it, and its state is dropped:
+    the form for an endless stream. A batch that is run again replaces what it wrote.
+    """
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def save(batch: DataFrame, batch_id: int) -> None:
+        target = f"{path}/batch_id={batch_id}" if closed_only else path
+        batch.write.mode("overwrite").parquet(target)
 
     return (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode("append" if closed_only else "complete")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
