@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from bisect import bisect_right
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.bins import bin_index
@@ -18,29 +20,23 @@ from plumbline.functions.stats import (
     psi_term,
 )
 from plumbline.operators.frames import feature_frame, melt, small_frame
-from plumbline.operators.ranges import (
-    ROWS_PER_RANGE,
-    add_ranges,
-    range_count,
-    sampled_quantiles,
-    split_points,
-)
+from plumbline.operators.ranges import ROWS_PER_RANGE, Grid, add_cells, make_grids
 from plumbline.spec import Pair
 
 # Name of the pooled category and the reference count it starts below.
 OTHER = "__other__"
 MIN_EXPECTED = 5.0
 
-# Most ranges per feature whose counts are brought to the driver to bound the KS gap.
-COARSE_RANGES = 64
-
 _SIDES = [Pair.IN_REF, Pair.IN_CUR]
-_BIN_SCHEMA = pa.schema(
+_NUMERIC_SCHEMA = pa.schema(
     [
         ("feature", pa.string()),
-        ("bin", pa.int32()),
         ("n_ref", pa.int64()),
         ("n_cur", pa.int64()),
+        ("ks_statistic", pa.float64()),
+        ("bins", pa.list_(pa.struct([("n_ref", pa.int64()), ("n_cur", pa.int64())]))),
+        ("total_ref", pa.int64()),
+        ("total_cur", pa.int64()),
     ]
 )
 
@@ -77,25 +73,30 @@ def bin_counts(
     return long.where(inside).groupBy("feature", "bin").agg(*_side_counts())
 
 
-def psi_from_counts(counts: DataFrame, bin_column: str = "bin") -> DataFrame:
-    """PSI per feature from counts; also the rows behind it.
+def psi_from_counts(counts: DataFrame) -> DataFrame:
+    """PSI per feature from rows of (feature, n_ref, n_cur), one per bin or category.
 
-    Rows with a NULL bin count as known values but not into the proportions.
-    Totals are an aggregate joined back, not a window: a feature may have any
-    number of categories and must not land in one task.
+    Totals are an aggregate joined back, not a window: a feature may have any number
+    of categories and must not land in one task.
     """
-    binned = F.col(bin_column).isNotNull()
     totals = counts.groupBy("feature").agg(
-        F.sum("n_ref").alias("known_ref"),
-        F.sum("n_cur").alias("known_cur"),
-        F.coalesce(F.sum(F.when(binned, F.col("n_ref"))), F.lit(0)).alias("total_ref"),
-        F.coalesce(F.sum(F.when(binned, F.col("n_cur"))), F.lit(0)).alias("total_cur"),
+        F.sum("n_ref").alias("total_ref"), F.sum("n_cur").alias("total_cur")
     )
     term = psi_term(F.col("n_ref"), F.col("n_cur"), F.col("total_ref"), F.col("total_cur"))
     return (
         counts.join(F.broadcast(totals), "feature")  # one row per feature of the call
-        .groupBy("feature", "known_ref", "known_cur")
-        .agg(F.coalesce(F.sum(F.when(binned, term)), F.lit(0.0)).alias("psi"))
+        .groupBy("feature")
+        .agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("psi"))
+    )
+
+
+def psi_of_bins(bins: str, total_ref: str, total_cur: str) -> Column:
+    """PSI of one row that holds its bins as an array of (n_ref, n_cur)."""
+    totals = F.col(total_ref), F.col(total_cur)
+    return F.aggregate(
+        bins,
+        F.lit(0.0),
+        lambda total, b: total + F.coalesce(psi_term(b["n_ref"], b["n_cur"], *totals), F.lit(0.0)),
     )
 
 
@@ -111,14 +112,24 @@ def numeric_psi(
     ``open_ended`` closes that gap. Below ``min_rows`` known values on a side the
     result is NULL; a single edge gives 0.0.
     """
-    spark = pair.frame.sparkSession
-    found = psi_from_counts(bin_counts(pair, edges, open_ended, keep_outside=min_rows > 0))
-    every = feature_frame(spark, edges).join(found, "feature", "left")
+    counts = bin_counts(pair, edges, open_ended, keep_outside=min_rows > 0)
+    binned = F.col("bin").isNotNull()
+    # As many entries as the feature has bins.
+    found = counts.groupBy("feature").agg(
+        F.sum("n_ref").alias("known_ref"),
+        F.sum("n_cur").alias("known_cur"),
+        F.sum(F.when(binned, F.col("n_ref"))).alias("total_ref"),
+        F.sum(F.when(binned, F.col("n_cur"))).alias("total_cur"),
+        F.collect_list(F.when(binned, F.struct("n_ref", "n_cur"))).alias("bins"),
+    )
+    psi = psi_of_bins("bins", "total_ref", "total_cur")
     enough = (F.coalesce("known_ref", F.lit(0)) >= min_rows) & (
         F.coalesce("known_cur", F.lit(0)) >= min_rows
     )
-    return every.select(
-        "feature", F.when(enough, F.coalesce("psi", F.lit(0.0))).alias("psi")
+    return (
+        feature_frame(pair.frame.sparkSession, edges)
+        .join(found, "feature", "left")
+        .select("feature", F.when(enough, F.coalesce(psi, F.lit(0.0))).alias("psi"))
     )
 
 
@@ -136,7 +147,7 @@ def category_counts(pair: Pair, features: tuple[str, ...]) -> DataFrame:
 
 def categorical_psi(pair: Pair, features: tuple[str, ...]) -> DataFrame:
     """PSI of every categorical feature; rare categories are not pooled."""
-    found = psi_from_counts(category_counts(pair, features), "category")
+    found = psi_from_counts(category_counts(pair, features))
     return (
         feature_frame(pair.frame.sparkSession, features)
         .join(found, "feature", "left")
@@ -200,7 +211,7 @@ def categorical_drift(
     counts = category_counts(pair, features)
     return (
         feature_frame(spark, features)
-        .join(psi_from_counts(counts, "category").select("feature", "psi"), "feature", "left")
+        .join(psi_from_counts(counts), "feature", "left")
         .join(chi_square(counts, min_expected).withColumn("tested", F.lit(True)), "feature", "left")
         .select(
             "feature",
@@ -216,59 +227,49 @@ def categorical_drift(
 
 
 @dataclass(frozen=True)
-class _Open:
-    """A range where the largest gap may hide, with the counts before it."""
+class _Cell:
+    """Counts of one grid cell and the values it spans."""
 
-    start: float
-    end: float
-    before_ref: int
-    before_cur: int
+    number: int
+    n_ref: int
+    n_cur: int
+    low: float
+    high: float
 
 
 @dataclass(frozen=True)
 class _Bounds:
-    """What the counts of a feature's coarse ranges say about its KS gap."""
+    """What the counts of a feature's cells say about its KS gap.
+
+    ``open`` maps the cells where a larger gap may hide to the counts before them.
+    """
 
     n_ref: int
     n_cur: int
     gap: float
-    open: list[_Open]
+    open: dict[int, tuple[int, int]]
 
 
-def _bound_gap(cells: list[tuple[float, float, int, int]]) -> _Bounds:
-    """Largest gap at the cut points, and the ranges that could still beat it.
+def _bound_gap(cells: list[_Cell]) -> _Bounds:
+    """Largest gap between cells, and the cells that could still beat it.
 
-    Inside a range both distribution functions run between their values at its
-    ends, which bounds the gap. A range reached by one sample only, or holding one
-    value, has its extremes at the ends.
+    Inside a cell both distribution functions run between their values at its ends,
+    which bounds the gap. A cell reached by one sample only, or holding one value, has
+    its extremes at the ends.
     """
-    n_ref = sum(c[2] for c in cells)
-    n_cur = sum(c[3] for c in cells)
+    n_ref = sum(c.n_ref for c in cells)
+    n_cur = sum(c.n_cur for c in cells)
     if n_ref < 2 or n_cur < 2:
-        return _Bounds(n_ref, n_cur, 0.0, [])
-    gap, ref, cur, bounded = 0.0, 0, 0, []
-    for start, end, in_ref, in_cur in cells:
-        low_ref, low_cur = ref / n_ref, cur / n_cur
-        before = _Open(start, end, ref, cur)
-        ref, cur = ref + in_ref, cur + in_cur
+        return _Bounds(n_ref, n_cur, 0.0, {})
+    gap, ref, cur, limits = 0.0, 0, 0, []
+    for c in cells:
+        before = ref, cur
+        ref, cur = ref + c.n_ref, cur + c.n_cur
         gap = max(gap, abs(ref / n_ref - cur / n_cur))
-        if in_ref and in_cur and end != math.nextafter(start, math.inf):
-            limit = max(abs(ref / n_ref - low_cur), abs(cur / n_cur - low_ref))
-            bounded.append((limit, before))
-    merged: list[_Open] = []
-    for limit, nxt in bounded:
-        if limit <= gap:
-            continue
-        if merged and merged[-1].end == nxt.start:
-            merged[-1] = replace(merged[-1], end=nxt.end)
-        else:
-            merged.append(nxt)
-    return _Bounds(n_ref, n_cur, gap, merged)
-
-
-def _bin_cuts(edges: list[float]) -> list[float]:
-    """Cut points that reproduce the bins: the last bin also holds its upper edge."""
-    return [*edges, math.nextafter(edges[-1], math.inf)]
+        if c.n_ref and c.n_cur and c.low != c.high:
+            limit = max(abs(ref / n_ref - before[1] / n_cur), abs(cur / n_cur - before[0] / n_ref))
+            limits.append((limit, c.number, before))
+    return _Bounds(n_ref, n_cur, gap, {n: before for limit, n, before in limits if limit > gap})
 
 
 def numeric_drift(
@@ -280,11 +281,13 @@ def numeric_drift(
     """KS of every numeric feature, and PSI where ``edges`` are given:
     feature, psi, n_ref, n_cur, ks_statistic.
 
-    One pass counts coarse ranges. They contain the PSI bins, so PSI is done; and
-    they bound the KS gap, so only the ranges that can still hold the largest gap
-    are ordered by value. Those are shuffled as counts per distinct value and cut
-    into ranges of bounded size; each range reports its extreme gaps, and the
-    ranges are put together from one small row each.
+    One pass counts the cells of a grid. The grid contains the PSI edges, so PSI is
+    done; and the counts bound the KS gap, so only the cells that can still hold the
+    largest gap are ordered by value. Those are shuffled as counts per distinct value,
+    each cell reports its extreme gap, and that is added to the counts before it.
+
+    The passes run when this is called; the result is one row per feature, so using it
+    several times repeats none of them.
     """
     spark = pair.frame.sparkSession
     edges = edges or {}
@@ -292,103 +295,86 @@ def numeric_drift(
     values = pair.frame.select(
         *[to_numeric(col(n)).alias(s) for n, s in safe.items()], *_SIDES
     )
-    n_rows = pair.frame.count()
-    n_ranges = range_count(n_rows, rows_per_range)
-    quantiles = sampled_quantiles(values, list(safe.values()), n_rows, n_ranges)
-
-    coarse, fine = {}, {}
-    step = math.ceil(n_ranges / COARSE_RANGES)
-    for name, s in safe.items():
-        extra = _bin_cuts(edges[name]) if len(edges.get(name, [])) > 1 else []
-        coarse[s] = split_points(quantiles[s][step - 1 :: step], extra)
-        fine[s] = split_points(quantiles[s], coarse[s])
+    # The last bin also holds its upper edge, so a cut follows right behind it.
+    extra = {
+        safe[n]: [*e, math.nextafter(e[-1], math.inf)]
+        for n, e in edges.items()
+        if len(e) > 1
+    }
+    grids = make_grids(values, list(safe.values()), pair.frame.count(), rows_per_range, extra)
+    celled = add_cells(values, grids)
 
     counted = (
         melt(
-            add_ranges(values, coarse),
-            {n: {"rng": F.col(s + "_rng")} for n, s in safe.items()},
+            celled,
+            {n: {"cell": F.col(s + "_cell"), "v": F.col(s)} for n, s in safe.items()},
             keep=_SIDES,
         )
-        .where(F.col("rng").isNotNull())
-        .groupBy("feature", "rng")
-        .agg(*_side_counts())
-        .collect()
+        .where(F.col("cell").isNotNull())
+        .groupBy("feature", "cell")
+        .agg(*_side_counts(), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    cells = {n: [] for n in features}
-    for r in sorted(counted, key=lambda r: (r["feature"], r["rng"])):
-        cuts = [-math.inf, *coarse[safe[r["feature"]]], math.inf]
-        cells[r["feature"]].append(
-            (cuts[r["rng"]], cuts[r["rng"] + 1], r["n_ref"], r["n_cur"])
-        )
+    cells: dict[str, list[_Cell]] = {n: [] for n in features}
+    for r in counted.collect():
+        cells[r["feature"]].append(_Cell(r["cell"], r["n_ref"], r["n_cur"], r["low"], r["high"]))
+    for found in cells.values():
+        found.sort(key=lambda c: c.number)
     bounds = {n: _bound_gap(cells[n]) for n in features}
 
-    base = small_frame(
-        spark,
-        [(n, b.n_ref, b.n_cur, b.gap) for n, b in bounds.items()],
-        pa.schema(
-            [
-                ("feature", pa.string()),
-                ("n_ref", pa.int64()),
-                ("n_cur", pa.int64()),
-                ("gap", pa.float64()),
-            ]
-        ),
-    )
-    if any(b.open for b in bounds.values()):
-        inside = _gaps_inside(add_ranges(values, fine), safe, bounds)
-        base = base.join(inside, "feature", "left")
-    else:
-        base = base.withColumn("inner_gap", F.lit(None).cast("double"))
-    statistic = F.greatest("gap", F.coalesce("inner_gap", F.lit(0.0)))
-
-    if not edges:
-        return base.select("feature", "n_ref", "n_cur", statistic.alias("ks_statistic"))
-    psi = psi_from_counts(small_frame(spark, _bin_rows(cells, edges), _BIN_SCHEMA))
-    return base.join(psi.select("feature", "psi"), "feature", "left").select(
-        "feature",
-        F.coalesce("psi", F.lit(0.0)).alias("psi"),
-        "n_ref",
-        "n_cur",
-        statistic.alias("ks_statistic"),
-    )
-
-
-def _bin_rows(cells: dict, edges: dict[str, list[float]]) -> list[tuple]:
-    """Coarse ranges added up to PSI bins."""
+    inside = _gaps_inside(celled, safe, bounds)
     rows = []
-    for name, cuts in edges.items():
-        for start, _, n_ref, n_cur in cells.get(name, []):
-            if len(cuts) > 1 and cuts[0] <= start <= cuts[-1]:
-                rows.append((name, sum(start >= e for e in cuts[1:-1]), n_ref, n_cur))
-    merged: dict[tuple, list[int]] = {}
-    for name, number, n_ref, n_cur in rows:
-        total = merged.setdefault((name, number), [0, 0])
-        total[0] += n_ref
-        total[1] += n_cur
-    return [(*key, *total) for key, total in merged.items()]
-
-
-def _gaps_inside(ranged: DataFrame, safe: dict[str, str], bounds: dict[str, _Bounds]) -> DataFrame:
-    """Largest gap within the open ranges: feature, inner_gap."""
-    spark = ranged.sparkSession
-    parts, starts = {}, []
-    for name, s in safe.items():
-        number = F.lit(None).cast("int")
-        value = F.col(s)
-        for i, o in enumerate(bounds[name].open):
-            inside = value >= F.lit(o.start)
-            if math.isfinite(o.end):
-                inside = inside & (value < F.lit(o.end))
-            number = F.when(inside, i).otherwise(number)
-            starts.append((name, i, o.before_ref, o.before_cur, bounds[name].n_ref, bounds[name].n_cur))
-        parts[name] = {"open": number, "rng": F.col(s + "_rng"), "value": value}
+    for n, b in bounds.items():
+        bins = _bins(cells[n], grids[safe[n]], edges.get(n, []))
+        totals = [sum(x[side] for x in bins) for side in ("n_ref", "n_cur")]
+        rows.append((n, b.n_ref, b.n_cur, max(b.gap, inside.get(n, 0.0)), bins, *totals))
+    base = small_frame(spark, rows, _NUMERIC_SCHEMA)
+    out = base.select("feature", "n_ref", "n_cur", "ks_statistic")
+    if edges:
+        out = base.select(
+            "feature",
+            psi_of_bins("bins", "total_ref", "total_cur").alias("psi"),
+            "n_ref",
+            "n_cur",
+            "ks_statistic",
+        )
+    return out
+
+
+def _bins(cells: list[_Cell], grid: Grid, edges: list[float]) -> list[dict]:
+    """Cells added up to PSI bins. The edges are cut points of the grid, so every cell
+    lies in one bin or outside all of them."""
+    if len(edges) < 2:
+        return []
+    bins = [{"n_ref": 0, "n_cur": 0} for _ in edges[1:]]
+    for c in cells:
+        number = grid.range_of(c.number)
+        start = grid.splits[number - 1] if number else -math.inf
+        if edges[0] <= start <= edges[-1]:
+            at = bins[min(bisect_right(edges, start), len(bins)) - 1]
+            at["n_ref"] += c.n_ref
+            at["n_cur"] += c.n_cur
+    return bins
+
+
+def _gaps_inside(
+    celled: DataFrame, safe: dict[str, str], bounds: dict[str, _Bounds]
+) -> dict[str, float]:
+    """Largest gap within the open cells of each feature."""
+    opened = {n: b.open for n, b in bounds.items() if b.open}
+    if not opened:
+        return {}
+    # One row per open cell, at most MAX_RANGES or GRID_CELLS per feature.
     start = small_frame(
-        spark,
-        starts,
+        celled.sparkSession,
+        [
+            (n, number, ref, cur, bounds[n].n_ref, bounds[n].n_cur)
+            for n, found in opened.items()
+            for number, (ref, cur) in found.items()
+        ],
         pa.schema(
             [
                 ("feature", pa.string()),
-                ("open", pa.int32()),
+                ("cell", pa.int32()),
                 ("before_ref", pa.int64()),
                 ("before_cur", pa.int64()),
                 ("n_ref", pa.int64()),
@@ -397,47 +383,46 @@ def _gaps_inside(ranged: DataFrame, safe: dict[str, str], bounds: dict[str, _Bou
         ),
     )
     by_value = (
-        melt(ranged, parts, keep=_SIDES)
-        .where(F.col("open").isNotNull())
-        .groupBy("feature", "open", "rng", "value")
-        .agg(F.count_if(Pair.IN_REF).alias("ref"), F.count_if(Pair.IN_CUR).alias("cur"))
-    )
-    along = Window.partitionBy("feature", "open", "rng").orderBy("value")
-    # One row per open range, at most COARSE_RANGES and a few bins per feature.
-    local = (
-        by_value.join(F.broadcast(start), ["feature", "open"])
-        .withColumn(
-            "diff",
-            F.sum("ref").over(along) / F.col("n_ref") - F.sum("cur").over(along) / F.col("n_cur"),
+        melt(
+            celled,
+            {
+                n: {
+                    "cell": F.when(_is_open(F.col(safe[n] + "_cell"), found), F.col(safe[n] + "_cell")),
+                    "value": F.col(safe[n]),
+                }
+                for n, found in opened.items()
+            },
+            keep=_SIDES,
         )
+        .where(F.col("cell").isNotNull())
+        .groupBy("feature", "cell", "value")
+        .agg(F.count_if(Pair.IN_REF).alias("ref"), F.count_if(Pair.IN_CUR).alias("cur"))
     )
-    per_range = local.groupBy("feature", "open", "rng").agg(
-        F.sum("ref").alias("ref"),
-        F.sum("cur").alias("cur"),
-        F.max("diff").alias("top"),
-        F.min("diff").alias("low"),
-        *[F.first(c).alias(c) for c in ("before_ref", "before_cur", "n_ref", "n_cur")],
-    )
-    earlier = (
-        Window.partitionBy("feature", "open")
-        .orderBy("rng")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    along = Window.partitionBy("feature", "cell").orderBy("value")
 
-    def before(side: str):
-        passed = F.coalesce(F.sum(side).over(earlier), F.lit(0))
-        return (F.col(f"before_{side}") + passed) / F.col(f"n_{side}")
+    def reached(side: str):
+        return (F.col(f"before_{side}") + F.sum(side).over(along)) / F.col(f"n_{side}")
 
-    offset = before("ref") - before("cur")
-    return (
-        per_range.withColumn("offset", offset)
+    gaps = (
+        by_value.join(F.broadcast(start), ["feature", "cell"])
+        .select("feature", F.abs(reached("ref") - reached("cur")).alias("gap"))
         .groupBy("feature")
-        .agg(
-            F.max(
-                F.greatest(F.abs(F.col("offset") + F.col("top")), F.abs(F.col("offset") + F.col("low")))
-            ).alias("inner_gap")
-        )
+        .agg(F.max("gap").alias("gap"))
     )
+    return {r["feature"]: r["gap"] for r in gaps.collect()}
+
+
+def _is_open(cell, numbers) -> Column:
+    """Cell number among the given ones, written as runs."""
+    runs: list[list[int]] = []
+    for n in sorted(numbers):
+        if runs and runs[-1][1] == n - 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    if len(runs) > 50:
+        return cell.isin(sorted(numbers))
+    return reduce(lambda a, b: a | b, [cell.between(a, b) for a, b in runs])
 
 
 def ks_test(numeric: DataFrame) -> DataFrame:

@@ -11,13 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col, to_numeric
 from plumbline.functions.stats import PSI_FLOOR
 from plumbline.operators.frames import melt, small_frame
-from plumbline.operators.ranges import (
-    ROWS_PER_RANGE,
-    add_ranges,
-    range_count,
-    sampled_quantiles,
-    split_points,
-)
+from plumbline.operators.ranges import ROWS_PER_RANGE, add_cells, make_grids
 from plumbline.spec import Baseline
 
 
@@ -29,10 +23,10 @@ def exact_quantiles(
 ) -> dict[str, list[float]]:
     """Linearly interpolated quantiles of each column; no values give an empty list.
 
-    The ranks are looked up by selection rather than by sorting: count the ranges,
-    keep only those that hold a wanted rank, then order the values of these. Besides
-    range counts, only the kept ranges (at most two per quantile) are shuffled, as
-    counts per distinct value. The built-in exact percentile would gather every
+    The ranks are looked up by selection rather than by sorting: count the cells of a
+    grid, keep only those that hold a wanted rank, then order the values of these.
+    Besides cell counts, only the kept cells (at most two per quantile) are shuffled,
+    as counts per distinct value. The built-in exact percentile would gather every
     distinct value of a feature in one task.
     """
     spark = df.sparkSession
@@ -42,55 +36,61 @@ def exact_quantiles(
     size = {name: sizes[s] for name, s in safe.items()}
     filled = [n for n in columns if size[n] > 0]
     largest = max(size.values(), default=0)
-    n_ranges = range_count(largest, rows_per_range)
-
-    quantiles = sampled_quantiles(values, [safe[n] for n in filled], largest, n_ranges)
-    ranged = add_ranges(values, {c: split_points(q) for c, q in quantiles.items()})
-    counts: dict[str, list[tuple[int, int]]] = {n: [] for n in filled}
-    if n_ranges == 1:
-        counts = {n: [(0, size[n])] for n in filled}
-    elif filled:
+
+    grids = make_grids(values, [safe[n] for n in filled], largest, rows_per_range)
+    celled = add_cells(values, grids)
+    counts: dict[str, list[tuple]] = {n: [] for n in filled}
+    if all(not g.splits for g in grids.values()):
+        counts = {n: [(0, size[n], None, None)] for n in filled}
+    else:
         histogram = (
-            melt(ranged, {n: {"rng": F.col(safe[n] + "_rng")} for n in filled})
-            .where(F.col("rng").isNotNull())
-            .groupBy("feature", "rng")
-            .count()
+            melt(celled, {n: {"cell": F.col(safe[n] + "_cell"), "v": F.col(safe[n])} for n in filled})
+            .where(F.col("cell").isNotNull())
+            .groupBy("feature", "cell")
+            .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         )
         for r in histogram.collect():
-            counts[r["feature"]].append((r["rng"], r["count"]))
+            counts[r["feature"]].append((r["cell"], r["n"], r["low"], r["high"]))
 
     # Ranks are 0-based; a quantile needs the value at its floor and at its ceiling.
+    found: dict[tuple[str, int], float] = {}
     targets, kept = [], {n: set() for n in filled}
     for name in filled:
         places = {q * (size[name] - 1) for q in probs}
         ranks = {math.floor(p) for p in places} | {math.ceil(p) for p in places}
         before = 0
-        for rng, n in sorted(counts[name]):
+        for cell, n, low, high in sorted(counts[name], key=lambda c: c[0]):
             for rank in ranks:
-                if before <= rank < before + n:
-                    targets.append((name, rng, rank, rank - before))
-                    kept[name].add(rng)
+                if not before <= rank < before + n:
+                    continue
+                if low is not None and (low == high or rank == before):
+                    found[name, rank] = low
+                elif rank == before + n - 1 and high is not None:
+                    found[name, rank] = high
+                else:
+                    targets.append((name, cell, rank, rank - before))
+                    kept[name].add(cell)
             before += n
 
-    found: dict[tuple[str, int], float] = {}
     if targets:
         wanted = melt(
-            ranged,
+            celled,
             {
                 n: {
-                    "rng": F.col(safe[n] + "_rng"),
+                    "cell": F.col(safe[n] + "_cell"),
                     "value": F.when(
-                        F.col(safe[n] + "_rng").isin(sorted(kept[n])), F.col(safe[n])
+                        F.col(safe[n] + "_cell").isin(sorted(kept[n])), F.col(safe[n])
                     ),
                 }
                 for n in filled
+                if kept[n]
             },
         ).where(F.col("value").isNotNull())
-        in_range = Window.partitionBy("feature", "rng").orderBy("value")
+        in_cell = Window.partitionBy("feature", "cell").orderBy("value")
         ordered = (
-            wanted.groupBy("feature", "rng", "value")
+            wanted.groupBy("feature", "cell", "value")
             .agg(F.count("*").alias("n"))
-            .withColumn("upto", F.sum("n").over(in_range))
+            .withColumn("upto", F.sum("n").over(in_cell))
         )
         target = small_frame(
             spark,
@@ -98,18 +98,18 @@ def exact_quantiles(
             pa.schema(
                 [
                     ("feature", pa.string()),
-                    ("rng", pa.int32()),
+                    ("cell", pa.int32()),
                     ("rank", pa.int64()),
                     ("local_rank", pa.int64()),
                 ]
             ),
         )
         # At most two targets per quantile and feature.
-        picked = ordered.join(F.broadcast(target), ["feature", "rng"]).where(
+        picked = ordered.join(F.broadcast(target), ["feature", "cell"]).where(
             (F.col("local_rank") < F.col("upto"))
             & (F.col("local_rank") >= F.col("upto") - F.col("n"))
         )
-        found = {(r["feature"], r["rank"]): r["value"] for r in picked.collect()}
+        found |= {(r["feature"], r["rank"]): r["value"] for r in picked.collect()}
 
     def quantile(name: str, q: float) -> float:
         place = q * (size[name] - 1)
@@ -120,7 +120,7 @@ def exact_quantiles(
             return low + (high - low) * part
         return high - (high - low) * (1.0 - part)
 
-    return {n: [quantile(n, q) for q in probs] if n in kept else [] for n in columns}
+    return {n: [quantile(n, q) for q in probs] if size[n] else [] for n in columns}
 
 
 def quantile_edges(

@@ -17,6 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import col
 from plumbline.sources.shared import written
 
 ROWS_PER_RANGE = 200_000
@@ -24,26 +25,31 @@ MAX_RANGES = 8192
 SAMPLE_PER_RANGE = 100
 MIN_SAMPLE = 20_000
 
+# Cells of a grid per column, and the ranges they start from.
+GRID_CELLS = 4096
+GRID_RANGES = 64
+
 
 def range_count(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
     return max(1, min(MAX_RANGES, math.ceil(n_rows / rows_per_range)))
 
 
+def double_array(values: list[float]) -> Column:
+    """Literal array of finite doubles."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def sampled_quantiles(
     df: DataFrame, columns: list[str], n_rows: int, n_ranges: int, seed: int = 7
 ) -> dict[str, list[float]]:
     """Inner quantiles of a sample, duplicates kept (they reveal heavy values)."""
-    if n_ranges == 1:
+    if n_ranges == 1 or not columns:
         return {c: [] for c in columns}
-    probs = [i / n_ranges for i in range(1, n_ranges)]
+    probs = double_array([i / n_ranges for i in range(1, n_ranges)])
     wanted = max(MIN_SAMPLE, SAMPLE_PER_RANGE * n_ranges)
     if wanted < n_rows:
         df = df.sample(fraction=wanted / n_rows, seed=seed)
-    long = df.select(
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])
-        )
-    )
+    long = df.unpivot([], columns, "c", "v")
     rows = (
         long.where(F.col("v").isNotNull())
         .groupBy("c")
@@ -81,11 +87,67 @@ def add_ranges(df: DataFrame, splits: dict[str, list[float]], suffix: str = "_rn
     )
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Cut points of a column, and how many even cells each range is divided into.
+
+    Ranges come from quantiles; the cells in them cost arithmetic only, so a few cut
+    points give thousands of cells. Cell numbers never decrease with the value.
+    """
+
+    splits: list[float]
+    parts: int
+
+    def range_of(self, cell: int) -> int:
+        return cell // self.parts
+
+
+def grid_ranges(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    """Ranges per column: enough to bound their size, and to be worth dividing."""
+    if n_rows <= min(MIN_SAMPLE, rows_per_range):
+        return 1
+    return max(range_count(n_rows, rows_per_range), GRID_RANGES)
+
+
+def make_grids(
+    df: DataFrame,
+    columns: list[str],
+    n_rows: int,
+    rows_per_range: int = ROWS_PER_RANGE,
+    extra: dict[str, list[float]] | None = None,
+) -> dict[str, Grid]:
+    """A grid per column from one sampled pass; ``extra`` cut points are always kept."""
+    n_ranges = grid_ranges(n_rows, rows_per_range)
+    quantiles = sampled_quantiles(df, columns, n_rows, n_ranges)
+    parts = max(1, GRID_CELLS // n_ranges) if n_ranges > 1 else 1
+    return {c: Grid(split_points(quantiles[c], (extra or {}).get(c, [])), parts) for c in columns}
+
+
+def add_cells(df: DataFrame, grids: dict[str, Grid], suffix: str = "_cell") -> DataFrame:
+    """Cell number of each column; NULL for a NULL value."""
+    df = add_ranges(df, {c: g.splits for c, g in grids.items()}, suffix)
+    divided = {}
+    for c, grid in grids.items():
+        if grid.parts == 1 or len(grid.splits) < 2:
+            divided[c + suffix] = F.col(c + suffix) * grid.parts
+            continue
+        # Range 0 and the last one are open: one cell each.
+        place = F.col(c + suffix) - 1
+        low = F.get(double_array(grid.splits), place)
+        scales = [grid.parts / (b - a) for a, b in zip(grid.splits, grid.splits[1:])]
+        # A range of a single heavy value is too narrow to divide.
+        scale = F.get(double_array([x if math.isfinite(x) else 0.0 for x in scales]), place)
+        step = F.floor((F.col(c) - low) * scale)
+        part = F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(grid.parts - 1)), F.lit(0))
+        divided[c + suffix] = (F.col(c + suffix) * grid.parts + part).cast("int")
+    return df.withColumns(divided)
+
+
 def order_value(df: DataFrame, name: str) -> Column:
     """Double that never decreases when the column increases. It may merge close
     values (timestamps to the second), which is fine for choosing a range."""
     kind = dict(df.dtypes)[name]
-    c = F.col("`" + name + "`")
+    c = col(name)
     if kind == "timestamp":
         return F.unix_micros(c).cast("double")
     if kind == "timestamp_ntz":

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from plumbline.functions.stats import BAND_HIGH, SIGNIFICANT, interpret_pvalue, psi_band
 from plumbline.operators.drift import (
     MIN_EXPECTED,
-    bin_counts,
     categorical_drift,
     ks_test,
     numeric_drift,
-    psi_from_counts,
+    numeric_psi,
 )
-from plumbline.operators.frames import feature_frame, one_row
+from plumbline.operators.frames import one_row
 from plumbline.operators.quantiles import quantile_edges
 from plumbline.operators.ranges import ROWS_PER_RANGE
 from plumbline.spec import Baseline, Pair
@@ -141,15 +140,7 @@ def experiment_psi(
 ) -> DataFrame:
     """PSI alone, over bins fitted on the pair's own reference."""
     edges = quantile_edges(pair.reference, list(features), n_bins, widen_constant=False)
-    found = psi_from_counts(bin_counts(pair, edges, keep_outside=True))
-    enough = (F.coalesce("known_ref", F.lit(0)) >= min_rows) & (
-        F.coalesce("known_cur", F.lit(0)) >= min_rows
-    )
-    return (
-        feature_frame(pair.frame.sparkSession, features)
-        .join(found, "feature", "left")
-        .select("feature", F.when(enough, F.coalesce("psi", F.lit(0.0))).alias("psi"))
-    )
+    return numeric_psi(pair, edges, min_rows=min_rows)
 
 
 def window_profile(df: DataFrame, window: str, target: str, time: str) -> DataFrame:
