@@ -17,8 +17,10 @@ BAND_HIGH = "high"
 SIGNIFICANT = "significant"
 NO_SIGNAL = "no_signal"
 
-# Two-sample KS: up to this size equal samples use the plain argument.
-KS_PLAIN_LIMIT = 10_000
+# Two-sample KS: up to this size samples of one size have an exact p-value, whose sum
+# ends where terms fall below exp(-depth).
+KS_EXACT_LIMIT = 10_000
+KS_EXACT_DEPTH = 45.0
 KS_TERMS = 100
 
 ERFC_TERMS = 80
@@ -49,34 +51,65 @@ def interpret_pvalue(p: Column, alpha: float = 0.05) -> Column:
 
 
 def ks_method(n_ref: Column, n_cur: Column) -> Column:
-    plain = (n_ref == n_cur) & (n_ref <= KS_PLAIN_LIMIT)
+    exact = (n_ref == n_cur) & (n_ref <= KS_EXACT_LIMIT)
     return (
         F.when((n_ref < 2) | (n_cur < 2), "too_few")
-        .when(plain, "plain")
+        .when(exact, "exact")
         .otherwise("stephens")
     )
 
 
 def ks_pvalue(d: Column, n_ref: Column, n_cur: Column) -> Column:
-    """Two-sided p-value from the Kolmogorov series, with Stephens' (1970)
-    small-sample argument unless both samples are small and of one size."""
+    """Two-sided p-value: exact for small samples of one size, otherwise from the
+    Kolmogorov series with Stephens' (1970) small-sample argument."""
     product = n_ref.cast("double") * n_cur
     size = F.nullif(F.sqrt(product / F.nullif(n_ref + n_cur, F.lit(0))), F.lit(0.0))
     method = ks_method(n_ref, n_cur)
-    lam = F.when(method == "plain", d * size).otherwise(
-        d * (size + 0.12 + 0.11 / size)
-    )
+    lam = d * (size + 0.12 + 0.11 / size)
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(KS_TERMS)),
         F.lit(0.0),
         lambda total, k: total
         + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam),
     )
+
+    def clamped(p: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+
     return (
         F.when(method == "too_few", 1.0)
+        .when(method == "exact", clamped(_ks_equal_sizes(d, n_ref)))
         .when(lam < 0.2, 1.0)
-        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+        .otherwise(clamped(series))
+    )
+
+
+def _ks_equal_sizes(d: Column, n: Column) -> Column:
+    """Exact tail for two samples of n values (Gnedenko and Korolyuk, 1951): with
+    h = n * d, twice the alternating sum over j of C(2n, n - j h) / C(2n, n).
+
+    The ratio of binomials is a product of j * h factors. Terms fall like
+    exp(-j^2 h^2 / n), so few of them matter.
+    """
+    h = F.greatest(F.round(d * n), F.lit(1.0)).cast("int")
+    n = F.least(n, F.lit(KS_EXACT_LIMIT)).cast("int")
+    enough = F.ceil(F.sqrt(F.lit(KS_EXACT_DEPTH) * n) / h).cast("int")
+    last = F.greatest(F.least(F.floor(n / h).cast("int"), enough), F.lit(1))
+
+    def log_ratio(steps: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), steps),
+            F.lit(0.0),
+            lambda total, i: total + F.ln((n - steps + i) / (n + i)),
+        )
+
+    total = F.aggregate(
+        F.sequence(F.lit(1), last),
+        F.lit(0.0),
+        lambda total, j: total
+        + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(log_ratio(j * h)),
     )
+    return F.when(d <= 0, 1.0).otherwise(total)
 
 
 def _erfc(z: Column) -> Column:

@@ -145,84 +145,128 @@ def category_counts(pair: Pair, features: tuple[str, ...]) -> DataFrame:
     )
 
 
-def categorical_psi(pair: Pair, features: tuple[str, ...]) -> DataFrame:
-    """PSI of every categorical feature; rare categories are not pooled."""
-    found = psi_from_counts(category_counts(pair, features))
+def pool_rare(counts: DataFrame, min_expected: float = MIN_EXPECTED) -> DataFrame:
+    """Pool categories the reference holds fewer than ``min_expected`` times."""
     return (
-        feature_frame(pair.frame.sparkSession, features)
-        .join(found, "feature", "left")
-        .select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+        counts.groupBy("feature", _pooled_name(min_expected).alias("category"))
+        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     )
 
 
-# --- chi-square --------------------------------------------------------------
+def _pooled_name(min_expected: float) -> Column:
+    return F.when(F.col("n_ref") < min_expected, F.lit(OTHER)).otherwise(F.col("category"))
 
 
-def pool_rare(counts: DataFrame, min_expected: float = MIN_EXPECTED) -> DataFrame:
-    """Pool categories the reference holds fewer than ``min_expected`` times."""
-    name = F.when(F.col("n_ref") < min_expected, F.lit(OTHER)).otherwise(F.col("category"))
-    return (
-        counts.groupBy("feature", name.alias("category"))
-        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+def category_totals(pair: Pair, features: tuple[str, ...]) -> DataFrame:
+    """Known values per feature and side: one small row each, counted without a shuffle."""
+    known = {f"c{i}": to_category(col(n)).isNotNull() for i, n in enumerate(features)}
+    row = pair.frame.agg(
+        *[
+            F.count_if(k & F.col(side)).alias(f"{name}{side}")
+            for name, k in known.items()
+            for side in _SIDES
+        ]
+    ).first()
+    return small_frame(
+        pair.frame.sparkSession,
+        [(n, *[row[f"c{i}{side}"] for side in _SIDES]) for i, n in enumerate(features)],
+        pa.schema(
+            [("feature", pa.string()), ("total_ref", pa.int64()), ("total_cur", pa.int64())]
+        ),
     )
 
 
-def chi_square(counts: DataFrame, min_expected: float = MIN_EXPECTED) -> DataFrame:
-    """Homogeneity of the two samples: feature, chi2_statistic, chi2_dof, chi2_pvalue.
+def category_statistics(
+    counts: DataFrame, totals: DataFrame | None = None, min_expected: float = MIN_EXPECTED
+) -> DataFrame:
+    """PSI and chi-square per feature from category counts:
+    feature, psi, chi2_statistic, chi2_dof, chi2_pvalue.
 
-    Yates' correction applies when there is one degree of freedom. Fewer than two
-    categories give (0.0, 0, 1.0); a sample without any value gives NULLs.
+    PSI is over all categories, chi-square over the pooled ones with Yates' correction
+    at one degree of freedom. Fewer than two categories give (0.0, 0, 1.0); a sample
+    without any value gives NULLs. Every step combines before its shuffle, so neither a
+    feature with many categories nor the pooled rest lands whole in one task.
     """
-    table = pool_rare(counts, min_expected)
-    totals = table.groupBy("feature").agg(
-        F.sum("n_ref").alias("total_ref"),
-        F.sum("n_cur").alias("total_cur"),
-        (F.count("*") - 1).cast("int").alias("dof"),
+    if totals is None:
+        totals = counts.groupBy("feature").agg(
+            F.sum("n_ref").alias("total_ref"), F.sum("n_cur").alias("total_cur")
+        )
+    sides = F.col("total_ref"), F.col("total_cur")
+    pooled = (
+        counts.join(F.broadcast(totals), "feature")  # one row per feature of the call
+        .groupBy("feature", _pooled_name(min_expected).alias("category"), "total_ref", "total_cur")
+        .agg(
+            F.sum("n_ref").alias("ref"),
+            F.sum("n_cur").alias("cur"),
+            F.sum(psi_term(F.col("n_ref"), F.col("n_cur"), *sides)).alias("psi"),
+        )
     )
-    total = F.col("total_ref") + F.col("total_cur")
-    column = (F.col("n_ref") + F.col("n_cur")).cast("double")
+    size = (F.col("ref") + F.col("cur")).cast("double")
 
-    def cell(observed: str, row_total: str):
-        expected = F.nullif(column * F.col(row_total) / F.nullif(total, F.lit(0)), F.lit(0.0))
+    def cell(observed: str, row_total: Column, yates: bool) -> Column:
+        expected = F.nullif(size * row_total / F.nullif(sides[0] + sides[1], F.lit(0)), F.lit(0.0))
         gap = F.abs(F.col(observed) - expected)
-        gap = F.when(F.col("dof") == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
+        if yates:
+            gap = gap - F.least(F.lit(0.5), gap)
         return gap * gap / expected
 
-    summed = (
-        table.join(F.broadcast(totals), "feature")  # one row per feature of the call
-        .groupBy("feature", "dof", "total_ref", "total_cur")
-        .agg(F.sum(cell("n_ref", "total_ref") + cell("n_cur", "total_cur")).alias("chi2"))
+    def statistic(yates: bool) -> Column:
+        return F.sum(cell("ref", sides[0], yates) + cell("cur", sides[1], yates))
+
+    summed = pooled.groupBy("feature", "total_ref", "total_cur").agg(
+        F.coalesce(F.sum("psi"), F.lit(0.0)).alias("psi"),
+        (F.count("*") - 1).cast("int").alias("dof"),
+        statistic(False).alias("plain"),
+        statistic(True).alias("yates"),
     )
-    both = (F.col("total_ref") > 0) & (F.col("total_cur") > 0)
-    one_category = F.col("dof") < 1
-    result = summed.select(
+    both = (sides[0] > 0) & (sides[1] > 0)
+    dof = F.col("dof")
+    return summed.select(
         "feature",
-        F.when(one_category, 0.0).when(both, F.col("chi2")).alias("chi2_statistic"),
-        F.when(one_category, 0).when(both, F.col("dof")).cast("int").alias("chi2_dof"),
-    )
-    return result.withColumn("chi2_pvalue", chi2_pvalue(F.col("chi2_statistic"), F.col("chi2_dof")))
+        "psi",
+        F.when(dof < 1, 0.0)
+        .when(both & (dof == 1), F.col("yates"))
+        .when(both, F.col("plain"))
+        .alias("chi2_statistic"),
+        F.when(dof < 1, 0).when(both, dof).alias("chi2_dof"),
+    ).withColumn("chi2_pvalue", chi2_pvalue(F.col("chi2_statistic"), F.col("chi2_dof")))
 
 
 def categorical_drift(
     pair: Pair, features: tuple[str, ...], min_expected: float = MIN_EXPECTED
 ) -> DataFrame:
-    """PSI and chi-square of every categorical feature from one set of counts."""
-    spark = pair.frame.sparkSession
-    counts = category_counts(pair, features)
+    """PSI and chi-square of every categorical feature; a feature without any value has
+    no drift."""
+    found = category_statistics(
+        category_counts(pair, features), category_totals(pair, features), min_expected
+    ).withColumn("tested", F.lit(True))
+
+    def known(column: str, default) -> Column:
+        return F.when(F.col("tested").isNull(), F.lit(default)).otherwise(F.col(column)).alias(column)
+
     return (
-        feature_frame(spark, features)
-        .join(psi_from_counts(counts), "feature", "left")
-        .join(chi_square(counts, min_expected).withColumn("tested", F.lit(True)), "feature", "left")
+        feature_frame(pair.frame.sparkSession, features)
+        .join(found, "feature", "left")
         .select(
             "feature",
-            F.coalesce("psi", F.lit(0.0)).alias("psi"),
-            F.when(F.col("tested").isNull(), 0.0).otherwise(F.col("chi2_statistic")).alias("chi2_statistic"),
-            F.when(F.col("tested").isNull(), 1.0).otherwise(F.col("chi2_pvalue")).alias("chi2_pvalue"),
-            F.when(F.col("tested").isNull(), 0).otherwise(F.col("chi2_dof")).alias("chi2_dof"),
+            known("psi", 0.0),
+            known("chi2_statistic", 0.0),
+            known("chi2_pvalue", 1.0),
+            known("chi2_dof", 0),
         )
     )
 
 
+def categorical_psi(pair: Pair, features: tuple[str, ...]) -> DataFrame:
+    """PSI of every categorical feature; rare categories are not pooled."""
+    return categorical_drift(pair, features).select("feature", "psi")
+
+
+def chi_square(counts: DataFrame, min_expected: float = MIN_EXPECTED) -> DataFrame:
+    """Homogeneity of the two samples: feature, chi2_statistic, chi2_dof, chi2_pvalue."""
+    return category_statistics(counts, None, min_expected).drop("psi")
+
+
 # --- Kolmogorov-Smirnov ------------------------------------------------------
 
 

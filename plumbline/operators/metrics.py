@@ -111,6 +111,7 @@ def ranking_metrics(
     cuts = split_points(sampled_quantiles(rows, ["_s"], n_rows, n_ranges)["_s"])
     per_score = (
         add_ranges(rows, {"_s": cuts})
+        .where(F.col("_s_rng").isNotNull())
         .groupBy(*names, "_s_rng", "_s")
         .agg(F.count_if("_pos").alias("pos"), F.count_if(~F.col("_pos")).alias("neg"))
     )

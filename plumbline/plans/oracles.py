@@ -54,6 +54,7 @@ psi AS (SELECT feature, CASE WHEN min(tr) > 0 AND min(tc) > 0 THEN sum((pa - pe)
         FROM p GROUP BY feature)
 """
 
+# The p-value is the form for samples of unequal size, which all bound samples are.
 KS = """
 kv AS (SELECT feature, v, count(*) FILTER (WHERE r) AS a, count(*) FILTER (WHERE c) AS b
        FROM l WHERE v IS NOT NULL AND (r OR c) GROUP BY feature, v),
@@ -63,9 +64,8 @@ kc AS (SELECT feature, sum(a) OVER (PARTITION BY feature ORDER BY v) AS ca,
 ks AS (SELECT kc.feature, n_ref, n_cur, max(abs(ca / n_ref - cb / n_cur)) AS ks_statistic
        FROM kc JOIN kn ON kc.feature = kn.feature GROUP BY kc.feature, n_ref, n_cur),
 km AS (SELECT *, sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) AS en,
-              CASE WHEN n_ref = n_cur AND n_ref <= 10000 THEN 'plain' ELSE 'stephens' END AS ks_pvalue_method FROM ks),
-kl AS (SELECT *, CASE WHEN ks_pvalue_method = 'plain' THEN ks_statistic * en
-                      ELSE ks_statistic * (en + 0.12 + 0.11 / en) END AS lam FROM km),
+              'stephens' AS ks_pvalue_method FROM ks),
+kl AS (SELECT *, ks_statistic * (en + 0.12 + 0.11 / en) AS lam FROM km),
 kp AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101),
               lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * lam * lam))))) END AS ks_pvalue FROM kl)
 """

@@ -176,11 +176,32 @@ def test_bands_and_strict_alpha(spark):
     ]
 
 
+def brute_equal_tail(n, h):
+    """Share of lattice paths from (0, 0) to (n, n) that reach |i - j| >= h."""
+    inside = {(0, 0): 1}
+    for step in range(2 * n):
+        following = {}
+        for (i, j), ways in inside.items():
+            for a, b in ((i + 1, j), (i, j + 1)):
+                if a <= n and b <= n and abs(a - b) < h:
+                    following[a, b] = following.get((a, b), 0) + ways
+        inside = following
+    return 1 - inside.get((n, n), 0) / math.comb(2 * n, n)
+
+
+def test_ks_pvalue_is_exact_for_equal_sizes(spark):
+    cases = [(n, h) for n in (2, 5, 12, 40) for h in range(0, n + 1, max(1, n // 6))]
+    df = spark.createDataFrame([(n, h / n) for n, h in cases], "n bigint, d double")
+    found = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("n"))).collect()]
+    assert np.allclose(found, [brute_equal_tail(n, h) if h else 1.0 for n, h in cases], atol=1e-12)
+
+
 def test_ks_pvalue_forms(spark):
-    rows = [(12, 12, 7 / 12), (100, 100, 0.19), (200, 300, 0.1233), (400, 390, 0.0968)]
+    rows = [(12, 12, 7 / 12), (100, 100, 0.19), (200, 300, 0.1233), (400, 390, 0.0968), (10_000, 10_000, 0.01)]
     df = spark.createDataFrame(rows, "n bigint, m bigint, d double")
     found = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m"))).collect()]
-    assert np.allclose(found, [0.0337, 0.0541, 0.0476, 0.0462], atol=2e-4)
+    assert np.allclose(found[:4], [0.0314, 0.0539, 0.0476, 0.0462], atol=2e-4)
+    assert found[4] == pytest.approx(0.699, abs=5e-3)
 
 
 def test_chi2_tail(spark):
