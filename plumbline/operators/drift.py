@@ -20,7 +20,15 @@ from plumbline.functions.stats import (
     psi_term,
 )
 from plumbline.operators.frames import feature_frame, melt, small_frame
-from plumbline.operators.ranges import ROWS_PER_RANGE, Grid, add_cells, make_grids
+from plumbline.operators.ranges import (
+    ROWS_PER_RANGE,
+    Grid,
+    add_cells,
+    edge_grid,
+    even_grid,
+    make_grids,
+    too_large,
+)
 from plumbline.spec import Pair
 
 # Name of the pooled category and the reference count it starts below.
@@ -328,7 +336,9 @@ def numeric_drift(
     One pass counts the cells of a grid. The grid contains the PSI edges, so PSI is
     done; and the counts bound the KS gap, so only the cells that can still hold the
     largest gap are ordered by value. Those are shuffled as counts per distinct value,
-    each cell reports its extreme gap, and that is added to the counts before it.
+    each cell reports its extreme gap, and that is added to the counts before it. The
+    first grid divides the baseline's bins (or the range of values) evenly; only if an
+    open cell is oversized is it replaced by one from sampled quantiles.
 
     The passes run when this is called; the result is one row per feature, so using it
     several times repeats none of them.
@@ -339,31 +349,22 @@ def numeric_drift(
     values = pair.frame.select(
         *[to_numeric(col(n)).alias(s) for n, s in safe.items()], *_SIDES
     )
-    # The last bin also holds its upper edge, so a cut follows right behind it.
-    extra = {
-        safe[n]: [*e, math.nextafter(e[-1], math.inf)]
-        for n, e in edges.items()
-        if len(e) > 1
-    }
-    grids = make_grids(values, list(safe.values()), pair.frame.count(), rows_per_range, extra)
+    grids = {safe[n]: edge_grid(e) for n, e in edges.items() if n in safe and len(e) > 1}
+    extra = {s: g.splits for s, g in grids.items()}
+    rest = [s for s in safe.values() if s not in grids]
+    if rest:
+        spans = values.agg(
+            *[f(s).alias(s + suffix) for s in rest for f, suffix in ((F.min, "_low"), (F.max, "_high"))]
+        ).first()
+        grids |= {s: even_grid(spans[s + "_low"], spans[s + "_high"]) for s in rest}
     celled = add_cells(values, grids)
-
-    counted = (
-        melt(
-            celled,
-            {n: {"cell": F.col(s + "_cell"), "v": F.col(s)} for n, s in safe.items()},
-            keep=_SIDES,
-        )
-        .where(F.col("cell").isNotNull())
-        .groupBy("feature", "cell")
-        .agg(*_side_counts(), F.min("v").alias("low"), F.max("v").alias("high"))
-    )
-    cells: dict[str, list[_Cell]] = {n: [] for n in features}
-    for r in counted.collect():
-        cells[r["feature"]].append(_Cell(r["cell"], r["n_ref"], r["n_cur"], r["low"], r["high"]))
-    for found in cells.values():
-        found.sort(key=lambda c: c.number)
-    bounds = {n: _bound_gap(cells[n]) for n in features}
+    cells, bounds = _count_cells(celled, safe)
+    sizes = {(n, c.number): c.n_ref + c.n_cur for n, found in cells.items() for c in found}
+    if any(too_large(sizes[n, c], rows_per_range) for n, b in bounds.items() for c in b.open):
+        largest = max(b.n_ref + b.n_cur for b in bounds.values())
+        grids = make_grids(values, list(safe.values()), largest, rows_per_range, extra)
+        celled = add_cells(values, grids)
+        cells, bounds = _count_cells(celled, safe)
 
     inside = _gaps_inside(celled, safe, bounds)
     rows = []
@@ -384,6 +385,28 @@ def numeric_drift(
     return out
 
 
+def _count_cells(
+    celled: DataFrame, safe: dict[str, str]
+) -> tuple[dict[str, list[_Cell]], dict[str, _Bounds]]:
+    """Cells of every feature in value order, and what they say about the gap."""
+    counted = (
+        melt(
+            celled,
+            {n: {"cell": F.col(s + "_cell"), "v": F.col(s)} for n, s in safe.items()},
+            keep=_SIDES,
+        )
+        .where(F.col("cell").isNotNull())
+        .groupBy("feature", "cell")
+        .agg(*_side_counts(), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    cells: dict[str, list[_Cell]] = {n: [] for n in safe}
+    for r in counted.collect():
+        cells[r["feature"]].append(_Cell(r["cell"], r["n_ref"], r["n_cur"], r["low"], r["high"]))
+    for found in cells.values():
+        found.sort(key=lambda c: c.number)
+    return cells, {n: _bound_gap(found) for n, found in cells.items()}
+
+
 def _bins(cells: list[_Cell], grid: Grid, edges: list[float]) -> list[dict]:
     """Cells added up to PSI bins. The edges are cut points of the grid, so every cell
     lies in one bin or outside all of them."""

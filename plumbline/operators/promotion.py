@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.operators.sequence import running_max_before
+from plumbline.operators.ranges import Cells, ordered_cells
+from plumbline.operators.sequence import running_max_in
+from plumbline.sources.shared import written
 
 # Why a run was or was not promoted.
 FIRST_CHAMPION = "no_existing_champion"
@@ -47,11 +49,12 @@ def replay_promotions(
     if margin < 0:
         raise ValueError("margin must not be negative")
     scored = runs.withColumn("_m", F.coalesce(col(value).cast("double"), F.lit(0.0)))
-    best = running_max_before(scored, [key], order, tie, F.col("_m"), "_best", **ranges)
+    cells = ordered_cells(scored, order, tie, **ranges)
     if margin == 0.0:
-        champion = best.withColumnRenamed("_best", "champion_before")
+        cells = running_max_in(cells, [key], order, tie, F.col("_m"), "champion_before")
     else:
-        champion = _with_margin(best, key, order, tie, margin, **ranges)
+        cells = _with_margin(cells, key, order, tie, margin)
+    champion = cells.frame.drop(Cells.CELL)
     first = F.col("champion_before").isNull()
     better = F.col("_m") >= F.col("champion_before") + margin
     return champion.withColumns(
@@ -64,13 +67,15 @@ def replay_promotions(
     ).drop("_m")
 
 
-def _with_margin(best: DataFrame, key: str, order: str, tie: str, margin: float, **ranges) -> DataFrame:
+def _with_margin(cells: Cells, key: str, order: str, tie: str, margin: float) -> Cells:
     """Champion before each run when a promotion needs ``margin`` more.
 
     A promoted run beats the champion and every run since, so it is a record of its
     key. The records are sorted by key and order and streamed with one number of
     state; the champion before any run is then the largest promoted one so far.
     """
+    found = running_max_in(cells, [key], order, tie, F.col("_m"), "_best")
+    best = found.frame if found.single else written(found.frame)
     record = F.col("_best").isNull() | (F.col("_m") > F.col("_best"))
     records = (
         best.where(record)
@@ -100,7 +105,7 @@ def _with_margin(best: DataFrame, key: str, order: str, tie: str, margin: float,
         promoted, col(key).eqNullSafe(F.col("_pk")) & (col(tie) == F.col("_pt")), "left"
     ).drop("_pk", "_pt")
     promoted_value = F.when(F.col("_promoted"), F.col("_m"))
-    return running_max_before(
-        marked.drop("_best"), [key], order, tie, promoted_value, "champion_before",
-        derived=True, **ranges,
-    ).drop("_promoted")
+    second = running_max_in(
+        Cells(marked.drop("_best"), found.single), [key], order, tie, promoted_value, "champion_before"
+    )
+    return Cells(second.frame.drop("_promoted"), second.single)

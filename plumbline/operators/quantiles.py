@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col, to_numeric
 from plumbline.functions.stats import PSI_FLOOR
 from plumbline.operators.frames import melt, small_frame
-from plumbline.operators.ranges import ROWS_PER_RANGE, add_cells, make_grids
+from plumbline.operators.ranges import (
+    ROWS_PER_RANGE,
+    Grid,
+    add_cells,
+    even_grid,
+    grid_ranges,
+    make_grids,
+    too_large,
+)
 from plumbline.spec import Baseline
 
 
@@ -26,51 +34,42 @@ def exact_quantiles(
     The ranks are looked up by selection rather than by sorting: count the cells of a
     grid, keep only those that hold a wanted rank, then order the values of these.
     Besides cell counts, only the kept cells (at most two per quantile) are shuffled,
-    as counts per distinct value. The built-in exact percentile would gather every
+    as counts per distinct value. The first grid is even between the smallest and the
+    largest value; only if that leaves a wanted rank in an oversized cell is it replaced
+    by one from sampled quantiles. The built-in exact percentile would gather every
     distinct value of a feature in one task.
     """
     spark = df.sparkSession
     safe = {name: f"c{i}" for i, name in enumerate(columns)}
     values = df.select(*[to_numeric(col(n)).alias(s) for n, s in safe.items()])
-    sizes = values.agg(*[F.count(s).alias(s) for s in safe.values()]).first()
-    size = {name: sizes[s] for name, s in safe.items()}
+    known = values.agg(
+        *[
+            f(s).alias(s + suffix)
+            for s in safe.values()
+            for f, suffix in ((F.count, ""), (F.min, "_low"), (F.max, "_high"))
+        ]
+    ).first()
+    size = {name: known[s] for name, s in safe.items()}
     filled = [n for n in columns if size[n] > 0]
     largest = max(size.values(), default=0)
 
-    grids = make_grids(values, [safe[n] for n in filled], largest, rows_per_range)
-    celled = add_cells(values, grids)
-    counts: dict[str, list[tuple]] = {n: [] for n in filled}
-    if all(not g.splits for g in grids.values()):
-        counts = {n: [(0, size[n], None, None)] for n in filled}
+    if grid_ranges(largest, rows_per_range) == 1:
+        celled = add_cells(values, {safe[n]: Grid([], 1) for n in filled})
+        cells = {n: [(0, size[n], None, None)] for n in filled}
     else:
-        histogram = (
-            melt(celled, {n: {"cell": F.col(safe[n] + "_cell"), "v": F.col(safe[n])} for n in filled})
-            .where(F.col("cell").isNotNull())
-            .groupBy("feature", "cell")
-            .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        )
-        for r in histogram.collect():
-            counts[r["feature"]].append((r["cell"], r["n"], r["low"], r["high"]))
-
-    # Ranks are 0-based; a quantile needs the value at its floor and at its ceiling.
-    found: dict[tuple[str, int], float] = {}
-    targets, kept = [], {n: set() for n in filled}
-    for name in filled:
-        places = {q * (size[name] - 1) for q in probs}
-        ranks = {math.floor(p) for p in places} | {math.ceil(p) for p in places}
-        before = 0
-        for cell, n, low, high in sorted(counts[name], key=lambda c: c[0]):
-            for rank in ranks:
-                if not before <= rank < before + n:
-                    continue
-                if low is not None and (low == high or rank == before):
-                    found[name, rank] = low
-                elif rank == before + n - 1 and high is not None:
-                    found[name, rank] = high
-                else:
-                    targets.append((name, cell, rank, rank - before))
-                    kept[name].add(cell)
-            before += n
+        grids = {safe[n]: even_grid(known[safe[n] + "_low"], known[safe[n] + "_high"]) for n in filled}
+        celled = add_cells(values, grids)
+        cells = _cell_counts(celled, safe, filled)
+    found, targets = _locate(cells, size, probs)
+    held = {(n, c): rows for n in filled for c, rows, *_ in cells[n]}
+    if any(too_large(held[t[0], t[1]], rows_per_range) for t in targets):
+        grids = make_grids(values, [safe[n] for n in filled], largest, rows_per_range)
+        celled = add_cells(values, grids)
+        cells = _cell_counts(celled, safe, filled)
+        found, targets = _locate(cells, size, probs)
+    kept: dict[str, set[int]] = {}
+    for name, cell, *_ in targets:
+        kept.setdefault(name, set()).add(cell)
 
     if targets:
         wanted = melt(
@@ -82,8 +81,7 @@ def exact_quantiles(
                         F.col(safe[n] + "_cell").isin(sorted(kept[n])), F.col(safe[n])
                     ),
                 }
-                for n in filled
-                if kept[n]
+                for n in kept
             },
         ).where(F.col("value").isNotNull())
         in_cell = Window.partitionBy("feature", "cell").orderBy("value")
@@ -123,6 +121,43 @@ def exact_quantiles(
     return {n: [quantile(n, q) for q in probs] if size[n] else [] for n in columns}
 
 
+def _cell_counts(celled: DataFrame, safe: dict[str, str], columns: list[str]) -> dict[str, list]:
+    """(cell, rows, smallest, largest value) of every column, in cell order."""
+    histogram = (
+        melt(celled, {n: {"cell": F.col(safe[n] + "_cell"), "v": F.col(safe[n])} for n in columns})
+        .where(F.col("cell").isNotNull())
+        .groupBy("feature", "cell")
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    cells: dict[str, list] = {n: [] for n in columns}
+    for r in histogram.collect():
+        cells[r["feature"]].append((r["cell"], r["n"], r["low"], r["high"]))
+    return {n: sorted(found, key=lambda c: c[0]) for n, found in cells.items()}
+
+
+def _locate(cells: dict[str, list], size: dict[str, int], probs: list[float]):
+    """Values already known from the ends of cells, and (column, cell, rank, rank in the
+    cell) of the others. Ranks are 0-based; a quantile needs the value at its floor and
+    at its ceiling."""
+    found, targets = {}, []
+    for name, counted in cells.items():
+        places = {q * (size[name] - 1) for q in probs}
+        ranks = {math.floor(p) for p in places} | {math.ceil(p) for p in places}
+        before = 0
+        for cell, n, low, high in counted:
+            for rank in ranks:
+                if not before <= rank < before + n:
+                    continue
+                if low is not None and (low == high or rank == before):
+                    found[name, rank] = low
+                elif low is not None and rank == before + n - 1:
+                    found[name, rank] = high
+                else:
+                    targets.append((name, cell, rank, rank - before))
+            before += n
+    return found, targets
+
+
 def quantile_edges(
     df: DataFrame,
     columns: list[str],

@@ -28,6 +28,8 @@ MIN_SAMPLE = 20_000
 # Cells of a grid per column, and the ranges they start from.
 GRID_CELLS = 4096
 GRID_RANGES = 64
+# A cell may hold this many times the rows of a range before the grid is refined.
+OVERSIZE = 5
 
 
 def range_count(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
@@ -102,6 +104,24 @@ class Grid:
         return cell // self.parts
 
 
+def even_grid(low: float | None, high: float | None) -> Grid:
+    """Grid of even cells from the smallest to the largest value; it needs no sample."""
+    if low is None or not (math.isfinite(low) and math.isfinite(high)):
+        return Grid([], 1)
+    return Grid([low, math.nextafter(high, math.inf)], GRID_CELLS)
+
+
+def edge_grid(edges: list[float]) -> Grid:
+    """Grid of even cells between the edges of a baseline. The last bin holds its upper
+    edge, so a cut follows right behind it."""
+    return Grid([*edges, math.nextafter(edges[-1], math.inf)], max(1, GRID_CELLS // len(edges)))
+
+
+def too_large(cell_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> bool:
+    """Is a cell worth another pass that cuts it at sampled quantiles?"""
+    return cell_rows > OVERSIZE * rows_per_range
+
+
 def grid_ranges(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
     """Ranges per column: enough to bound their size, and to be worth dividing."""
     if n_rows <= min(MIN_SAMPLE, rows_per_range):

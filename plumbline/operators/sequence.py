@@ -93,6 +93,13 @@ def running_max_before(
 ) -> DataFrame:
     """Largest value among the earlier rows of the key, NULL on the first."""
     cells = ordered_cells(df, order, tie, rows_per_range, derived)
+    return running_max_in(cells, keys, order, tie, value, name).frame.drop(Cells.CELL)
+
+
+def running_max_in(
+    cells: Cells, keys: list[str], order: str, tie: str, value: Column, name: str
+) -> Cells:
+    """The same over rows that are cut into cells already, which they stay."""
     frame = cells.frame.withColumn("_v", value)
     inside = (
         _window(keys, Cells.CELL)
@@ -101,17 +108,18 @@ def running_max_before(
     )
     local = F.max("_v").over(inside)
     if cells.single:
-        return frame.withColumn(name, local).drop("_v", Cells.CELL)
+        return Cells(frame.withColumn(name, local).drop("_v"), True)
     top = frame.groupBy(*[col(k).alias(k) for k in keys], Cells.CELL).agg(
         F.max("_v").alias("_top")
     )
     along = _window(keys).orderBy(Cells.CELL).rowsBetween(Window.unboundedPreceding, -1)
     carried = top.withColumn("_carry", F.max("_top").over(along)).drop("_top")
-    return (
+    joined = (
         _join_cells(frame, carried, keys)
         .withColumn(name, F.greatest(local, F.col("_carry")))
-        .drop("_v", "_carry", Cells.CELL)
+        .drop("_v", "_carry")
     )
+    return Cells(joined, False)
 
 
 def _join_cells(frame: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
