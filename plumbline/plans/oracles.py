@@ -214,7 +214,7 @@ def first_copies(source: str, order: str, where: str = "TRUE") -> str:
 
 
 ORACLES = {
-    "clean_marker_rows": """SELECT * FROM (SELECT o_orderkey, o_orderstatus,
+    "clean_markers": """SELECT * FROM (SELECT o_orderkey, o_orderstatus,
   nullif(o_orderpriority, '4-NOT SPECIFIED') AS o_orderpriority FROM orders)
 WHERE o_orderkey IS NOT NULL AND o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL""",
     "numeric_coercion": """SELECT 'orders' AS source, o_orderkey AS key,
@@ -229,6 +229,12 @@ WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE {HASH_SIDE} = 'ref')"""
     "stratified_split": f"""SELECT doc_id, quality, rn <= ceil(0.2 * n) AS is_holdout FROM (
   SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (PARTITION BY quality
     ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 13) AS BIGINT), doc_id) AS rn FROM ({DOCS}))""",
+    "labeled_split": f"""SELECT doc_id, n_chars, quality,
+  CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 10000 < 3000
+       THEN 'cur' ELSE 'ref' END AS side FROM ({DOCS})""",
+    "incoming_batch": f"""WITH s AS (SELECT *, {HASH_SIDE} = 'ref' AS r, o_orderdate >= TIMESTAMP '1998-01-01' AS c FROM orders),
+l AS ({long_text('s', 'r, c', ('o_orderstatus', 'o_orderpriority'))}), {CATEGORIES}, {PSI}
+SELECT feature, round(psi, 6) AS psi FROM psi""",
     "temporal_thirds": thirds("events", "ts", "event_id", "event_id"),
     "temporal_thirds_tied": thirds("orders", "o_orderdate", "o_orderkey", "o_orderkey"),
     "window_pair_psi": f"""WITH w AS ({thirds('events', 'ts', 'event_id', '*')}),
@@ -241,7 +247,7 @@ SELECT "window", count(*) AS n_rows, CAST(sum(CAST(event_type = 'error' AS INTEG
   round(avg(CAST(event_type = 'error' AS INTEGER)), 6) AS positive_rate,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS time_min, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS time_max
 FROM w GROUP BY "window" """,
-    "quantile_bin_edges": f"""WITH l AS ({long_numeric('lineitem', LINE_SPLIT, LINE_NUMERIC)}), {EDGES}
+    "quantile_edges": f"""WITH l AS ({long_numeric('lineitem', LINE_SPLIT, LINE_NUMERIC)}), {EDGES}
 SELECT feature, CAST(i AS BIGINT) AS edge_no, round(es[i + 1], 6) AS edge
 FROM (SELECT feature, es, unnest(range(len(es))) AS i FROM e)""",
     "fixed_edge_histogram": f"""WITH l AS ({long_numeric('lineitem', LINE_SHIFT, LINE_NUMERIC)}), {EDGES}, {BINS}
@@ -326,6 +332,15 @@ FROM kp JOIN psi ON kp.feature = psi.feature""",
             ("documents", "lang"),
         )
     ),
+    "table_snapshot": """WITH n AS (SELECT count(*) AS n FROM customer)
+SELECT feature, kind, n AS n_rows, round(mean, 6) AS mean, round(q95, 6) AS q95, n_unique, n_building FROM n, (
+  SELECT 'c_custkey' AS feature, 'numeric' AS kind, avg(c_custkey) AS mean, quantile_cont(CAST(c_custkey AS DOUBLE), 0.95) AS q95,
+    CAST(NULL AS BIGINT) AS n_unique, CAST(NULL AS BIGINT) AS n_building FROM customer
+  UNION ALL SELECT 'c_nationkey', 'numeric', avg(c_nationkey), quantile_cont(CAST(c_nationkey AS DOUBLE), 0.95), NULL, NULL FROM customer
+  UNION ALL SELECT 'c_acctbal', 'numeric', avg(c_acctbal), quantile_cont(c_acctbal, 0.95), NULL, NULL FROM customer
+  UNION ALL SELECT 'c_name', 'categorical', NULL, NULL, count(DISTINCT c_name), NULL FROM customer
+  UNION ALL SELECT 'c_mktsegment', 'categorical', NULL, NULL, count(DISTINCT c_mktsegment),
+    nullif(count(*) FILTER (WHERE c_mktsegment = 'BUILDING'), 0) FROM customer)""",
     "training_merge": """SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag, l_tax
 FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'
 UNION SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag, NULL FROM lineitem WHERE l_quantity >= 20""",
@@ -361,7 +376,7 @@ w AS (SELECT event_id, user_id, rn, CAST(NULL AS DOUBLE) AS champion_before, m A
     o.m >= w.champion + 25.0 FROM w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
 SELECT event_id, champion_before, promoted, CASE WHEN champion_before IS NULL THEN 'no_existing_champion'
   WHEN promoted THEN 'f1_macro_improved_or_equal' ELSE 'f1_macro_below_champion' END AS reason FROM w""",
-    "table_fingerprints": f"""SELECT o_orderstatus, count(*) AS row_count, sha256(concat_ws('|',
+    "table_fingerprint": f"""SELECT o_orderstatus, count(*) AS row_count, sha256(concat_ws('|',
   'o_custkey,o_orderkey,o_orderpriority', CAST(count(*) AS VARCHAR), {CHUNK_SUMS})) AS content_hash
 FROM (SELECT o_orderstatus, {FILLED} AS d FROM orders) GROUP BY o_orderstatus""",
     "register_datasets": f"""WITH {TEXTS}, k AS ({first_copies('t', 'conv_id, turn', "role = 'user'")}),

@@ -20,7 +20,7 @@ from plumbline.operators.promotion import replay_promotions
 from plumbline.operators.quantiles import edge_rows, fit_baseline, quantile_edges
 from plumbline.plans import models
 from plumbline.plans.check import evaluate_pair, run_drift_check
-from plumbline.plans.retrain import Ledgers, run_retrain
+from plumbline.plans.retrain import Ledgers, run_retrain, score_with_production
 from plumbline.sources.baselines import fit_or_load_baseline
 from plumbline.sources.shared import new_folder
 from plumbline.sources.tables import (
@@ -49,7 +49,8 @@ LINE = FeatureSpec(LINE_NUMERIC, LINE_CATEGORICAL)
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register under the function's name; ``_query`` at its end only avoids a clash."""
+    QUERIES[function.__name__.removesuffix("_query")] = function
     return function
 
 
@@ -106,7 +107,7 @@ def labeled_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def clean_marker_rows(spark, folder):
+def clean_markers_query(spark, folder):
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority"
     )
@@ -173,6 +174,31 @@ def stratified_split(spark, folder):
     ).select("doc_id", "quality", "is_holdout")
 
 
+@query
+def labeled_split(spark, folder):
+    """Both sides of a random split with their labels, as one table."""
+    pair = split.random_pair(labeled_documents(spark, folder), "doc_id")
+    reference, current = split.labeled_sides(pair, "quality")
+    columns = ["doc_id", "n_chars", "quality"]
+    return reference.select(*columns, F.lit("ref").alias("side")).unionByName(
+        current.select(*columns, F.lit("cur").alias("side"))
+    )
+
+
+@query
+def incoming_batch(spark, folder):
+    """Late orders arrive as CSV files and are compared with the reference slice."""
+    orders = table(spark, folder, "orders")
+    schema = "o_orderkey bigint, o_orderstatus string, o_orderpriority string"
+    columns = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    arrival = new_folder(spark, "incoming")
+    late = orders.where(F.col("o_orderdate") >= _day("1998-01-01")).select(*columns)
+    late.write.option("header", True).csv(arrival)
+    batch = read_csv(spark, arrival, schema, required=columns)
+    pair = split.incoming_pair(orders, batch, "o_orderkey")
+    return rounded(drift.categorical_psi(pair, ("o_orderstatus", "o_orderpriority")), "psi")
+
+
 @query
 def temporal_thirds(spark, folder):
     return split.temporal_windows(table(spark, folder, "events"), "ts", "event_id").select(
@@ -216,7 +242,7 @@ def window_profile(spark, folder):
 
 
 @query
-def quantile_bin_edges(spark, folder):
+def quantile_edges_query(spark, folder):
     reference = line_pair(spark, folder).reference
     return rounded(edge_rows(spark, fit_baseline(reference, LINE_NUMERIC)), "edge")
 
@@ -408,7 +434,25 @@ def profile_categorical(spark, folder):
 
 @query
 def table_snapshot(spark, folder):
-    return summary.table_snapshot(table(spark, folder, "customer"))
+    """The snapshot's JSON, read back into columns."""
+    snapshot = summary.table_snapshot(table(spark, folder, "customer"))
+
+    def field(path: str, kind: str):
+        return F.get_json_object("profile", path).cast(kind)
+
+    return rounded(
+        snapshot.select(
+            "feature",
+            "kind",
+            "n_rows",
+            field("$.mean", "double").alias("mean"),
+            field("$.q95", "double").alias("q95"),
+            field("$.n_unique", "bigint").alias("n_unique"),
+            field("$.top_values.BUILDING", "bigint").alias("n_building"),
+        ),
+        "mean",
+        "q95",
+    )
 
 
 # --- training data and evaluation ------------------------------------------------
@@ -501,7 +545,7 @@ def champion_replay_margin(spark, folder):
 
 
 @query
-def table_fingerprints(spark, folder):
+def table_fingerprint_query(spark, folder):
     orders = table(spark, folder, "orders").select(
         "o_orderstatus", "o_orderkey", "o_custkey", "o_orderpriority"
     )
@@ -807,6 +851,21 @@ def batch_scoring(spark, folder):
     return rounded(scores, "positive_probability")
 
 
+@query
+def production_scoring(spark, folder):
+    """Retrain, then score all documents with the model the ledger has in production."""
+    docs = labeled_documents(spark, folder)
+    pair = split.random_pair(docs, "doc_id")
+    root = new_folder(spark, "production")
+    run_retrain(pair.reference, pair.current, DOC_MODEL, "doc_id", root, "documents", rounds=2)
+    return rounded(
+        score_with_production(
+            docs, DOC_MODEL, root, "documents", ("bad", "good"), keep=("doc_id",)
+        ),
+        "positive_probability",
+    )
+
+
 @query
 def retrain_flow(spark, folder):
     """Merge, train, version, promote and record; the ledgers are read back."""

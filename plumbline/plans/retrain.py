@@ -12,7 +12,13 @@ from plumbline.operators.fingerprint import table_fingerprint
 from plumbline.operators.ledger import DEVELOPMENT, PRODUCTION, last_id
 from plumbline.operators.promotion import PRIMARY_METRIC, should_promote
 from plumbline.operators.training import merge_training_data
-from plumbline.plans.models import TREE_ROUNDS, save_model, train_and_evaluate
+from plumbline.plans.models import (
+    TREE_ROUNDS,
+    batch_scores,
+    load_model,
+    save_model,
+    train_and_evaluate,
+)
 from plumbline.sources.tables import append_rows
 from plumbline.spec import FeatureSpec
 
@@ -82,6 +88,32 @@ def champion_metric(models: DataFrame, dataset: str, metric: str) -> float | Non
     return float((row["best"]["metrics"] or {}).get(metric, 0.0))
 
 
+def production_model(models: DataFrame, dataset: str) -> dict:
+    """Ledger row of the dataset's model in production."""
+    row = (
+        models.where((F.col("dataset") == dataset) & (F.col("stage") == PRODUCTION))
+        .agg(F.max_by(F.struct("id", "version_num", "artifact_path"), "version_num").alias("row"))
+        .first()["row"]
+    )
+    if row is None:
+        raise LookupError("No production model is set. Promote a model to production first.")
+    return row.asDict()
+
+
+def score_with_production(
+    rows: DataFrame,
+    spec: FeatureSpec,
+    root: str,
+    dataset: str,
+    class_names: tuple[str, str],
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Score rows with the model in production; each row says which version that was."""
+    entry = production_model(Ledgers(rows.sparkSession, root).read("models"), dataset)
+    scored = batch_scores(rows, load_model(entry["artifact_path"]), spec, class_names, keep)
+    return scored.withColumn("model_version", F.lit(entry["version_num"]).cast("bigint"))
+
+
 def run_retrain(
     reference: DataFrame,
     current: DataFrame,

@@ -14,7 +14,7 @@ from plumbline.operators.policy import alert_payloads, apply_policy
 from plumbline.operators.quantiles import fit_baseline
 from plumbline.plans import models
 from plumbline.plans.check import log_hook, retrain_hook, run_drift_check
-from plumbline.plans.retrain import Ledgers, run_retrain
+from plumbline.plans.retrain import Ledgers, run_retrain, score_with_production
 from plumbline.sources.shared import new_folder
 from plumbline.spec import DriftPolicy, FeatureSpec, Pair
 from plumbline.streaming.drift import (
@@ -201,6 +201,10 @@ def test_retrain_flow_versions_and_promotes(spark):
     assert stages == {1: "production", 2: "development", 3: "production"}
     experiment = books.read("experiments").where("id = 1").first()
     assert experiment["name"] == "retrain_v1_retrain" and experiment["params"]["test_size"] == "0.2"
+    scored = score_with_production(a.drop("income"), SPEC, root, "census", ("no", "yes"), keep=("id",))
+    assert scored.count() == 240 and {r["model_version"] for r in scored.select("model_version").collect()} == {1}
+    with pytest.raises(LookupError):
+        score_with_production(a, SPEC, root, "unknown", ("no", "yes"))
     refs = {"experiment_id": (books.read("experiments"), "id"), "dataset_version_id": (books.read("datasets"), "id")}
     assert ledger.orphans(books.read("provenance"), refs).isEmpty()
 
