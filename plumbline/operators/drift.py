@@ -29,13 +29,15 @@ from plumbline.operators.ranges import (
     make_grids,
     too_large,
 )
-from plumbline.spec import Pair
+from plumbline.sources.shared import written
+from plumbline.spec import Baseline, Pair
 
 # Name of the pooled category and the reference count it starts below.
 OTHER = "__other__"
 MIN_EXPECTED = 5.0
 
 _SIDES = [Pair.IN_REF, Pair.IN_CUR]
+_ONLY_CURRENT = f"{Pair.IN_CUR} AND NOT {Pair.IN_REF}"
 _NUMERIC_SCHEMA = pa.schema(
     [
         ("feature", pa.string()),
@@ -165,10 +167,14 @@ def _pooled_name(min_expected: float) -> Column:
     return F.when(F.col("n_ref") < min_expected, F.lit(OTHER)).otherwise(F.col("category"))
 
 
-def category_totals(pair: Pair, features: tuple[str, ...]) -> DataFrame:
+def category_totals(
+    pair: Pair, features: tuple[str, ...], frozen: FrozenReference | None = None
+) -> DataFrame:
     """Known values per feature and side: one small row each, counted without a shuffle."""
+    frame = pair.frame if frozen is None else pair.frame.where(_ONLY_CURRENT)
+    held = {} if frozen is None else frozen.totals
     known = {f"c{i}": to_category(col(n)).isNotNull() for i, n in enumerate(features)}
-    row = pair.frame.agg(
+    row = frame.agg(
         *[
             F.count_if(k & F.col(side)).alias(f"{name}{side}")
             for name, k in known.items()
@@ -177,7 +183,10 @@ def category_totals(pair: Pair, features: tuple[str, ...]) -> DataFrame:
     ).first()
     return small_frame(
         pair.frame.sparkSession,
-        [(n, *[row[f"c{i}{side}"] for side in _SIDES]) for i, n in enumerate(features)],
+        [
+            (n, row[f"c{i}{Pair.IN_REF}"] + held.get(n, 0), row[f"c{i}{Pair.IN_CUR}"])
+            for i, n in enumerate(features)
+        ],
         pa.schema(
             [("feature", pa.string()), ("total_ref", pa.int64()), ("total_cur", pa.int64())]
         ),
@@ -241,12 +250,25 @@ def category_statistics(
 
 
 def categorical_drift(
-    pair: Pair, features: tuple[str, ...], min_expected: float = MIN_EXPECTED
+    pair: Pair,
+    features: tuple[str, ...],
+    min_expected: float = MIN_EXPECTED,
+    frozen: FrozenReference | None = None,
 ) -> DataFrame:
     """PSI and chi-square of every categorical feature; a feature without any value has
-    no drift."""
+    no drift. With a ``frozen`` reference only the current sample is read."""
+    if frozen is None:
+        counts = category_counts(pair, features)
+    else:
+        current = category_counts(Pair(pair.frame.where(_ONLY_CURRENT)), features)
+        counts = (
+            frozen.categories.where(F.col("feature").isin(list(features)))
+            .unionByName(current)
+            .groupBy("feature", "category")
+            .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+        )
     found = category_statistics(
-        category_counts(pair, features), category_totals(pair, features), min_expected
+        counts, category_totals(pair, features, frozen), min_expected
     ).withColumn("tested", F.lit(True))
 
     def known(column: str, default) -> Column:
@@ -329,6 +351,7 @@ def numeric_drift(
     features: tuple[str, ...],
     edges: dict[str, list[float]] | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
+    frozen: FrozenReference | None = None,
 ) -> DataFrame:
     """KS of every numeric feature, and PSI where ``edges`` are given:
     feature, psi, n_ref, n_cur, ks_statistic.
@@ -341,7 +364,8 @@ def numeric_drift(
     open cell is oversized is it replaced by one from sampled quantiles.
 
     The passes run when this is called; the result is one row per feature, so using it
-    several times repeats none of them.
+    several times repeats none of them. With a ``frozen`` reference the first pass reads
+    the current sample only.
     """
     spark = pair.frame.sparkSession
     edges = edges or {}
@@ -358,13 +382,19 @@ def numeric_drift(
         ).first()
         grids |= {s: even_grid(spans[s + "_low"], spans[s + "_high"]) for s in rest}
     celled = add_cells(values, grids)
-    cells, bounds = _count_cells(celled, safe)
+    if frozen is None:
+        cells = _count_cells(celled, safe)
+    else:
+        current = _count_cells(celled.where(_ONLY_CURRENT), safe)
+        cells = {n: _merge_cells(frozen.cells[n], current[n]) for n in features}
+    bounds = {n: _bound_gap(found) for n, found in cells.items()}
     sizes = {(n, c.number): c.n_ref + c.n_cur for n, found in cells.items() for c in found}
     if any(too_large(sizes[n, c], rows_per_range) for n, b in bounds.items() for c in b.open):
         largest = max(b.n_ref + b.n_cur for b in bounds.values())
         grids = make_grids(values, list(safe.values()), largest, rows_per_range, extra)
         celled = add_cells(values, grids)
-        cells, bounds = _count_cells(celled, safe)
+        cells = _count_cells(celled, safe)
+        bounds = {n: _bound_gap(found) for n, found in cells.items()}
 
     inside = _gaps_inside(celled, safe, bounds)
     rows = []
@@ -385,10 +415,19 @@ def numeric_drift(
     return out
 
 
-def _count_cells(
-    celled: DataFrame, safe: dict[str, str]
-) -> tuple[dict[str, list[_Cell]], dict[str, _Bounds]]:
-    """Cells of every feature in value order, and what they say about the gap."""
+def _merge_cells(reference: list[_Cell], current: list[_Cell]) -> list[_Cell]:
+    """Counts of the two samples over one grid, put together."""
+    merged = {c.number: c for c in reference}
+    for c in current:
+        r = merged.get(c.number)
+        merged[c.number] = c if r is None else _Cell(
+            c.number, r.n_ref, c.n_cur, min(r.low, c.low), max(r.high, c.high)
+        )
+    return [merged[n] for n in sorted(merged)]
+
+
+def _count_cells(celled: DataFrame, safe: dict[str, str]) -> dict[str, list[_Cell]]:
+    """Cells of every feature in value order."""
     counted = (
         melt(
             celled,
@@ -404,7 +443,7 @@ def _count_cells(
         cells[r["feature"]].append(_Cell(r["cell"], r["n_ref"], r["n_cur"], r["low"], r["high"]))
     for found in cells.values():
         found.sort(key=lambda c: c.number)
-    return cells, {n: _bound_gap(found) for n, found in cells.items()}
+    return cells
 
 
 def _bins(cells: list[_Cell], grid: Grid, edges: list[float]) -> list[dict]:
@@ -492,6 +531,41 @@ def _is_open(cell, numbers) -> Column:
     return reduce(lambda a, b: a | b, [cell.between(a, b) for a, b in runs])
 
 
+# --- reference taken once ------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class FrozenReference:
+    """Counts of a reference sample, taken once for many checks against it.
+
+    It serves pairs made of two tables (no row in both samples) and belongs to the
+    edges of its baseline. What is left to read of the reference in a check are the
+    values in those cells that may hold a feature's largest KS gap.
+    """
+
+    baseline: Baseline
+    n_rows: int
+    cells: dict[str, list[_Cell]]
+    categories: DataFrame
+    totals: dict[str, int]
+
+
+def freeze_reference(reference: DataFrame, baseline: Baseline) -> FrozenReference:
+    """Count a reference sample; its category counts become a table in the shared folder."""
+    frame = reference.withColumns({Pair.IN_REF: F.lit(True), Pair.IN_CUR: F.lit(False)})
+    safe = {name: f"c{i}" for i, name in enumerate(baseline.numeric)}
+    cells, categories, totals = {}, None, {}
+    if baseline.numeric:
+        values = frame.select(*[to_numeric(col(n)).alias(s) for n, s in safe.items()], *_SIDES)
+        grids = {safe[n]: edge_grid(e) for n, e in baseline.edges.items()}
+        cells = _count_cells(add_cells(values, grids), safe)
+    if baseline.categorical:
+        categories = written(category_counts(Pair(frame), baseline.categorical), "categories")
+        sums = categories.groupBy("feature").agg(F.sum("n_ref").alias("n"))
+        totals = {r["feature"]: r["n"] for r in sums.collect()}
+    return FrozenReference(baseline, reference.count(), cells, categories, totals)
+
+
 def ks_test(numeric: DataFrame) -> DataFrame:
     """Add ks_pvalue and ks_pvalue_method to rows with ks_statistic, n_ref, n_cur."""
     sizes = F.col("n_ref"), F.col("n_cur")

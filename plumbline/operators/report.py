@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.stats import BAND_HIGH, SIGNIFICANT, interpret_pvalue, psi_band
 from plumbline.operators.drift import (
     MIN_EXPECTED,
+    FrozenReference,
     categorical_drift,
     ks_test,
     numeric_drift,
@@ -50,12 +51,15 @@ def drift_report(
     chi2_alpha: float = 0.05,
     min_expected: float = MIN_EXPECTED,
     rows_per_range: int = ROWS_PER_RANGE,
+    frozen: FrozenReference | None = None,
 ) -> DataFrame:
     """One row per feature of the baseline."""
+    if frozen is not None and frozen.baseline != baseline:
+        raise ValueError("The frozen reference belongs to another baseline")
     kinds = []
     if baseline.numeric:
         numeric = ks_test(
-            numeric_drift(pair, baseline.numeric, baseline.edges, rows_per_range)
+            numeric_drift(pair, baseline.numeric, baseline.edges, rows_per_range, frozen)
         )
         kinds.append(
             numeric.withColumns(
@@ -67,7 +71,7 @@ def drift_report(
         )
     if baseline.categorical:
         kinds.append(
-            categorical_drift(pair, baseline.categorical, min_expected).withColumns(
+            categorical_drift(pair, baseline.categorical, min_expected, frozen).withColumns(
                 {
                     "kind": F.lit("categorical"),
                     "chi2_interpretation": interpret_pvalue(F.col("chi2_pvalue"), chi2_alpha),
@@ -80,12 +84,21 @@ def drift_report(
     return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
 
 
-def report_summary(pair: Pair, report: DataFrame) -> DataFrame:
+def report_summary(
+    pair: Pair, report: DataFrame, frozen: FrozenReference | None = None
+) -> DataFrame:
     """One row of counts over the samples and the report."""
-    sizes = pair.frame.agg(
-        F.count_if(Pair.IN_REF).alias("n_reference_rows"),
-        F.count_if(Pair.IN_CUR).alias("n_current_rows"),
-    )
+    if frozen is None:
+        sizes = pair.frame.agg(
+            F.count_if(Pair.IN_REF).alias("n_reference_rows"),
+            F.count_if(Pair.IN_CUR).alias("n_current_rows"),
+        )
+    else:
+        sizes = (
+            pair.frame.where(Pair.IN_CUR)
+            .agg(F.count("*").alias("n_current_rows"))
+            .withColumn("n_reference_rows", F.lit(frozen.n_rows).cast("bigint"))
+        )
 
     def significant(column: str):
         return F.count_if(F.col(column) == SIGNIFICANT)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.drift import FrozenReference
 from plumbline.operators.policy import apply_policy
 from plumbline.operators.quantiles import fit_baseline
 from plumbline.operators.report import drift_report, report_summary
@@ -44,11 +45,15 @@ Hook = Callable[[CheckResult], None]
 
 
 def evaluate_pair(
-    pair: Pair, baseline: Baseline, policy: DriftPolicy = DriftPolicy(), **options
+    pair: Pair,
+    baseline: Baseline,
+    policy: DriftPolicy = DriftPolicy(),
+    frozen: FrozenReference | None = None,
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Report and its one-row verdict, both lazy."""
-    report = drift_report(pair, baseline, **options)
-    return report, apply_policy(report_summary(pair, report), policy)
+    """Report and its one-row verdict."""
+    report = drift_report(pair, baseline, frozen=frozen, **options)
+    return report, apply_policy(report_summary(pair, report, frozen), policy)
 
 
 def run_drift_check(

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.functions.bins import bin_index
 from plumbline.functions.columns import col, to_numeric
 from plumbline.functions.stats import psi_band, psi_term
+from plumbline.operators.drift import freeze_reference
 from plumbline.plans.check import evaluate_pair
 from plumbline.spec import Baseline, DriftPolicy, Pair
 
@@ -36,13 +37,14 @@ def monitor_stream(
 ) -> StreamingQuery:
     """Check every micro-batch against the reference and keep one run row per batch.
 
-    A batch that is run again after a failure overwrites its own folder, so the run
-    table holds each batch once.
+    The reference is counted once, when the stream starts. A batch that is run again
+    after a failure overwrites its own folder, so the run table holds each batch once.
     """
+    frozen = freeze_reference(reference, baseline)
 
     def check(batch: DataFrame, batch_id: int) -> None:
         pair = Pair.union(reference, batch)
-        _, verdict = evaluate_pair(pair, baseline, policy)
+        _, verdict = evaluate_pair(pair, baseline, policy, frozen)
         verdict.write.mode("overwrite").parquet(f"{run_table}/batch_id={batch_id}")
 
     return (

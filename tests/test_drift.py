@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.stats import chi2_pvalue, interpret_pvalue, ks_pvalue, psi_band
 from plumbline.operators import drift, report
 from plumbline.operators.quantiles import exact_quantiles, fit_baseline, quantile_edges
+from plumbline.sources.shared import written
 from plumbline.spec import Baseline, Pair
 
 
@@ -274,6 +275,39 @@ def test_missing_feature_is_named(spark):
         fit_baseline(numbers(spark, [1.0]), ("x", "nope"))
 
 
+@pytest.mark.parametrize("rows_per_range", [15, 10_000])
+def test_frozen_reference_gives_the_same_report(spark, rows_per_range):
+    rng = np.random.default_rng(6)
+
+    def sample(n, shift):
+        rows = zip(rng.normal(shift, 1, n).tolist(), rng.integers(0, 9, n).tolist(), rng.integers(0, 40, n).tolist())
+        return spark.createDataFrame([(x, float(g), f"k{k}") for x, g, k in rows], "x double, g double, k string")
+
+    reference = sample(300, 0.0)
+    baseline = fit_baseline(reference, ("x", "g"), ("k",))
+    frozen = drift.freeze_reference(reference, baseline)
+    for shift in (0.0, 0.4, 20.0):
+        pair = Pair.union(reference, sample(200, shift))
+        plain = report.drift_report(pair, baseline, rows_per_range=rows_per_range)
+        quick = report.drift_report(pair, baseline, rows_per_range=rows_per_range, frozen=frozen)
+        by_feature = [{r["feature"]: r.asDict() for r in found.collect()} for found in (plain, quick)]
+        for name in ("x", "g", "k"):
+            assert by_feature[0][name] == pytest.approx(by_feature[1][name], nan_ok=True)
+        sums = [report.report_summary(pair, r, f).first().asDict() for r, f in ((plain, None), (quick, frozen))]
+        assert sums[0] == pytest.approx(sums[1])
+    other = fit_baseline(reference, ("x",), ("k",))
+    with pytest.raises(ValueError):
+        report.drift_report(pair, other, frozen=frozen)
+
+
+def test_frozen_reference_is_not_scanned_for_counts(spark):
+    reference = spark.range(100).select(F.col("id").cast("double").alias("x"), F.lit("a").alias("k"))
+    path = written(reference)
+    frame = Pair.union(path, reference).frame.where("_in_cur AND NOT _in_ref")
+    assert "FileScan" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert path.inputFiles()[0].split("/")[-2] not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_card_fraud_fixture(spark):
     """Twelve rows, 29 features, second window shifted out of range."""
     from plumbline.spec import CARD_FRAUD
