@@ -15,6 +15,7 @@ from plumbline.functions.columns import col, positive_label, to_category, to_num
 from plumbline.operators.metrics import evaluation, macro_metrics
 from plumbline.operators.split import stratified_holdout
 from plumbline.operators.training import balanced_weights
+from plumbline.sources.shared import written
 from plumbline.spec import FeatureSpec
 
 # Settings of the boosted trees and names of the two classes.
@@ -119,9 +120,15 @@ def train_and_evaluate(
     seed: int = 42,
     rounds: int = TREE_ROUNDS,
 ) -> Trained:
-    """Stratified split, boosted trees on the train side, metrics on the holdout."""
-    frame = stratified_holdout(
-        model_frame(labeled, spec, needle, keep=(key,)), LABEL, key, fraction, seed
+    """Stratified split, boosted trees on the train side, metrics on the holdout.
+
+    Fitting reads the rows many times, so the split frame is written once.
+    """
+    frame = written(
+        stratified_holdout(
+            model_frame(labeled, spec, needle, keep=(key,)), LABEL, key, fraction, seed
+        ),
+        "split",
     )
     train = frame.where(~F.col("is_holdout")).drop("is_holdout")
     test = frame.where("is_holdout").drop("is_holdout")

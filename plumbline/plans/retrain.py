@@ -19,6 +19,7 @@ from plumbline.plans.models import (
     save_model,
     train_and_evaluate,
 )
+from plumbline.sources.shared import written
 from plumbline.sources.tables import append_rows
 from plumbline.spec import FeatureSpec
 
@@ -134,7 +135,8 @@ def run_retrain(
     """The whole flow. Every dataset has its own champion; versions are shared."""
     spark = reference.sparkSession
     ledgers = Ledgers(spark, root)
-    merged = merge_training_data(reference, current, spec.target)
+    # Training and fingerprint both read the deduplicated rows.
+    merged = written(merge_training_data(reference, current, spec.target), "merged")
     trained = train_and_evaluate(merged, spec, key, needle, fraction, seed, rounds)
 
     models = ledgers.read("models")

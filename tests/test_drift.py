@@ -152,7 +152,7 @@ def test_numeric_drift_matches_numpy(spark, rows_per_range):
         assert (found[name]["n_ref"], found[name]["n_cur"]) == (400, 300)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     ref=st.lists(st.floats(-50, 50) | st.sampled_from([0.0, 1.0]), min_size=2, max_size=40),
     cur=st.lists(st.floats(-50, 50) | st.sampled_from([0.0, 1.0]), min_size=2, max_size=40),
