@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.bins import bin_index
+from plumbline.functions.bins import among, bin_index
 from plumbline.functions.columns import col, to_category, to_numeric
 from plumbline.functions.stats import (
     chi2_pvalue,
@@ -73,12 +72,17 @@ def bin_counts(
     under a NULL bin. Rows are combined before the shuffle, which carries at most
     features x bins rows per task.
     """
+    safe = {name: f"c{i}" for i, name in enumerate(edges)}
+    values = pair.frame.select(
+        *[to_numeric(col(n)).alias(c) for n, c in safe.items()], *_SIDES
+    )
     parts = {}
     for name, cuts in edges.items():
-        value = to_numeric(col(name))
-        index = bin_index(value, cuts, open_ended) if len(cuts) > 1 else F.lit(None).cast("int")
-        parts[name] = {"bin": index, "known": value.isNotNull()}
-    long = melt(pair.frame, parts, keep=_SIDES)
+        index = F.lit(None).cast("int")
+        if len(cuts) > 1:
+            index = bin_index(safe[name], cuts, open_ended)
+        parts[name] = {"bin": index, "known": F.col(safe[name]).isNotNull()}
+    long = melt(values, parts, keep=_SIDES)
     inside = F.col("known") if keep_outside else F.col("bin").isNotNull()
     return long.where(inside).groupBy("feature", "bin").agg(*_side_counts())
 
@@ -493,7 +497,7 @@ def _gaps_inside(
             celled,
             {
                 n: {
-                    "cell": F.when(_is_open(F.col(safe[n] + "_cell"), found), F.col(safe[n] + "_cell")),
+                    "cell": F.when(among(safe[n] + "_cell", list(found)), F.col(safe[n] + "_cell")),
                     "value": F.col(safe[n]),
                 }
                 for n, found in opened.items()
@@ -518,19 +522,6 @@ def _gaps_inside(
     return {r["feature"]: r["gap"] for r in gaps.collect()}
 
 
-def _is_open(cell, numbers) -> Column:
-    """Cell number among the given ones, written as runs."""
-    runs: list[list[int]] = []
-    for n in sorted(numbers):
-        if runs and runs[-1][1] == n - 1:
-            runs[-1][1] = n
-        else:
-            runs.append([n, n])
-    if len(runs) > 50:
-        return cell.isin(sorted(numbers))
-    return reduce(lambda a, b: a | b, [cell.between(a, b) for a, b in runs])
-
-
 # --- reference taken once ------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.bins import among
 from plumbline.functions.columns import col, to_numeric
 from plumbline.functions.stats import PSI_FLOOR
 from plumbline.operators.frames import melt, small_frame
@@ -77,9 +78,7 @@ def exact_quantiles(
             {
                 n: {
                     "cell": F.col(safe[n] + "_cell"),
-                    "value": F.when(
-                        F.col(safe[n] + "_cell").isin(sorted(kept[n])), F.col(safe[n])
-                    ),
+                    "value": F.when(among(safe[n] + "_cell", list(kept[n])), F.col(safe[n])),
                 }
                 for n in kept
             },

@@ -68,10 +68,12 @@ def windowed_bins(
 
     State is windows x bins, whatever the number of events.
     """
-    stamped = stream.withColumn("_ts", col(time).cast("timestamp"))
-    binned = stamped.withColumn("bin", bin_index(to_numeric(col(value)), edges)).where(
-        F.col("bin").isNotNull()
+    stamped = stream.select(
+        col(time).cast("timestamp").alias("_ts"),
+        to_numeric(col(value)).alias("_value"),
+        *[col(b) for b in by],
     )
+    binned = stamped.withColumn("bin", bin_index("_value", edges)).where(F.col("bin").isNotNull())
     if stream.isStreaming:
         binned = binned.withWatermark("_ts", lateness)
     span = F.window("_ts", window)
