@@ -87,15 +87,16 @@ def bin_counts(
     return long.where(inside).groupBy("feature", "bin").agg(*_side_counts())
 
 
-def psi_from_counts(counts: DataFrame) -> DataFrame:
+def psi_from_counts(counts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """PSI per feature from rows of (feature, n_ref, n_cur), one per bin or category.
 
     Totals are an aggregate joined back, not a window: a feature may have any number
     of categories and must not land in one task.
     """
-    totals = counts.groupBy("feature").agg(
-        F.sum("n_ref").alias("total_ref"), F.sum("n_cur").alias("total_cur")
-    )
+    if totals is None:
+        totals = counts.groupBy("feature").agg(
+            F.sum("n_ref").alias("total_ref"), F.sum("n_cur").alias("total_cur")
+        )
     term = psi_term(F.col("n_ref"), F.col("n_cur"), F.col("total_ref"), F.col("total_cur"))
     return (
         counts.join(F.broadcast(totals), "feature")  # one row per feature of the call
@@ -293,7 +294,12 @@ def categorical_drift(
 
 def categorical_psi(pair: Pair, features: tuple[str, ...]) -> DataFrame:
     """PSI of every categorical feature; rare categories are not pooled."""
-    return categorical_drift(pair, features).select("feature", "psi")
+    found = psi_from_counts(category_counts(pair, features), category_totals(pair, features))
+    return (
+        feature_frame(pair.frame.sparkSession, features)
+        .join(found, "feature", "left")
+        .select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    )
 
 
 def chi_square(counts: DataFrame, min_expected: float = MIN_EXPECTED) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col
 from plumbline.sources.tables import file_frame
 
-CHUNK = 8
-CHUNKS = 8
+# Hex digits per summand (52 bits) and summands per digest.
+CHUNK = 13
+CHUNKS = 5
 BLOCK = 8 << 20
 WHOLE_FILE = 256 << 20
 NULL_MARK = "~"
@@ -68,7 +69,7 @@ def table_fingerprint(df: DataFrame, groups: list[str] = ()) -> DataFrame:
     """Hash of a table's content, whatever its row and column order:
     ``row_count, content_hash``, per group if groups are given.
 
-    The rows' digests are cut into 32-bit numbers and summed, so the whole is a
+    The rows' digests are cut into 52-bit numbers and summed, so the whole is a
     map-side aggregate without a sort. A sum, unlike xor, keeps duplicates apart.
     """
     content = df.drop(*groups) if groups else df

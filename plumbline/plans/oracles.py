@@ -200,7 +200,7 @@ FILLED = """sha256(concat(
   coalesce('=' || length(CAST(o_orderkey AS VARCHAR)) || ':' || CAST(o_orderkey AS VARCHAR), '~'),
   coalesce('=' || length(o_orderpriority) || ':' || o_orderpriority, '~')))"""
 CHUNK_SUMS = ", ".join(
-    f"CAST(sum(CAST('0x' || substr(d, {i * 8 + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)
+    f"CAST(sum(CAST('0x' || substr(d, {i * 13 + 1}, 13) AS BIGINT)) AS VARCHAR)" for i in range(5)
 )
 
 TEXTS = "t AS (SELECT conv_id, turn, role, sha256(text) AS content_hash FROM conversations)"
