@@ -206,7 +206,7 @@ def fit_baseline(
     """Freeze the bin edges of the reference sample."""
     missing = [c for c in (*numeric, *categorical) if c not in reference.columns]
     if missing:
-        raise KeyError(f"Missing columns: {', '.join(sorted(missing))}")
+        raise KeyError(f"Columns not found: {', '.join(sorted(missing))}")
     return Baseline(
         edges=quantile_edges(
             reference, list(numeric), psi_bins, approximate=approximate

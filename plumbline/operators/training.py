@@ -20,7 +20,7 @@ def merge_training_data(
     """
     for frame in (reference, current):
         if target not in frame.columns:
-            raise ValueError(f"Labeled frames must include target column {target!r}")
+            raise ValueError(f"No target column {target!r} in a labeled frame")
     merged = reference.unionByName(current, allowMissingColumns=True)
     return merged.dropDuplicates() if drop_duplicates else merged
 

@@ -36,7 +36,7 @@ def model_frame(
     """Columns a model reads under names without dots, plus the label where there is one."""
     missing = [c for c in spec.features if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required feature columns: {', '.join(missing)}")
+        raise ValueError(f"Feature columns not found: {', '.join(missing)}")
     columns = [to_numeric(col(c)).alias(f"n{i}") for i, c in enumerate(spec.numeric)]
     columns += [to_category(col(c)).alias(f"k{i}") for i, c in enumerate(spec.categorical)]
     if spec.target and spec.target in df.columns:

@@ -97,7 +97,7 @@ def production_model(models: DataFrame, dataset: str) -> dict:
         .first()["row"]
     )
     if row is None:
-        raise LookupError("No production model is set. Promote a model to production first.")
+        raise LookupError(f"Dataset {dataset!r} has no model in production")
     return row.asDict()
 
 
@@ -187,7 +187,7 @@ def run_retrain(
             content_hash=content["content_hash"],
             row_count=content["row_count"],
             columns=merged.columns,
-            notes="reference+current merge used for this retrain",
+            notes="deduplicated union of both samples",
         )
     ledgers.append(
         "provenance",

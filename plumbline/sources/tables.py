@@ -43,7 +43,7 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     required = list(required)
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+        raise ValueError(f"Columns not found: {', '.join(missing)}")
     return df.select(*[col(c) for c in required])
 
 
@@ -69,7 +69,7 @@ def read_csv(
     if required is not None:
         missing = sorted(set(required) - set(df.columns))
         if missing:
-            raise ValueError(f"Missing required columns: {', '.join(missing)}")
+            raise ValueError(f"Columns not found: {', '.join(missing)}")
     return df if keep_incomplete else drop_incomplete(df)
 
 

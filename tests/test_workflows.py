@@ -161,7 +161,7 @@ def test_holdout_training_and_scoring(spark):
     assert len(scores) == 240
     assert all((r["prediction"] == 1) == (r["predicted_class"] == ">50K") for r in scores)
     assert all((r["positive_probability"] > 0.5) == (r["prediction"] == 1) for r in scores)
-    with pytest.raises(ValueError, match="Missing required feature columns: sex"):
+    with pytest.raises(ValueError, match="Feature columns not found: sex"):
         models.batch_scores(data.drop("sex"), trained.model, SPEC, ("a", "b"))
 
 
