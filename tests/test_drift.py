@@ -152,6 +152,31 @@ def test_numeric_drift_matches_numpy(spark, rows_per_range):
         assert (found[name]["n_ref"], found[name]["n_cur"]) == (400, 300)
 
 
+def test_oversized_cells_are_cut_again(spark, monkeypatch):
+    """Values over many orders of magnitude crowd into the first even cells."""
+    from plumbline.operators import quantiles as q
+
+    refined = []
+    for module in (q, drift):
+        plain = module.make_grids
+        monkeypatch.setattr(
+            module, "make_grids", lambda *a, _f=plain, _m=module.__name__, **k: (refined.append(_m), _f(*a, **k))[1]
+        )
+    rng = np.random.default_rng(12)
+    a, b = np.exp(rng.normal(0, 9, 800)), np.exp(rng.normal(0.3, 9, 700))
+    pair = pair_of(spark, a.tolist(), b.tolist())
+    probs = np.linspace(0, 1, 11)
+    found = exact_quantiles(pair.reference, ["x"], probs.tolist(), rows_per_range=10)["x"]
+    assert found == np.quantile(a, probs).tolist()
+    row = drift.numeric_drift(pair, ("x",), rows_per_range=10).first()
+    assert row["ks_statistic"] == pytest.approx(brute_ks(a, b), abs=1e-12)
+    stale = {"x": [0.0, 1e-9, 1e12]}
+    row = drift.numeric_drift(pair, ("x",), stale, rows_per_range=10).first()
+    assert row["ks_statistic"] == pytest.approx(brute_ks(a, b), abs=1e-12)
+    assert row["psi"] == pytest.approx(brute_psi(a, b, stale["x"]), abs=1e-9)
+    assert len(refined) == 3 and len(set(refined)) == 2
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     ref=st.lists(st.floats(-50, 50) | st.sampled_from([0.0, 1.0]), min_size=2, max_size=40),
