@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every node reaches, as the session names it in spark.checkpoint.dir.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
+    """Folder every node reaches: spark.checkpoint.dir as the session names it, else the
+    checkpoint folder set on the context, else the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.gettempdir()
-    raise ValueError("Set spark.checkpoint.dir to a folder all nodes share")
+    named = named or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def session_folder(spark: SparkSession) -> str:
+    """Working folder of this application; nothing outside it is ever removed."""
+    return f"{shared_folder(spark)}/plumbline/{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/plumbline/{purpose}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """The frame as a table in the shared folder: computed once, read from there on.
 
-    Unlike cached blocks the table outlives the executors that wrote it.
+    Unlike cached blocks the table outlives the executors that wrote it. It stays until
+    ``clear_session``, as later frames read from it lazily.
     """
     path = new_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_session(spark: SparkSession) -> None:
+    """Remove the working tables of this application, once no frame needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path):
+        files.delete(path, True)

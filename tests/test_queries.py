@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from plumbline.plans.oracles import ORACLES
+from plumbline.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TYPES = {
@@ -39,14 +41,15 @@ def normal(rows, columns):
 
 def test_oracles_belong_to_queries():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     df = entry_points.queries()[name](spark, FOLDER)
     rows = df.collect()
     assert rows
-    sql = entry_points.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         return
     cursor = tables.execute(sql)
