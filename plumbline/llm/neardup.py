@@ -400,3 +400,40 @@ def _to_hub(met: DataFrame, low: DataFrame, percent: int) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    width: int = 5,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """The documents without near duplicates of a kept one, with the columns they came with.
+
+    Of rows that share an id, the one that comes first by text stays. Rows without id stay.
+    """
+    groups = written(near_duplicates(docs, id_column, text_column, width, percent), "groups")
+    gone = groups.where(~F.col("kept")).select(col(id_column).alias("id"))
+    repeated = (
+        groups.where(F.col("kept") & col(id_column).isNotNull())
+        .groupBy(col(id_column).alias("id"))
+        .count()
+        .where(F.col("count") > 1)
+        .select("id")
+    )
+    own = col(id_column).cast("bigint")
+    leave = gone.unionByName(repeated).distinct()
+    kept = docs.join(leave, own == F.col("id"), "left_anti")
+    first = (
+        docs.join(repeated, own == F.col("id"), "left_semi")
+        .groupBy(col(id_column))
+        .agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), text_first(text_column)).alias("r"))
+        .select("r.*")
+    )
+    return kept.unionByName(first)
+
+
+def text_first(text_column: str) -> Column:
+    """Order of rows by text; NULL counts as empty."""
+    return F.coalesce(col(text_column), F.lit(""))
