@@ -5,9 +5,10 @@ functions. Minima in bands give candidates; four low bits of every minimum, pack
 64-bit words, give an estimate of the similarity by bit counts; full sets confirm.
 
 Only distinct sets are compared. Inside a bucket of a band, members meet the smallest
-member first; what is still unconnected meets other members in blocks of bounded size,
-the most similar first, so a bucket costs rows in proportion to its members, not to its
-pairs. The last round tries every pair that is left, so the cheap rounds lose nothing.
+member first. Members that this leaves unconnected meet the others of their bucket in
+blocks of bounded size, where bit counts rule out nearly all pairs that are not links
+before any row is made of them. Every pair of a bucket is connected or ruled out in the
+end, so nothing is lost beside what no band brings together.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ N_WORDS = -(-MINIMA // PER_WORD)
 
 # Share of linked documents: 100 * intersection >= PERCENT * union.
 PERCENT = 80
+# Pairs of bitmaps compared at once.
+PAIRS = 1 << 14
 # An estimate this many standard deviations too low rules a pair out.
 DEVIATIONS = 6
-# Bucket members per block, and partners a member meets in each block and round.
+# Bucket members per block.
 BLOCK = 256
-ROUNDS = (1, 16, None)
+# Bits of a set's bitmap for each of its shingles, rounded up to a power of two.
+BITMAP_BITS = 8
 
 _random = np.random.default_rng(20)
 _SCALE = _random.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -107,14 +111,29 @@ def _signatures(width: int):
     return run
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each shingle, by its low bits. Where two bitmaps differ the sets do, so
+    their distance in bits never exceeds the number of shingles only one set has."""
+    n_bits = max(64, 1 << (BITMAP_BITS * len(hashes) - 1).bit_length())
+    flags = np.zeros(n_bits, np.uint8)
+    flags[(hashes & np.uint64(n_bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, last, texts in blocks(batch.column(1).to_pylist(), lower=True):
-                held = [s.tobytes() for s in shingle_sets(texts, width)]
+                sets = shingle_sets(texts, width)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), pa.array(held, pa.binary())], ["id", "held"]
+                    [
+                        ids.slice(first, last - first),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    ["id", "n", "held", "bitmap"],
                 )
 
     return run
@@ -171,16 +190,11 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) confirmed on full sets. Only texts that occur in a pair are moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = written(
-        docs.join(ids, "id", "left_semi").mapInArrow(_sets(width), "id bigint, held binary"),
-        "sets",
-    )
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) confirmed on full sets."""
     return (
-        pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("held_a")), "a")
-        .join(held.select(F.col("id").alias("b"), F.col("held").alias("held_b")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("held_a")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("held").alias("held_b")), "b")
         .mapInArrow(_linked(percent), "a bigint, b bigint")
         .distinct()
     )
@@ -198,46 +212,75 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _partners(limit: int | None, percent: int):
-    """For each loose member of a block, its most similar members in other components.
+def _folded(bitmaps: np.ndarray, n_words: int) -> np.ndarray:
+    """Bitmaps of fewer bits: the low bits of a hash stay the same."""
+    return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), -1, n_words), axis=1)
+
+
+def _ruled_out(rows: dict, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows (a, b) have bitmaps too different for linked sets.
+
+    Linked sets x and y differ in (|x| + |y|) * (100 - percent) / (100 + percent)
+    shingles at most.
+    """
+    out = np.zeros(len(a), bool)
+    words = np.array([len(x) // 8 for x in rows["bitmap"]])
+    most = (rows["n"][a] + rows["n"][b]) * (100 - percent)
+    for one in np.unique(words[a]):
+        for other in np.unique(words[b]):
+            at = np.flatnonzero((words[a] == one) & (words[b] == other))
+            if not len(at):
+                continue
+            held = {}
+            for side, size in ((a, one), (b, other)):
+                used = np.unique(side[at])
+                raw = b"".join(rows["bitmap"][k] for k in used)
+                bitmaps = np.frombuffer(raw, np.uint64).reshape(len(used), size)
+                held[id(side)] = used, _folded(bitmaps, min(one, other))
+            for k in range(0, len(at), PAIRS):
+                part = at[k : k + PAIRS]
+                x, y = (
+                    held[id(side)][1][np.searchsorted(held[id(side)][0], side[part])]
+                    for side in (a, b)
+                )
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                out[part] = differ * (100 + percent) > most[part]
+    return out
+
+
+def _partners(percent: int):
+    """For each loose member of a block, the members of other components that may be
+    linked with it.
 
     Rows arrive sorted by block; a block has a bounded number of rows and may cross
     batches.
     """
     most = _most_unequal(percent)
 
-    def found(rows: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
+    def found(rows: dict) -> tuple[np.ndarray, np.ndarray]:
         loose = np.flatnonzero(rows["loose"])
         others = np.flatnonzero(~rows["loose"])
-        low = rows["low"]
-        differ = _differ(low[loose], low[others])
-        fit = (differ <= most) & (rows["root"][loose][:, None] != rows["root"][others][None, :])
-        # Sizes rule pairs out exactly.
+        fit = _differ(rows["low"][loose], rows["low"][others]) <= most
+        fit &= rows["root"][loose][:, None] != rows["root"][others][None, :]
         n, m = rows["n"][loose][:, None], rows["n"][others][None, :]
         fit &= np.minimum(n, m) * 100 >= percent * np.maximum(n, m)
-        out = []
-        for i in np.flatnonzero(fit.any(axis=1)).tolist():
-            at = np.flatnonzero(fit[i])
-            total = len(at)
-            if limit is not None and total > limit:
-                at = at[np.argsort(differ[i, at], kind="stable")[:limit]]
-            own = int(rows["id"][loose[i]])
-            out += [(own, int(rows["id"][others[j]]), total) for j in at.tolist()]
-        return out
+        x, y = np.nonzero(fit)
+        a, b = loose[x], others[y]
+        keep = ~_ruled_out(rows, a, b, percent)
+        return rows["id"][a[keep]], rows["id"][b[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            out = found(rows)
-            if out:
-                a, b, total = zip(*out)
+            a, b = found(rows)
+            if len(a):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (a, b, total)], ["a", "b", "total"]
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
                 )
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of one block after the other, as arrays."""
     held, block = [], None
     for batch in batches:
@@ -245,7 +288,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
             continue
         rows = {
             c: batch.column(c).to_numpy(zero_copy_only=False)
-            for c in ("band", "i", "j", "id", "root", "loose", "n")
+            for c in ("band", "i", "j", "id", "root", "loose", "n", "bitmap")
         }
         rows["low"] = batch.column("low").flatten().to_numpy().view(np.uint64).reshape(-1, N_WORDS)
         keys = np.stack([rows[c] for c in ("band", "i", "j")], axis=1)
@@ -272,12 +315,12 @@ def _all_blocks(count: str) -> Column:
 
 
 def _loose_pairs(
-    met: DataFrame, roots: DataFrame, low: DataFrame, limit: int | None, percent: int
+    met: DataFrame, labels: DataFrame, details: DataFrame, percent: int
 ) -> DataFrame:
-    """(a, b, total): members of a bucket outside its largest component, each with similar
-    members of other components, and how many of these its block holds."""
-    named = met.join(roots, "id", "left").select(
-        "band", "id", F.coalesce("root", "id").alias("root")
+    """Pairs (a, b) of a bucket that may be linked: of a member outside the bucket's largest
+    label, and one with another label."""
+    named = met.join(labels, "id", "left").select(
+        "band", "id", F.coalesce("label", "id").alias("root")
     )
     sizes = named.groupBy("band", "root").agg(F.count("*").alias("size"))
     largest = (
@@ -289,29 +332,32 @@ def _loose_pairs(
         )
         .where(F.col("loose_members") > 0)
     )
-    rows = named.join(largest, "band").join(low, "id")
+    rows = named.join(largest, "band").join(details, "id")
+    kept = ["id", "root", "n", "low", "bitmap"]
     loose = rows.where(F.col("root") != F.col("main")).select(
-        "band",
-        _block("loose_members").alias("i"),
-        _all_blocks("members").alias("j"),
-        *["id", "root", "n", "low"],
-        F.lit(True).alias("loose"),
-    )
+        "band", _block("loose_members").alias("i"), _all_blocks("members").alias("j"),
+        *kept, F.lit(True).alias("loose"),
+    )
     others = rows.select(
-        "band",
-        _all_blocks("loose_members").alias("i"),
-        _block("members").alias("j"),
-        *["id", "root", "n", "low"],
-        F.lit(False).alias("loose"),
-    )
-    both = loose.unionByName(others)
+        "band", _all_blocks("loose_members").alias("i"), _block("members").alias("j"),
+        *kept, F.lit(False).alias("loose"),
+    )
     return (
-        both.repartition("band", "i", "j")
+        loose.unionByName(others)
+        .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(_partners(limit, percent), "a bigint, b bigint, total bigint")
+        .mapInArrow(_partners(percent), "a bigint, b bigint")
+        .distinct()
     )
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, label): the smallest node a node is linked to, or what that one is linked to."""
+    first = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
+    above = first.select(F.col("id").alias("label"), F.col("label").alias("above"))
+    return first.join(above, "label", "left").select("id", F.coalesce("above", "label").alias("label"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -345,24 +391,19 @@ def near_duplicates(
     hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
     hubs = hubs.where(F.col("hub") < F.col("last")).drop("last")
     met = written(bands.join(hubs, "band"), "buckets")
+    # Full sets, only of documents that share a bucket.
+    ids = met.select("id").distinct()
+    sets = written(
+        source.join(ids, "id", "left_semi").mapInArrow(
+            _sets(width), "id bigint, n bigint, held binary, bitmap binary"
+        ),
+        "sets",
+    )
     low = signed.select("id", "n", "low")
-
-    tried = written(_to_hub(met, low, percent), "pairs")
-    edges = written(same.unionByName(_verified(tried, source, width, percent)), "links")
-    roots = components(edges)
-    for limit in ROUNDS:
-        pairs = written(_loose_pairs(met, roots, low, limit, percent), "pairs")
-        most = pairs.agg(F.max("total")).first()[0]
-        if most is None:
-            break
-        fresh = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = written(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = written(_verified(fresh, source, width, percent), "links")
-        if not found.isEmpty():
-            edges, tried = edges.unionByName(found), tried.unionByName(fresh)
-            roots = components(edges)
-        if limit is None or most <= limit:
-            break
+    linked = written(_verified(_to_hub(met, low, percent), sets, percent), "links")
+    details = sets.select("id", "n", "bitmap").join(low, ["id", "n"])
+    loose = _verified(_loose_pairs(met, _labels(linked), details, percent), sets, percent)
+    roots = components(linked.unionByName(loose).unionByName(same))
 
     named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "id", "n", F.coalesce("root", "rep").alias("component_id")

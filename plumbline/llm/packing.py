@@ -96,7 +96,7 @@ def _pack(capacity: int):
         bins = pd.Series([b for b, _ in placed], index=rows.index, dtype="int64")
         fill = rows["n_tokens"].groupby(bins).transform("sum")
         return rows.assign(
-            bin_id=(rows["pack"] << _BIN_BITS) + bins,
+            bin_id=rows["pack"] * (1 << _BIN_BITS) + bins,
             bin_offset=[o for _, o in placed],
             bin_tokens=fill,
         )[["id", "piece", "n_tokens", "source", "bin_id", "bin_offset", "bin_tokens"]]

@@ -103,8 +103,9 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     one = words.hashes()
     runs = one.copy()
     for k in range(1, width):
-        runs[: len(one) - k] = mix(
-            runs[: len(one) - k] * np.uint64(0xD6E8FEB86659FD93) + one[k:] + np.uint64(k)
+        whole = max(0, len(one) - k)
+        runs[:whole] = mix(
+            runs[:whole] * np.uint64(0xD6E8FEB86659FD93) + one[k:] + np.uint64(k)
         )
     sets = []
     for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
