@@ -160,7 +160,7 @@ WITH sizes AS (
 ), copies AS (
     SELECT *, unnest(range(1, n + 1)) AS copy FROM counts
 )
-SELECT doc_id, source, rate, copy, md5('{mixing.SEED}|' || key || '|' || copy) AS shuffle_key
+SELECT doc_id, source, round(rate, 6) AS rate, copy, md5('{mixing.SEED}|' || key || '|' || copy) AS shuffle_key
 FROM copies
 """
 

@@ -65,7 +65,10 @@ def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents a mix by target weights holds, how often and in what order."""
     docs = table(spark, sf_dir, "documents")
-    return mixed(docs, details=True).select("doc_id", "source", "rate", "copy", "shuffle_key")
+    rows = mixed(docs, details=True)
+    return rows.select(
+        "doc_id", "source", F.round("rate", 6).alias("rate"), "copy", "shuffle_key"
+    )
 
 
 @query

@@ -20,19 +20,24 @@ from plumbline.sources.shared import written
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
-LEAF_ROWS = 64
+LEAF_ROWS = 256
 FACTOR = 1.0
 
-_CELLS = 1 << 22
+_CELLS = 1 << 15
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of a to all rows of b, in double precision."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, _CELLS // max(1, b.size))
+    """Euclidean distances of all rows of a to all rows of b, in double precision. The
+    components are added in order, so a pair has one distance however rows are grouped."""
+    out = np.zeros((len(a), len(b)))
+    step = max(1, _CELLS // max(1, len(b)))
     for k in range(0, len(a), step):
-        gap = a[k : k + step, None, :] - b[None, :, :]
-        out[k : k + step] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+        total = out[k : k + step]
+        for x, y in zip(a[k : k + step].T, b.T):
+            gap = x[:, None] - y[None, :]
+            gap *= gap
+            total += gap
+        np.sqrt(total, out=total)
     return out
 
 
@@ -77,23 +82,29 @@ class Nearest:
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def see(self, at: np.ndarray, ids: np.ndarray, away: np.ndarray) -> None:
-        away = np.where(self.ids[at][:, None] == ids[None, :], np.inf, away)
-        better = (away <= self.away[at, -1:]).any(axis=1)
-        at, away = at[better], away[better]
-        if not len(at):
+        """Rows ``ids`` at distances ``away`` from the queries numbered ``at``."""
+        x, y = np.nonzero(away <= self.away[at, -1:])
+        other = self.ids[at[x]] != ids[y]
+        x, y = x[other], y[other]
+        if not len(x):
             return
+        # What each of these queries has, and what is new, sorted by query.
+        touched = np.unique(x)
         k = self.away.shape[1]
-        all_away = np.concatenate([self.away[at], away], axis=1)
-        all_ids = np.concatenate([self.found[at], np.broadcast_to(ids, away.shape)], axis=1)
-        best = np.lexsort((all_ids, all_away), axis=-1)[:, :k]
-        self.away[at] = np.take_along_axis(all_away, best, axis=1)
-        self.found[at] = np.take_along_axis(all_ids, best, axis=1)
+        owner = np.concatenate([np.repeat(touched, k), x])
+        dist = np.concatenate([self.away[at[touched]].ravel(), away[x, y]])
+        found = np.concatenate([self.found[at[touched]].ravel(), ids[y]])
+        order = np.lexsort((found, dist, owner))
+        first = np.searchsorted(owner[order], touched)
+        best = order[first[:, None] + np.arange(k)[None, :]]
+        self.away[at[touched]] = dist[best]
+        self.found[at[touched]] = found[best]
 
 
 def search(
     nodes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, near: Nearest, factor: float
 ) -> None:
-    """Visit the tree with all queries at once, each in its own order of halves."""
+    """Visit the tree with all queries at once, the half that is nearer to most first."""
 
     def open_to(at: np.ndarray, bound: np.ndarray) -> np.ndarray:
         # Bounds are rounded; never leave out what could tie.
@@ -113,10 +124,9 @@ def search(
             np.maximum(0, np.maximum(low - away, away - high))
             for low, high in (nodes[node, 4:6], nodes[node, 6:8])
         ]
-        inner = bounds[0] <= bounds[1]
-        for chosen, turns in ((inner, (0, 1)), (~inner, (1, 0))):
-            for k in turns:
-                visit((left, right)[k], open_to(at[chosen], bounds[k][chosen]))
+        turns = (0, 1) if 2 * (bounds[0] <= bounds[1]).sum() >= len(at) else (1, 0)
+        for k in turns:
+            visit((left, right)[k], open_to(at, bounds[k]))
 
     if len(nodes):
         visit(0, np.arange(len(near.ids)))
