@@ -17,9 +17,9 @@ BAND_HIGH = "high"
 SIGNIFICANT = "significant"
 NO_SIGNAL = "no_signal"
 
-# Two-sample KS: up to this size samples of one size have an exact p-value, whose sum
-# ends where terms fall below exp(-depth).
-KS_EXACT_LIMIT = 10_000
+# Two-sample KS: ways to a p-value. The exact sum for samples of one size ends where its
+# terms fall below exp(-depth).
+KS_METHODS = ("stephens", "exact")
 KS_EXACT_DEPTH = 45.0
 KS_TERMS = 100
 
@@ -50,21 +50,22 @@ def interpret_pvalue(p: Column, alpha: float = 0.05) -> Column:
     return F.when(p < alpha, SIGNIFICANT).when(p.isNotNull(), NO_SIGNAL)
 
 
-def ks_method(n_ref: Column, n_cur: Column) -> Column:
-    exact = (n_ref == n_cur) & (n_ref <= KS_EXACT_LIMIT)
-    return (
-        F.when((n_ref < 2) | (n_cur < 2), "too_few")
-        .when(exact, "exact")
-        .otherwise("stephens")
-    )
+def ks_method(n_ref: Column, n_cur: Column, method: str = "stephens") -> Column:
+    """What ``ks_pvalue`` does for these sizes."""
+    if method not in KS_METHODS:
+        raise ValueError(f"method must be one of {', '.join(KS_METHODS)}")
+    few = F.when((n_ref < 2) | (n_cur < 2), "too_few")
+    if method == "exact":
+        few = few.when(n_ref == n_cur, "exact")
+    return few.otherwise("stephens")
 
 
-def ks_pvalue(d: Column, n_ref: Column, n_cur: Column) -> Column:
-    """Two-sided p-value: exact for small samples of one size, otherwise from the
-    Kolmogorov series with Stephens' (1970) small-sample argument."""
+def ks_pvalue(d: Column, n_ref: Column, n_cur: Column, method: str = "stephens") -> Column:
+    """Two-sided p-value from the Kolmogorov series with Stephens' (1970) small-sample
+    argument. With ``method="exact"`` samples of one size get the exact value."""
     product = n_ref.cast("double") * n_cur
     size = F.nullif(F.sqrt(product / F.nullif(n_ref + n_cur, F.lit(0))), F.lit(0.0))
-    method = ks_method(n_ref, n_cur)
+    chosen = ks_method(n_ref, n_cur, method)
     lam = d * (size + 0.12 + 0.11 / size)
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(KS_TERMS)),
@@ -77,8 +78,8 @@ def ks_pvalue(d: Column, n_ref: Column, n_cur: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
     return (
-        F.when(method == "too_few", 1.0)
-        .when(method == "exact", clamped(_ks_equal_sizes(d, n_ref)))
+        F.when(chosen == "too_few", 1.0)
+        .when(chosen == "exact", clamped(_ks_equal_sizes(d, n_ref)))
         .when(lam < 0.2, 1.0)
         .otherwise(clamped(series))
     )
@@ -91,20 +92,19 @@ def _ks_equal_sizes(d: Column, n: Column) -> Column:
     The ratio of binomials is a product of j * h factors. Terms fall like
     exp(-j^2 h^2 / n), so few of them matter.
     """
-    h = F.greatest(F.round(d * n), F.lit(1.0)).cast("int")
-    n = F.least(n, F.lit(KS_EXACT_LIMIT)).cast("int")
-    enough = F.ceil(F.sqrt(F.lit(KS_EXACT_DEPTH) * n) / h).cast("int")
-    last = F.greatest(F.least(F.floor(n / h).cast("int"), enough), F.lit(1))
+    h = F.greatest(F.round(d * n), F.lit(1.0)).cast("bigint")
+    enough = F.ceil(F.sqrt(F.lit(KS_EXACT_DEPTH) * n) / h)
+    last = F.greatest(F.least(F.floor(n / h), enough), F.lit(1).cast("bigint"))
 
     def log_ratio(steps: Column) -> Column:
         return F.aggregate(
-            F.sequence(F.lit(1), steps),
+            F.sequence(F.lit(1).cast("bigint"), steps),
             F.lit(0.0),
             lambda total, i: total + F.ln((n - steps + i) / (n + i)),
         )
 
     total = F.aggregate(
-        F.sequence(F.lit(1), last),
+        F.sequence(F.lit(1).cast("bigint"), last),
         F.lit(0.0),
         lambda total, j: total
         + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(log_ratio(j * h)),

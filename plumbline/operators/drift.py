@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +25,7 @@ from plumbline.operators.ranges import (
     add_cells,
     edge_grid,
     even_grid,
-    make_grids,
+    inner_grid,
     too_large,
 )
 from plumbline.sources.shared import written
@@ -87,16 +87,21 @@ def bin_counts(
     return long.where(inside).groupBy("feature", "bin").agg(*_side_counts())
 
 
-def psi_from_counts(counts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+def _feature_totals(counts: DataFrame) -> DataFrame:
+    """Both sides of every feature. The counts are shuffled once for this and for what
+    they are joined with."""
+    return counts.groupBy("feature").agg(
+        F.sum("n_ref").alias("total_ref"), F.sum("n_cur").alias("total_cur")
+    )
+
+
+def psi_from_counts(counts: DataFrame) -> DataFrame:
     """PSI per feature from rows of (feature, n_ref, n_cur), one per bin or category.
 
     Totals are an aggregate joined back, not a window: a feature may have any number
     of categories and must not land in one task.
     """
-    if totals is None:
-        totals = counts.groupBy("feature").agg(
-            F.sum("n_ref").alias("total_ref"), F.sum("n_cur").alias("total_cur")
-        )
+    totals = _feature_totals(counts)
     term = psi_term(F.col("n_ref"), F.col("n_cur"), F.col("total_ref"), F.col("total_cur"))
     return (
         counts.join(F.broadcast(totals), "feature")  # one row per feature of the call
@@ -172,35 +177,7 @@ def _pooled_name(min_expected: float) -> Column:
     return F.when(F.col("n_ref") < min_expected, F.lit(OTHER)).otherwise(F.col("category"))
 
 
-def category_totals(
-    pair: Pair, features: tuple[str, ...], frozen: FrozenReference | None = None
-) -> DataFrame:
-    """Known values per feature and side: one small row each, counted without a shuffle."""
-    frame = pair.frame if frozen is None else pair.frame.where(_ONLY_CURRENT)
-    held = {} if frozen is None else frozen.totals
-    known = {f"c{i}": to_category(col(n)).isNotNull() for i, n in enumerate(features)}
-    row = frame.agg(
-        *[
-            F.count_if(k & F.col(side)).alias(f"{name}{side}")
-            for name, k in known.items()
-            for side in _SIDES
-        ]
-    ).first()
-    return small_frame(
-        pair.frame.sparkSession,
-        [
-            (n, row[f"c{i}{Pair.IN_REF}"] + held.get(n, 0), row[f"c{i}{Pair.IN_CUR}"])
-            for i, n in enumerate(features)
-        ],
-        pa.schema(
-            [("feature", pa.string()), ("total_ref", pa.int64()), ("total_cur", pa.int64())]
-        ),
-    )
-
-
-def category_statistics(
-    counts: DataFrame, totals: DataFrame | None = None, min_expected: float = MIN_EXPECTED
-) -> DataFrame:
+def category_statistics(counts: DataFrame, min_expected: float = MIN_EXPECTED) -> DataFrame:
     """PSI and chi-square per feature from category counts:
     feature, psi, chi2_statistic, chi2_dof, chi2_pvalue.
 
@@ -209,10 +186,7 @@ def category_statistics(
     without any value gives NULLs. Every step combines before its shuffle, so neither a
     feature with many categories nor the pooled rest lands whole in one task.
     """
-    if totals is None:
-        totals = counts.groupBy("feature").agg(
-            F.sum("n_ref").alias("total_ref"), F.sum("n_cur").alias("total_cur")
-        )
+    totals = _feature_totals(counts)
     sides = F.col("total_ref"), F.col("total_cur")
     pooled = (
         counts.join(F.broadcast(totals), "feature")  # one row per feature of the call
@@ -272,9 +246,7 @@ def categorical_drift(
             .groupBy("feature", "category")
             .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
         )
-    found = category_statistics(
-        counts, category_totals(pair, features, frozen), min_expected
-    ).withColumn("tested", F.lit(True))
+    found = category_statistics(counts, min_expected).withColumn("tested", F.lit(True))
 
     def known(column: str, default) -> Column:
         return F.when(F.col("tested").isNull(), F.lit(default)).otherwise(F.col(column)).alias(column)
@@ -294,7 +266,7 @@ def categorical_drift(
 
 def categorical_psi(pair: Pair, features: tuple[str, ...]) -> DataFrame:
     """PSI of every categorical feature; rare categories are not pooled."""
-    found = psi_from_counts(category_counts(pair, features), category_totals(pair, features))
+    found = psi_from_counts(category_counts(pair, features))
     return (
         feature_frame(pair.frame.sparkSession, features)
         .join(found, "feature", "left")
@@ -304,7 +276,7 @@ def categorical_psi(pair: Pair, features: tuple[str, ...]) -> DataFrame:
 
 def chi_square(counts: DataFrame, min_expected: float = MIN_EXPECTED) -> DataFrame:
     """Homogeneity of the two samples: feature, chi2_statistic, chi2_dof, chi2_pvalue."""
-    return category_statistics(counts, None, min_expected).drop("psi")
+    return category_statistics(counts, min_expected).drop("psi")
 
 
 # --- Kolmogorov-Smirnov ------------------------------------------------------
@@ -370,8 +342,8 @@ def numeric_drift(
     done; and the counts bound the KS gap, so only the cells that can still hold the
     largest gap are ordered by value. Those are shuffled as counts per distinct value,
     each cell reports its extreme gap, and that is added to the counts before it. The
-    first grid divides the baseline's bins (or the range of values) evenly; only if an
-    open cell is oversized is it replaced by one from sampled quantiles.
+    first grid divides the baseline's bins (or the range of values) evenly; as long as an
+    open cell is oversized, the open cells are divided in another pass.
 
     The passes run when this is called; the result is one row per feature, so using it
     several times repeats none of them. With a ``frozen`` reference the first pass reads
@@ -384,7 +356,6 @@ def numeric_drift(
         *[to_numeric(col(n)).alias(s) for n, s in safe.items()], *_SIDES
     )
     grids = {safe[n]: edge_grid(e) for n, e in edges.items() if n in safe and len(e) > 1}
-    extra = {s: g.splits for s, g in grids.items()}
     rest = [s for s in safe.values() if s not in grids]
     if rest:
         spans = values.agg(
@@ -397,19 +368,30 @@ def numeric_drift(
     else:
         current = _count_cells(celled.where(_ONLY_CURRENT), safe)
         cells = {n: _merge_cells(frozen.cells[n], current[n]) for n in features}
+    binned = {n: _bins(cells[n], grids[safe[n]], edges.get(n, [])) for n in features}
     bounds = {n: _bound_gap(found) for n, found in cells.items()}
-    sizes = {(n, c.number): c.n_ref + c.n_cur for n, found in cells.items() for c in found}
-    if any(too_large(sizes[n, c], rows_per_range) for n, b in bounds.items() for c in b.open):
-        largest = max(b.n_ref + b.n_cur for b in bounds.values())
-        grids = make_grids(values, list(safe.values()), largest, rows_per_range, extra)
+    while True:
+        crowded = {}
+        for n, b in bounds.items():
+            opened = [c for c in cells[n] if c.number in b.open]
+            if any(too_large(c.n_ref + c.n_cur, rows_per_range) for c in opened):
+                crowded[n] = opened
+        grids |= {safe[n]: inner_grid([(c.low, c.high) for c in x]) for n, x in crowded.items()}
+        if not crowded:
+            break
         celled = add_cells(values, grids)
-        cells = _count_cells(celled, safe)
-        bounds = {n: _bound_gap(found) for n, found in cells.items()}
+        counted = _count_cells(celled, {n: safe[n] for n in crowded})
+        divided = {n: _divide(cells[n], x, counted[n]) for n, x in crowded.items()}
+        stuck = all(len(found) == len(cells[n]) for n, found in divided.items())
+        cells |= divided
+        bounds |= {n: _bound_gap(found) for n, found in divided.items()}
+        if stuck:
+            break
 
     inside = _gaps_inside(celled, safe, bounds)
     rows = []
     for n, b in bounds.items():
-        bins = _bins(cells[n], grids[safe[n]], edges.get(n, []))
+        bins = binned[n]
         totals = [sum(x[side] for x in bins) for side in ("n_ref", "n_cur")]
         rows.append((n, b.n_ref, b.n_cur, max(b.gap, inside.get(n, 0.0)), bins, *totals))
     base = small_frame(spark, rows, _NUMERIC_SCHEMA)
@@ -425,6 +407,21 @@ def numeric_drift(
     return out
 
 
+def _divide(cells: list[_Cell], opened: list[_Cell], counted: list[_Cell]) -> list[_Cell]:
+    """The cells with the open ones replaced by what a finer grid counted inside them. A
+    closed cell stays closed, as gaps found only grow, so its number is not used again."""
+    numbers = {c.number for c in opened}
+    starts = sorted((c.low, c.high) for c in opened)
+    lows = [low for low, _ in starts]
+
+    def inside(c: _Cell) -> bool:
+        at = bisect_right(lows, c.low) - 1
+        return at >= 0 and c.high <= starts[at][1]
+
+    kept = [replace(c, number=-1) for c in cells if c.number not in numbers]
+    return sorted(kept + [c for c in counted if inside(c)], key=lambda c: c.low)
+
+
 def _merge_cells(reference: list[_Cell], current: list[_Cell]) -> list[_Cell]:
     """Counts of the two samples over one grid, put together."""
     merged = {c.number: c for c in reference}
@@ -479,7 +476,7 @@ def _gaps_inside(
     opened = {n: b.open for n, b in bounds.items() if b.open}
     if not opened:
         return {}
-    # One row per open cell, at most MAX_RANGES or GRID_CELLS per feature.
+    # One row per open cell, at most about GRID_CELLS per feature.
     start = small_frame(
         celled.sparkSession,
         [
@@ -544,31 +541,28 @@ class FrozenReference:
     n_rows: int
     cells: dict[str, list[_Cell]]
     categories: DataFrame
-    totals: dict[str, int]
 
 
 def freeze_reference(reference: DataFrame, baseline: Baseline) -> FrozenReference:
     """Count a reference sample; its category counts become a table in the shared folder."""
     frame = reference.withColumns({Pair.IN_REF: F.lit(True), Pair.IN_CUR: F.lit(False)})
     safe = {name: f"c{i}" for i, name in enumerate(baseline.numeric)}
-    cells, categories, totals = {}, None, {}
+    cells, categories = {}, None
     if baseline.numeric:
         values = frame.select(*[to_numeric(col(n)).alias(s) for n, s in safe.items()], *_SIDES)
         grids = {safe[n]: edge_grid(e) for n, e in baseline.edges.items()}
         cells = _count_cells(add_cells(values, grids), safe)
     if baseline.categorical:
         categories = written(category_counts(Pair(frame), baseline.categorical), "categories")
-        sums = categories.groupBy("feature").agg(F.sum("n_ref").alias("n"))
-        totals = {r["feature"]: r["n"] for r in sums.collect()}
-    return FrozenReference(baseline, reference.count(), cells, categories, totals)
+    return FrozenReference(baseline, reference.count(), cells, categories)
 
 
-def ks_test(numeric: DataFrame) -> DataFrame:
+def ks_test(numeric: DataFrame, method: str = "stephens") -> DataFrame:
     """Add ks_pvalue and ks_pvalue_method to rows with ks_statistic, n_ref, n_cur."""
     sizes = F.col("n_ref"), F.col("n_cur")
     return numeric.withColumns(
         {
-            "ks_pvalue": ks_pvalue(F.col("ks_statistic"), *sizes),
-            "ks_pvalue_method": ks_method(*sizes),
+            "ks_pvalue": ks_pvalue(F.col("ks_statistic"), *sizes, method),
+            "ks_pvalue_method": ks_method(*sizes, method),
         }
     )

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,42 +11,19 @@ from plumbline.sources.tables import file_frame
 # Hex digits per summand (52 bits) and summands per digest.
 CHUNK = 13
 CHUNKS = 5
-BLOCK = 8 << 20
-WHOLE_FILE = 256 << 20
 NULL_MARK = "~"
 VALUE_MARK = "="
 
 
-def file_fingerprints(
-    spark: SparkSession, path: str | list[str], glob: str | None = None, whole_up_to: int = WHOLE_FILE
-) -> DataFrame:
+def file_fingerprints(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """SHA-256 of every file: path, length, content_hash.
 
-    Files up to ``whole_up_to`` bytes are read as rows; larger ones, which a row could
-    not hold, are streamed block by block in the task that gets their path.
+    Spark's binary reader opens them, so any file system it knows will do. A file is one
+    row, which ends at 2 GB; a larger one is an error, not a wrong hash.
     """
-    files = file_frame(spark, path, glob)
-    small = files.where(F.col("length") <= whole_up_to).select(
+    return file_frame(spark, path, glob).select(
         "path", "length", F.sha2("content", 256).alias("content_hash")
     )
-    large = files.where(F.col("length") > whole_up_to).select("path", "length").repartition("path")
-
-    def hash_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = []
-            for name in batch.column("path").to_pylist():
-                store, inner = pafs.FileSystem.from_uri(name)
-                digest = hashlib.sha256()
-                with store.open_input_stream(inner) as stream:
-                    while block := stream.read(BLOCK):
-                        digest.update(block)
-                digests.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), batch.column("length"), pa.array(digests, pa.string())],
-                ["path", "length", "content_hash"],
-            )
-
-    return small.unionByName(large.mapInArrow(hash_blocks, small.schema))
 
 
 def row_digest(df: DataFrame):

@@ -179,15 +179,43 @@ def stage_moves(
     """
     moves = previous_row(events, [model], order, tie, col(stage), "from_stage", **ranges)
     start = F.coalesce("from_stage", F.lit(initial).cast("string"))
+    return moves.withColumn("from_stage", start).withColumns(_judged("from_stage", stage))
+
+
+def _judged(before: str, after: str) -> dict[str, Column]:
+    """Is the move allowed, and which are? Without a stage before, any stage is."""
     allowed = F.array().cast("array<string>")
-    for before, after in TRANSITIONS.items():
-        names = F.array(*[F.lit(a) for a in after]).cast("array<string>")
-        allowed = F.when(start == before, names).otherwise(allowed)
-    return moves.withColumn("from_stage", start).withColumns(
-        {
-            "is_legal": F.col("from_stage").isNull() | F.array_contains(allowed, col(stage)),
-            "allowed": F.when(F.size(allowed) > 0, F.array_join(allowed, ", ")).otherwise("none"),
-        }
+    for stage, following in TRANSITIONS.items():
+        names = F.array(*[F.lit(a) for a in following]).cast("array<string>")
+        allowed = F.when(col(before) == stage, names).otherwise(allowed)
+    return {
+        "is_legal": col(before).isNull() | F.array_contains(allowed, col(after)),
+        "allowed": F.when(F.size(allowed) > 0, F.array_join(allowed, ", ")).otherwise("none"),
+    }
+
+
+def validated_moves(
+    requests: DataFrame, current: DataFrame, model: str, order: str, tie: str, stage: str = "stage"
+) -> DataFrame:
+    """Requested moves against the current stages, one per model: adds ``from_stage``,
+    ``is_legal`` and ``allowed``.
+
+    ``current`` has ``model`` and ``stage``; a model it lacks is in development. Of several
+    requests for a model the first counts. Legal rows can be appended as events, the others
+    say what would have been allowed.
+    """
+    rest = [c for c in requests.columns if c != model]
+    first = F.min_by(F.struct(*[col(c) for c in rest]), F.struct(col(order), col(tie)))
+    asked = (
+        requests.groupBy(col(model).alias(model))
+        .agg(first.alias("_row"))
+        .select(col(model), *[F.col("_row").getField(c).alias(c) for c in rest])
+    )
+    known = current.select(col(model).alias(model), col(stage).alias("from_stage"))
+    return (
+        asked.join(known, model, "left")
+        .withColumn("from_stage", F.coalesce("from_stage", F.lit(DEVELOPMENT)))
+        .withColumns(_judged("from_stage", stage))
     )
 
 

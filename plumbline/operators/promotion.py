@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.operators.ranges import Cells, ordered_cells
+from plumbline.operators.ranges import CELL, ordered_cells
 from plumbline.operators.sequence import running_max_in
 from plumbline.sources.shared import written
 
@@ -54,7 +54,7 @@ def replay_promotions(
         cells = running_max_in(cells, [key], order, tie, F.col("_m"), "champion_before")
     else:
         cells = _with_margin(cells, key, order, tie, margin)
-    champion = cells.frame.drop(Cells.CELL)
+    champion = cells.drop(CELL)
     first = F.col("champion_before").isNull()
     better = F.col("_m") >= F.col("champion_before") + margin
     return champion.withColumns(
@@ -67,34 +67,43 @@ def replay_promotions(
     ).drop("_m")
 
 
-def _with_margin(cells: Cells, key: str, order: str, tie: str, margin: float) -> Cells:
+def _with_margin(cells: DataFrame, key: str, order: str, tie: str, margin: float) -> DataFrame:
     """Champion before each run when a promotion needs ``margin`` more.
 
-    A promoted run beats the champion and every run since, so it is a record of its
-    key. The records are sorted by key and order and streamed with one number of
-    state; the champion before any run is then the largest promoted one so far.
+    A promoted run beats the champion and every run since, so it is a record of its key. A
+    record that exceeds the record before it by the margin is promoted whatever came
+    before: histories are cut there, and the stretches are walked in parallel, each as a
+    stream with one number of state. The champion before any run is then the largest
+    promoted one so far.
     """
-    found = running_max_in(cells, [key], order, tie, F.col("_m"), "_best")
-    best = found.frame if found.single else written(found.frame)
+    best = written(running_max_in(cells, [key], order, tie, F.col("_m"), "_best"))
     record = F.col("_best").isNull() | (F.col("_m") > F.col("_best"))
+    resets = F.col("_best").isNull() | (F.col("_m") >= F.col("_best") + margin)
+    # Records of a key ascend, so the last reset is the largest reset value so far.
+    started = running_max_in(
+        best.where(record).withColumn("_reset", F.when(resets, F.col("_m"))),
+        [key], order, tie, F.col("_reset"), "_since",
+    )
     records = (
-        best.where(record)
-        .select(col(key).alias("_key"), col(order).alias("_ord"), col(tie).alias("_tie"), "_m")
-        .repartition("_key")
-        .sortWithinPartitions("_key", "_ord", "_tie")
+        started.select(
+            col(key).alias("_key"),
+            F.coalesce("_reset", "_since").alias("_from"),
+            col(order).alias("_ord"),
+            col(tie).alias("_tie"),
+            "_m",
+        )
+        .repartition("_key", "_from")
+        .sortWithinPartitions("_key", "_from", "_ord", "_tie")
     )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, champion, started = None, 0.0, False
+        current, champion = None, 0.0
         for batch in batches:
             kept = []
-            keys = batch.column("_key").to_pylist()
-            for i, (k, m) in enumerate(zip(keys, batch.column("_m").to_pylist())):
-                if not started or k != current:
-                    current, champion, started = k, m, True
-                    kept.append(i)
-                elif m >= champion + margin:
-                    champion = m
+            stretches = zip(batch.column("_key").to_pylist(), batch.column("_from").to_pylist())
+            for i, (stretch, m) in enumerate(zip(stretches, batch.column("_m").to_pylist())):
+                if stretch != current or m >= champion + margin:
+                    current, champion = stretch, m
                     kept.append(i)
             yield batch.take(pa.array(kept, type=pa.int64()))
 
@@ -103,9 +112,8 @@ def _with_margin(cells: Cells, key: str, order: str, tie: str, margin: float) ->
     )
     marked = best.join(
         promoted, col(key).eqNullSafe(F.col("_pk")) & (col(tie) == F.col("_pt")), "left"
-    ).drop("_pk", "_pt")
+    ).drop("_pk", "_pt", "_best")
     promoted_value = F.when(F.col("_promoted"), F.col("_m"))
-    second = running_max_in(
-        Cells(marked.drop("_best"), found.single), [key], order, tie, promoted_value, "champion_before"
+    return running_max_in(marked, [key], order, tie, promoted_value, "champion_before").drop(
+        "_promoted"
     )
-    return Cells(second.frame.drop("_promoted"), second.single)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.bins import among
@@ -17,8 +18,7 @@ from plumbline.operators.ranges import (
     Grid,
     add_cells,
     even_grid,
-    grid_ranges,
-    make_grids,
+    inner_grid,
     too_large,
 )
 from plumbline.spec import Baseline
@@ -30,50 +30,64 @@ def exact_quantiles(
     probs: list[float],
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles of each column; no values give an empty list.
+    """Linearly interpolated quantiles of each column, see ``quantiles_and_moments``."""
+    return quantiles_and_moments(df, columns, probs, {}, rows_per_range)[0]
+
+
+def quantiles_and_moments(
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    moments: dict[str, Callable[[str], Column]],
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> tuple[dict[str, list[float]], dict[str, dict]]:
+    """Linearly interpolated quantiles of each column; no values give an empty list. Next
+    to an infinite value the nearer of both values is taken.
 
     The ranks are looked up by selection rather than by sorting: count the cells of a
     grid, keep only those that hold a wanted rank, then order the values of these.
     Besides cell counts, only the kept cells (at most two per quantile) are shuffled,
     as counts per distinct value. The first grid is even between the smallest and the
-    largest value; only if that leaves a wanted rank in an oversized cell is it replaced
-    by one from sampled quantiles. The built-in exact percentile would gather every
-    distinct value of a feature in one task.
+    largest value; as long as that leaves a wanted rank in an oversized cell, the cells of
+    wanted ranks are divided in another pass. The built-in exact percentile would gather
+    every distinct value of a feature in one task.
+
+    The pass that finds smallest and largest values also takes ``moments``, aggregates by
+    name; they come back per column, with ``count``, ``min`` and ``max``.
     """
     spark = df.sparkSession
     safe = {name: f"c{i}" for i, name in enumerate(columns)}
     values = df.select(*[to_numeric(col(n)).alias(s) for n, s in safe.items()])
-    known = values.agg(
-        *[
-            f(s).alias(s + suffix)
-            for s in safe.values()
-            for f, suffix in ((F.count, ""), (F.min, "_low"), (F.max, "_high"))
-        ]
-    ).first()
+    wanted = {"": F.count, "_low": F.min, "_high": F.max}
+    wanted |= {f"_{name}": f for name, f in moments.items()}
+    aggregates = [f(s).alias(s + suffix) for s in safe.values() for suffix, f in wanted.items()]
+    known = values.agg(*aggregates).first() if aggregates else None
+    taken = {
+        n: {"count": known[s], "min": known[s + "_low"], "max": known[s + "_high"]}
+        | {name: known[f"{s}_{name}"] for name in moments}
+        for n, s in safe.items()
+    }
     size = {name: known[s] for name, s in safe.items()}
     filled = [n for n in columns if size[n] > 0]
-    largest = max(size.values(), default=0)
-
-    if grid_ranges(largest, rows_per_range) == 1:
-        celled = add_cells(values, {safe[n]: Grid([], 1) for n in filled})
-        cells = {n: [(0, size[n], None, None)] for n in filled}
-    else:
-        grids = {safe[n]: even_grid(known[safe[n] + "_low"], known[safe[n] + "_high"]) for n in filled}
-        celled = add_cells(values, grids)
-        cells = _cell_counts(celled, safe, filled)
-    found, targets = _locate(cells, size, probs)
-    held = {(n, c): rows for n in filled for c, rows, *_ in cells[n]}
-    if any(too_large(held[t[0], t[1]], rows_per_range) for t in targets):
-        grids = make_grids(values, [safe[n] for n in filled], largest, rows_per_range)
-        celled = add_cells(values, grids)
+    grids = {n: even_grid(taken[n]["min"], taken[n]["max"]) for n in filled}
+    found: dict[tuple[str, int], float] = {}
+    while True:
+        celled = add_cells(values, {safe[n]: g for n, g in grids.items()})
         cells = _cell_counts(celled, safe, filled)
-        found, targets = _locate(cells, size, probs)
+        ends, targets = _locate(cells, size, probs)
+        # What was found stays: later grids are fine only around the other ranks.
+        found = ends | found
+        targets = [t for t in targets if (t[0], t[2]) not in found]
+        finer = _finer(cells, targets, rows_per_range)
+        if all(grids[n] == g for n, g in finer.items()):
+            break
+        grids |= finer
     kept: dict[str, set[int]] = {}
     for name, cell, *_ in targets:
         kept.setdefault(name, set()).add(cell)
 
     if targets:
-        wanted = melt(
+        kept_values = melt(
             celled,
             {
                 n: {
@@ -85,7 +99,7 @@ def exact_quantiles(
         ).where(F.col("value").isNotNull())
         in_cell = Window.partitionBy("feature", "cell").orderBy("value")
         ordered = (
-            wanted.groupBy("feature", "cell", "value")
+            kept_values.groupBy("feature", "cell", "value")
             .agg(F.count("*").alias("n"))
             .withColumn("upto", F.sum("n").over(in_cell))
         )
@@ -112,12 +126,14 @@ def exact_quantiles(
         place = q * (size[name] - 1)
         low, high = found[name, math.floor(place)], found[name, math.ceil(place)]
         part = place - math.floor(place)
+        if low == high or math.isinf(low) or math.isinf(high):
+            return low if part < 0.5 else high  # nothing to interpolate
         # Measured from the nearer end, so rounding agrees with NumPy's quantile.
         if part < 0.5:
             return low + (high - low) * part
         return high - (high - low) * (1.0 - part)
 
-    return {n: [quantile(n, q) for q in probs] if size[n] else [] for n in columns}
+    return {n: [quantile(n, q) for q in probs] if size[n] else [] for n in columns}, taken
 
 
 def _cell_counts(celled: DataFrame, safe: dict[str, str], columns: list[str]) -> dict[str, list]:
@@ -134,6 +150,19 @@ def _cell_counts(celled: DataFrame, safe: dict[str, str], columns: list[str]) ->
     return {n: sorted(found, key=lambda c: c[0]) for n, found in cells.items()}
 
 
+def _finer(cells: dict[str, list], targets: list[tuple], rows_per_range: int) -> dict[str, Grid]:
+    """Grids that divide the cells of wanted ranks, for columns where one is too large."""
+    wanted: dict[str, set[int]] = {}
+    for name, cell, *_ in targets:
+        wanted.setdefault(name, set()).add(cell)
+    grids = {}
+    for name, numbers in wanted.items():
+        held = [c for c in cells[name] if c[0] in numbers]
+        if any(too_large(rows, rows_per_range) for _, rows, *_ in held):
+            grids[name] = inner_grid([(low, high) for *_, low, high in held])
+    return grids
+
+
 def _locate(cells: dict[str, list], size: dict[str, int], probs: list[float]):
     """Values already known from the ends of cells, and (column, cell, rank, rank in the
     cell) of the others. Ranks are 0-based; a quantile needs the value at its floor and

@@ -1,16 +1,16 @@
 """Cutting ordered data into ranges of bounded size.
 
 Ranks, cumulative distributions and running values need an order, but a window
-over a whole feature or a whole key would put it into one task. Here the order is
-first cut into ranges at sampled quantiles. Ranges only steer how work is spread:
-a result is exact wherever the cuts fall. What crosses the driver are cut points,
-at most ``MAX_RANGES`` per column.
+over a whole feature or a whole key would put it into one task. Numbers are counted on
+even grids, and a cell that still holds too much is divided again, 4096 times each pass;
+rows in an order of any type are cut by Spark's own range partitioning. Cuts only steer
+how work is spread: a result is exact wherever they fall.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+import sys
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -21,14 +21,13 @@ from plumbline.functions.columns import col
 from plumbline.sources.shared import written
 
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 8192
+MAX_RANGES = 65_536
 SAMPLE_PER_RANGE = 100
 MIN_SAMPLE = 20_000
 
-# Cells of a grid per column, and the ranges they start from.
+# Cells of a grid per column.
 GRID_CELLS = 4096
-GRID_RANGES = 64
-# A cell may hold this many times the rows of a range before the grid is refined.
+# A cell may hold this many times the rows of a range before it is divided again.
 OVERSIZE = 5
 
 
@@ -93,8 +92,8 @@ def add_ranges(df: DataFrame, splits: dict[str, list[float]], suffix: str = "_rn
 class Grid:
     """Cut points of a column, and how many even cells each range is divided into.
 
-    Ranges come from quantiles; the cells in them cost arithmetic only, so a few cut
-    points give thousands of cells. Cell numbers never decrease with the value.
+    The cells cost arithmetic only, so a few cut points give thousands of them. Cell
+    numbers never decrease with the value.
     """
 
     splits: list[float]
@@ -104,11 +103,21 @@ class Grid:
         return cell // self.parts
 
 
+_LARGEST = sys.float_info.max
+
+
 def even_grid(low: float | None, high: float | None) -> Grid:
-    """Grid of even cells from the smallest to the largest value; it needs no sample."""
-    if low is None or not (math.isfinite(low) and math.isfinite(high)):
-        return Grid([], 1)
-    return Grid([low, math.nextafter(high, math.inf)], GRID_CELLS)
+    """Grid of even cells from the smallest to the largest value."""
+    return Grid([], 1) if low is None else inner_grid([(low, high)])
+
+
+def inner_grid(spans: list[tuple[float, float]]) -> Grid:
+    """Grid that divides each of some disjoint spans of values, both ends included."""
+    cuts = set()
+    for low, high in spans:
+        low, high = max(low, -_LARGEST), min(high, _LARGEST)
+        cuts |= {low, min(math.nextafter(high, math.inf), _LARGEST)}
+    return Grid(sorted(cuts), max(1, GRID_CELLS // max(1, len(cuts) - 1)))
 
 
 def edge_grid(edges: list[float]) -> Grid:
@@ -118,31 +127,10 @@ def edge_grid(edges: list[float]) -> Grid:
 
 
 def too_large(cell_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> bool:
-    """Is a cell worth another pass that cuts it at sampled quantiles?"""
+    """Is a cell worth another pass that divides it further?"""
     return cell_rows > OVERSIZE * rows_per_range
 
 
-def grid_ranges(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
-    """Ranges per column: enough to bound their size, and to be worth dividing."""
-    if n_rows <= min(MIN_SAMPLE, rows_per_range):
-        return 1
-    return max(range_count(n_rows, rows_per_range), GRID_RANGES)
-
-
-def make_grids(
-    df: DataFrame,
-    columns: list[str],
-    n_rows: int,
-    rows_per_range: int = ROWS_PER_RANGE,
-    extra: dict[str, list[float]] | None = None,
-) -> dict[str, Grid]:
-    """A grid per column from one sampled pass; ``extra`` cut points are always kept."""
-    n_ranges = grid_ranges(n_rows, rows_per_range)
-    quantiles = sampled_quantiles(df, columns, n_rows, n_ranges)
-    parts = max(1, GRID_CELLS // n_ranges) if n_ranges > 1 else 1
-    return {c: Grid(split_points(quantiles[c], (extra or {}).get(c, [])), parts) for c in columns}
-
-
 def add_cells(df: DataFrame, grids: dict[str, Grid], suffix: str = "_cell") -> DataFrame:
     """Cell number of each column; NULL for a NULL value."""
     df = add_ranges(df, {c: g.splits for c, g in grids.items()}, suffix)
@@ -154,41 +142,18 @@ def add_cells(df: DataFrame, grids: dict[str, Grid], suffix: str = "_cell") -> D
         # Range 0 and the last one are open: one cell each.
         place = F.col(c + suffix) - 1
         low = F.get(double_array(grid.splits), place)
-        scales = [grid.parts / (b - a) for a, b in zip(grid.splits, grid.splits[1:])]
+        # Halved, as the whole span of doubles is no double.
+        widths = [b / 2 - a / 2 for a, b in zip(grid.splits, grid.splits[1:])]
+        scales = [grid.parts / w if w > 0 else 0.0 for w in widths]
         # A range of a single heavy value is too narrow to divide.
         scale = F.get(double_array([x if math.isfinite(x) else 0.0 for x in scales]), place)
-        step = F.floor((F.col(c) - low) * scale)
+        step = F.floor((F.col(c) / 2 - low / 2) * scale)
         part = F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(grid.parts - 1)), F.lit(0))
         divided[c + suffix] = (F.col(c + suffix) * grid.parts + part).cast("int")
     return df.withColumns(divided)
 
 
-def order_value(df: DataFrame, name: str) -> Column:
-    """Double that never decreases when the column increases. It may merge close
-    values (timestamps to the second), which is fine for choosing a range."""
-    kind = dict(df.dtypes)[name]
-    c = col(name)
-    if kind == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if kind == "timestamp_ntz":
-        day = F.unix_date(c.cast("date")).cast("double")
-        return day * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60 + F.second(c)
-    if kind == "date":
-        return F.unix_date(c).cast("double")
-    if kind == "string":
-        head = F.rpad(F.substring(F.hex(c), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return c.cast("double")
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Rows with a ``_cell`` number that never decreases along (order, tie)."""
-
-    frame: DataFrame
-    single: bool
-
-    CELL = "_cell"
+CELL = "_cell"
 
 
 def ordered_cells(
@@ -197,37 +162,16 @@ def ordered_cells(
     tie: str,
     rows_per_range: int = ROWS_PER_RANGE,
     derived: bool = False,
-) -> Cells:
-    """Cut rows along (order, tie) into cells of about ``rows_per_range`` rows.
+) -> DataFrame:
+    """The rows with a ``_cell`` number that never decreases along (order, tie).
 
-    A value of ``order`` that holds many rows is cut further along ``tie``, so one
-    timestamp shared by a third of all rows still spreads over many cells. Cutting
-    reads the rows several times, so a ``derived`` frame (the result of a shuffle) is
-    written once first, unless it fits one cell.
+    Rows are range-partitioned by the real values, NULLs first, as a window orders them,
+    and a cell is a partition of about ``rows_per_range`` rows. One order value that many
+    rows share is cut along ``tie``. A ``derived`` frame (the result of a shuffle) is
+    written first, as it is read for its size, its sample and its rows.
     """
-    n_rows = df.count()
-    n_ranges = range_count(n_rows, rows_per_range)
-    if n_ranges == 1:
-        return Cells(df.withColumn(Cells.CELL, F.lit(0).cast("bigint")), True)
     if derived:
         df = written(df)
-
-    keyed = df.withColumns({"_o": order_value(df, order), "_t": order_value(df, tie)})
-    quantiles = sampled_quantiles(keyed, ["_o", "_t"], n_rows, n_ranges)
-    order_splits = split_points(quantiles["_o"])
-    heavy = {v: quantiles["_o"].count(v) for v in set(quantiles["_o"])}
-    parts = [1] * (len(order_splits) + 1)
-    for value, times in heavy.items():
-        if times > 1:
-            parts[bisect_right(order_splits, value)] = times + 1
-    tie_splits = split_points(quantiles["_t"])
-    ranged = add_ranges(keyed, {"_o": order_splits, "_t": tie_splits})
-    n_tie = len(tie_splits) + 1
-    n_parts = F.get(F.lit(parts), F.col("_o_rng"))
-    sub = F.floor(F.col("_t_rng") * n_parts / F.lit(n_tie))
-    # A NULL order or tie value sorts first, as in a window.
-    cell = F.coalesce(F.col("_o_rng"), F.lit(-1)) * F.lit(max(parts)) + F.coalesce(sub, F.lit(0))
-    return Cells(
-        ranged.withColumn(Cells.CELL, cell.cast("bigint")).drop("_o", "_t", "_o_rng", "_t_rng"),
-        False,
-    )
+    n_cells = max(1, math.ceil(df.count() / rows_per_range))
+    ranged = df.repartitionByRange(n_cells, col(order), col(tie))
+    return written(ranged.withColumn(CELL, F.spark_partition_id()), "cells")

@@ -19,6 +19,7 @@ from plumbline.operators.quantiles import quantile_edges
 from plumbline.operators.ranges import ROWS_PER_RANGE
 from plumbline.spec import Baseline, Pair
 
+# Columns of a report.
 REPORT_COLUMNS = {
     "feature": "string",
     "kind": "string",

@@ -2,19 +2,20 @@
 
 A window partitioned by a key gives the whole key to one task. Here the rows are
 first cut into cells along the order (see ``ranges``); windows run inside
-(key, cell), and what a cell needs from earlier cells comes from one small row
-per (key, cell).
+(key, cell), and what a cell needs from earlier cells enters the same window as one
+extra row in front.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import col
-from plumbline.operators.frames import small_frame
-from plumbline.operators.ranges import ROWS_PER_RANGE, Cells, ordered_cells
+from plumbline.operators.ranges import CELL, ROWS_PER_RANGE, ordered_cells
 
 
 def _window(keys: list[str], *more: str):
@@ -31,21 +32,16 @@ def number_rows(
 ) -> DataFrame:
     """Consecutive numbers from 1 along (order, tie), without a global sort."""
     cells = ordered_cells(df, order, tie, rows_per_range, derived)
-    inside = Window.partitionBy(Cells.CELL).orderBy(col(order), col(tie))
-    local = F.row_number().over(inside).cast("bigint")
-    if cells.single:
-        return cells.frame.withColumn(name, local).drop(Cells.CELL)
-    # One row per cell, a small multiple of MAX_RANGES at most.
-    sizes = cells.frame.groupBy(Cells.CELL).count()
-    before = Window.orderBy(Cells.CELL).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        Cells.CELL, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")
-    )
+    inside = Window.partitionBy(CELL).orderBy(col(order), col(tie))
+    # One row per cell.
+    sizes = cells.groupBy(CELL).count()
+    before = Window.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(CELL, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     return (
-        cells.frame.withColumn(name, local)
-        .join(F.broadcast(starts), Cells.CELL)
+        cells.withColumn(name, F.row_number().over(inside).cast("bigint"))
+        .join(starts, CELL)
         .withColumn(name, F.col(name) + F.col("_start"))
-        .drop("_start", Cells.CELL)
+        .drop("_start", CELL)
     )
 
 
@@ -62,23 +58,17 @@ def previous_row(
 ) -> DataFrame:
     """Value of the row before (or, with ``following``, after) within the key."""
     cells = ordered_cells(df, order, tie, rows_per_range, derived)
-    frame = cells.frame.withColumn("_v", F.struct(value.alias("v")))
+    frame = cells.withColumn("_v", F.struct(value.alias("v")))
     shift = F.lead if following else F.lag
-    inside = _window(keys, Cells.CELL).orderBy(col(order), col(tie))
-    near = shift("_v").over(inside)
-    if cells.single:
-        return frame.withColumn(name, near["v"]).drop("_v", Cells.CELL)
     pick = F.min_by if following else F.max_by
-    edge = frame.groupBy(*[col(k).alias(k) for k in keys], Cells.CELL).agg(
+    edge = frame.groupBy(*[col(k).alias(k) for k in keys], CELL).agg(
         pick("_v", F.struct(col(order), col(tie))).alias("_edge")
     )
-    along = _window(keys).orderBy(Cells.CELL)
-    carried = edge.withColumn("_carry", shift("_edge").over(along)).drop("_edge")
-    return (
-        _join_cells(frame, carried, keys)
-        .withColumn(name, F.coalesce(near, F.col("_carry"))["v"])
-        .drop("_v", "_carry", Cells.CELL)
-    )
+    along = _window(keys).orderBy(CELL)
+    carried = edge.withColumn("_v", shift("_edge").over(along)).drop("_edge")
+    both = _with_carried(frame, carried, 2 if following else 0)
+    inside = _window(keys, CELL).orderBy("_turn", col(order), col(tie))
+    return _own_rows(both.withColumn(name, shift("_v").over(inside)["v"])).drop("_v", CELL)
 
 
 def running_max_before(
@@ -93,47 +83,35 @@ def running_max_before(
 ) -> DataFrame:
     """Largest value among the earlier rows of the key, NULL on the first."""
     cells = ordered_cells(df, order, tie, rows_per_range, derived)
-    return running_max_in(cells, keys, order, tie, value, name).frame.drop(Cells.CELL)
+    return running_max_in(cells, keys, order, tie, value, name).drop(CELL)
 
 
 def running_max_in(
-    cells: Cells, keys: list[str], order: str, tie: str, value: Column, name: str
-) -> Cells:
+    cells: DataFrame, keys: list[str], order: str, tie: str, value: Column, name: str
+) -> DataFrame:
     """The same over rows that are cut into cells already, which they stay."""
-    frame = cells.frame.withColumn("_v", value)
+    frame = cells.withColumn("_v", value)
+    top = frame.groupBy(*[col(k).alias(k) for k in keys], CELL).agg(F.max("_v").alias("_top"))
+    along = _window(keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    carried = top.withColumn("_v", F.max("_top").over(along)).drop("_top")
+    both = _with_carried(frame, carried, 0)
     inside = (
-        _window(keys, Cells.CELL)
-        .orderBy(col(order), col(tie))
+        _window(keys, CELL)
+        .orderBy("_turn", col(order), col(tie))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = F.max("_v").over(inside)
-    if cells.single:
-        return Cells(frame.withColumn(name, local).drop("_v"), True)
-    top = frame.groupBy(*[col(k).alias(k) for k in keys], Cells.CELL).agg(
-        F.max("_v").alias("_top")
-    )
-    along = _window(keys).orderBy(Cells.CELL).rowsBetween(Window.unboundedPreceding, -1)
-    carried = top.withColumn("_carry", F.max("_top").over(along)).drop("_top")
-    joined = (
-        _join_cells(frame, carried, keys)
-        .withColumn(name, F.greatest(local, F.col("_carry")))
-        .drop("_v", "_carry")
-    )
-    return Cells(joined, False)
+    return _own_rows(both.withColumn(name, F.max("_v").over(inside))).drop("_v")
 
 
-def _join_cells(frame: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    """Every row meets the one small row of its (key, cell). The join shuffles by the
-    columns the window needs anyway. Keys may be NULL."""
-    renamed = carried.select(
-        *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col(Cells.CELL).alias("_kc"),
-        "_carry",
-    )
-    same = F.col(Cells.CELL) == F.col("_kc")
-    for i, k in enumerate(keys):
-        same = same & col(k).eqNullSafe(F.col(f"_k{i}"))
-    return frame.join(renamed, same).drop("_kc", *[f"_k{i}" for i in range(len(keys))])
+def _with_carried(frame: DataFrame, carried: DataFrame, turn: int) -> DataFrame:
+    """The rows (turn 1) and one row per (key, cell) with what other cells hand over, so
+    that one shuffle serves both."""
+    extra = carried.where(F.col("_v").isNotNull()).withColumn("_turn", F.lit(turn))
+    return frame.withColumn("_turn", F.lit(1)).unionByName(extra, allowMissingColumns=True)
+
+
+def _own_rows(both: DataFrame) -> DataFrame:
+    return both.where(F.col("_turn") == 1).drop("_turn")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
@@ -147,74 +125,65 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str, tie: str) -> Data
     )
 
 
-def cut_at_ranks(
+def rows_at_ranks(
     df: DataFrame,
     order: str,
     tie: str,
-    ranks: dict,
+    ranks: Callable[[Column], Column],
     group: str | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
-) -> dict:
-    """The (order, tie) pair of the row at each 0-based rank along (order, tie).
+) -> DataFrame:
+    """(group, place, order, tie) of the rows at given 0-based ranks along (order, tie).
 
-    ``ranks`` maps a group value to its list of ranks (a single key None without
-    groups). Returns {(group value, rank): (order text, tie text)}. Only the cells
-    that hold a wanted rank are sorted; nothing else is shuffled but cell counts.
+    ``ranks`` makes the array of ranks from the number of rows of a group (of all rows
+    without groups), ``place`` is the place in it; ranks that don't exist give nothing. The
+    group column is a struct, in
+    which NULL is a group like any other. Only the cells that hold a wanted rank are sorted.
     """
-    spark = df.sparkSession
-    key = col(group).cast("string") if group else F.lit(None).cast("string")
+    key = F.struct(col(group).alias("v")) if group else F.struct(F.lit(None).alias("v"))
     cells = ordered_cells(
-        df.select(key.alias("_g"), col(order).alias("_order"), col(tie).alias("_tie")),
-        "_order",
-        "_tie",
+        df.select(key.alias("group"), col(order).alias("order"), col(tie).alias("tie")),
+        "order",
+        "tie",
         rows_per_range,
     )
-    frame = cells.frame.withColumn("_g", F.coalesce("_g", F.lit("")))
-    sizes = sorted(
-        (r["_g"], r[Cells.CELL], r["count"])
-        for r in frame.groupBy("_g", Cells.CELL).count().collect()
+    along = Window.partitionBy("group").orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cells.groupBy("group", CELL).agg(F.count("*").alias("n"))
+    wanted = (
+        sizes.withColumns(
+            {
+                "before": F.coalesce(F.sum("n").over(along), F.lit(0)),
+                "total": F.sum("n").over(Window.partitionBy("group")),
+            }
+        )
+        .select("group", CELL, "n", "before", F.posexplode(ranks(F.col("total"))))
+        .withColumn("at", (F.col("col") - F.col("before")).cast("bigint"))
+        .where((F.col("at") >= 0) & (F.col("at") < F.col("n")))
+        .select("group", CELL, F.col("pos").alias("place"), "at")
     )
-    targets, seen = [], {}
-    for name, cell, n in sizes:
-        before = seen.get(name, 0)
-        for value, wanted in ranks.items():
-            if ("" if value is None else str(value)) != name:
-                continue
-            targets += [
-                (name, cell, rank, rank - before) for rank in wanted if before <= rank < before + n
-            ]
-        seen[name] = before + n
-    if not targets:
-        return {}
-    target = small_frame(
-        spark,
-        targets,
-        pa.schema(
-            [
-                ("_g", pa.string()),
-                (Cells.CELL, pa.int64()),
-                ("rank", pa.int64()),
-                ("local_rank", pa.int64()),
-            ]
-        ),
-    )
-    # One row per wanted rank.
-    held = target.select("_g", Cells.CELL).distinct()
-    inside = Window.partitionBy("_g", Cells.CELL).orderBy("_order", "_tie")
-    found = (
-        frame.join(F.broadcast(held), ["_g", Cells.CELL], "left_semi")
-        .withColumn("at", F.row_number().over(inside) - 1)
-        .join(F.broadcast(target), ["_g", Cells.CELL])
-        .where(F.col("at") == F.col("local_rank"))
-        .select("_g", "rank", F.col("_order").cast("string"), F.col("_tie").cast("string"))
+    inside = Window.partitionBy("group", CELL).orderBy("order", "tie")
+    return (
+        cells.join(wanted.select("group", CELL).distinct(), ["group", CELL], "left_semi")
+        .withColumn("at", (F.row_number().over(inside) - 1).cast("bigint"))
+        .join(wanted, ["group", CELL, "at"])
+        .select("group", "place", "order", "tie")
     )
-    by_text = {"" if v is None else str(v): v for v in ranks}
-    return {(by_text[r[0]], r[1]): (r[2], r[3]) for r in found.collect()}
 
 
-def before_cut(df: DataFrame, order: str, tie: str, cut: tuple[str, str]) -> Column:
-    """Does the row come before the cut along (order, tie)?"""
-    kinds = dict(df.dtypes)
-    o = F.lit(cut[0]).cast(kinds[order])
-    t = F.lit(cut[1]).cast(kinds[tie])
-    return (col(order) < o) | ((col(order) == o) & (col(tie) < t))
+def before(order: Column, tie: Column, cut_order: Column, cut_tie: Column) -> Column:
+    """Does (order, tie) come before the cut? Values keep their types, NULL comes first."""
+    own = F.struct(order.alias("o"), tie.alias("t"))
+    return own < F.struct(cut_order.alias("o"), cut_tie.alias("t"))
+
+
+def exact_text(value: Column, kind: T.DataType) -> Column:
+    """Text that ``exact_value`` turns into the same value, in any time zone."""
+    if isinstance(kind, T.TimestampType):
+        value = F.unix_micros(value)
+    return value.cast("string")
+
+
+def exact_value(text: str | None, kind: T.DataType) -> Column:
+    if text is not None and isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(F.lit(int(text)))
+    return F.lit(text).cast(kind)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, hash_bucket, hash_order
-from plumbline.operators.sequence import before_cut, cut_at_ranks
+from plumbline.operators.sequence import before, exact_text, exact_value, rows_at_ranks
+from plumbline.sources.shared import written
 from plumbline.spec import Pair
 
 HASH_BUCKETS = 10_000
+# Classes up to which their cuts go to every task.
+BROADCAST_CUTS = 10_000
 
 
 def in_holdout(key: str, fraction: float, seed: int) -> Column:
@@ -69,24 +70,23 @@ def stratified_holdout(
     class. One class only is the unstratified case.
     """
     hashed = df.withColumn("_hash", hash_order(col(key), seed))
-    label_text = F.coalesce(col(label).cast("string"), F.lit(""))
-    sizes = {
-        r["label"]: r["count"]
-        for r in hashed.groupBy(label_text.alias("label")).count().collect()
-    }
-    ranks = {name: math.ceil(round(fraction * n, 9)) for name, n in sizes.items()}
-    cuts = cut_at_ranks(
-        hashed.withColumn("_label", label_text),
-        "_hash",
-        key,
-        {name: [rank] for name, rank in ranks.items() if rank < sizes[name]},
-        group="_label",
-        **ranges,
+
+    def rank(total: Column) -> Column:
+        return F.array(F.ceil(F.round(total * fraction, 9)))
+
+    # One row per class that has rows beyond its holdout.
+    cuts = written(rows_at_ranks(hashed, "_hash", key, rank, group=label, **ranges), "cuts")
+    few = cuts.count() <= BROADCAST_CUTS
+    cuts = cuts.select(
+        F.col("group").alias("_class"), F.col("order").alias("_cut"), F.col("tie").alias("_cut_tie")
+    )
+    chosen = before(F.col("_hash"), col(key), F.col("_cut"), F.col("_cut_tie"))
+    return (
+        hashed.withColumn("_own", F.struct(col(label).alias("v")))
+        .join(F.broadcast(cuts) if few else cuts, F.col("_own") == F.col("_class"), "left")
+        .withColumn("is_holdout", F.col("_class").isNull() | chosen)
+        .drop("_hash", "_own", "_class", "_cut", "_cut_tie")
     )
-    chosen = F.lit(True)
-    for (name, _), cut in cuts.items():
-        chosen = F.when(label_text == name, before_cut(hashed, "_hash", key, cut)).otherwise(chosen)
-    return hashed.withColumn("is_holdout", chosen).drop("_hash")
 
 
 def temporal_windows(
@@ -94,17 +94,23 @@ def temporal_windows(
 ) -> DataFrame:
     """Contiguous windows D1, D2, ... along (order, tie), cut at floor(i * n / N).
 
-    ``tie`` must be unique, so that equal times have one order. Only the rows at the
-    cuts are looked up; every row is then compared with them.
+    ``tie`` must be unique, so that equal times have one order; NULL times come first. Only
+    the rows at the cuts are looked up, ``n_windows`` - 1 at most; every row is then
+    compared with them.
     """
-    n_rows = df.count()
-    ranks = [i * n_rows // n_windows for i in range(1, n_windows)]
-    cuts = cut_at_ranks(df, order, tie, {None: sorted(set(ranks))}, **ranges)
+
+    def ranks(total: Column) -> Column:
+        cuts = [F.floor(total * i / n_windows) for i in range(1, n_windows)]
+        return F.array(*cuts).cast("array<bigint>")
+
+    found = rows_at_ranks(df, order, tie, ranks, **ranges)
+    kinds = [found.schema[c].dataType for c in ("order", "tie")]
+    texts = [exact_text(F.col(c), k).alias(c) for c, k in zip(("order", "tie"), kinds)]
     label = F.lit(f"D{n_windows}")
-    for i in range(n_windows - 1, 0, -1):
-        cut = cuts.get((None, ranks[i - 1]))
-        if cut is not None:
-            label = F.when(before_cut(df, order, tie, cut), f"D{i}").otherwise(label)
+    for row in sorted(found.select("place", *texts).collect(), reverse=True):
+        cut = [exact_value(row[c], k) for c, k in zip(("order", "tie"), kinds)]
+        is_before = before(col(order), col(tie), *cut)
+        label = F.when(is_before, F.lit(f"D{row['place'] + 1}")).otherwise(label)
     return df.withColumn(name, label)
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import col, to_category, to_numeric
+from plumbline.functions.columns import col, to_category
 from plumbline.operators.frames import feature_frame, melt, small_frame
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.quantiles import quantiles_and_moments
 
 QUANTILES = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
 MAX_CATEGORIES = 15
@@ -30,31 +30,23 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     ``feature, empty, mean, std, min, max, q05, q50, q95``; a column without values
     is flagged empty, one value has deviation 0.
     """
-    spark = df.sparkSession
-    quantiles = exact_quantiles(df, columns, list(QUANTILES.values()))
-    quantile_rows = small_frame(
-        spark,
-        [(n, *qs) for n, qs in quantiles.items() if qs],
-        pa.schema([("feature", pa.string())] + [(q, pa.float64()) for q in QUANTILES]),
+    quantiles, known = quantiles_and_moments(
+        df, columns, list(QUANTILES.values()), {"mean": F.avg, "std": F.stddev_samp}
     )
-    moments = (
-        melt(df, {n: {"value": to_numeric(col(n))} for n in columns})
-        .groupBy("feature")
-        .agg(
-            (F.count("value") == 0).alias("empty"),
-            F.avg("value").alias("mean"),
-            F.when(F.count("value") > 1, F.stddev_samp("value"))
-            .when(F.count("value") == 1, 0.0)
-            .alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
+    rows = []
+    for name, found in known.items():
+        deviation = 0.0 if found["count"] == 1 else found["std"]
+        cuts = quantiles[name] or [None] * len(QUANTILES)
+        rows.append(
+            (name, found["count"] == 0, found["mean"], deviation, found["min"], found["max"], *cuts)
         )
-    )
-    return (
-        feature_frame(spark, columns)
-        .join(moments, "feature", "left")
-        .join(quantile_rows, "feature", "left")
-        .withColumn("empty", F.coalesce("empty", F.lit(True)))
+    numbers = ("mean", "std", "min", "max", *QUANTILES)
+    return small_frame(
+        df.sparkSession,
+        rows,
+        pa.schema(
+            [("feature", pa.string()), ("empty", pa.bool_()), *((n, pa.float64()) for n in numbers)]
+        ),
     )
 
 

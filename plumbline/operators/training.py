@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.columns import col
-
-MAX_CLASSES = 1000
+from plumbline.sources.shared import written
 
 
 def merge_training_data(
@@ -28,28 +26,14 @@ def merge_training_data(
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Weight n / (k * n_class) on every row, so all classes weigh the same.
 
-    Class sizes are an aggregate. Up to ``MAX_CLASSES`` of them go to every task as a
-    small table, since a shuffle by class (or a window over it) would put half of a
-    binary table into one task; more classes than that are joined as a table.
+    Class sizes are an aggregate, stored so that the planner knows how small they are: a
+    few classes reach every task, many are joined with skewed classes split. NULL labels
+    form a class.
     """
-    sizes = df.groupBy(col(label).alias("_label")).agg(F.count("*").alias("_n"))
-    known = sizes.limit(MAX_CLASSES + 1).collect()
-    if len(known) <= MAX_CLASSES:
-        total = sum(r["_n"] for r in known)
-        weights = F.broadcast(
-            df.sparkSession.createDataFrame(
-                [(r["_label"], total / (len(known) * r["_n"])) for r in known],
-                T.StructType(
-                    [
-                        T.StructField("_label", sizes.schema["_label"].dataType),
-                        T.StructField(name, T.DoubleType()),
-                    ]
-                ),
-            )
-        )
-    else:
-        whole = sizes.agg(F.sum("_n").alias("n"), F.count("*").alias("k")).first()
-        weights = sizes.select(
-            "_label", (F.lit(whole["n"] / whole["k"]) / F.col("_n")).alias(name)
-        )
+    sizes = written(
+        df.groupBy(col(label).alias("_label")).agg(F.count("*").alias("_n")), "classes"
+    )
+    whole = sizes.agg(F.sum("_n").alias("n"), F.count("*").alias("k")).first()
+    each = F.lit((whole["n"] or 0) / max(whole["k"], 1))
+    weights = sizes.select("_label", (each / F.col("_n")).alias(name))
     return df.join(weights, col(label).eqNullSafe(F.col("_label"))).drop("_label")

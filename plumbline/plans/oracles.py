@@ -376,6 +376,48 @@ w AS (SELECT event_id, user_id, rn, CAST(NULL AS DOUBLE) AS champion_before, m A
     o.m >= w.champion + 25.0 FROM w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
 SELECT event_id, champion_before, promoted, CASE WHEN champion_before IS NULL THEN 'no_existing_champion'
   WHEN promoted THEN 'f1_macro_improved_or_equal' ELSE 'f1_macro_below_champion' END AS reason FROM w""",
+    "numbers_against_the_clock": """SELECT event_id, row_number() OVER (
+  ORDER BY ts, md5(CAST(event_id AS VARCHAR))) AS no FROM events""",
+    "numbers_by_instant": """SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS no FROM events""",
+    "neighbours_by_text": """WITH n AS (SELECT o_orderkey, o_orderstatus, printf('model-%09d', o_orderkey * 7919 % 100003) AS name FROM orders)
+SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after
+FROM n WINDOW w AS (PARTITION BY o_orderstatus ORDER BY name, o_orderkey)""",
+    "running_max_with_nulls": """SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY nullif(o_orderstatus, 'O')
+  ORDER BY CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END NULLS FIRST, o_orderkey
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM orders""",
+    "windows_with_nulls": """WITH o AS (SELECT o_orderkey, row_number() OVER (
+    ORDER BY CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END NULLS FIRST, o_orderkey) - 1 AS place,
+  count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, 'D' || (1 + len(list_filter(range(1, 7), lambda i: place >= i * n // 7))) AS "window" FROM o""",
+    "stage_moves_by_text": f"""WITH {STAGES}, m AS (SELECT *, coalesce(lag(stage) OVER (
+  PARTITION BY user_id ORDER BY ts, event_id), 'development') AS from_stage FROM st),
+a(from_stage, allowed) AS (VALUES ('development', 'staging, production'), ('staging', 'production, archived'), ('production', 'archived'), ('archived', 'none'))
+SELECT event_id, m.from_stage, stage FROM m JOIN a ON m.from_stage = a.from_stage
+WHERE NOT list_contains(string_split(allowed, ', '), stage)""",
+    "replay_in_cells": """WITH RECURSIVE o AS (SELECT event_id, coalesce(value, 0.0) AS m,
+  row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT *, max(m) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o),
+records AS (SELECT rn, m, row_number() OVER (ORDER BY rn) AS k FROM r WHERE top IS NULL OR m > top),
+w AS (SELECT k, rn, m AS champion, TRUE AS promoted FROM records WHERE k = 1
+  UNION ALL SELECT records.k, records.rn, CASE WHEN records.m >= w.champion + 25.0 THEN records.m ELSE w.champion END,
+    records.m >= w.champion + 25.0 FROM w JOIN records ON records.k = w.k + 1),
+p AS (SELECT rn, champion FROM w WHERE promoted),
+f AS (SELECT o.event_id, o.m, (SELECT max(champion) FROM p WHERE p.rn < o.rn) AS champion_before FROM o)
+SELECT event_id, champion_before, champion_before IS NULL OR m >= champion_before + 25.0 AS promoted,
+  CASE WHEN champion_before IS NULL THEN 'no_existing_champion'
+  WHEN m >= champion_before + 25.0 THEN 'f1_macro_improved_or_equal' ELSE 'f1_macro_below_champion' END AS reason FROM f""",
+    "stratified_in_cells": """WITH l AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN ''
+    WHEN o_orderpriority NOT LIKE '2%' THEN o_orderpriority END AS label FROM orders)
+SELECT o_orderkey, label, rn <= ceil(0.1 * n) AS is_holdout FROM (
+  SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label
+    ORDER BY CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|42'), 1, 13) AS BIGINT), o_orderkey) AS rn FROM l)""",
+    "stage_requests": f"""WITH {STAGES}, b AS (SELECT user_id, stage FROM (SELECT *, row_number() OVER (
+  PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM st WHERE ts < TIMESTAMP '2024-01-16') WHERE rn = 1),
+q AS (SELECT user_id, event_id, stage FROM (SELECT *, row_number() OVER (
+  PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM st WHERE ts >= TIMESTAMP '2024-01-16') WHERE rn = 1),
+a(from_stage, allowed) AS (VALUES ('development', 'staging, production'), ('staging', 'production, archived'), ('production', 'archived'), ('archived', 'none'))
+SELECT q.user_id, event_id, a.from_stage, q.stage, list_contains(string_split(allowed, ', '), q.stage) AS is_legal, allowed
+FROM q LEFT JOIN b ON q.user_id = b.user_id JOIN a ON a.from_stage = coalesce(b.stage, 'development')""",
     "table_fingerprint": f"""SELECT o_orderstatus, count(*) AS row_count, sha256(concat_ws('|',
   'o_custkey,o_orderkey,o_orderpriority', CAST(count(*) AS VARCHAR), {CHUNK_SUMS})) AS content_hash
 FROM (SELECT o_orderstatus, {FILLED} AS d FROM orders) GROUP BY o_orderstatus""",
@@ -428,6 +470,23 @@ SELECT (SELECT count(*) FROM events) AS n_runs, (SELECT max(event_id) FROM event
         "orders", "o_orderdate", "o_orderkey", "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
     ),
     "baseline_roundtrip": f"{numeric_psi_sql('lineitem', LINE_SHIFT, LINE_NUMERIC)} SELECT feature, round(psi, 6) AS psi FROM psi",
+    "text_file_fingerprint": """SELECT o_orderkey // 500 AS part,
+  CAST(sum(octet_length(encode(o_orderpriority)) + 1) AS BIGINT) AS length,
+  sha256(string_agg(o_orderpriority || chr(10), '' ORDER BY o_orderkey)) AS content_hash FROM orders GROUP BY 1""",
+    "check_with_hook": f"""WITH {report_tables(LINE_SHIFT)} SELECT 'shifted' AS scenario, {reasons(0, 2, 3)} <> '' AS triggered,
+  {reasons(0, 2, 3)} AS reasons, (SELECT count(*) FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01') AS n_reference FROM sm""",
+    "scoring_consistency": """SELECT count(*) AS n, count(*) AS n_following_probability, count(*) AS n_named,
+  count(*) AS n_in_range FROM documents""",
+    "retrain_flow": f"""WITH v(version_num, stage, notes, provenance_id) AS (VALUES (1, 'archived', 'no_existing_champion', 1),
+  (2, 'production', 'f1_macro_improved_or_equal', 2))
+SELECT CAST(version_num AS BIGINT) AS version_num, stage, notes, CAST(1 AS BIGINT) AS dataset_version_id,
+  CAST(1 AS BIGINT) AS baseline_snapshot_id, CAST(provenance_id AS BIGINT) AS provenance_id,
+  (SELECT count(*) FROM ({DOCS})) AS row_count FROM v""",
+    "model_lookup": """SELECT l_partkey AS id, 'v' || l_partkey AS artifact FROM lineitem
+ORDER BY l_extendedprice DESC, l_partkey DESC LIMIT 1""",
+    "shifted_split_pair": """SELECT count(*) FILTER (WHERE side = 'ref') AS n_ref, count(*) FILTER (WHERE large) AS n_cur,
+  count(*) FILTER (WHERE side = 'ref' AND large) AS n_both FROM (
+  SELECT {HASH_SIDE} AS side, o_totalprice >= 200000 AS large FROM orders)""".replace("{HASH_SIDE}", HASH_SIDE),
     "check_to_ledger": f"""WITH {report_tables(LINE_SHIFT)} SELECT 'shifted' AS scenario, {reasons(0, 2, 3)} <> '' AS policy_triggered,
   {reasons(0, 2, 3)} AS reasons, n_reference_rows, n_current_rows, n_features_high_psi FROM sm""",
     "stream_window_counts": f"""WITH l AS ({long_numeric('events', EVENT_SPLIT, ('value',))}), {EDGES},
@@ -435,6 +494,14 @@ g AS (SELECT es, unnest(range(len(es) - 1)) AS bin FROM e),
 gb AS (SELECT CAST(bin AS INTEGER) AS bin, es[bin + 1] AS lo, es[bin + 2] AS hi, bin = len(es) - 2 AS is_last FROM g)
 SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, bin, count(*) AS n FROM events
 JOIN gb ON value >= lo AND (value < hi OR (is_last AND value = hi)) GROUP BY 1, 2, 3""",
+    "stream_closed_windows": f"""WITH l AS ({long_numeric('events', EVENT_SPLIT, ('value',))}), {EDGES},
+g AS (SELECT es, unnest(range(len(es) - 1)) AS bin FROM e),
+gb AS (SELECT CAST(bin AS INTEGER) AS bin, es[bin + 1] AS lo, es[bin + 2] AS hi, bin = len(es) - 2 AS is_last FROM g),
+binned AS (SELECT ts, event_type, bin FROM events
+  JOIN gb ON value >= lo AND (value < hi OR (is_last AND value = hi)))
+SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, bin, count(*) AS n FROM binned
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM binned)
+GROUP BY 1, 2, 3""",
     "stream_window_psi": f"""WITH l AS ({long_numeric('events', EVENT_SPLIT, ('value',))}), {EDGES}, {BINS},
 d AS (SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, bin, count(*) AS n FROM events
   JOIN gb ON value >= lo AND (value < hi OR (is_last AND value = hi)) GROUP BY 1, 2, 3),

@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import positive_label, to_numeric
 from plumbline.functions.stats import interpret_pvalue, psi_band
 from plumbline.operators import drift, ledger, metrics, report, split, summary, training
-from plumbline.operators.fingerprint import file_fingerprints, table_fingerprint
+from plumbline.operators.fingerprint import file_fingerprints, row_digest, table_fingerprint
 from plumbline.operators.policy import alert_payloads, apply_policy
 from plumbline.operators.promotion import replay_promotions
 from plumbline.operators.quantiles import edge_rows, fit_baseline, quantile_edges
+from plumbline.operators.sequence import number_rows, previous_row, running_max_before
 from plumbline.plans import models
 from plumbline.plans.check import evaluate_pair, run_drift_check
 from plumbline.plans.retrain import Ledgers, run_retrain, score_with_production
 from plumbline.sources.baselines import fit_or_load_baseline
 from plumbline.sources.shared import new_folder
 from plumbline.sources.tables import (
+    append_rows,
     clean_markers,
     drop_incomplete,
     read_csv,
@@ -541,6 +543,115 @@ def champion_replay_margin(spark, folder):
     return _replay(spark, folder, 25.0)
 
 
+@query
+def shifted_split_pair(spark, folder):
+    """Reference by hash, current a slice of the whole table."""
+    orders = table(spark, folder, "orders")
+    pair = split.shifted_pair(orders, "o_orderkey", F.col("o_totalprice") >= 200_000)
+    ref, cur = F.col(Pair.IN_REF), F.col(Pair.IN_CUR)
+    return pair.frame.agg(
+        F.count_if(ref).alias("n_ref"), F.count_if(cur).alias("n_cur"), F.count_if(ref & cur).alias("n_both")
+    )
+
+
+# --- orders cut into many cells ----------------------------------------------------
+
+
+def _many(df: DataFrame) -> dict:
+    """Cells of about a fiftieth of the rows, so that results cross their borders."""
+    return {"rows_per_range": max(1, df.count() // 50)}
+
+
+@query
+def numbers_against_the_clock(spark, folder):
+    """Events numbered by time, with ids that don't follow it."""
+    events = table(spark, folder, "events").select(
+        "event_id", "ts", F.md5(F.col("event_id").cast("string")).alias("tie")
+    )
+    rows = number_rows(events, "ts", "tie", "no", **_many(events))
+    return rows.select("event_id", "no")
+
+
+@query
+def numbers_by_instant(spark, folder):
+    """The same along instants, reversed."""
+    events = table(spark, folder, "events").select(
+        "event_id",
+        F.timestamp_micros(-F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"),
+    )
+    return number_rows(events, "at", "event_id", "no", **_many(events)).select("event_id", "no")
+
+
+@query
+def neighbours_by_text(spark, folder):
+    """Orders before and after along names with long common beginnings."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey",
+        "o_orderstatus",
+        F.format_string("model-%09d", F.col("o_orderkey") * 7919 % 100_003).alias("name"),
+    )
+    args = (["o_orderstatus"], "name", "o_orderkey", F.col("o_orderkey"))
+    before = previous_row(orders, *args, "before", **_many(orders))
+    both = previous_row(before, *args, "after", following=True, derived=True, **_many(orders))
+    return both.select("o_orderkey", "before", "after")
+
+
+@query
+def running_max_with_nulls(spark, folder):
+    """Highest price so far along an order that is NULL for a third of the orders and one of
+    five texts for the others; one key is NULL."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey",
+        "o_totalprice",
+        F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("status"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("at"),
+    )
+    return running_max_before(
+        orders, ["status"], "at", "o_orderkey", F.col("o_totalprice"), "best", **_many(orders)
+    ).select("o_orderkey", "best")
+
+
+@query
+def windows_with_nulls(spark, folder):
+    """Seven windows of orders, those without a time first."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")).alias("at")
+    )
+    return split.temporal_windows(orders, "at", "o_orderkey", 7, **_many(orders)).select(
+        "o_orderkey", "window"
+    )
+
+
+@query
+def stage_moves_by_text(spark, folder):
+    """Illegal moves along ISO times kept as text."""
+    events = _stage_events(spark, folder).withColumn("at", F.col("ts").cast("string"))
+    moves = ledger.stage_moves(events, "user_id", "at", "event_id", **_many(events))
+    return ledger.stage_violations(moves).select("event_id", "from_stage", "stage")
+
+
+@query
+def replay_in_cells(spark, folder):
+    """Promotions with a margin over one hot key."""
+    events = table(spark, folder, "events").withColumn("key", F.lit("all"))
+    rows = replay_promotions(events, "key", "ts", "event_id", "value", 25.0, **_many(events))
+    return rows.select("event_id", "champion_before", "promoted", "reason")
+
+
+@query
+def stratified_in_cells(spark, folder):
+    """A tenth of each priority; one of them is NULL, another empty text."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderpriority").startswith("1"), "")
+        .when(~F.col("o_orderpriority").startswith("2"), F.col("o_orderpriority"))
+        .alias("label"),
+    )
+    return split.stratified_holdout(orders, "label", "o_orderkey", 0.1, **_many(orders)).select(
+        "o_orderkey", "label", "is_holdout"
+    )
+
+
 # --- fingerprints -------------------------------------------------------------------
 
 
@@ -558,6 +669,19 @@ def file_fingerprint(spark, folder):
     return files.withColumn("path", F.substring_index("path", "/", -1))
 
 
+@query
+def text_file_fingerprint(spark, folder):
+    """Priorities of 500 orders to a text file, and the hash of each file."""
+    target = new_folder(spark, "texts")
+    part = F.floor(F.col("o_orderkey") / 500).alias("part")
+    lines = table(spark, folder, "orders").select(part, "o_orderkey", "o_orderpriority")
+    rows = lines.repartition("part").sortWithinPartitions("part", "o_orderkey")
+    rows.drop("o_orderkey").write.partitionBy("part").text(target)
+    return file_fingerprints(spark, target, "*.txt").select(
+        F.regexp_extract("path", "part=(\\d+)", 1).cast("bigint").alias("part"), "length", "content_hash"
+    )
+
+
 # --- ledgers -------------------------------------------------------------------------
 
 
@@ -716,6 +840,17 @@ def models_by_stage(spark, folder):
     return ledger.models_in_stage(versioned, ledger.PRODUCTION).select("version_num", "event_id")
 
 
+@query
+def model_lookup(spark, folder):
+    """The model that the dearest line item names."""
+    items = table(spark, folder, "lineitem")
+    wanted = items.agg(F.max_by("l_partkey", F.struct("l_extendedprice", "l_partkey"))).first()[0]
+    rows = items.select(F.col("l_partkey").alias("id")).distinct()
+    return ledger.model_by_id(
+        rows.withColumn("artifact", F.concat(F.lit("v"), F.col("id").cast("string"))), wanted
+    )
+
+
 @query
 def production_pointer(spark, folder):
     spans = ledger.production_history(
@@ -803,24 +938,32 @@ def check_to_ledger(spark, folder):
     )
 
 
+@query
+def check_with_hook(spark, folder):
+    """A whole check whose hook appends what it was told to a table."""
+    told = new_folder(spark, "hook")
+
+    def note(result) -> None:
+        row = [(result.scenario, result.triggered, "; ".join(result.reasons), result.summary["n_reference_rows"])]
+        schema = "scenario string, triggered boolean, reasons string, n_reference bigint"
+        append_rows(spark.createDataFrame(row, schema), told)
+
+    run_drift_check(spark, shifted_pair(spark, folder), LINE, "shifted", hooks=[note])
+    return spark.read.parquet(told)
+
+
 ITEM_MODEL = FeatureSpec(
     ("l_quantity", "l_extendedprice", "l_discount"), ("l_linestatus",), target="l_returnflag"
 )
 DOC_MODEL = FeatureSpec(("n_chars",), ("lang",), target="quality")
 
 
-def _items(spark, folder):
-    """Line items with a unique key; the given columns do not hold one."""
-    items = table(spark, folder, "lineitem")
-    whole = F.concat_ws("|", *items.columns)
-    return items.withColumn("item", F.md5(whole)).dropDuplicates(["item"])
-
-
 @query
 def gbt_holdout(spark, folder):
-    """Boosted trees with few rounds on a stratified split of all line items."""
+    """Boosted trees on a stratified split of all line items; equal items share a side."""
+    items = table(spark, folder, "lineitem")
     trained = models.train_and_evaluate(
-        _items(spark, folder), ITEM_MODEL, "item", needle="R", rounds=3
+        items.withColumn("item", row_digest(items)), ITEM_MODEL, "item", needle="R"
     )
     return spark.createDataFrame([trained.metrics], ", ".join(f"{m} double" for m in trained.metrics))
 
@@ -834,33 +977,52 @@ def lr_forward_eval(spark, folder):
     )
     windows = split.temporal_windows(events, "ts", "event_id")
     spec = FeatureSpec(("value", "hour"), target="bought", time="ts")
-    results = models.forward_evaluation(windows, spec, max_iter=50)
+    results = models.forward_evaluation(windows, spec)
     return rounded(results, *[c for c in results.columns if c not in ("model", "eval_set")])
 
 
 @query
 def batch_scoring(spark, folder):
-    """Model fitted, stored, read back and applied to every labeled document."""
+    """Model fitted on the labeled documents, stored, read back and applied to all."""
     docs = labeled_documents(spark, folder)
-    fitted = models.fit_logistic(models.model_frame(docs, DOC_MODEL), DOC_MODEL, 50)
+    fitted = models.fit_logistic(models.model_frame(docs, DOC_MODEL), DOC_MODEL)
     path = new_folder(spark, "model")
     models.save_model(fitted, path)
     scores = models.batch_scores(
-        docs, models.load_model(path), DOC_MODEL, ("bad", "good"), keep=("doc_id",)
+        table(spark, folder, "documents"), models.load_model(path), DOC_MODEL, ("bad", "good"),
+        keep=("doc_id",),
     )
     return rounded(scores, "positive_probability")
 
 
+@query
+def scoring_consistency(spark, folder):
+    """Every document has one score whose class and name follow its probability."""
+    scores = batch_scoring(spark, folder)
+    likely = F.col("positive_probability") >= 0.5
+    named = F.when(F.col("prediction") == 1, "good").otherwise("bad")
+    return scores.agg(
+        F.count_distinct("doc_id").alias("n"),
+        F.count_if((F.col("prediction") == 1) == likely).alias("n_following_probability"),
+        F.count_if(F.col("predicted_class") == named).alias("n_named"),
+        F.count_if(F.col("positive_probability").between(0.0, 1.0)).alias("n_in_range"),
+    )
+
+
+def _retrained(spark, folder, root):
+    pair = split.random_pair(labeled_documents(spark, folder), "doc_id")
+    return run_retrain(pair.reference, pair.current, DOC_MODEL, "doc_id", root, "documents")
+
+
 @query
 def production_scoring(spark, folder):
-    """Retrain, then score all documents with the model the ledger has in production."""
-    docs = labeled_documents(spark, folder)
-    pair = split.random_pair(docs, "doc_id")
+    """Retrain on the labeled documents, then score all with the model in production."""
     root = new_folder(spark, "production")
-    run_retrain(pair.reference, pair.current, DOC_MODEL, "doc_id", root, "documents", rounds=2)
+    _retrained(spark, folder, root)
     return rounded(
         score_with_production(
-            docs, DOC_MODEL, root, "documents", ("bad", "good"), keep=("doc_id",)
+            table(spark, folder, "documents"), DOC_MODEL, root, "documents", ("bad", "good"),
+            keep=("doc_id",),
         ),
         "positive_probability",
     )
@@ -868,19 +1030,36 @@ def production_scoring(spark, folder):
 
 @query
 def retrain_flow(spark, folder):
-    """Merge, train, version, promote and record; the ledgers are read back."""
-    docs = labeled_documents(spark, folder)
-    pair = split.random_pair(docs, "doc_id")
+    """Two runs over the same data: the second is as good, goes to production and archives
+    the first. The ledgers are read back."""
     root = new_folder(spark, "retrain")
-    run_retrain(pair.reference, pair.current, DOC_MODEL, "doc_id", root, "documents", rounds=2)
+    _retrained(spark, folder, root)
+    _retrained(spark, folder, root)
     books = Ledgers(spark, root)
+    provenance = books.read("provenance").withColumnRenamed("id", "provenance_id")
+    data = books.read("datasets").select(F.col("id").alias("dataset_version_id"), "row_count")
     return (
-        books.read("models")
-        .join(books.read("provenance").withColumnRenamed("id", "provenance_id"), "experiment_id")
-        .select("version_num", "stage", "notes", "dataset_version_id", "provenance_id")
+        books.models()
+        .join(provenance, "experiment_id")
+        .join(data, "dataset_version_id")
+        .select(
+            "version_num", "stage", "notes", "dataset_version_id", "baseline_snapshot_id",
+            "provenance_id", "row_count",
+        )
     )
 
 
+@query
+def stage_requests(spark, folder):
+    """Moves asked for in the second half of the events, against the stages before it."""
+    events = _stage_events(spark, folder)
+    half = F.col("ts") < _day("2024-01-16")
+    current = ledger.current_stages(events.where(half), "user_id", "ts", "event_id")
+    return ledger.validated_moves(
+        events.where(~half), current, "user_id", "ts", "event_id"
+    ).select("user_id", "event_id", "from_stage", "stage", "is_legal", "allowed")
+
+
 # --- streams -------------------------------------------------------------------------------
 
 EVENT_SCHEMA = (
@@ -913,27 +1092,38 @@ def stream_drift(spark, folder):
     )
 
 
-def _streamed_counts(spark, folder):
+def _streamed_counts(spark, folder, closed_only):
     edges = _event_edges(spark, folder)["value"]
     counts = windowed_bins(_event_stream(spark, folder), "ts", "value", edges, by=["event_type"])
     target = new_folder(spark, "windows")
-    write_counts(counts, f"{target}/counts", f"{target}/state").awaitTermination()
-    return spark.read.parquet(f"{target}/counts")
+    schema = "window_start timestamp, event_type string, bin int, n bigint"
+    write_counts(
+        counts, f"{target}/counts", f"{target}/state", closed_only=closed_only
+    ).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{target}/counts")
 
 
 @query
 def stream_window_counts(spark, folder):
-    counts = _streamed_counts(spark, folder)
+    """Newest counts of all days, the open ones included."""
+    counts = _streamed_counts(spark, folder, closed_only=False)
+    return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query
+def stream_closed_windows(spark, folder):
+    """Counts of the days the watermark has passed, each written once."""
+    counts = _streamed_counts(spark, folder, closed_only=True)
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @query
 def stream_window_psi(spark, folder):
-    """PSI of every closed day and event type against the reference's bins."""
+    """PSI of every day and event type against the reference's bins."""
     pair = event_pair(spark, folder)
     binned = drift.bin_counts(pair, _event_edges(spark, folder)).collect()
     reference = {r["bin"]: r["n_ref"] for r in binned}
-    psi = windowed_psi(_streamed_counts(spark, folder), reference, by=["event_type"])
+    psi = windowed_psi(_streamed_counts(spark, folder, False), reference, by=["event_type"])
     return rounded(
         psi.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")), "psi"
     )

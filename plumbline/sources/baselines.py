@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.frames import small_frame
 from plumbline.operators.quantiles import fit_baseline
+from plumbline.sources.shared import is_missing
 from plumbline.spec import Baseline, FeatureSpec
 
 _SCHEMA = pa.schema(
@@ -66,10 +67,12 @@ def fit_or_load_baseline(
     """
     spark = reference.sparkSession
     metadata = {"source": source}
+    stored = None
     try:
         stored = load_baseline(spark, path)
-    except AnalysisException:
-        stored = None
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
     if stored is not None:
         same = (stored.numeric, stored.categorical, stored.psi_bins) == (
             spec.numeric,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +37,11 @@ def written(df: DataFrame, purpose: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """Is it only that nothing has been written to the path yet?"""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def clear_session(spark: SparkSession) -> None:
     """Remove the working tables of this application, once no frame needs them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))

@@ -6,8 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.columns import col
+from plumbline.functions.columns import col, to_category, to_numeric
 
 
 @dataclass(frozen=True)
@@ -93,12 +94,24 @@ class Pair:
 
     @classmethod
     def union(cls, reference: DataFrame, current: DataFrame) -> "Pair":
-        """The samples are two tables; only the columns both have are kept."""
+        """The samples are two tables; only the columns both have are kept.
+
+        Where their types differ each side is coerced on its own, to numbers if one side
+        has numbers, else to text; what is not a number becomes NULL.
+        """
         shared = [c for c in reference.columns if c in set(current.columns)]
+        kinds = {c: (reference.schema[c].dataType, current.schema[c].dataType) for c in shared}
+
+        def value(name: str) -> Column:
+            one, other = kinds[name]
+            if one == other:
+                return col(name)
+            number = any(isinstance(k, T.NumericType) for k in (one, other))
+            return (to_numeric if number else to_category)(col(name)).alias(name)
 
         def side(df: DataFrame, is_ref: bool) -> DataFrame:
             return df.select(
-                *[col(c) for c in shared],
+                *[value(c) for c in shared],
                 F.lit(is_ref).alias(cls.IN_REF),
                 F.lit(not is_ref).alias(cls.IN_CUR),
             )

@@ -12,6 +12,7 @@ from plumbline.functions.columns import col, to_numeric
 from plumbline.functions.stats import psi_band, psi_term
 from plumbline.operators.drift import freeze_reference
 from plumbline.plans.check import evaluate_pair
+from plumbline.sources.shared import written
 from plumbline.spec import Baseline, DriftPolicy, Pair
 
 
@@ -43,7 +44,8 @@ def monitor_stream(
     frozen = freeze_reference(reference, baseline)
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        pair = Pair.union(reference, batch)
+        # A check reads the batch several times.
+        pair = Pair.union(reference, written(batch, "batch"))
         _, verdict = evaluate_pair(pair, baseline, policy, frozen)
         verdict.write.mode("overwrite").parquet(f"{run_table}/batch_id={batch_id}")
 
@@ -88,14 +90,15 @@ def write_counts(
     counts: DataFrame,
     path: str,
     checkpoint: str,
-    closed_only: bool = False,
+    closed_only: bool = True,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write windowed counts as a table.
 
-    By default the table is the newest state of all windows. With ``closed_only`` a
-    window is written once, when the watermark has passed it, and its state is dropped:
-    the form for an endless stream. A batch that is run again replaces what it wrote.
+    A window is written once, when the watermark has passed it, and its state is dropped:
+    the form for an endless stream. Without ``closed_only`` the table is the newest state
+    of all windows, open ones included, for a stream that ends. A batch that is run again
+    replaces what it wrote.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -112,7 +115,7 @@ def write_counts(
 
 
 def windowed_psi(counts: DataFrame, reference: dict[int, int], by: list[str] = ()) -> DataFrame:
-    """PSI of each closed window against the reference's bin counts.
+    """PSI of each window of the counts against the reference's bin counts.
 
     ``reference`` maps bin to count; the bins a window lacks are filled in from it, so
     the window is one aggregate row with a short array.

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.functions.stats import chi2_pvalue, interpret_pvalue, ks_pvalue, psi_band
+from plumbline.functions.stats import chi2_pvalue, interpret_pvalue, ks_method, ks_pvalue, psi_band
 from plumbline.operators import drift, report
 from plumbline.operators.quantiles import exact_quantiles, fit_baseline, quantile_edges
 from plumbline.sources.shared import written
@@ -158,9 +158,9 @@ def test_oversized_cells_are_cut_again(spark, monkeypatch):
 
     refined = []
     for module in (q, drift):
-        plain = module.make_grids
+        plain = module.inner_grid
         monkeypatch.setattr(
-            module, "make_grids", lambda *a, _f=plain, _m=module.__name__, **k: (refined.append(_m), _f(*a, **k))[1]
+            module, "inner_grid", lambda *a, _f=plain, _m=module.__name__, **k: (refined.append(_m), _f(*a, **k))[1]
         )
     rng = np.random.default_rng(12)
     a, b = np.exp(rng.normal(0, 9, 800)), np.exp(rng.normal(0.3, 9, 700))
@@ -174,7 +174,17 @@ def test_oversized_cells_are_cut_again(spark, monkeypatch):
     row = drift.numeric_drift(pair, ("x",), stale, rows_per_range=10).first()
     assert row["ks_statistic"] == pytest.approx(brute_ks(a, b), abs=1e-12)
     assert row["psi"] == pytest.approx(brute_psi(a, b, stale["x"]), abs=1e-9)
-    assert len(refined) == 3 and len(set(refined)) == 2
+    assert len(refined) > 3 and len(set(refined)) == 2
+
+
+def test_cells_are_divided_until_they_are_small(spark):
+    """Half of the values lie in a span that several passes have to find."""
+    rng = np.random.default_rng(3)
+    inner = 1e-9 + 1e-15 * rng.random(500)
+    values = np.concatenate([rng.normal(0, 1e6, 400), inner, [1.7e308, -1.7e308]])
+    df = numbers(spark, values.tolist())
+    found = exact_quantiles(df, ["x"], [0.3, 0.5, 0.6], rows_per_range=5)["x"]
+    assert found == np.quantile(values, [0.3, 0.5, 0.6]).tolist()
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -218,16 +228,44 @@ def brute_equal_tail(n, h):
 def test_ks_pvalue_is_exact_for_equal_sizes(spark):
     cases = [(n, h) for n in (2, 5, 12, 40) for h in range(0, n + 1, max(1, n // 6))]
     df = spark.createDataFrame([(n, h / n) for n, h in cases], "n bigint, d double")
-    found = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("n"))).collect()]
+    found = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("n"), "exact")).collect()]
     assert np.allclose(found, [brute_equal_tail(n, h) if h else 1.0 for n, h in cases], atol=1e-12)
 
 
 def test_ks_pvalue_forms(spark):
     rows = [(12, 12, 7 / 12), (100, 100, 0.19), (200, 300, 0.1233), (400, 390, 0.0968), (10_000, 10_000, 0.01)]
     df = spark.createDataFrame(rows, "n bigint, m bigint, d double")
-    found = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m"))).collect()]
+    found = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m"), "exact")).collect()]
     assert np.allclose(found[:4], [0.0314, 0.0539, 0.0476, 0.0462], atol=2e-4)
     assert found[4] == pytest.approx(0.699, abs=5e-3)
+    # By default one more row never changes the formula.
+    plain = df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m")), ks_method(F.col("n"), F.col("m")))
+    assert {r[1] for r in plain.collect()} == {"stephens"}
+    assert plain.collect()[2][0] == found[2]
+    with pytest.raises(ValueError):
+        ks_method(F.lit(5), F.lit(5), "asymptotic")
+
+
+def test_sides_of_different_types_are_coerced(spark):
+    """A bad value on one side is dropped there, as where each side is read on its own."""
+    rows = [(float(i), "a" if i % 2 else "b") for i in range(40)]
+    reference = spark.createDataFrame(rows, "x double, k string")
+    texts = [(str(v), 1 if k == "a" else None) for v, k in rows[:20]] + [("abc", 2), (None, 2), ("NaN", 2)]
+    incoming = spark.createDataFrame(texts, "x string, k int")
+    pair = Pair.union(reference, incoming)
+    found = report.drift_report(pair, fit_baseline(pair.reference, ("x",), ("k",))).collect()
+    assert {r["feature"] for r in found} == {"x", "k"}
+    row = drift.numeric_drift(pair, ("x",)).first()
+    assert (row["n_ref"], row["n_cur"]) == (40, 20)
+    assert dict(pair.frame.dtypes)["x"] == "double" and dict(pair.frame.dtypes)["k"] == "string"
+
+
+def test_infinite_values_keep_edges_sorted(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in [-inf, -inf, 0.0, 1.0, 2.0, inf, inf]], "x double")
+    found = exact_quantiles(df, ["x"], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0])["x"]
+    assert found == sorted(found) and found[0] == -inf and found[3] == 1.0 and found[-1] == inf
+    assert not any(math.isnan(v) for v in found)
 
 
 def test_chi2_tail(spark):
@@ -333,20 +371,17 @@ def test_frozen_reference_is_not_scanned_for_counts(spark):
     assert path.inputFiles()[0].split("/")[-2] not in frame._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_card_fraud_fixture(spark):
-    """Twelve rows, 29 features, second window shifted out of range."""
+def test_every_feature_out_of_range(spark):
+    """A later sample beyond all earlier values, over the whole card layout."""
     from plumbline.spec import CARD_FRAUD
 
-    def window(offset):
-        shifted = F.lit(offset)
-        return spark.range(12).select(
-            *[(shifted + 0.01 * j + 0.001 * F.col("id")).alias(f"V{j}") for j in range(1, 29)],
-            (1.0 + shifted).alias("Amount"),
-        )
+    def sample(start):
+        steps = [F.sqrt(F.col("id") + start + 3 * k) for k in range(len(CARD_FRAUD.numeric))]
+        return spark.range(35).select(*[s.alias(n) for s, n in zip(steps, CARD_FRAUD.numeric)])
 
-    pair = Pair.union(window(0.0), window(2.5))
+    pair = Pair.union(sample(0), sample(400))
     rows = report.drift_report(pair, fit_baseline(pair.reference, CARD_FRAUD.numeric)).collect()
-    assert len(rows) == 29
+    assert len(rows) == len(CARD_FRAUD.numeric)
     assert all(r["psi"] == 0.0 and r["ks_statistic"] == 1.0 for r in rows)
 
 

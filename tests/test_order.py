@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import ledger, metrics, split
 from plumbline.operators.promotion import replay_promotions, should_promote
-from plumbline.operators.ranges import order_value
+from plumbline.operators.ranges import ordered_cells
 from plumbline.operators.sequence import number_rows, previous_row, running_max_before
 
 SMALL = {"rows_per_range": 25}
@@ -136,12 +136,81 @@ def test_split_ignores_partitioning(spark):
     assert split.hash_split(df, "id", seed=1).where("side = 'cur'").exceptAll(first).count() > 0
 
 
-def test_text_order_value_follows_text_order(spark):
-    words = ["", "a", "ab", "b", "zebra", "zebra crossing", "é", "日本"]
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    found = df.withColumn("v", order_value(df, "w")).orderBy("w").collect()
-    values = [r["v"] for r in found]
-    assert values == sorted(values)
+ORDERS = {
+    # Microseconds run against the id.
+    "timestamp_ntz": lambda i: datetime.datetime(2024, 3, 9, 23) + datetime.timedelta(microseconds=(599 - i) * 900),
+    "timestamp": lambda i: datetime.datetime(2024, 3, 9, 23) + datetime.timedelta(seconds=(599 - i) * 40),
+    "string": lambda i: f"model-{(599 - i) // 3:06d}",
+    "tied": lambda i: i // 400,
+    "nulls": lambda i: None if i % 5 == 0 else 599 - i,
+}
+
+
+@pytest.fixture(scope="module", params=ORDERS)
+def ordered(spark, request):
+    """Rows in shuffled order, and their ids along (at, id) with NULLs first."""
+    kind = {"tied": "int", "nulls": "int"}.get(request.param, request.param)
+    at = [ORDERS[request.param](i) for i in range(600)]
+    ids = np.random.default_rng(3).permutation(600).tolist()
+    plain = "timestamp_ntz" if kind == "timestamp" else kind
+    df = spark.createDataFrame(list(zip(at, ids)), f"at {plain}, id bigint").repartition(5)
+    rows = sorted(zip(at, ids), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
+    return df.withColumn("at", F.col("at").cast(kind)), [i for _, i in rows]
+
+
+def test_numbering_by_any_order(ordered):
+    df, expected = ordered
+    found = number_rows(df, "at", "id", rows_per_range=50).collect()
+    assert {r["id"]: r["row_no"] for r in found} == {x: k + 1 for k, x in enumerate(expected)}
+
+
+def test_neighbours_by_any_order(ordered):
+    df, expected = ordered
+    keyed = df.withColumn("key", F.lit(None).cast("string"))
+    found = previous_row(keyed, ["key"], "at", "id", F.col("id"), "near", rows_per_range=50).collect()
+    assert {r["id"]: r["near"] for r in found} == dict(zip(expected, [None, *expected]))
+
+
+def test_windows_by_any_order(ordered):
+    df, expected = ordered
+    found = split.temporal_windows(df, "at", "id", rows_per_range=50).collect()
+    assert {r["id"]: r["window"] for r in found} == {x: f"D{1 + k // 200}" for k, x in enumerate(expected)}
+
+
+def test_windows_over_a_clock_change(spark):
+    """An hour that occurs twice, in a session zone that has one."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # From before to after 2024-11-03 06:00 UTC, ten seconds apart.
+        micros = F.lit(1_730_610_000_000_000) + F.col("id") * 10_000_000
+        df = spark.range(1200).withColumn("at", F.timestamp_micros(micros))
+        found = split.temporal_windows(df, "at", "id", rows_per_range=100).groupBy("window").count()
+        assert {r["window"]: r["count"] for r in found.collect()} == {"D1": 400, "D2": 400, "D3": 400}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_cells_are_bounded_inside_one_value(spark):
+    df = spark.range(5000).select(F.lit(None).cast("string").alias("at"), F.format_string("run-%06d", "id").alias("id"))
+    sizes = ordered_cells(df, "at", "id", 100).groupBy("_cell").count().agg(F.count("*"), F.max("count")).first()
+    assert sizes[0] >= 40 and sizes[1] <= 400
+
+
+def test_null_and_empty_labels_are_two_classes(spark):
+    df = spark.range(100).withColumn("label", F.when(F.col("id") % 2 == 0, ""))
+    found = split.stratified_holdout(df, "label", "id", 0.1).where("is_holdout")
+    assert {r["label"]: r["count"] for r in found.groupBy("label").count().collect()} == {None: 5, "": 5}
+
+
+def test_rising_history_is_walked_in_stretches(spark):
+    df = spark.range(300).select(
+        F.lit("hot").alias("key"), F.col("id").alias("at"), "id", (F.col("id") * 1.0 + F.floor(F.col("id") / 10) * 5).alias("value")
+    )
+    found = replay_promotions(df, "key", "at", "id", "value", 4.0, rows_per_range=40).collect()
+    history = pd.DataFrame([(r["id"], r["key"], r["value"]) for r in sorted(found, key=lambda r: r["id"])], columns=["id", "key", "value"])
+    got = {r["id"]: (r["champion_before"], r["promoted"], r["reason"]) for r in found}
+    assert got == brute_replay(history, 4.0)
 
 
 def brute_auc(y, s):

@@ -15,6 +15,7 @@ from plumbline.operators.quantiles import fit_baseline
 from plumbline.plans import models
 from plumbline.plans.check import log_hook, retrain_hook, run_drift_check
 from plumbline.plans.retrain import Ledgers, run_retrain, score_with_production
+from plumbline.sources.baselines import load_baseline
 from plumbline.sources.shared import new_folder
 from plumbline.spec import DriftPolicy, FeatureSpec, Pair
 from plumbline.streaming.drift import (
@@ -128,12 +129,12 @@ def test_merge_keeps_all_and_drops_duplicates(spark):
     assert training.merge_training_data(nulls, nulls, "income").count() == 1
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_balanced_weights(spark, limit, monkeypatch):
-    monkeypatch.setattr(training, "MAX_CLASSES", limit)
-    df = spark.createDataFrame([(0,)] * 30 + [(1,)] * 10, "y int")
+def test_balanced_weights(spark):
+    df = spark.createDataFrame([(0,)] * 30 + [(1,)] * 10 + [(None,)] * 5, "y int")
     rows = training.balanced_weights(df, "y").distinct().collect()
-    assert {r["y"]: r["weight"] for r in rows} == {0: pytest.approx(40 / 60), 1: pytest.approx(2.0)}
+    assert {r["y"]: r["weight"] for r in rows} == {
+        0: pytest.approx(45 / 90), 1: pytest.approx(1.5), None: pytest.approx(3.0)
+    }
 
 
 def test_unknown_category_is_all_zeros(spark):
@@ -197,18 +198,50 @@ def test_retrain_flow_versions_and_promotes(spark):
     books = Ledgers(spark, root)
     assert books.read("datasets").count() == 1
     assert {r["dataset_version_id"] for r in books.read("provenance").collect()} == {1}
-    stages = {r["version_num"]: r["stage"] for r in books.read("models").collect()}
+    stages = {r["version_num"]: r["stage"] for r in books.models().collect()}
     assert stages == {1: "production", 2: "development", 3: "production"}
+    assert retrain().promoted  # as good as the champion, which it replaces
+    stages = {r["version_num"]: r["stage"] for r in books.models().collect()}
+    assert stages == {1: "archived", 2: "development", 3: "production", 4: "production"}
+    assert ledger.stage_violations(
+        ledger.stage_moves(books.read("stages"), "version_num", "created_at", "id", initial=None)
+    ).isEmpty()
+    snapshot = books.read("baselines").collect()
+    assert len(snapshot) == 1 and snapshot[0]["dataset_version_id"] == 1
+    stored = load_baseline(spark, snapshot[0]["artifact_path"])
+    assert stored.numeric == SPEC.numeric
+    assert {r["baseline_snapshot_id"] for r in books.read("provenance").collect()} == {1}
     experiment = books.read("experiments").where("id = 1").first()
     assert experiment["name"] == "retrain_v1_retrain" and experiment["params"]["test_size"] == "0.2"
     scored = score_with_production(a.drop("income"), SPEC, root, "census", ("no", "yes"), keep=("id",))
-    assert scored.count() == 240 and {r["model_version"] for r in scored.select("model_version").collect()} == {1}
+    assert scored.count() == 240 and {r["model_version"] for r in scored.select("model_version").collect()} == {4}
     with pytest.raises(LookupError):
         score_with_production(a, SPEC, root, "unknown", ("no", "yes"))
     refs = {"experiment_id": (books.read("experiments"), "id"), "dataset_version_id": (books.read("datasets"), "id")}
     assert ledger.orphans(books.read("provenance"), refs).isEmpty()
 
 
+def test_unreadable_ledger_is_an_error(spark):
+    root = new_folder(spark, "test-broken")
+    spark.createDataFrame([("x",)], "id string").write.text(f"{root}/models")
+    with pytest.raises(Exception):
+        Ledgers(spark, root).read("models").collect()
+    assert Ledgers(spark, root).read("datasets").isEmpty()
+
+
+def test_validated_moves(spark):
+    current = spark.createDataFrame([(1, "staging"), (2, "archived")], "model int, stage string")
+    asked = [(10, 1, "production"), (11, 1, "archived"), (12, 2, "staging"), (13, 3, "archived"), (14, 4, "staging")]
+    requests = spark.createDataFrame(asked, "seq int, model int, stage string")
+    found = ledger.validated_moves(requests, current, "model", "seq", "seq").collect()
+    assert {(r["model"], r["from_stage"], r["stage"], r["is_legal"], r["allowed"]) for r in found} == {
+        (1, "staging", "production", True, "production, archived"),
+        (2, "archived", "staging", False, "none"),
+        (3, "development", "archived", False, "staging, production"),
+        (4, "development", "staging", True, "staging, production"),
+    }
+
+
 def test_registration_is_idempotent(spark):
     batch = spark.createDataFrame([(1, "h1"), (2, "h2"), (3, "h1")], "seq int, content_hash string")
     first = ledger.register_new(batch, "content_hash", "seq", "seq")
@@ -317,7 +350,7 @@ def test_windowed_stream_equals_batch(spark, day_files):
         file_stream(spark, day_files, SCHEMA, maxFilesPerTrigger="1"), "ts", "value", edges, by=["kind"]
     )
     target = new_folder(spark, "test-windowed")
-    write_counts(stream, f"{target}/counts", f"{target}/state").awaitTermination()
+    write_counts(stream, f"{target}/counts", f"{target}/state", closed_only=False).awaitTermination()
     streamed = spark.read.parquet(f"{target}/counts")
     assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
 
@@ -333,6 +366,6 @@ def test_closed_windows_are_written_once(spark, day_files):
         lateness="1 hour",
     )
     target = new_folder(spark, "test-closed")
-    write_counts(stream, f"{target}/counts", f"{target}/state", closed_only=True).awaitTermination()
+    write_counts(stream, f"{target}/counts", f"{target}/state").awaitTermination()
     rows = spark.read.parquet(f"{target}/counts").groupBy("window_start").agg(F.sum("n").alias("n")).collect()
     assert {str(r["window_start"])[:10]: r["n"] for r in rows} == {"2024-03-01": 200, "2024-03-02": 200}
