@@ -1100,7 +1100,8 @@ def _streamed_counts(spark, folder, closed_only):
     write_counts(
         counts, f"{target}/counts", f"{target}/state", closed_only=closed_only
     ).awaitTermination()
-    return spark.read.schema(schema).parquet(f"{target}/counts")
+    counts = spark.read.schema(schema).parquet(f"{target}/counts")
+    return counts.select("window_start", "event_type", "bin", "n")
 
 
 @query

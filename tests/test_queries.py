@@ -2,11 +2,13 @@
 
 import decimal
 import os
+from functools import partial
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from plumbline.plans import models
 from plumbline.plans.oracles import ORACLES
 from plumbline.plans.queries import QUERIES
 
@@ -28,6 +30,10 @@ def tables():
     return con
 
 
+def few_rounds(trees, spec, rounds, **more):
+    return trees(spec, min(rounds, 3), **more)
+
+
 def normal(rows, columns):
     def value(x):
         return round(float(x), 6) + 0.0 if isinstance(x, (float, decimal.Decimal)) else x
@@ -44,8 +50,14 @@ def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
+# Full training takes minutes; here with few rounds, in full with PLUMBLINE_SLOW=1.
+SLOW = ("gbt_holdout", "production_scoring", "retrain_flow")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, tables, name):
+def test_query(spark, tables, name, monkeypatch):
+    if name in SLOW and not os.environ.get("PLUMBLINE_SLOW"):
+        monkeypatch.setattr(models, "boosted_trees", partial(few_rounds, models.boosted_trees))
     df = entry_points.queries()[name](spark, FOLDER)
     rows = df.collect()
     assert rows
