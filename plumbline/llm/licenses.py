@@ -72,13 +72,18 @@ def _normalised(text: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
+    """Distinct bigrams as 64-bit hashes, which sets of numbers hold without objects."""
     n = F.size(words) - 1
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)
-    )
+    first, second = F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n)
+    pairs = F.zip_with(first, second, lambda a, b: F.xxhash64(a, b))
     return F.array_distinct(pairs)
 
 
+def _once(value: Column) -> Column:
+    """The value by way of a generator, so that it is not computed for every use of it."""
+    return F.explode(F.array(value))
+
+
 def license_hits(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -102,7 +107,7 @@ def license_hits(
             F.struct(
                 F.lit(-k).alias("turn"),
                 F.lit(name).alias("license"),
-                F.array(*[F.lit(b) for b in held]).alias("bigrams"),
+                F.array(*[F.xxhash64(*map(F.lit, b.split())) for b in held]).alias("bigrams"),
                 F.lit(len(held)).alias("size"),
             )
             for k, (name, held) in enumerate(known)
@@ -118,12 +123,16 @@ def license_hits(
     units = F.concat(
         lines.cast(kind), F.filter(blocks.cast(kind), lambda b: F.contains(b["held"], F.lit("\n")))
     )
+    # A unit of so few words has too few bigrams for any template.
+    fewest = min((len(held) for _, held in known if held), default=0) / slack
+    keys = ["_id", "unit", "unit_no"]
     rows = (
         docs.select(col(id_column).alias("_id"), F.explode(units).alias("u"))
-        .select("_id", "u.unit", "u.unit_no", F.split(_normalised(F.col("u.held")), " ").alias("words"))
-        .where(F.size("words") > 1)
-        .withColumn("bigrams", _bigrams(F.col("words")))
-        .withColumn("n_bigrams", F.size("bigrams"))
+        .select("_id", "u.unit", "u.unit_no", _once(_normalised(F.col("u.held"))).alias("plain"))
+        .select(*keys, _once(F.split("plain", " ")).alias("words"))
+        .where((F.size("words") > 1) & (F.size("words") - 1 >= fewest - 1e-9))
+        .select(*keys, _once(_bigrams(F.col("words"))).alias("bigrams"))
+        .select(*keys, "bigrams", F.size("bigrams").alias("n_bigrams"))
     )
 
     def in_bounds(t: Column) -> Column:
@@ -136,9 +145,9 @@ def license_hits(
         return F.struct(dice.alias("dice"), t["turn"].alias("turn"), t["license"].alias("license"))
 
     best = F.array_max(F.transform(F.filter(candidates, in_bounds), compared))
+    hits = F.filter(F.array(best), lambda b: b["dice"] >= threshold)
     return (
-        rows.withColumn("best", best)
-        .where(F.col("best.dice") >= threshold)
+        rows.select(*keys, "n_bigrams", F.explode(hits).alias("best"))
         .select(
             F.col("_id").alias(id_column),
             "unit",
