@@ -69,6 +69,8 @@ def quantiles_and_moments(
     }
     size = {name: known[s] for name, s in safe.items()}
     filled = [n for n in columns if size[n] > 0]
+    if not filled:
+        return {n: [] for n in columns}, taken
     grids = {n: even_grid(taken[n]["min"], taken[n]["max"]) for n in filled}
     found: dict[tuple[str, int], float] = {}
     while True:

@@ -96,8 +96,8 @@ class Pair:
     def union(cls, reference: DataFrame, current: DataFrame) -> "Pair":
         """The samples are two tables; only the columns both have are kept.
 
-        Where their types differ each side is coerced on its own, to numbers if one side
-        has numbers, else to text; what is not a number becomes NULL.
+        Where their types differ each side is coerced on its own, to numbers if the
+        reference has numbers, else to text; what is not a number becomes NULL.
         """
         shared = [c for c in reference.columns if c in set(current.columns)]
         kinds = {c: (reference.schema[c].dataType, current.schema[c].dataType) for c in shared}
@@ -106,8 +106,8 @@ class Pair:
             one, other = kinds[name]
             if one == other:
                 return col(name)
-            number = any(isinstance(k, T.NumericType) for k in (one, other))
-            return (to_numeric if number else to_category)(col(name)).alias(name)
+            coerce = to_numeric if isinstance(one, T.NumericType) else to_category
+            return coerce(col(name)).alias(name)
 
         def side(df: DataFrame, is_ref: bool) -> DataFrame:
             return df.select(
