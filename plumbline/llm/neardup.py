@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
 from plumbline.llm.links import components
+from plumbline.llm.names import unused
 from plumbline.llm.words import blocks, mix, shingle_sets
 from plumbline.sources.shared import written
 
@@ -455,22 +456,22 @@ def one_of_each(
     Of rows that share an id, the one that comes first by text stays. Rows without id stay.
     """
     groups = written(near_duplicates(docs, id_column, text_column, width, percent), "groups")
-    gone = groups.where(~F.col("kept")).select(col(id_column).alias("id"))
+    key = unused(docs, "named_id")
+    gone = groups.where(~F.col("kept")).select(col(id_column).alias(key))
     repeated = (
         groups.where(F.col("kept") & col(id_column).isNotNull())
-        .groupBy(col(id_column).alias("id"))
+        .groupBy(col(id_column).alias(key))
         .count()
         .where(F.col("count") > 1)
-        .select("id")
+        .select(key)
     )
-    own = col(id_column).cast("bigint")
-    leave = gone.unionByName(repeated).distinct()
-    kept = docs.join(leave, own == F.col("id"), "left_anti")
+    same = col(id_column).cast("bigint") == F.col(key)
+    kept = docs.join(gone.unionByName(repeated).distinct(), same, "left_anti")
     first = (
-        docs.join(repeated, own == F.col("id"), "left_semi")
+        docs.join(repeated, same, "left_semi")
         .groupBy(col(id_column))
-        .agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), text_first(text_column)).alias("r"))
-        .select("r.*")
+        .agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), text_first(text_column)).alias(key))
+        .select(f"{key}.*")
     )
     return kept.unionByName(first)
 
