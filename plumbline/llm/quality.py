@@ -25,7 +25,8 @@ WINDOW = 8
 MAX_LOST_PERCENT = 50
 
 SYMBOLS = "#*$%&|<>"
-# A line may hold one such character for every four words, or marks for every three.
+# A line may hold one such character for every four words, or marks for every three. The
+# words of boilerplate phrases may be a quarter of it.
 LINE_SYMBOLS = r"[#*$%&<>=~^_{}\\]"
 LINE_MARKS = r"[!?]"
 SEPARATORS = r"[|»›·•→]"
@@ -71,7 +72,8 @@ def line_fails(line: str, words: list[str]) -> bool:
         return True  # navigation: an entry of a menu
     if sum(map(eq, words, words[1:])) * 4 > n_words:
         return True  # boilerplate: words said over and over
-    return _BOILERPLATE.search(line) is not None
+    said = sum(len(x.group().split()) for x in _BOILERPLATE.finditer(line))
+    return said * 4 > n_words  # boilerplate: phrases
 
 
 def cleaned(text: str | None) -> tuple[int, int, int, str | None]:

@@ -68,6 +68,15 @@ def test_verdicts(judged):
     assert judged[0]["verdict"]["cleaned"] is None
 
 
+@pytest.mark.parametrize("phrase", ["privacy policy", "Terms of Use", "lorem ipsum", "all rights reserved"])
+def test_a_clean_line_may_mention_boilerplate(phrase):
+    mention = f"The council published its {phrase} in May. {' '.join(GOOD.split())}"
+    bare = f"{phrase}, {phrase}, and so on."
+    assert quality.cleaned(mention) == (0, len(mention), 0, None)
+    both = f"{mention}\n{bare}"
+    assert quality.cleaned(both) == (0, len(both) - 1, len(bare), mention)
+
+
 def test_long_texts_are_read_to_the_end(spark):
     long = " ".join(f"w{k}" for k in range(400_000))
     df = spark.createDataFrame([(1, long + " tail " * 9), (2, long)], "doc_id bigint, text string")
