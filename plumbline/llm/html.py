@@ -22,7 +22,7 @@ from plumbline.functions.columns import col
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SKIPPED = frozenset(
-    "script style noscript template head title nav header footer aside form button select "
+    "script style noscript template head title nav header footer aside button select "
     "textarea input iframe object embed svg math canvas menu dialog noembed noframes xmp".split()
 )
 INLINE = frozenset(
@@ -52,6 +52,12 @@ UNLIKELY_ARTICLE = re.compile(
     r"(^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|comments?|replies|reply|related|teaser)($|[\s_-])",
     re.IGNORECASE,
 )
+# Inside an article these mark parts of it: notes, and what stands around headings.
+OWN_PARTS = re.compile(r"(?<![^\s_-])(header|legal|disclaimer|notice|alert)(?![^\s_-])", re.IGNORECASE)
+# Names of what a container has, or how it behaves, not of what it is.
+_HAS = re.compile(r"(?<![^\s_-])(has|with|without|no)[_-]\S*", re.IGNORECASE)
+_STICKY = re.compile(r"(?<=\S\s)sticky[_-]\S*|(?<!\S)sticky[_-]\S*(?=\s+\S)", re.IGNORECASE)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNLIKELY_ROLES = frozenset(
     "navigation banner complementary contentinfo search alert alertdialog dialog menu menubar".split()
 )
@@ -63,13 +69,14 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
-_HIDDEN = re.compile(r"(^|\s)hidden(\s|/|$)")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(
+    r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
+)
 
 
 class Node:
     __slots__ = (
-        *("tag", "parent", "children", "names", "dropped"),
+        *("tag", "parent", "children", "names", "dropped", "doubtful"),
         # Characters right inside, all characters below, those in links, commas, points.
         *("own", "chars", "links", "commas", "score"),
     )
@@ -80,23 +87,34 @@ class Node:
         self.score = 0.0
         self.names = ""
         self.dropped = tag in SKIPPED
-        if attributes and not self.dropped:
+        # Dropped as well, unless the text of the page is in there.
+        self.doubtful = tag == "form"
+        if attributes and not self.dropped and tag not in ("html", "body"):
             self.names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-            self.dropped = self._unlikely(attributes)
-
-    def _unlikely(self, attributes: dict[str, str]) -> bool:
-        """Is the element hidden, or does its name say it's no part of the text?"""
-        if (
-            "hidden" in attributes
-            or attributes.get("aria-hidden") == "true"
-            or attributes.get("role", "").lower() in UNLIKELY_ROLES
-            or _NOT_SHOWN.search(attributes.get("style", ""))
-        ):
-            return True
-        if not self.names or self.tag in ("html", "body", "main"):
+            self.dropped = (
+                "hidden" in attributes
+                or attributes.get("aria-hidden") == "true"
+                or attributes.get("role", "").lower() in UNLIKELY_ROLES
+                or _NOT_SHOWN.search(attributes.get("style", "")) is not None
+            )
+            self.doubtful |= self._unlikely()
+
+    def _unlikely(self) -> bool:
+        """Do the names say that the element is no part of the text?"""
+        if not self.names or self.tag == "main":
             return False
-        unlikely = UNLIKELY_ARTICLE if self.tag == "article" else UNLIKELY
-        return unlikely.search(self.names) is not None
+        names = _STICKY.sub(" ", _HAS.sub(" ", self.names))
+        if self.tag == "article" or self.tag in HEADINGS:
+            return UNLIKELY_ARTICLE.search(names) is not None
+        if UNLIKELY.search(names) is None:
+            return False
+        return UNLIKELY.search(OWN_PARTS.sub(" ", names)) is not None or not self.inside("article")
+
+    def inside(self, *tags: str) -> bool:
+        up = self.parent
+        while up is not None and up.tag not in tags:
+            up = up.parent
+        return up is not None
 
 
 def parse(page: str) -> Node:
@@ -128,11 +146,9 @@ def parse(page: str) -> Node:
         rest = found["rest"]
         attributes = (
             {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)}
-            if "=" in rest
+            if rest
             else {}
         )
-        if rest and _HIDDEN.search(rest):
-            attributes["hidden"] = ""
         child = Node(tag, node, attributes)
         node.children.append(child)
         if tag in RAW:
@@ -188,6 +204,82 @@ def text_of(node: Node) -> str:
     return " ".join("".join(_pieces(node)).split())
 
 
+def _foreign(node: Node) -> bool:
+    """Does the element call itself comments, adverts or the like?"""
+    return node.doubtful and UNLIKELY_ARTICLE.search(_HAS.sub(" ", node.names)) is not None
+
+
+def _drop_doubtful(root: Node) -> None:
+    """Drops the doubtful elements, but not those that the text of the page is in: its
+    article or main (the one with most points), or most of the points of all paragraphs
+    with no article or main elsewhere. Foreign elements stay only if there is no other
+    article and not as much text elsewhere, or no other text at all."""
+    nodes, ups = [root], [-1]
+    own, commas = [], []
+    for k, node in enumerate(nodes):  # grows as it goes
+        texts = [x for x in node.children if isinstance(x, str)]
+        own.append(sum(len(w) for x in texts for w in x.split()))
+        commas.append(sum(x.count(",") for x in texts))
+        for child in node.children:
+            if not isinstance(child, str) and not child.dropped:
+                nodes.append(child)
+                ups.append(k)
+    if not any(x.doubtful for x in nodes):
+        return
+    foreign = [_foreign(x) for x in nodes]
+    chars, links = list(own), [0] * len(nodes)
+    # Points below, those of them in foreign elements, articles and mains below.
+    points, odd, stands = [0.0] * len(nodes), [0.0] * len(nodes), [0] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        node, up = nodes[k], ups[k]
+        if node.tag == "a":
+            links[k] = chars[k]
+        if chars[k]:
+            plain = 1 - links[k] / chars[k]
+            if node.tag in PARAGRAPHS:
+                points[k] += (1 + commas[k] + min(chars[k] / 100, 3)) * plain
+            elif node.tag in CONTAINERS and own[k]:
+                points[k] += (1 + min(own[k] / 100, 3)) * plain
+        if foreign[k]:
+            odd[k] = points[k]
+        if up >= 0:
+            chars[up] += chars[k]
+            links[up] += links[k]
+            commas[up] += commas[k]
+            points[up] += points[k]
+            odd[up] += odd[k]
+            stands[up] += stands[k] + (_standing(node) and chars[k] > 0)
+    within, around = [False] * len(nodes), [0] * len(nodes)
+    best: dict[str, tuple] = {}
+    for k, node in enumerate(nodes):
+        if k:
+            within[k] = within[ups[k]] or foreign[k]
+            around[k] = around[ups[k]] + _standing(nodes[ups[k]])
+        if _standing(node) and chars[k] and not node.inside("article"):
+            best[node.tag] = max(best.get(node.tag, (False, -1.0, 0)), (not within[k], points[k], -k))
+    holds = set()
+    for _, _, k in best.values():
+        k = -k
+        while k >= 0:
+            holds.add(k)
+            k = ups[k]
+    for k, node in enumerate(nodes):
+        if not node.doubtful:
+            continue
+        alone = stands[0] - stands[k] - around[k] <= 0
+        if foreign[k]:
+            rest = points[0] - points[k]
+            keep = points[k] > 0 and (rest < 1e-9 or (k in holds and alone and points[k] > rest))
+        else:
+            mine = points[k] - odd[k]
+            keep = k in holds or (alone and mine > points[0] - odd[0] - mine)
+        node.dropped = not keep
+
+
+def _standing(node: Node) -> bool:
+    return node.tag in ("article", "main") and not node.doubtful
+
+
 def _scored(root: Node) -> list[Node]:
     """The containers that paragraphs passed points to, links discounted."""
     nodes = [root]
@@ -235,6 +327,7 @@ def _link_density(node: Node) -> float:
 def main_text(page: str | None) -> str:
     """The text of the best container and of siblings like it, blocks in page order."""
     root = parse(page or "")
+    _drop_doubtful(root)
     scored = _scored(root)
     if not scored:
         return text_of(root)

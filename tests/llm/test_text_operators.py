@@ -217,6 +217,44 @@ def test_main_text(body, text):
     assert html.main_text(PAGE.format(body=body)) == text
 
 
+WORDS = "The first words, and more of them, stand here. They go on, and then they end."
+KEPT = [
+    '<article data-title="The hidden cost of war"><p>{}</p></article>',
+    '<main title=" hidden "><p>{}</p></main>',
+    "<div title='a hidden gem'><article><p>{}</p></article></div>",
+    '<div class="layout has-sidebar"><article><p>{}</p></article></div>',
+    '<div class="site-content sticky-header"><p>{}</p></div>',
+    '<div class="content with-comments"><p>{}</p></div>',
+    '<div class="sidebar-layout"><article><p>{}</p></article></div>',
+    '<div id="search"><main><p>{}</p></main></div>',
+    '<div class="header-wide"><p>{}</p><p>And more, and more, and more, and more of them, and more, to be sure.</p></div>',
+    '<article><h2 class="section-header">{}</h2><p>Then, more.</p></article>',
+    '<article><section class="legal"><p>{}</p></section><p>Then, more.</p></article>',
+    '<form id="page"><article><p>{}</p></article></form>',
+]
+
+
+@pytest.mark.parametrize("body", KEPT)
+def test_the_text_is_not_dropped_with_what_it_is_in(body):
+    found = html.main_text(PAGE.format(body=body.format(WORDS)))
+    assert found.startswith(WORDS) and "cookies" not in found and "Great text" not in found
+    assert html.main_text(f"<html><body>{body.format(WORDS)}</body></html>") == found
+
+
+def test_body_is_not_hidden_by_a_value():
+    assert html.main_text(f'<body data-a="all hidden here"><p>{WORDS}</p></body>') == WORDS
+    assert html.main_text(f"<article><p>{WORDS}</p><p hidden=''>No.</p><p HIDDEN>No.</p></article>") == WORDS
+
+
+def test_comments_longer_than_the_article_are_dropped():
+    comments = "".join(f"<p>Comment {k}, long, and longer, said somebody, again.</p>" for k in range(30))
+    for name in ("comments", "related", "sidebar"):
+        page = f'<body><article><p>{WORDS}</p></article><div class="{name}">{comments}</div></body>'
+        assert html.main_text(page) == WORDS
+    page = f'<body><article><p>{WORDS}</p><div class="related"><article><p>{WORDS}</p></article></div></article>'
+    assert html.main_text(page) == WORDS
+
+
 def test_broken_pages():
     for page in ("", None, "<", "<p", "a < b", "</p></div>", "<script>x", "<!-- x", "<p a='", "&am", "<a>" * 2000):
         assert isinstance(html.main_text(page), str)
