@@ -2,8 +2,9 @@
 
 Every paragraph passes points for its length and its commas to its ancestors, fewer the
 further up; a container's points are discounted by the share of its text that is links.
-The best container and those of its siblings that are like it are kept, without what their
-tags or names mark as menus, adverts, forms or comments.
+An article or main around the best container is kept with those of its siblings that are like
+it; on pages without one, all that holds text and isn't mostly links is kept. What tags or names
+mark as menus, adverts, forms or comments is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl dt table th figure figcaption caption address".split())
 CONTAINERS = frozenset("article main section div body td".split())
 # A new paragraph or block ends an open paragraph.
 ENDS_PARAGRAPH = frozenset(
@@ -62,6 +64,9 @@ UNLIKELY_ROLES = frozenset(
     "navigation banner complementary contentinfo search alert alertdialog dialog menu menubar".split()
 )
 
+# What holds a larger share of links is no text by itself.
+MAX_LINKS = 0.25
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
@@ -78,13 +83,14 @@ class Node:
     __slots__ = (
         *("tag", "parent", "children", "names", "dropped", "doubtful"),
         # Characters right inside, all characters below, those in links, commas, points.
-        *("own", "chars", "links", "commas", "score"),
+        *("own", "chars", "links", "commas", "score", "holds"),
     )
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.children = tag, parent, []
         self.own = self.chars = self.links = self.commas = 0
         self.score = 0.0
+        self.holds = False  # paragraphs, lists or tables with text
         self.names = ""
         self.dropped = tag in SKIPPED
         # Dropped as well, unless the text of the page is in there.
@@ -294,7 +300,9 @@ def _scored(root: Node) -> list[Node]:
     for node in reversed(nodes):
         if node.tag == "a":
             node.links = node.chars
+        node.holds |= node.chars > 0 and (node.tag in PARAGRAPHS or node.tag in LISTS)
         if node.parent is not None:
+            node.parent.holds |= node.holds
             node.parent.chars += node.chars
             node.parent.links += node.links
             node.parent.commas += node.commas
@@ -324,8 +332,72 @@ def _link_density(node: Node) -> float:
     return node.links / node.chars if node.chars else 1.0
 
 
+def _is_prose(text: str, density: float) -> bool:
+    """Is it long and mostly not links, or a sentence without links?"""
+    return (len(text) > 80 and density < MAX_LINKS) or (
+        bool(text) and density == 0 and re.search(r"[.!?…]($|\s)", text) is not None
+    )
+
+
+def _run_text(run: list, linked: bool) -> str:
+    """Text of neighbouring strings and inline elements, if it is not mostly links; in a
+    part that is ``linked``, if it is prose."""
+    held = Node("span", None, {})
+    held.children = run
+    text = text_of(held)
+    chars = sum(len(w) for w in text.split())
+    links = sum(x.links for x in run if isinstance(x, Node))
+    density = links / chars if chars else 1.0
+    return text if density < MAX_LINKS and (not linked or _is_prose(text, density)) else ""
+
+
+def _around(root: Node, top: Node) -> list[str]:
+    """Texts of a container and of all other parts of the page that hold text and are not
+    mostly links, in page order. Of parts that are mostly links only the prose is taken."""
+    path, up = set(), top
+    while up is not None:
+        path.add(id(up))
+        up = up.parent
+    texts = []
+    stack: list[tuple[Node | list, bool]] = [(root, False)]
+    while stack:
+        part, linked = stack.pop()
+        if isinstance(part, list):
+            texts.append(_run_text(part, linked))
+            continue
+        if part is top:
+            texts.append(text_of(part))
+            continue
+        if id(part) not in path:
+            density = _link_density(part)
+            if part.holds and density < MAX_LINKS:
+                text = text_of(part)
+                if not linked or _is_prose(text, density):
+                    texts.append(text)
+                    continue
+            linked |= density >= MAX_LINKS
+        parts: list[Node | list] = []
+        run: list = []
+        for child in part.children:
+            if isinstance(child, Node) and child.dropped:
+                continue
+            if isinstance(child, str) or (
+                (child.tag in INLINE or child.tag in VOID) and id(child) not in path and not child.holds
+            ):
+                run.append(child)
+                continue
+            if run:
+                parts.append(run)
+                run = []
+            parts.append(child)
+        if run:
+            parts.append(run)
+        stack.extend((x, linked) for x in reversed(parts))
+    return texts
+
+
 def main_text(page: str | None) -> str:
-    """The text of the best container and of siblings like it, blocks in page order."""
+    """The text of the best container and of what goes with it, blocks in page order."""
     root = parse(page or "")
     _drop_doubtful(root)
     scored = _scored(root)
@@ -336,9 +408,9 @@ def main_text(page: str | None) -> str:
     while up is not None:  # a part of an article stands for all of it
         found[up.tag] = up
         up = up.parent
-    top = found.get("article") or found.get("main") or top
-    if top.parent is None:
-        return text_of(top)
+    if not found.keys() & {"article", "main"}:
+        return " ".join(x for x in _around(root, top) if x)
+    top = found.get("article") or found["main"]
     least = max(3.0, top.score * 0.2)
     kept = []
     for sibling in top.parent.children:
@@ -350,10 +422,8 @@ def main_text(page: str | None) -> str:
             if sibling.score + bonus >= least and sibling.score > 0:
                 kept.append(text_of(sibling))
             elif sibling.tag in PARAGRAPHS:
-                text, density = text_of(sibling), _link_density(sibling)
-                if (len(text) > 80 and density < 0.25) or (
-                    text and density == 0 and re.search(r"[.!?…]($|\s)", text)
-                ):
+                text = text_of(sibling)
+                if _is_prose(text, _link_density(sibling)):
                     kept.append(text)
     return " ".join(x for x in kept if x)
 

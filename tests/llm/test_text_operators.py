@@ -241,6 +241,32 @@ def test_the_text_is_not_dropped_with_what_it_is_in(body):
     assert html.main_text(f"<html><body>{body.format(WORDS)}</body></html>") == found
 
 
+LINKS = "<ul>" + "".join(f'<li><a href="/{k}">Entry {k}</a></li>' for k in range(9)) + "</ul>"
+LONG = "A first part, with words, and words, and words, goes on, and on, and on, and on. " * 3
+SEVERAL = [
+    # One long block sets no bar for the others.
+    (f"<div><p>{LONG}</p></div><div><p>Second, short.</p></div><div><p>Third part.</p></div><div>Fourth one.</div>",
+     f"{LONG}Second, short. Third part. Fourth one."),
+    ("<div><p>Short.</p></div><div><p>Also short.</p></div>", "Short. Also short."),
+    (f"<div><p>{LONG}</p></div><ul><li>One</li><li>Two</li></ul><ol><li>Three</li></ol>"
+     "<table><tr><th>Four</th><td>Five</td></tr></table><dl><dt>Six</dt><dd>Seven</dd></dl>"
+     "<figure><img src='x'><figcaption>Eight</figcaption></figure>",
+     f"{LONG}One Two Three Four Five Six Seven Eight"),
+    (f"<div>{LINKS}</div><h1>Head</h1><div><p>{LONG}</p></div><h2>More</h2><div><p>Last.</p></div>{LINKS}",
+     f"Head {LONG}More Last."),
+    # At every level; of a list of links only the prose.
+    (f"<div><div><p>{LONG}</p></div><div><p>Near.</p></div></div><div><div>{LINKS}<p>Far.</p></div></div>"
+     "Bare <b>text</b>.<br><a href='/'>Up</a>",
+     f"{LONG}Near. Far. Bare text. Up"),
+]
+
+
+@pytest.mark.parametrize("body, text", SEVERAL)
+def test_main_text_in_several_parts(body, text):
+    found = html.main_text(f"<html><body><nav>No.</nav>{body}<footer>No.</footer></body></html>")
+    assert found == text
+
+
 def test_body_is_not_hidden_by_a_value():
     assert html.main_text(f'<body data-a="all hidden here"><p>{WORDS}</p></body>') == WORDS
     assert html.main_text(f"<article><p>{WORDS}</p><p hidden=''>No.</p><p HIDDEN>No.</p></article>") == WORDS
