@@ -92,7 +92,7 @@ def _pack(capacity: int):
             return [None if pd.isna(x) else x for x in rows[name]]
 
         lengths = rows["n_tokens"].tolist()
-        placed = best_fit(lengths, _bits(plain("source"), plain("cluster")), capacity)
+        placed = best_fit(lengths, _bits(*map(plain, ("source", "cluster", "near"))), capacity)
         bins = pd.Series([b for b, _ in placed], index=rows.index, dtype="int64")
         fill = rows["n_tokens"].groupby(bins).transform("sum")
         return rows.assign(
@@ -111,6 +111,7 @@ def packed(
     source_column: str = "source",
     length: Column | None = None,
     cluster: Column | None = None,
+    near: DataFrame | None = None,
     capacity: int = CAPACITY,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
@@ -119,7 +120,8 @@ def packed(
     A bin holds ``capacity`` tokens, and no two documents of one source or one cluster. A
     document longer than a bin is cut into pieces that fill a bin each, and a rest that is
     packed like a document. ``length`` defaults to ``token_estimate``, ``cluster`` to the
-    digest of the text, so copies never share a bin. Source, cluster and text may be NULL,
+    digest of the text, so copies never share a bin. ``near`` is a table (id, component_id) of
+    near copies, which share none either; ids it doesn't name have none. Source, cluster and text may be NULL,
     which conflicts with nothing; an empty text takes one token and is in no cluster; a row
     without length takes one token. Repeated rows are placed one by one. No rows give no rows.
     """
@@ -134,6 +136,14 @@ def packed(
         # Written down once, so a row keeps its number whatever is computed again.
         F.monotonically_increasing_id().alias("row"),
     )
+    if near is None:
+        items = items.withColumn("near", F.lit(None).cast("bigint"))
+    else:
+        named = near.select(
+            col(id_column).cast("bigint").alias("id"), F.col("component_id").alias("near")
+        )
+        named = named.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("near").alias("near"))
+        items = items.join(named, "id", "left")
     items = written(
         items.withColumn(
             "piece",

@@ -79,8 +79,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of all documents in sequences of 2048 tokens."""
-    return packed(table(spark, sf_dir, "documents"))
+    """Places of all documents in sequences of 2048 tokens, near copies apart."""
+    docs = table(spark, sf_dir, "documents")
+    return packed(docs, near=near_duplicates(docs))
 
 
 @query

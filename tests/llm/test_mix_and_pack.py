@@ -184,6 +184,21 @@ def test_packing_odd_rows(spark):
     assert packed(df.limit(0)).collect() == []
 
 
+def test_near_copies_do_not_share_a_bin(spark, tmp_path):
+    words = [f"word{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:59], f"last{k}"]) + " " * (k % 2), f"s{k}") for k in range(12)]
+    rows += [(20 + k, f"other text {k}", f"t{k}") for k in range(12)]
+    # Copies also stay apart where only one of them has an id.
+    rows += [(None, rows[0][1], "u1"), (None, "!!!", "u2"), (40, "!!!", "u3")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op8_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    bins = {(r["doc_id"], r["source"]): r["bin_id"] for r in found}
+    assert len({bins[k, f"s{k}"] for k in range(12)}) == 12
+    assert bins[None, "u1"] != bins[0, "s0"] and bins[None, "u2"] != bins[40, "u3"]
+
+
 def test_pipeline_against_brute_force(spark, docs):
     stages = corpus_pipeline.STAGES
     assert [name for name, _ in stages] == ["quality rules", "minhash near-dedup", "source mixing", "best-fit packing"]
