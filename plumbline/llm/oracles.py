@@ -252,6 +252,43 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
 FROM all_of
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')"
+
+OP12 = f"""
+WITH docs AS (
+    SELECT doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL
+), lengths AS (
+    SELECT doc_id, len(ts)::BIGINT AS n FROM docs WHERE len(ts) > 0
+), corpus AS (
+    SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_all FROM lengths
+), asked AS (
+    SELECT item_id, term, count(*)::BIGINT AS times
+    FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL)
+    GROUP BY ALL
+), held AS (
+    SELECT doc_id, term, count(*)::BIGINT AS tf
+    FROM (SELECT doc_id, unnest(ts) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM held, corpus GROUP BY term, n_docs
+), parts AS (
+    SELECT doc_id, term, w * ((1000000000 * tf)
+               // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_all))) AS part
+    FROM held JOIN weights USING (term) JOIN lengths USING (doc_id), corpus
+), scores AS (
+    SELECT item_id, doc_id, sum(times * part)::BIGINT AS score
+    FROM asked JOIN parts USING (term) GROUP BY ALL
+), best AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER
+               AS rank, doc_id, score
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc_revisits": OP1,
     "op2_vantage_point_neighbours": OP2,
@@ -260,4 +297,5 @@ ORACLES: dict[str, str] = {
     "op6_poisson_mixing": OP6,
     "op7_url_filter": OP7,
     "op10_quality_rules": OP10,
+    "op12_ranked_search": OP12,
 }

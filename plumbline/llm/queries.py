@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import html, quality, urls
+from plumbline.llm import crf, html, quality, urls
 from plumbline.llm.licenses import license_hits
 from plumbline.llm.mixing import mixed
 from plumbline.llm.names import unused
 from plumbline.llm.neardup import near_duplicates
 from plumbline.llm.packing import packed
+from plumbline.llm.ranking import ranked
 from plumbline.llm.ring import sharded
+from plumbline.llm.runs import looped, periodic_runs
 from plumbline.llm.vptree import nearest
 from plumbline.llm.warc import archived
 
@@ -101,6 +103,60 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a field over its lines fitted to labelled documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return crf.quality(docs, labels).select(
+        "doc_id",
+        crf.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents for every benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document; a tenth of them are made to end in a loop."""
+    rows = periodic_runs(looped(table(spark, sf_dir, "documents")))
+    best = F.array_max(
+        F.transform(
+            "runs",
+            lambda r: F.struct(
+                r["length"].alias("length"),
+                (-r["start"]).alias("start"),
+                (-r["period"]).alias("period"),
+            ),
+        )
+    )
+    listed = F.array_join(
+        F.transform(
+            "runs",
+            lambda r: F.concat(
+                F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")
+            ),
+        ),
+        "",
+    )
+    rows = rows.select("doc_id", "runs", "collapsed", best.alias("best"))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""

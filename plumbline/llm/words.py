@@ -12,30 +12,36 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+# Words are hashed in pieces of this size, whatever the length of a text or word.
+PIECE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 # Odd, so it has an inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
 
 
-def blocks(texts: list[str | None], lower: bool = False) -> Iterator[tuple[int, int, list[bytes]]]:
+def blocks(texts: pa.Array | list, lower: bool = False) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first, last, texts as bytes) of runs of about BLOCK_BYTES; NULL counts as empty.
-    ``lower`` changes A-Z only."""
-    first, size, held = 0, 0, []
-    for i, text in enumerate(texts):
-        data = (text or "").encode("utf-8", "surrogatepass")
-        held.append(data.lower() if lower else data)
-        size += len(data) + 1
-        if size >= BLOCK_BYTES:
-            yield first, i + 1, held
-            first, size, held = i + 1, 0, []
-    if held:
-        yield first, len(texts), held
+    ``lower`` changes A-Z only. Only one run at a time becomes Python objects."""
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    column = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64) + 1)
+    first = 0
+    while first < len(column):
+        before = ends[first - 1] if first else 0
+        last = min(int(np.searchsorted(ends, before + BLOCK_BYTES)) + 1, len(column))
+        run = column.slice(first, last - first).to_pylist()
+        yield first, last, [(x or b"").lower() if lower else x or b"" for x in run]
+        first = last
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,12 +55,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, inverse, np.uint64)
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64, for one piece of a block."""
+    up = np.full(PIECE_BYTES, _BASE, np.uint64)
+    down = np.full(PIECE_BYTES, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
@@ -75,13 +80,22 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word, the same in any block."""
-        n = 1 << max(20, int(len(self.data)).bit_length())
-        up, down = _powers(n)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(
-            (self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:]
-        )
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        up, down = _powers()
+        out = np.zeros(len(self.starts), np.uint64)
+        for at in range(0, len(self.data), PIECE_BYTES):
+            piece = self.data[at : at + PIECE_BYTES]
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
+            first, last = np.searchsorted(self.starts, (at, at + len(piece)))
+            if first and self.ends[first - 1] > at:
+                # A word that began in an earlier piece goes on in this one.
+                end = min(int(self.ends[first - 1]) - at, len(piece))
+                shift = pow(_BASE, at - int(self.starts[first - 1]), 1 << 64)
+                out[first - 1 : first] += total[end : end + 1] * np.uint64(shift)
+            starts = self.starts[first:last] - at
+            ends = np.minimum(self.ends[first:last] - at, len(piece))
+            out[first:last] = (total[ends] - total[starts]) * down[starts]
+        return mix(out)
 
 
 def words_of(texts: list[bytes]) -> Words:
