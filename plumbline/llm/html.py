@@ -2,15 +2,16 @@
 
 Every paragraph passes points for its length and its commas to its ancestors, fewer the
 further up; a container's points are discounted by the share of its text that is links.
-An article or main around the best container is kept with those of its siblings that are like
-it; on pages without one, all that holds text and isn't mostly links is kept. What tags or names
-mark as menus, adverts, forms or comments is left out.
+An article or main around the best container stands for it. Beside it all that holds text is
+kept but lists of links: inside the main around it, or in the whole page if there is none.
+What tags or names mark as menus, adverts, forms or comments is left out.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
+from plumbline.llm.words import blocks
 
 # Elements by their part in a page (HTML living standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +66,8 @@ UNLIKELY_ROLES = frozenset(
     "navigation banner complementary contentinfo search alert alertdialog dialog menu menubar".split()
 )
 
+# Containers above a paragraph that get points from it.
+LEVELS = 8
 # What holds a larger share of links is no text by itself.
 MAX_LINKS = 0.25
 
@@ -81,7 +85,7 @@ _ATTRIBUTE = re.compile(
 
 class Node:
     __slots__ = (
-        *("tag", "parent", "children", "names", "dropped", "doubtful"),
+        *("tag", "parent", "children", "names", "dropped", "doubtful", "in_article", "container"),
         # Characters right inside, all characters below, those in links, commas, points.
         *("own", "chars", "links", "commas", "score", "holds"),
     )
@@ -91,6 +95,11 @@ class Node:
         self.own = self.chars = self.links = self.commas = 0
         self.score = 0.0
         self.holds = False  # paragraphs, lists or tables with text
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
+        # The nearest container above, or the root.
+        self.container = parent
+        if parent is not None and parent.parent is not None and parent.tag not in CONTAINERS:
+            self.container = parent.container
         self.names = ""
         self.dropped = tag in SKIPPED
         # Dropped as well, unless the text of the page is in there.
@@ -114,19 +123,22 @@ class Node:
             return UNLIKELY_ARTICLE.search(names) is not None
         if UNLIKELY.search(names) is None:
             return False
-        return UNLIKELY.search(OWN_PARTS.sub(" ", names)) is not None or not self.inside("article")
-
-    def inside(self, *tags: str) -> bool:
-        up = self.parent
-        while up is not None and up.tag not in tags:
-            up = up.parent
-        return up is not None
+        return UNLIKELY.search(OWN_PARTS.sub(" ", names)) is not None or not self.in_article
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Unclosed and misplaced tags end where HTML lets them."""
     root = node = Node("html", None, {})
     at, end = 0, len(page)
+    # How many elements of a name are open, so that a stray end tag needs no search.
+    opened: Counter = Counter()
+
+    def left(node: Node, until: Node) -> Node:
+        while node is not until:
+            opened[node.tag] -= 1
+            node = node.parent
+        return node
+
     while at < end:
         found = _TOKEN.search(page, at)
         cut = found.start() if found else end
@@ -140,15 +152,15 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if found["close"]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = left(node, up.parent)
             continue
         if tag == "html":
             continue
-        node = _closed(node, tag)
+        node = left(node, _closed(node, tag))
         rest = found["rest"]
         attributes = (
             {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)}
@@ -168,6 +180,7 @@ def parse(page: str) -> Node:
                 at = end
         elif tag not in VOID and not rest.endswith("/"):
             node = child
+            opened[tag] += 1
     return root
 
 
@@ -261,7 +274,7 @@ def _drop_doubtful(root: Node) -> None:
         if k:
             within[k] = within[ups[k]] or foreign[k]
             around[k] = around[ups[k]] + _standing(nodes[ups[k]])
-        if _standing(node) and chars[k] and not node.inside("article"):
+        if _standing(node) and chars[k] and not node.in_article:
             best[node.tag] = max(best.get(node.tag, (False, -1.0, 0)), (not within[k], points[k], -k))
     holds = set()
     for _, _, k in best.values():
@@ -316,13 +329,14 @@ def _scored(root: Node) -> list[Node]:
             up = node
         else:
             continue
-        level = 0
-        while up is not None:
-            if up.tag in CONTAINERS or up.parent is None:
-                up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                scored[id(up)] = up
-                level += 1
-            up = up.parent
+        if up.tag not in CONTAINERS and up.parent is not None:
+            up = up.container
+        for level in range(LEVELS):
+            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            scored[id(up)] = up
+            up = up.container
+            if up is None:
+                break
     for node in scored.values():
         node.score *= 1 - _link_density(node)
     return list(scored.values())
@@ -365,11 +379,14 @@ def _around(root: Node, top: Node) -> list[str]:
         if isinstance(part, list):
             texts.append(_run_text(part, linked))
             continue
-        if part is top:
+        if part is top and part is not root:
             texts.append(text_of(part))
             continue
         if id(part) not in path:
             density = _link_density(part)
+            if part.tag == "p" and not linked:
+                texts.append(text_of(part))  # a reference, not an entry of a list
+                continue
             if part.holds and density < MAX_LINKS:
                 text = text_of(part)
                 if not linked or _is_prose(text, density):
@@ -397,35 +414,19 @@ def _around(root: Node, top: Node) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    """The text of the best container and of what goes with it, blocks in page order."""
+    """The text of the best container and of what stands beside it, blocks in page order."""
     root = parse(page or "")
     _drop_doubtful(root)
     scored = _scored(root)
     if not scored:
         return text_of(root)
-    top = up = max(scored, key=lambda n: n.score)
-    found = {}
-    while up is not None:  # a part of an article stands for all of it
-        found[up.tag] = up
+    for tags in (("article",), ("main",), CONTAINERS | {"html"}):
+        if like := [n for n in scored if n.tag in tags and not n.in_article]:
+            break
+    top = up = max(like or scored, key=lambda n: n.score)
+    while up is not None and up.tag != "main":
         up = up.parent
-    if not found.keys() & {"article", "main"}:
-        return " ".join(x for x in _around(root, top) if x)
-    top = found.get("article") or found["main"]
-    least = max(3.0, top.score * 0.2)
-    kept = []
-    for sibling in top.parent.children:
-        if sibling is top:
-            kept.append(text_of(top))
-        elif isinstance(sibling, Node) and not sibling.dropped:
-            alike = sibling.names and sibling.names == top.names
-            bonus = top.score * 0.2 if alike else 0.0
-            if sibling.score + bonus >= least and sibling.score > 0:
-                kept.append(text_of(sibling))
-            elif sibling.tag in PARAGRAPHS:
-                text = text_of(sibling)
-                if _is_prose(text, _link_density(sibling)):
-                    kept.append(text)
-    return " ".join(x for x in kept if x)
+    return " ".join(x for x in _around(up or root, top) if x)
 
 
 def extracted(
@@ -436,22 +437,24 @@ def extracted(
 ) -> DataFrame:
     """(id, url, text, n_chars) of each row: its main text and how many code points it has.
 
-    NULL and empty pages, and pages without text, give an empty text. NULL ids and urls stay
+    NULL and empty pages, and pages without text, give an empty text. Pages of any length and
+    depth are read whole, in time that grows with their length. NULL ids and urls stay
     NULL, repeated rows give equal rows, no rows none; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(texts, pa.string()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                ],
-                ["id", "url", "text", "n_chars"],
-            )
+            for first, last, data in blocks(batch.column(2)):
+                texts = [main_text(x.decode("utf-8", "replace")) for x in data]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, last - first),
+                        batch.column(1).slice(first, last - first),
+                        pa.array(texts, pa.string()),
+                        pa.array([len(t) for t in texts], pa.int64()),
+                    ],
+                    ["id", "url", "text", "n_chars"],
+                )
 
     rows = pages.select(
         col(id_column).cast("bigint").alias("id"),

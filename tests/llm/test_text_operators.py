@@ -1,6 +1,8 @@
 """Quality rules, license scans, url filters and main text on small inputs."""
 
+import random
 import re
+import time
 
 import pytest
 
@@ -296,3 +298,84 @@ def test_main_text_rows(spark):
     one = (1, "u", BODIES[0][1], len(BODIES[0][1]))
     assert found == sorted([one, one, (None, None, "", 0), (3, "v", "", 0)], key=str)
     assert html.extracted(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<article><p>Second short.</p></article>", "Second short."),
+        ("<ul><li>one<li>two</ul>", "one two"),
+        ("<table><tr><td>cell<td>other</table>", "cell other"),
+        ("<section><h2>End</h2><p>So be it.</p></section>", "End So be it."),
+        ("<h1>Title above</h1>", "Title above"),
+        ("<p><a href='x'>A reference to it</a></p>", "A reference to it"),
+        ("<ul><li><a href='1'>link</a><li><a href='2'>more</a></ul>", ""),
+        ("<div class='ad'>Buy.</div>", ""),
+        ("<nav><p>Go home.</p></nav>", ""),
+    ],
+)
+@pytest.mark.parametrize("frame", ["<main>{}</main><div>x</div>", "<body>{}</body>"])
+def test_parts_beside_the_article(frame, part, text):
+    story = "A long story, with commas, that goes on for a while and then ends."
+    page = frame.format(part + f"<article><p>{story}</p></article>" + part)
+    left = "" if "<main>" in frame else " x"
+    assert html.main_text(page).removesuffix(left) == " ".join(x for x in (text, story, text) if x)
+
+
+def test_main_text_in_linear_time():
+    for page in ("<div><p>" * 130_000 + "x", "<i>" * 300_000 + "x", "<div>" * 5000 + "</b>" * 100_000):
+        start = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - start < 20
+
+
+def brute_points(page):
+    """Points of each container, from the definition, over a tree of tuples (tag, children)."""
+    sums = {}
+
+    def below(node):
+        text = "".join(x if isinstance(x, str) else below(x) for x in node[1])
+        return text
+
+    def visit(node, ups):
+        if node[0] == "p":
+            text = below(node)
+            points = 1 + text.count(",") + min(sum(map(len, text.split())) / 100, 3)
+            for level, up in enumerate(u for u in reversed(ups) if u[0] in ("div", "html")):
+                share = 1 if level == 0 else 2 if level == 1 else 3 * level
+                sums[id(up)] = sums.get(id(up), 0.0) + points / share
+        for child in node[1]:
+            if not isinstance(child, str):
+                visit(child, [*ups, node])
+
+    visit(page, [])
+    return sums
+
+
+def test_points_against_the_definition():
+    pick = random.Random(4)
+
+    def tree(depth):
+        kind = pick.choice(["div", "p", "span"]) if depth else "p"
+        if kind == "p":
+            return "p", ["word, " * pick.randrange(1, 60)]
+        return kind, [tree(depth - 1) for _ in range(pick.randrange(1, 4))]
+
+    def markup(node):
+        inner = "".join(x if isinstance(x, str) else markup(x) for x in node[1])
+        return f"<{node[0]}>{inner}</{node[0]}>"
+
+    def containers(node):
+        if not isinstance(node, str):
+            if (node.tag if hasattr(node, "tag") else node[0]) in ("div", "html"):
+                yield node
+            for child in node.children if hasattr(node, "tag") else node[1]:
+                yield from containers(child)
+
+    for _ in range(60):
+        page = ("html", [("div", [tree(4) for _ in range(pick.randrange(1, 4))])])
+        points = brute_points(page)
+        root = html.parse(markup(page))
+        html._scored(root)
+        found = [round(n.score, 6) for n in containers(root)]
+        assert found == [round(points.get(id(n), 0.0), 6) for n in containers(page)]
