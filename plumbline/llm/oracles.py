@@ -230,7 +230,9 @@ WITH w AS (
                AND NOT regexp_matches(line, {_text(quality.CLOSED)}))
            OR coalesce(list_sum(list_transform(
                range(1, len(ws)), lambda i: (ws[i] = ws[i + 1])::INTEGER)), 0) * 4 > len(ws)
-           OR regexp_matches(line, {_text('|'.join(quality.BOILERPLATE))}, 'i') AS fails
+           OR coalesce(list_sum(list_transform(
+               regexp_extract_all(line, {_text('|'.join(quality.BOILERPLATE))}, 0, 'i'),
+               lambda x: len(regexp_extract_all(x, '{_WORD}')))), 0) * 4 > len(ws) AS fails
     FROM lines WHERE len(ws) > 0
 ), lost AS (
     SELECT doc_id, count(*) - count(DISTINCT line) AS dups, sum(chars) AS chars,
