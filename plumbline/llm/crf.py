@@ -340,33 +340,34 @@ class _Descent:
 
 
 def fit(
-    labelled: DataFrame,
-    label_column: str = "label",
+    docs: DataFrame,
+    marks: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
     max_docs: int = TRAINING_DOCS,
     steps: int = STEPS,
 ) -> np.ndarray:
-    """Weights of the field, from documents labelled 0 or 1.
+    """Weights of the field, from ``marks`` (id, label), labels being 0 or 1.
 
-    Takes the ``max_docs`` documents whose ids hash lowest, with their whole texts. Rows
-    without label or text are left out. Without rows all weights are 0, so every line is
+    Takes the ``max_docs`` marks whose ids hash lowest, with the whole texts of their
+    documents; rows equal in id and text count once. The marks go to the scan of the
+    documents, so no text leaves its task. Without rows all weights are 0, so every line is
     good with probability one half.
     """
-    rows = labelled.select(
-        F.xxhash64(col(id_column)).alias("place"),
-        col(label_column).cast("int").alias("label"),
-        col(text_column).alias("text"),
-    ).where(F.col("label").isin(0, 1) & F.col("text").isNotNull())
-    chosen = rows.orderBy("place", "label", F.xxhash64("text")).limit(max_docs)
+    marks = marks.select("id", "label", F.xxhash64("id").alias("place"))
+    chosen = marks.distinct().orderBy("place", "id", "label").limit(max_docs)
+    texts = docs.select(col(id_column).alias("id"), col(text_column).alias("text"))
     part = F.pmod("place", F.lit(GROUPS)).cast("bigint").alias("part")
     described = written(
-        chosen.select(part, "place", "label", "text")
+        texts.where(F.col("text").isNotNull())
+        .join(F.broadcast(chosen), "id")
+        .select(part, "place", "label", "text")
         .mapInArrow(
             _described, "part bigint, place bigint, label int, classes array<smallint>"
         )
+        .distinct()
         .repartition(GROUPS, "part")
-        .sortWithinPartitions("part", "place", "label"),
+        .sortWithinPartitions("part", "place", "label", "classes"),
         "lines",
     )
 
@@ -460,7 +461,6 @@ def quality(
     held out. Documents labelled both ways, or several times, count once for each label."""
     marks = labels.select(
         col(id_column).alias("id"), col(label_column).cast("int").alias("label")
-    ).where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
-    texts = docs.select(col(id_column).alias("id"), col(text_column).alias("text"))
-    weights = fit(texts.join(marks.distinct(), "id"), "label", "id", "text", max_docs)
+    ).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    weights = fit(docs, marks, id_column, text_column, max_docs)
     return scored(docs, weights, id_column, text_column)
