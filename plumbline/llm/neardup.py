@@ -91,7 +91,7 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for first, last, texts in blocks(batch.column(1).to_pylist(), lower=True):
+            for first, last, texts in blocks(batch.column(1), lower=True):
                 sets = shingle_sets(texts, width)
                 minima = np.array([_minima(s) for s in sets], np.uint32).reshape(-1, MINIMA)
                 keys = [
@@ -125,13 +125,16 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for first, last, texts in blocks(batch.column(1).to_pylist(), lower=True):
+            for first, last, texts in blocks(batch.column(1), lower=True):
                 sets = shingle_sets(texts, width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.ListArray.from_arrays(
+                            np.cumsum([0] + [len(s) for s in sets]).astype(np.int32),
+                            np.concatenate(sets).view(np.int64),
+                        ),
                         pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary()),
                     ],
                     ["id", "n", "held", "bitmap"],
@@ -175,28 +178,15 @@ def _most_unequal(percent: int) -> int:
     return math.floor(MINIMA * differ + DEVIATIONS * math.sqrt(MINIMA * differ * (1 - differ)))
 
 
-def _linked(percent: int):
-    """Keeps the pairs whose full sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("held_a"), batch.column("held_b")):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                t = np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) confirmed on full sets."""
+    """Pairs (a, b) confirmed on full sets; a row at a time, whatever the sets' sizes."""
+    both = F.size(F.array_intersect("held_a", "held_b"))
+    either = F.size("held_a") + F.size("held_b") - both
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("held_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("held").alias("held_b")), "b")
-        .mapInArrow(_linked(percent), "a bigint, b bigint")
+        .where((both > 0) & (both.cast("bigint") * 100 >= either.cast("bigint") * percent))
+        .select("a", "b")
         .distinct()
     )
 
@@ -396,7 +386,7 @@ def near_duplicates(
     ids = met.select("id").distinct()
     sets = written(
         source.join(ids, "id", "left_semi").mapInArrow(
-            _sets(width), "id bigint, n bigint, held binary, bitmap binary"
+            _sets(width), "id bigint, n bigint, held array<bigint>, bitmap binary"
         ),
         "sets",
     )
@@ -453,27 +443,36 @@ def one_of_each(
 ) -> DataFrame:
     """The documents without near duplicates of a kept one, with the columns they came with.
 
-    Of rows that share an id, the one that comes first by text stays. Rows without id stay.
+    Of each group the document with the smallest id stays, NULL last; of equal ids the one
+    that comes first by text. Rows that share an id, or have none, are told apart: each
+    stays unless it is a near duplicate itself. Of rows equal in id and text one stays,
+    also where the text is empty.
     """
-    groups = written(near_duplicates(docs, id_column, text_column, width, percent), "groups")
-    key = unused(docs, "named_id")
-    gone = groups.where(~F.col("kept")).select(col(id_column).alias(key))
-    repeated = (
-        groups.where(F.col("kept") & col(id_column).isNotNull())
-        .groupBy(col(id_column).alias(key))
-        .count()
-        .where(F.col("count") > 1)
-        .select(key)
-    )
-    same = col(id_column).cast("bigint") == F.col(key)
-    kept = docs.join(gone.unionByName(repeated).distinct(), same, "left_anti")
-    first = (
-        docs.join(repeated, same, "left_semi")
-        .groupBy(col(id_column))
-        .agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), text_first(text_column)).alias(key))
-        .select(f"{key}.*")
+    ids = docs.groupBy(col(id_column).alias("id")).count()
+    twice = ids.where((F.col("count") > 1) | F.col("id").isNull()).limit(1).count()
+    key = unused(docs, "row_number")
+    if not twice:
+        groups = near_duplicates(docs, id_column, text_column, width, percent)
+        gone = groups.where(~F.col("kept")).select(col(id_column).alias(key))
+        return docs.join(gone, col(id_column).cast("bigint") == F.col(key), "left_anti")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(rows, key, text_column, width, percent)
+    component = unused(rows, "component")
+    groups = groups.select(
+        F.col(key).alias("number"),
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).alias(component),
     )
-    return kept.unionByName(first)
+    named = rows.join(groups, F.col(key) == F.col("number")).drop("number")
+    of_all = F.xxhash64(*[col(c) for c in docs.columns])
+    text = text_first(text_column)
+    order = F.struct(col(id_column).isNull(), col(id_column), text, of_all, F.col(key))
+    full = named.where(F.col(component).isNotNull()).groupBy(component)
+    bare = named.where(F.col(component).isNull()).groupBy(col(id_column), text)
+    kept = full.agg(F.min_by(key, order).alias("number")).select("number")
+    blank = bare.agg(F.min_by(key, F.struct(of_all, F.col(key))).alias("number")).select("number")
+    return rows.join(
+        kept.unionByName(blank), F.col(key) == F.col("number"), "left_semi"
+    ).drop(key)
 
 
 def text_first(text_column: str) -> Column:

@@ -10,7 +10,7 @@ import re
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,23 +133,33 @@ _COUNTS = (
 )
 
 
-def counts_of(texts: pd.Series) -> pd.DataFrame:
+def _counts(texts: list[bytes]) -> list[pa.Array]:
+    words = words_of(texts)
+    lead = (words.data & 0xC0) != 0x80
+    spaces = (words.data == 32) | ((words.data >= 9) & (words.data <= 13))
+    lines = [cleaned(t.decode("utf-8", "surrogatepass")) for t in texts]
+    return [
+        pa.array(words.counts),
+        pa.array(_per_text(lead & ~spaces, words.edges)),
+        pa.array(_per_text(_IS_SYMBOL[words.data], words.edges)),
+        pa.array([x[0] for x in lines], pa.int64()),
+        pa.array(_repeated_words(words)),
+        pa.array([x[1] for x in lines], pa.int64()),
+        pa.array([x[2] for x in lines], pa.int64()),
+        pa.array([x[3] for x in lines], pa.string()),
+    ]
+
+
+def counts_of(texts: pa.Array) -> pa.Array:
     """The counts of each text, and the text without its failed lines."""
-    texts = list(texts)
-    parts = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_repeat_words")}
-    for _, _, data in blocks(texts):
-        words = words_of(data)
-        lead = (words.data & 0xC0) != 0x80
-        spaces = (words.data == 32) | ((words.data >= 9) & (words.data <= 13))
-        parts["n_words"].append(words.counts)
-        parts["word_chars"].append(_per_text(lead & ~spaces, words.edges))
-        parts["n_symbols"].append(_per_text(_IS_SYMBOL[words.data], words.edges))
-        parts["n_repeat_words"].append(_repeated_words(words))
-    out = {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in parts.items()}
-    lines = [cleaned(t) for t in texts]
-    for k, name in enumerate(("n_dup_lines", "line_chars", "lost_chars", "cleaned")):
-        out[name] = [x[k] for x in lines]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _COUNTS.split(", ")])
+    names = [c.split()[0] for c in _COUNTS.split(", ")]
+    kinds = [pa.int64()] * (len(names) - 1) + [pa.string()]
+    parts = [_counts(data) for _, _, data in blocks(texts)]
+    columns = [
+        pa.concat_arrays([p[k] for p in parts]) if parts else pa.array([], kinds[k])
+        for k in range(len(names))
+    ]
+    return pa.StructArray.from_arrays(columns, names)
 
 
 def judged(
@@ -172,7 +182,9 @@ def judged(
     )
     lost = c["lost_chars"] * 100 > c["line_chars"] * max_lost_percent
     fields = [x.split()[0] for x in _COUNTS.split(", ")]
-    return docs.withColumn(raw, F.pandas_udf(counts_of, _COUNTS)(col(text_column))).select(
+    # Not to be run again where its result is filtered.
+    counts = F.arrow_udf(counts_of, _COUNTS).asNondeterministic()
+    return docs.withColumn(raw, counts(col(text_column))).select(
         *[col(x) for x in docs.columns],
         F.struct(
             *[c[x].alias(x) for x in fields],

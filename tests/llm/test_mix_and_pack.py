@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,10 +207,10 @@ def test_pipeline_against_brute_force(spark, docs):
 
     good = []
     for r in rows:
-        counts = quality.counts_of([r["text"]]).iloc[0]
-        failed = counts.n_words < 20 or counts.n_repeat_words * 100 > counts.n_words * 30
-        if not failed and counts.lost_chars * 100 <= counts.line_chars * 50:
-            text = r["text"] if counts.cleaned is None else counts.cleaned
+        counts = quality.counts_of(pa.array([r["text"]])).to_pylist()[0]
+        failed = counts["n_words"] < 20 or counts["n_repeat_words"] * 100 > counts["n_words"] * 30
+        if not failed and counts["lost_chars"] * 100 <= counts["line_chars"] * 50:
+            text = r["text"] if counts["cleaned"] is None else counts["cleaned"]
             good.append(r | {"text": text, "n_chars": len(text)})
     step = stages[0][1](spark, docs, FOLDER)
     assert step.columns == docs.columns

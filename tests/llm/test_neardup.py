@@ -104,10 +104,34 @@ def test_one_of_each_keeps_columns_and_clean_documents(spark):
     found = one_of_each(df)
     assert found.columns == df.columns
     assert sorted(map(tuple, found.collect()), key=str) == sorted(
-        [rows[0], rows[2], rows[4]], key=str
+        [rows[0], rows[2]], key=str
     )
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [
+        (1, "x y z", "a"), (1, text, "b"), (1, None, "c"), (1, None, "d"), (2, text + " more", "e"),
+        (None, "of its own", "f"), (None, "of its own", "g"), (None, "", "h"), (5, "", "i"), (3, " ", "j"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, id string")
+    found = sorted(map(tuple, one_of_each(df).drop("id").collect()), key=str)
+    assert found == sorted(
+        [(1, "x y z"), (1, text), (1, None), (None, "of its own"), (None, ""), (5, ""), (3, " ")], key=str
+    )
+    assert sorted(map(str, one_of_each(df.repartition(4)).collect())) == sorted(
+        map(str, one_of_each(df.repartition(3, "id")).collect())
+    )
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{k}" for k in range(1_000_000))
+    rows = [(1, long), (2, long + " and more"), (3, "z" * 3_000_000), (4, "z" * 3_000_000 + " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, width=2).collect()}
+    assert found == {1: (999_999, 1), 2: (1_000_001, 1), 3: (1, 3), 4: (1, 3)}
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_duplicates(df).collect() == [] and one_of_each(df).collect() == []
