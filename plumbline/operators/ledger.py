@@ -6,6 +6,8 @@ the ledger's numbering.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def register_new(
 
     The first row of each hash wins; a hash the ledger knows keeps its id there. The
     first is taken by aggregation, so a hash with many copies is combined before the
-    shuffle.
+    shuffle. A row without hash has no content to register and is left out.
     """
     rest = [c for c in batch.columns if c != content_hash]
     first = F.min_by(F.struct(*[col(c) for c in rest]), F.struct(col(order), col(tie)))
@@ -116,14 +118,15 @@ def model_rows(
     **ranges,
 ) -> DataFrame:
     """Model rows linked to experiments: promoted runs start in production, the rest
-    in development. ``promoted`` holds ``key`` and a boolean ``promoted``."""
-    start = last_id(ledger, "version_num")
+    in development. ``promoted`` holds ``key`` and a boolean ``promoted``. Ids and version
+    numbers both go on from the largest of the ledger."""
+    start, first = last_id(ledger, "version_num"), last_id(ledger)
     joined = experiments.join(
         promoted.select(col(key).alias("run_key"), "promoted"), "run_key", "left"
     )
     numbered = number_rows(joined, "id", "run_key", "_no", derived=True, **ranges)
     return numbered.select(
-        F.col("_no").alias("id"),
+        (F.col("_no") + F.lit(first)).alias("id"),
         (F.col("_no") + F.lit(start)).alias("version_num"),
         F.col("id").alias("experiment_id"),
         artifact.alias("artifact_path"),
@@ -167,6 +170,45 @@ def orphans(provenance: DataFrame, parents: dict[str, tuple[DataFrame, str]]) ->
     return found
 
 
+def refusals(
+    batch: DataFrame,
+    ledger: DataFrame | None = None,
+    unique: tuple[str, ...] = (),
+    parents: dict[str, tuple[DataFrame, str]] | None = None,
+) -> DataFrame:
+    """Why rows of a batch may not be appended to a ledger: ``rule, reference, key, n``.
+
+    ``repeated``: a value of a unique column that the batch holds n times; ``taken``: one
+    that the ledger has already; ``no_parent``: a reference that points nowhere. NULLs
+    break no rule. No rows mean that the batch is fine.
+    """
+    parts = []
+    for name in unique:
+        seen = batch.where(col(name).isNotNull()).groupBy(col(name).alias("_key")).agg(
+            F.count("*").alias("n")
+        )
+        rules = [("repeated", seen.where(F.col("n") > 1))]
+        if ledger is not None:
+            taken = ledger.select(col(name).alias("_key"))
+            rules.append(("taken", seen.join(taken, "_key", "left_semi")))
+        parts += [
+            found.select(
+                F.lit(rule).alias("rule"), F.lit(name).alias("reference"),
+                F.col("_key").cast("string").alias("key"), "n",
+            )
+            for rule, found in rules
+        ]
+    if parents:
+        parts.append(
+            orphans(batch, parents).select(
+                F.lit("no_parent").alias("rule"), "reference", F.col("missing_key").alias("key"), "n"
+            )
+        )
+    if not parts:
+        raise ValueError("nothing to check: no unique columns and no parents")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stage_moves(
     events: DataFrame, model: str, order: str, tie: str, stage: str = "stage",
     initial: str | None = DEVELOPMENT, **ranges,

@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.operators.ranges import (
-    ROWS_PER_RANGE,
-    add_ranges,
-    range_count,
-    sampled_quantiles,
-    split_points,
-)
+from plumbline.operators.ranges import CELL, ROWS_PER_RANGE, ordered_cells
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -96,8 +90,8 @@ def ranking_metrics(
 
     AUC is the rank sum with ties counted half; average precision is the step sum
     over falling scores. Rows are first counted per distinct score, so tied scores
-    cost one row; the scores are ordered in ranges of bounded size, and what a range
-    needs from the higher ones is one small row per (group, range). One class only
+    cost one row; the scores are cut into cells of bounded size along their order, and what
+    a cell needs from the higher ones is one small row per (group, cell). One class only
     gives a NULL AUC.
     """
     names = [f"_g{i}" for i in range(len(groups))]
@@ -106,33 +100,28 @@ def ranking_metrics(
         col(score).cast("double").alias("_s"),
         (col(label) == 1).alias("_pos"),
     ).where(F.col("_s").isNotNull() & F.col("_pos").isNotNull())
-    n_rows = rows.count()
-    n_ranges = range_count(n_rows, rows_per_range)
-    cuts = split_points(sampled_quantiles(rows, ["_s"], n_rows, n_ranges)["_s"])
-    per_score = (
-        add_ranges(rows, {"_s": cuts})
-        .where(F.col("_s_rng").isNotNull())
-        .groupBy(*names, "_s_rng", "_s")
-        .agg(F.count_if("_pos").alias("pos"), F.count_if(~F.col("_pos")).alias("neg"))
+    per_score = rows.groupBy(*names, "_s").agg(
+        F.count_if("_pos").alias("pos"), F.count_if(~F.col("_pos")).alias("neg")
     )
-    per_range = per_score.groupBy(*names, "_s_rng").agg(
+    per_score = ordered_cells(per_score, "_s", "_s", rows_per_range, derived=True)
+    per_range = per_score.groupBy(*names, CELL).agg(
         F.sum("pos").alias("r_pos"), F.sum("neg").alias("r_neg")
     )
     higher = (
         Window.partitionBy(*names)
-        .orderBy(F.desc("_s_rng"))
+        .orderBy(F.desc(CELL))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = per_range.select(
         *[F.col(n).alias(n + "k") for n in names],
-        F.col("_s_rng").alias("_rngk"),
+        F.col(CELL).alias("_rngk"),
         F.coalesce(F.sum("r_pos").over(higher), F.lit(0)).alias("above_pos"),
         F.coalesce(F.sum("r_neg").over(higher), F.lit(0)).alias("above_neg"),
     )
-    same = F.col("_s_rng") == F.col("_rngk")
+    same = F.col(CELL) == F.col("_rngk")
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(n + "k"))
-    falling = Window.partitionBy(*names, "_s_rng").orderBy(F.desc("_s"))
+    falling = Window.partitionBy(*names, CELL).orderBy(F.desc("_s"))
     at_pos = F.col("above_pos") + F.sum("pos").over(falling)
     at_neg = F.col("above_neg") + F.sum("neg").over(falling)
     pos, neg = F.col("pos"), F.col("neg")

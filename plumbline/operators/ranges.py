@@ -21,9 +21,6 @@ from plumbline.functions.columns import col
 from plumbline.sources.shared import written
 
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 65_536
-SAMPLE_PER_RANGE = 100
-MIN_SAMPLE = 20_000
 
 # Cells of a grid per column.
 GRID_CELLS = 4096
@@ -31,46 +28,11 @@ GRID_CELLS = 4096
 OVERSIZE = 5
 
 
-def range_count(n_rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
-    return max(1, min(MAX_RANGES, math.ceil(n_rows / rows_per_range)))
-
-
 def double_array(values: list[float]) -> Column:
     """Literal array of finite doubles."""
     return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
-def sampled_quantiles(
-    df: DataFrame, columns: list[str], n_rows: int, n_ranges: int, seed: int = 7
-) -> dict[str, list[float]]:
-    """Inner quantiles of a sample, duplicates kept (they reveal heavy values)."""
-    if n_ranges == 1 or not columns:
-        return {c: [] for c in columns}
-    probs = double_array([i / n_ranges for i in range(1, n_ranges)])
-    wanted = max(MIN_SAMPLE, SAMPLE_PER_RANGE * n_ranges)
-    if wanted < n_rows:
-        df = df.sample(fraction=wanted / n_rows, seed=seed)
-    long = df.unpivot([], columns, "c", "v")
-    rows = (
-        long.where(F.col("v").isNotNull())
-        .groupBy("c")
-        .agg(F.percentile_approx("v", probs, max(10_000, 20 * n_ranges)).alias("q"))
-        .collect()
-    )
-    found = {r["c"]: list(r["q"]) for r in rows}
-    return {c: found.get(c, []) for c in columns}
-
-
-def split_points(quantiles: list[float], extra: list[float] = ()) -> list[float]:
-    """Strictly ascending cut points. A value seen at two or more quantiles is
-    heavy and gets a range of its own."""
-    cuts = set(quantiles) | set(extra)
-    for a, b in zip(quantiles, quantiles[1:]):
-        if a == b:
-            cuts.add(math.nextafter(a, math.inf))
-    return sorted(c for c in cuts if math.isfinite(c))
-
-
 def add_ranges(df: DataFrame, splits: dict[str, list[float]], suffix: str = "_rng") -> DataFrame:
     """Range number (0-based) of each column; NULL for a NULL value."""
     cut = {c: s for c, s in splits.items() if s}

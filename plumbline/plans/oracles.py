@@ -434,6 +434,22 @@ SELECT snapshot_id, content_hash AS snapshot_hash, doc_id, dataset_id FROM s JOI
     "model_versions": f"""WITH {REPLAY} SELECT row_number() OVER (ORDER BY ts, event_id) AS id,
   row_number() OVER (ORDER BY ts, event_id) AS version_num, row_number() OVER (ORDER BY ts, event_id) AS experiment_id,
   'models/' || event_id AS artifact_path, CASE WHEN promoted THEN 'production' ELSE 'development' END AS stage FROM rep""",
+    "model_versions_appended": f"""WITH {REPLAY}, k AS (SELECT count(*) AS n FROM rep WHERE event_id % 3 = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS no FROM rep WHERE event_id % 3 <> 0)
+SELECT 100 + n + no AS id, n + no AS version_num, n + no AS experiment_id, 'models/' || event_id AS artifact_path,
+  CASE WHEN promoted THEN 'production' ELSE 'development' END AS stage FROM r, k""",
+    "refused_rows": """WITH b AS (SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT'),
+f AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), c AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+SELECT 'repeated' AS rule, 'o_orderkey' AS reference, CAST(o_orderkey AS VARCHAR) AS key, count(*) AS n
+FROM b WHERE o_orderkey IS NOT NULL GROUP BY o_orderkey HAVING count(*) > 1
+UNION ALL SELECT 'taken', 'o_orderkey', CAST(o_orderkey AS VARCHAR), count(*) FROM b
+WHERE o_orderkey IN (SELECT o_orderkey FROM f) GROUP BY o_orderkey
+UNION ALL SELECT 'repeated', 'o_custkey', CAST(o_custkey AS VARCHAR), count(*) FROM b
+WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(*) > 1
+UNION ALL SELECT 'taken', 'o_custkey', CAST(o_custkey AS VARCHAR), count(*) FROM b
+WHERE o_custkey IN (SELECT o_custkey FROM f) GROUP BY o_custkey
+UNION ALL SELECT 'no_parent', 'o_custkey', CAST(o_custkey AS VARCHAR), count(*) FROM b
+WHERE o_custkey NOT IN (SELECT c_custkey FROM c) GROUP BY o_custkey""",
     "duplicate_versions": "SELECT user_id AS version_num, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1",
     "version_numbers": "SELECT o_orderkey, 1000 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS version_num FROM orders",
     "lineage": """SELECT l_orderkey, l_linenumber, l_suppkey, o_orderstatus, c_mktsegment FROM lineitem

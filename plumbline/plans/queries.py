@@ -735,7 +735,7 @@ def _training_runs(spark, folder):
     )
 
 
-def _experiments(runs: DataFrame) -> DataFrame:
+def _experiments(runs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return ledger.experiment_rows(
         runs, "ts", "event_id",
         name=F.concat(F.lit("retrain_"), F.col("event_type")),
@@ -743,6 +743,7 @@ def _experiments(runs: DataFrame) -> DataFrame:
         metrics={"f1_macro": F.col("value")},
         scenario=F.col("event_type"),
         notes=F.col("reason"),
+        ledger=known,
     )
 
 
@@ -765,6 +766,38 @@ def model_versions(spark, folder):
     return rows.select("id", "version_num", "experiment_id", "artifact_path", "stage")
 
 
+@query
+def model_versions_appended(spark, folder):
+    """Models of a second batch of runs, after those of the first are in the ledgers."""
+    runs = _training_runs(spark, folder)
+    first = runs.where(F.col("event_id") % 3 == 0)
+    known = _experiments(first)
+    # The ledger's ids begin at 101, so ids and versions differ.
+    models = ledger.model_rows(
+        known, first, "event_id", F.lit("models/first"), spark.range(100, 101).select(
+            "id", F.lit(0).cast("bigint").alias("version_num")
+        ),
+    )
+    later = runs.where(F.col("event_id") % 3 != 0)
+    rows = ledger.model_rows(
+        _experiments(later, known), later, "event_id",
+        F.concat(F.lit("models/"), F.col("run_key").cast("string")), models,
+    )
+    return rows.select("id", "version_num", "experiment_id", "artifact_path", "stage")
+
+
+@query
+def refused_rows(spark, folder):
+    """Orders that a ledger of finished orders and of customers in credit must refuse."""
+    orders = table(spark, folder, "orders")
+    finished = orders.where(F.col("o_orderstatus") == "F")
+    customers = table(spark, folder, "customer").where(F.col("c_acctbal") > 0)
+    return ledger.refusals(
+        orders.where(F.col("o_orderpriority") != "1-URGENT"), finished,
+        ("o_orderkey", "o_custkey"), {"o_custkey": (customers, "c_custkey")},
+    )
+
+
 @query
 def duplicate_versions(spark, folder):
     events = table(spark, folder, "events").withColumnRenamed("user_id", "version_num")

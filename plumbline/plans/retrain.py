@@ -15,6 +15,7 @@ from plumbline.operators.ledger import (
     PRODUCTION,
     current_stages,
     last_id,
+    refusals,
 )
 from plumbline.operators.promotion import PRIMARY_METRIC, should_promote
 from plumbline.operators.quantiles import fit_baseline
@@ -57,6 +58,34 @@ _PROVENANCE = (
 )
 
 
+# Columns that name a row, and the ledger rows that others must point to.
+_UNIQUE = {
+    "experiments": ("id",),
+    "models": ("id", "version_num"),
+    "stages": ("id",),
+    "datasets": ("id", "content_hash"),
+    "baselines": ("id", "content_hash"),
+    "provenance": ("id",),
+}
+_PARENTS = {
+    "models": {"experiment_id": ("experiments", "id")},
+    "stages": {"version_num": ("models", "version_num")},
+    "baselines": {"dataset_version_id": ("datasets", "id")},
+    "provenance": {
+        "experiment_id": ("experiments", "id"),
+        "model_version_num": ("models", "version_num"),
+        "dataset_version_id": ("datasets", "id"),
+        "baseline_snapshot_id": ("baselines", "id"),
+    },
+}
+# Refusals named in an error.
+_NAMED = 5
+
+
+class LedgerError(ValueError):
+    """A row breaks a rule of its ledger."""
+
+
 @dataclass(frozen=True)
 class RetrainResult:
     version: int
@@ -93,9 +122,29 @@ class Ledgers:
             return self.spark.createDataFrame([], self.SCHEMAS[name])
 
     def append(self, ledger: str, **values) -> None:
-        row = self.spark.createDataFrame([values], self.SCHEMAS[ledger])
-        append_rows(row.withColumn("created_at", F.current_timestamp()), self.path(ledger))
-
+        """One row, if the ledger's rules allow it."""
+        self.append_batch(ledger, self.spark.createDataFrame([values], self.SCHEMAS[ledger]))
+
+    def append_batch(self, ledger: str, rows: DataFrame) -> None:
+        """All rows of a batch, or a ``LedgerError`` and none of them: unique columns must
+        be new, and references must point to rows of the other ledgers. Columns the batch
+        lacks are NULL; ``created_at`` is the time of the append."""
+        fields = self.spark.createDataFrame([], self.SCHEMAS[ledger]).schema
+        rows = rows.select(
+            *[
+                (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in fields
+            ]
+        )
+        parents = {
+            reference: (self.read(table), key)
+            for reference, (table, key) in _PARENTS.get(ledger, {}).items()
+        }
+        refused = refusals(rows, self.read(ledger), _UNIQUE[ledger], parents).take(_NAMED)
+        if refused:
+            said = "; ".join(f"{r['reference']} {r['key']}: {r['rule']}" for r in refused)
+            raise LedgerError(f"{ledger}: {said}")
+        append_rows(rows.withColumn("created_at", F.current_timestamp()), self.path(ledger))
 
     def move(self, dataset: str, version: int, stage: str, notes: str) -> None:
         """One event of a model's life."""

@@ -82,6 +82,36 @@ def test_replay(rows, history, margin, ranges):
     assert got == brute_replay(history, margin)
 
 
+def test_replay_of_a_slowly_rising_key(spark):
+    """One key whose metric rises by less than the margin each time: a single stretch."""
+    rows = spark.range(20_000).select(
+        F.lit(None).cast("string").alias("key"),
+        F.col("id"),
+        (F.col("id") * 0.01 + F.when(F.col("id") % 7 == 3, -5.0).otherwise(0.0)).alias("value"),
+    )
+    df = rows.repartition(6)
+    found = replay_promotions(df, "key", "id", "id", "value", 0.25, rows_per_range=2_000)
+    assert not any("Python" in x or "Arrow" in x for x in _nodes(found))
+    got = {r["id"]: (r["champion_before"], r["promoted"], r["reason"]) for r in found.collect()}
+    history = rows.orderBy("id").toPandas().assign(key="all")
+    assert got == brute_replay(history, 0.25)
+    assert sum(p for _, p, _ in got.values()) > 700
+
+
+def _nodes(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line.strip(" :+-") for line in plan.splitlines()]
+
+
+def test_replay_of_missing_metrics(spark):
+    data = [("a", 1, None), ("a", 2, float("nan")), ("a", 3, -1.0), ("a", 4, 2.0), ("a", 5, 3.0), (None, 6, None)]
+    df = spark.createDataFrame(data, "key string, id int, value double")
+    for margin in (0.0, 1.5):
+        rows = replay_promotions(df, "key", "id", "id", "value", margin).collect()
+        got = {r["id"]: r["promoted"] for r in rows}
+        assert got == {1: True, 2: margin == 0.0, 3: False, 4: True, 5: margin == 0.0, 6: True}
+
+
 def test_promotion_rule():
     assert should_promote(0.6, 0.5) == (True, "f1_macro_improved_or_equal")
     assert should_promote(0.5, 0.5)[0] and not should_promote(0.5, 0.5, margin=0.01)[0]

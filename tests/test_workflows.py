@@ -14,7 +14,7 @@ from plumbline.operators.policy import alert_payloads, apply_policy
 from plumbline.operators.quantiles import fit_baseline
 from plumbline.plans import models
 from plumbline.plans.check import log_hook, retrain_hook, run_drift_check
-from plumbline.plans.retrain import Ledgers, run_retrain, score_with_production
+from plumbline.plans.retrain import LedgerError, Ledgers, run_retrain, score_with_production
 from plumbline.sources.baselines import load_baseline
 from plumbline.sources.shared import new_folder
 from plumbline.spec import DriftPolicy, FeatureSpec, Pair
@@ -369,3 +369,38 @@ def test_closed_windows_are_written_once(spark, day_files):
     write_counts(stream, f"{target}/counts", f"{target}/state").awaitTermination()
     rows = spark.read.parquet(f"{target}/counts").groupBy("window_start").agg(F.sum("n").alias("n")).collect()
     assert {str(r["window_start"])[:10]: r["n"] for r in rows} == {"2024-03-01": 200, "2024-03-02": 200}
+
+
+def test_model_ids_and_versions_go_on(spark):
+    runs = spark.createDataFrame([(k, f"e{k}") for k in range(1, 4)], "id long, run_key string")
+    runs = runs.withColumns({"metrics": F.lit(None), "notes": F.lit("n")})
+    promoted = spark.createDataFrame([("e1", True), ("e2", False)], "k string, promoted boolean")
+    known = spark.createDataFrame([(40, 3), (41, 7)], "id long, version_num long")
+    rows = ledger.model_rows(runs, promoted, "k", F.col("run_key"), known).collect()
+    assert sorted((r["id"], r["version_num"], r["stage"]) for r in rows) == [
+        (42, 8, "production"), (43, 9, "development"), (44, 10, "development"),
+    ]
+
+
+def test_ledgers_refuse_broken_rows(spark, tmp_path):
+    ledgers = Ledgers(spark, str(tmp_path))
+    ledgers.append("experiments", id=1, name="a", params={}, metrics={}, scenario="s")
+    ledgers.append("models", id=1, dataset="d", version_num=5, experiment_id=1)
+    for name, values in (
+        ("experiments", {"id": 1}),
+        ("models", {"id": 2, "version_num": 5, "experiment_id": 1}),
+        ("models", {"id": 2, "version_num": 6, "experiment_id": 9}),
+        ("stages", {"id": 1, "version_num": 6, "stage": "staging"}),
+        ("provenance", {"id": 1, "experiment_id": 1, "baseline_snapshot_id": 3}),
+    ):
+        with pytest.raises(LedgerError, match=name):
+            ledgers.append(name, **values)
+    twice = spark.createDataFrame([(7, "x"), (7, "y")], "id long, name string")
+    with pytest.raises(LedgerError, match="id 7: repeated"):
+        ledgers.append_batch("experiments", twice)
+    assert ledgers.read("experiments").count() == 1 and ledgers.read("models").count() == 1
+    ledgers.append_batch("experiments", twice.dropDuplicates(["id"]))
+    ledgers.append("provenance", id=1, experiment_id=7, model_version_num=5)
+    assert [r["id"] for r in ledgers.read("provenance").collect()] == [1]
+    with pytest.raises(ValueError):
+        ledger.refusals(twice)
