@@ -18,8 +18,8 @@ def col(name: str) -> Column:
 
 
 def to_numeric(c: Column) -> Column:
-    """Double value; NULL for what is not a number, NaN included."""
-    value = c.try_cast("double")
+    """Double value; NULL for what is not a number, NaN included. Both zeros are one."""
+    value = c.try_cast("double") + F.lit(0.0)
     return F.when(~F.isnan(value), value)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,7 @@ from plumbline.functions.stats import (
 )
 from plumbline.operators.frames import feature_frame, melt, small_frame
 from plumbline.operators.ranges import (
+    GRID_CELLS,
     ROWS_PER_RANGE,
     Grid,
     add_cells,
@@ -35,6 +38,9 @@ from plumbline.spec import Baseline, Pair
 OTHER = "__other__"
 MIN_EXPECTED = 5.0
 
+# Neighbouring cells of a stored reference that share a folder.
+CELLS_PER_FOLDER = 64
+
 _SIDES = [Pair.IN_REF, Pair.IN_CUR]
 _ONLY_CURRENT = f"{Pair.IN_CUR} AND NOT {Pair.IN_REF}"
 _NUMERIC_SCHEMA = pa.schema(
@@ -346,8 +352,8 @@ def numeric_drift(
     open cell is oversized, the open cells are divided in another pass.
 
     The passes run when this is called; the result is one row per feature, so using it
-    several times repeats none of them. With a ``frozen`` reference the first pass reads
-    the current sample only.
+    several times repeats none of them. With a ``frozen`` reference every pass reads the
+    current sample, and of the reference only the stored values of open cells.
     """
     spark = pair.frame.sparkSession
     edges = edges or {}
@@ -370,12 +376,8 @@ def numeric_drift(
         cells = {n: _merge_cells(frozen.cells[n], current[n]) for n in features}
     binned = {n: _bins(cells[n], grids[safe[n]], edges.get(n, [])) for n in features}
     bounds = {n: _bound_gap(found) for n, found in cells.items()}
-    while True:
-        crowded = {}
-        for n, b in bounds.items():
-            opened = [c for c in cells[n] if c.number in b.open]
-            if any(too_large(c.n_ref + c.n_cur, rows_per_range) for c in opened):
-                crowded[n] = opened
+    while frozen is None:
+        crowded = _crowded(cells, bounds, rows_per_range)
         grids |= {safe[n]: inner_grid([(c.low, c.high) for c in x]) for n, x in crowded.items()}
         if not crowded:
             break
@@ -388,7 +390,10 @@ def numeric_drift(
         if stuck:
             break
 
-    inside = _gaps_inside(celled, safe, bounds)
+    if frozen is None:
+        inside = _gaps_inside(celled, safe, bounds)
+    else:
+        inside = _gaps_with_store(frozen, celled.where(_ONLY_CURRENT), safe, cells, bounds, rows_per_range)
     rows = []
     for n, b in bounds.items():
         bins = binned[n]
@@ -407,6 +412,18 @@ def numeric_drift(
     return out
 
 
+def _crowded(
+    cells: dict[str, list[_Cell]], bounds: dict[str, _Bounds], rows_per_range: int
+) -> dict[str, list[_Cell]]:
+    """Open cells of the features that have an oversized one among them."""
+    found = {}
+    for n, b in bounds.items():
+        opened = [c for c in cells[n] if c.number in b.open]
+        if any(too_large(c.n_ref + c.n_cur, rows_per_range) for c in opened):
+            found[n] = opened
+    return found
+
+
 def _divide(cells: list[_Cell], opened: list[_Cell], counted: list[_Cell]) -> list[_Cell]:
     """The cells with the open ones replaced by what a finer grid counted inside them. A
     closed cell stays closed, as gaps found only grow, so its number is not used again."""
@@ -476,13 +493,39 @@ def _gaps_inside(
     opened = {n: b.open for n, b in bounds.items() if b.open}
     if not opened:
         return {}
+    by_value = (
+        _open_values(celled, safe, {n: list(found) for n, found in opened.items()})
+        .groupBy("feature", "cell", "value")
+        .agg(F.count_if(Pair.IN_REF).alias("ref"), F.count_if(Pair.IN_CUR).alias("cur"))
+    )
+    return _largest_gaps(by_value, bounds)
+
+
+def _open_values(celled: DataFrame, safe: dict[str, str], opened: dict[str, list[int]]) -> DataFrame:
+    """The rows in open cells, one for each feature: (feature, cell, value) and both sides."""
+    return melt(
+        celled,
+        {
+            n: {
+                "cell": F.when(among(safe[n] + "_cell", found), F.col(safe[n] + "_cell")),
+                "value": F.col(safe[n]),
+            }
+            for n, found in opened.items()
+        },
+        keep=_SIDES,
+    ).where(F.col("cell").isNotNull())
+
+
+def _largest_gaps(by_value: DataFrame, bounds: dict[str, _Bounds]) -> dict[str, float]:
+    """Largest gap of each feature, from counts (feature, cell, value, ref, cur) of the
+    distinct values in open cells."""
     # One row per open cell, at most about GRID_CELLS per feature.
     start = small_frame(
-        celled.sparkSession,
+        by_value.sparkSession,
         [
-            (n, number, ref, cur, bounds[n].n_ref, bounds[n].n_cur)
-            for n, found in opened.items()
-            for number, (ref, cur) in found.items()
+            (n, number, ref, cur, b.n_ref, b.n_cur)
+            for n, b in bounds.items()
+            for number, (ref, cur) in b.open.items()
         ],
         pa.schema(
             [
@@ -495,22 +538,6 @@ def _gaps_inside(
             ]
         ),
     )
-    by_value = (
-        melt(
-            celled,
-            {
-                n: {
-                    "cell": F.when(among(safe[n] + "_cell", list(found)), F.col(safe[n] + "_cell")),
-                    "value": F.col(safe[n]),
-                }
-                for n, found in opened.items()
-            },
-            keep=_SIDES,
-        )
-        .where(F.col("cell").isNotNull())
-        .groupBy("feature", "cell", "value")
-        .agg(F.count_if(Pair.IN_REF).alias("ref"), F.count_if(Pair.IN_CUR).alias("cur"))
-    )
     along = Window.partitionBy("feature", "cell").orderBy("value")
 
     def reached(side: str):
@@ -525,6 +552,80 @@ def _gaps_inside(
     return {r["feature"]: r["gap"] for r in gaps.collect()}
 
 
+def _gaps_with_store(
+    frozen: FrozenReference,
+    current: DataFrame,
+    safe: dict[str, str],
+    cells: dict[str, list[_Cell]],
+    bounds: dict[str, _Bounds],
+    rows_per_range: int,
+) -> dict[str, float]:
+    """``_gaps_inside`` where the reference is a table of value counts by cell: only the
+    folders of open cells are read, and as long as an open cell is oversized, the values
+    in open cells are divided further."""
+    opened = {n: list(b.open) for n, b in bounds.items() if b.open}
+    if not opened:
+        return {}
+    rows = (
+        frozen.values_in(opened)
+        .select("feature", "cell", "value", F.col("n").alias("ref"), F.lit(0).cast("bigint").alias("cur"))
+        .unionByName(
+            _open_values(current, safe, opened)
+            .groupBy("feature", "cell", "value")
+            .agg(F.lit(0).cast("bigint").alias("ref"), F.count("*").alias("cur"))
+        )
+        .groupBy("feature", "cell", "value")
+        .agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    )
+    cells, bounds = dict(cells), dict(bounds)
+    while crowded := _crowded(cells, bounds, rows_per_range):
+        spans = [
+            (n, c.number, place * GRID_CELLS, c.low, c.high)
+            for n, found in crowded.items()
+            for place, c in enumerate(found)
+        ]
+        # One row per open cell, at most about GRID_CELLS per feature.
+        frame = small_frame(
+            rows.sparkSession, spans,
+            pa.schema(
+                [("feature", pa.string()), ("cell", pa.int32()), ("first", pa.int64()),
+                 ("low", pa.float64()), ("high", pa.float64())]
+            ),
+        )
+        width = F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0))
+        share = (F.col("value") / 2 - F.col("low") / 2) / width
+        part = F.floor(F.coalesce(share, F.lit(0.0)) * GRID_CELLS).cast("bigint")
+        part = F.least(F.greatest(part, F.lit(0)), F.lit(GRID_CELLS - 1))
+        # A crowded feature goes on with its open cells only, under new numbers.
+        kept = F.col("first").isNotNull() | ~F.col("feature").isin(list(crowded))
+        finer = rows.join(F.broadcast(frame), ["feature", "cell"], "left").where(kept).select(
+            "feature", F.coalesce((F.col("first") + part).cast("int"), "cell").alias("cell"),
+            "value", "ref", "cur",
+        )
+        counted: dict[str, list[_Cell]] = {n: [] for n in crowded}
+        for r in (
+            finer.where(F.col("feature").isin(list(crowded)))
+            .groupBy("feature", "cell")
+            .agg(
+                F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"),
+                F.min("value").alias("low"), F.max("value").alias("high"),
+            )
+            .collect()
+        ):
+            counted[r["feature"]].append(_Cell(r["cell"], r["n_ref"], r["n_cur"], r["low"], r["high"]))
+        divided = {
+            n: _divide(cells[n], x, sorted(counted[n], key=lambda c: c.number))
+            for n, x in crowded.items()
+        }
+        stuck = all(len(found) == len(cells[n]) for n, found in divided.items())
+        rows = written(finer, "values")
+        cells |= divided
+        bounds |= {n: _bound_gap(found) for n, found in divided.items()}
+        if stuck:
+            break
+    return _largest_gaps(rows, bounds)
+
+
 # --- reference taken once ------------------------------------------------------
 
 
@@ -533,28 +634,71 @@ class FrozenReference:
     """Counts of a reference sample, taken once for many checks against it.
 
     It serves pairs made of two tables (no row in both samples) and belongs to the
-    edges of its baseline. What is left to read of the reference in a check are the
-    values in those cells that may hold a feature's largest KS gap.
+    edges of its baseline. ``values`` holds how often each value of a cell occurs, in
+    folders by feature and run of cells: what is left to read of the reference in a check
+    are the folders of those cells that may hold a feature's largest KS gap.
     """
 
     baseline: Baseline
     n_rows: int
     cells: dict[str, list[_Cell]]
-    categories: DataFrame
+    values: DataFrame | None
+    categories: DataFrame | None
+
+    def values_in(self, cells: dict[str, list[int]]) -> DataFrame:
+        """(feature, cell, value, n) of some cells of some features."""
+        place = {n: i for i, n in enumerate(self.baseline.numeric)}
+        wanted = reduce(
+            or_,
+            (
+                (F.col("feature_no") == place[n])
+                & F.col("part").isin(sorted({c // CELLS_PER_FOLDER for c in found}))
+                & among("cell", found)
+                for n, found in cells.items()
+            ),
+        )
+        return self.values.where(wanted)
 
 
 def freeze_reference(reference: DataFrame, baseline: Baseline) -> FrozenReference:
-    """Count a reference sample; its category counts become a table in the shared folder."""
+    """Count a reference sample; its value and category counts become tables in the shared
+    folder, and the reference itself is not read again."""
     frame = reference.withColumns({Pair.IN_REF: F.lit(True), Pair.IN_CUR: F.lit(False)})
     safe = {name: f"c{i}" for i, name in enumerate(baseline.numeric)}
-    cells, categories = {}, None
+    cells, values, categories = {}, None, None
     if baseline.numeric:
-        values = frame.select(*[to_numeric(col(n)).alias(s) for n, s in safe.items()], *_SIDES)
+        numbers = frame.select(*[to_numeric(col(n)).alias(s) for n, s in safe.items()], *_SIDES)
         grids = {safe[n]: edge_grid(e) for n, e in baseline.edges.items()}
-        cells = _count_cells(add_cells(values, grids), safe)
+        celled = add_cells(numbers, grids)
+        place = F.create_map(*[F.lit(x) for i, n in enumerate(baseline.numeric) for x in (n, i)])
+        values = written(
+            melt(celled, {n: {"cell": F.col(s + "_cell"), "value": F.col(s)} for n, s in safe.items()})
+            .where(F.col("cell").isNotNull())
+            .groupBy("feature", "cell", "value")
+            .agg(F.count("*").alias("n"))
+            .select(
+                "*",
+                place[F.col("feature")].alias("feature_no"),
+                F.floor(F.col("cell") / CELLS_PER_FOLDER).cast("int").alias("part"),
+            )
+            # Neighbouring cells lie together, and a cell of many values in several tasks.
+            .repartitionByRange("feature_no", "cell", "value")
+            .sortWithinPartitions("feature_no", "cell", "value"),
+            "reference",
+            ("feature_no", "part"),
+        )
+        cells = {n: [] for n in baseline.numeric}
+        for r in (
+            values.groupBy("feature", "cell")
+            .agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+            .collect()
+        ):
+            cells[r["feature"]].append(_Cell(r["cell"], r["n"], 0, r["low"], r["high"]))
+        for found in cells.values():
+            found.sort(key=lambda c: c.number)
     if baseline.categorical:
         categories = written(category_counts(Pair(frame), baseline.categorical), "categories")
-    return FrozenReference(baseline, reference.count(), cells, categories)
+    return FrozenReference(baseline, reference.count(), cells, values, categories)
 
 
 def ks_test(numeric: DataFrame, method: str = "stephens") -> DataFrame:

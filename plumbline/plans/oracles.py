@@ -213,6 +213,20 @@ def first_copies(source: str, order: str, where: str = "TRUE") -> str:
     )
 
 
+
+def _batch_check(k: int) -> str:
+    """The events of one slice against the first half of the month."""
+    sides = f"ts < TIMESTAMP '2024-01-16' AS r, event_id % 5 = {k} AS c"
+    return f"""WITH l AS (SELECT 'value' AS feature, {sides}, value AS v FROM events),
+{EDGES}, {BINS}, {PSI}, np AS (SELECT psi FROM psi),
+cp AS (WITH l AS (SELECT 'event_type' AS feature, {sides}, event_type AS v FROM events), {CATEGORIES}, {PSI}
+  SELECT psi FROM psi),
+a AS (SELECT psi FROM np UNION ALL SELECT psi FROM cp)
+SELECT CAST({k} AS BIGINT) AS batch_id, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS n_reference_rows,
+  (SELECT count(*) FROM events WHERE event_id % 5 = {k}) AS n_current_rows, count(*) FILTER (WHERE psi >= 0.25) AS n_features_high_psi,
+  round(avg(psi), 6) AS mean_psi, count(*) FILTER (WHERE psi >= 0.25) > 0 AS policy_triggered FROM a"""
+
+
 ORACLES = {
     "clean_markers": """SELECT * FROM (SELECT o_orderkey, o_orderstatus,
   nullif(o_orderpriority, '4-NOT SPECIFIED') AS o_orderpriority FROM orders)
@@ -527,12 +541,15 @@ f AS (SELECT k.window_start, k.event_type, k.n, greatest(h.n_ref / (SELECT sum(n
   LEFT JOIN d ON d.window_start = k.window_start AND d.event_type = k.event_type AND d.bin = h.bin),
 z AS (SELECT window_start, event_type, CAST(n AS BIGINT) AS n, sum((pa - pe) * ln(pa / pe)) AS psi FROM f GROUP BY 1, 2, 3)
 SELECT window_start, event_type, n, round(psi, 6) AS psi, {BAND} AS psi_band FROM z""",
-    "stream_drift": f"""WITH l AS (SELECT 'value' AS feature, ts < TIMESTAMP '2024-01-16' AS r, TRUE AS c, value AS v FROM events),
-{EDGES}, {BINS}, {PSI}, np AS (SELECT psi FROM psi),
-cp AS (WITH l AS (SELECT 'event_type' AS feature, ts < TIMESTAMP '2024-01-16' AS r, TRUE AS c, event_type AS v FROM events), {CATEGORIES}, {PSI}
-  SELECT psi FROM psi),
-a AS (SELECT psi FROM np UNION ALL SELECT psi FROM cp)
-SELECT CAST(0 AS BIGINT) AS batch_id, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS n_reference_rows,
-  (SELECT count(*) FROM events) AS n_current_rows, count(*) FILTER (WHERE psi >= 0.25) AS n_features_high_psi,
-  round(avg(psi), 6) AS mean_psi, count(*) FILTER (WHERE psi >= 0.25) > 0 AS policy_triggered FROM a""",
+    "stream_psi_on_close": f"""WITH l AS ({long_numeric('events', EVENT_SPLIT, ('value',))}), {EDGES}, {BINS},
+b AS (SELECT ts, event_type, bin FROM events JOIN gb ON value >= lo AND (value < hi OR (is_last AND value = hi))),
+d AS (SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, bin, count(*) AS n FROM b
+  WHERE date_trunc('day', ts) <= (SELECT date_trunc('day', max(ts)) - INTERVAL 2 DAY FROM b) GROUP BY 1, 2, 3),
+k AS (SELECT window_start, event_type, sum(n) AS n FROM d GROUP BY 1, 2),
+f AS (SELECT k.window_start, k.event_type, k.n, greatest(h.n_ref / (SELECT sum(n_ref) FROM h), 1e-6) AS pe,
+  greatest(coalesce(d.n, 0) / k.n, 1e-6) AS pa FROM k CROSS JOIN h
+  LEFT JOIN d ON d.window_start = k.window_start AND d.event_type = k.event_type AND d.bin = h.bin),
+z AS (SELECT window_start, event_type, CAST(n AS BIGINT) AS n, sum((pa - pe) * ln(pa / pe)) AS psi FROM f GROUP BY 1, 2, 3)
+SELECT window_start, event_type, n, round(psi, 6) AS psi, {BAND} AS psi_band FROM z""",
+    "stream_drift": " UNION ALL ".join(f"SELECT * FROM ({_batch_check(k)})" for k in range(5)),
 }

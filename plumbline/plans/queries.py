@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import positive_label, to_numeric
@@ -35,6 +35,7 @@ from plumbline.sources.tables import (
 )
 from plumbline.spec import DriftPolicy, FeatureSpec, Pair
 from plumbline.streaming.drift import (
+    closed_window_psi,
     file_stream,
     monitor_stream,
     windowed_bins,
@@ -1108,16 +1109,28 @@ def _event_edges(spark, folder):
     return quantile_edges(event_pair(spark, folder).reference, ["value"])
 
 
+def _slices(events: DataFrame, tests: list[Column], folder: str):
+    """Appends one slice of the events after the other to a folder, as a source would."""
+    for k, test in enumerate(tests):
+        events.where(test).write.mode("append").parquet(folder)
+        yield k
+
+
 @query
 def stream_drift(spark, folder):
-    """Each micro-batch of events checked against the first half of the month."""
+    """Five slices of events, each a micro-batch that a restarted stream checks against
+    the first half of the month."""
     pair = event_pair(spark, folder)
     baseline = fit_baseline(pair.reference, ("value",), ("event_type",))
+    frozen = drift.freeze_reference(pair.reference, baseline)
     target = new_folder(spark, "stream")
-    running = monitor_stream(
-        _event_stream(spark, folder), pair.reference, baseline, f"{target}/runs", f"{target}/state"
-    )
-    running.awaitTermination()
+    events = table(spark, folder, "events")
+    tests = [F.col("event_id") % 5 == k for k in range(5)]
+    for _ in _slices(events, tests, f"{target}/events"):
+        monitor_stream(
+            file_stream(spark, f"{target}/events", events.schema), pair.reference, baseline,
+            f"{target}/runs", f"{target}/state", frozen=frozen,
+        ).awaitTermination()
     return spark.read.parquet(f"{target}/runs").select(
         F.col("batch_id").cast("bigint").alias("batch_id"),
         "n_reference_rows", "n_current_rows", "n_features_high_psi",
@@ -1125,6 +1138,27 @@ def stream_drift(spark, folder):
     )
 
 
+@query
+def stream_psi_on_close(spark, folder):
+    """PSI of every day and event type as the day closes; the stream is stopped and
+    started again from its checkpoint in the middle of the month."""
+    pair = event_pair(spark, folder)
+    edges = _event_edges(spark, folder)
+    reference = {r["bin"]: r["n_ref"] for r in drift.bin_counts(pair, edges).collect()}
+    events = table(spark, folder, "events")
+    middle = _day("2024-01-16 12:00:00")
+    target = new_folder(spark, "closing")
+    for _ in _slices(events, [F.col("ts") < middle, F.col("ts") >= middle], f"{target}/events"):
+        stream = file_stream(spark, f"{target}/events", events.schema)
+        rows = closed_window_psi(stream, "ts", "value", edges["value"], reference, by=["event_type"])
+        write_counts(rows, f"{target}/psi", f"{target}/state").awaitTermination()
+    schema = "window_start timestamp, event_type string, n bigint, psi double, psi_band string"
+    psi = spark.read.schema(schema).parquet(f"{target}/psi").drop("batch_id")
+    return rounded(
+        psi.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")), "psi"
+    )
+
+
 def _streamed_counts(spark, folder, closed_only):
     edges = _event_edges(spark, folder)["value"]
     counts = windowed_bins(_event_stream(spark, folder), "ts", "value", edges, by=["event_type"])

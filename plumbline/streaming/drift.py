@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions.bins import bin_index
 from plumbline.functions.columns import col, to_numeric
 from plumbline.functions.stats import psi_band, psi_term
-from plumbline.operators.drift import freeze_reference
+from plumbline.operators.drift import FrozenReference, freeze_reference
 from plumbline.plans.check import evaluate_pair
-from plumbline.sources.shared import written
+from plumbline.sources.shared import short_lived
 from plumbline.spec import Baseline, DriftPolicy, Pair
 
 
@@ -35,19 +41,23 @@ def monitor_stream(
     checkpoint: str,
     policy: DriftPolicy = DriftPolicy(),
     trigger: dict | None = None,
+    frozen: FrozenReference | None = None,
 ) -> StreamingQuery:
     """Check every micro-batch against the reference and keep one run row per batch.
 
-    The reference is counted once, when the stream starts. A batch that is run again
+    The reference is counted once, when the stream starts, or was before (``frozen``); a
+    check reads the batch and those folders of the counts that hold open cells. The copy
+    of a batch that its passes read is removed with the verdict. A batch that is run again
     after a failure overwrites its own folder, so the run table holds each batch once.
     """
-    frozen = freeze_reference(reference, baseline)
+    if frozen is None:
+        frozen = freeze_reference(reference, baseline)
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        # A check reads the batch several times.
-        pair = Pair.union(reference, written(batch, "batch"))
-        _, verdict = evaluate_pair(pair, baseline, policy, frozen)
-        verdict.write.mode("overwrite").parquet(f"{run_table}/batch_id={batch_id}")
+        with short_lived(batch, "batch") as rows:
+            pair = Pair.union(reference, rows)
+            _, verdict = evaluate_pair(pair, baseline, policy, frozen)
+            verdict.write.mode("overwrite").parquet(f"{run_table}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(check)
@@ -86,6 +96,117 @@ def windowed_bins(
     )
 
 
+def closed_window_psi(
+    stream: DataFrame,
+    time: str,
+    value: str,
+    edges: list[float],
+    reference: dict[int, int],
+    window: str = "1 day",
+    lateness: str = "1 day",
+    by: list[str] = (),
+) -> DataFrame:
+    """One row per event-time window and group of a stream, when the window closes:
+    window_start, the groups, n, psi, psi_band.
+
+    The state of a window is its bin counts; rows reach it as counts of their Arrow batch,
+    so a busy window costs a task few rows. A window closes once an event has come from a
+    window that begins ``lateness`` after its end; then its row is given, its state dropped,
+    and rows that still come for it are dropped too. ``reference`` maps bin to count.
+    """
+    spans = stream.sparkSession.sql(
+        f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {window}) AS w, "
+        f"unix_micros(timestamp_micros(0) + INTERVAL {lateness}) AS l"
+    ).first()
+    bins = sorted(reference)
+    names = [f"by{k}" for k in range(len(by))]
+    span = F.window("_ts", window)
+    rows = (
+        stream.select(
+            col(time).cast("timestamp").alias("_ts"),
+            to_numeric(col(value)).alias("_value"),
+            *[col(b).alias(n) for b, n in zip(by, names)],
+        )
+        .withColumn("bin", bin_index("_value", edges))
+        .where(F.col("bin").isNotNull() & F.col("_ts").isNotNull())
+        .select(F.unix_micros(span["start"]).alias("start"), *names, "bin")
+    )
+    kinds = dict(rows.dtypes)
+    keys = ", ".join(f"{n} {kinds[n]}" for n in ["start", *names])
+    counted = rows.mapInArrow(_count_batch(["start", *names, "bin"]), f"{keys}, bin int, n bigint")
+    # The clock of the stream is the last moment of a row's window.
+    stamped = counted.withColumn(
+        "_last", F.timestamp_micros(F.col("start") + F.lit(spans["w"] - 1))
+    ).withWatermark("_last", f"{spans['w'] + spans['l'] - 1} microseconds")
+    closed = stamped.groupBy("start", *names).applyInPandasWithState(
+        _close(bins, spans["w"]),
+        outputStructType=f"{keys}, counts array<bigint>",
+        stateStructType="counts string",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    )
+    total = sum(reference.values())
+    n = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    psi = sum(
+        (
+            F.coalesce(
+                psi_term(F.lit(reference[b]), F.get("counts", F.lit(k)), F.lit(total), F.col("n")),
+                F.lit(0.0),
+            )
+            for k, b in enumerate(bins)
+        ),
+        F.lit(0.0),
+    )
+    return (
+        closed.withColumn("n", n)
+        .select(
+            F.timestamp_micros("start").alias("window_start"),
+            *[F.col(k).alias(b) for k, b in zip(names, by)],
+            "n",
+            psi.alias("psi"),
+        )
+        .withColumn("psi_band", psi_band(F.col("psi")))
+    )
+
+
+def _count_batch(keys: list[str]):
+    """How often each key occurs in an Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                counts = pa.Table.from_batches([batch]).group_by(keys).aggregate([([], "count_all")])
+                counts = counts.select([*keys, "count_all"]).rename_columns([*keys, "n"])
+                yield from counts.combine_chunks().to_batches()
+
+    return run
+
+
+def _close(bins: list[int], window_micros: int):
+    """Adds up the counts of a window, and hands them on when it closes."""
+    place = {b: k for k, b in enumerate(bins)}
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            counts = json.loads(state.get[0])
+            state.remove()
+            yield pd.DataFrame(
+                [[*key, counts]],
+                columns=["start", *[f"by{k}" for k in range(len(key) - 1)], "counts"],
+            )
+            return
+        counts = json.loads(state.get[0]) if state.exists else [0] * len(bins)
+        for part in parts:
+            for b, n in zip(part["bin"].tolist(), part["n"].tolist()):
+                if b in place:
+                    counts[place[b]] += n
+        state.update((json.dumps(counts),))
+        # A timeout fires once the clock is past it, and the end belongs to the next window.
+        state.setTimeoutTimestamp((int(key[0]) + window_micros) // 1000 - 1)
+
+    return run
+
+
 def write_counts(
     counts: DataFrame,
     path: str,

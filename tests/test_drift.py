@@ -371,6 +371,35 @@ def test_frozen_reference_is_not_scanned_for_counts(spark):
     assert path.inputFiles()[0].split("/")[-2] not in frame._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_open_cells_read_their_folders_only(spark):
+    """Once counted, a reference is not read again, and of its store only what is open."""
+    rng = np.random.default_rng(8)
+    numbers_of = [(float(x),) for x in rng.normal(0, 1, 3000)]
+    reference = written(spark.createDataFrame(numbers_of, "x double"), "frozen-test")
+    baseline = fit_baseline(reference, ("x",))
+    frozen = drift.freeze_reference(reference, baseline)
+    batch = spark.createDataFrame([(float(x),) for x in rng.normal(0.05, 1, 500)], "x double")
+    expected = report.drift_report(Pair.union(reference, batch), baseline).first()["ks_statistic"]
+
+    cells = [c.number for c in frozen.cells["x"]]
+    wanted = {"x": [cells[10], cells[-3]]}
+    plan = frozen.values_in(wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    read = frozen.values_in(wanted)
+    assert sum(r["n"] for r in read.collect()) == sum(
+        c.n_ref for c in frozen.cells["x"] if c.number in wanted["x"]
+    )
+    folders = {f.split("/part=")[1].split("/")[0] for f in frozen.values.inputFiles()}
+    assert len(folders) > 20
+
+    # The reference itself may be gone.
+    gone = Pair.union(spark.createDataFrame([], "x double"), batch)
+    found = report.drift_report(gone, baseline, frozen=frozen).first()
+    assert found["ks_statistic"] == pytest.approx(expected)
+    small = report.drift_report(gone, baseline, frozen=frozen, rows_per_range=2).first()
+    assert small["ks_statistic"] == pytest.approx(expected)
+
+
 def test_every_feature_out_of_range(spark):
     """A later sample beyond all earlier values, over the whole card layout."""
     from plumbline.spec import CARD_FRAUD

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from plumbline.sources.baselines import load_baseline
 from plumbline.sources.shared import new_folder
 from plumbline.spec import DriftPolicy, FeatureSpec, Pair
 from plumbline.streaming.drift import (
+    closed_window_psi,
     file_stream,
     monitor_stream,
     windowed_bins,
@@ -404,3 +406,48 @@ def test_ledgers_refuse_broken_rows(spark, tmp_path):
     assert [r["id"] for r in ledgers.read("provenance").collect()] == [1]
     with pytest.raises(ValueError):
         ledger.refusals(twice)
+
+
+def test_windows_close_once_and_drop_late_rows(spark):
+    """Out-of-order rows within the lateness count; later ones don't. A stream started
+    again from its checkpoint goes on with the open windows."""
+    folder = new_folder(spark, "closing-test")
+    schema = "at timestamp_ntz, who string, x double"
+    edges, reference = [0.0, 1.0, 2.0], {0: 60, 1: 40}
+
+    def feed(*rows):
+        data = [(datetime.datetime(2024, 3, d, h), w, x) for d, h, w, x in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = file_stream(spark, f"{folder}/in", schema)
+        psi = closed_window_psi(stream, "at", "x", edges, reference, by=["who"])
+        write_counts(psi, f"{folder}/out", f"{folder}/state").awaitTermination()
+        out = "window_start timestamp, who string, n bigint, psi double, psi_band string"
+        found = spark.read.schema(out).parquet(f"{folder}/out").collect()
+        return sorted((r["window_start"].day, r["who"] or "", r["n"], round(r["psi"], 6)) for r in found)
+
+    def psi(a, b):
+        shares = [max(x / (a + b), 1e-6) for x in (a, b)]
+        return round(sum((s - e) * np.log(s / e) for s, e in zip(shares, (0.6, 0.4))), 6)
+
+    one = feed((1, 1, "a", 0.5), (1, 2, "a", 1.5), (1, 3, None, 0.5), (2, 1, "a", 0.5), (1, 9, "a", 9.0))
+    assert one == []
+    # Day 1 closes with a row of day 3; it still takes a row that came out of order.
+    two = feed((1, 5, "a", 2.0), (3, 0, "a", 0.1))
+    assert two == [(1, "", 1, psi(1, 0)), (1, "a", 3, psi(1, 2))]
+    # Late for day 1, in time for day 2.
+    three = feed((1, 7, "a", 0.5), (2, 7, "a", 1.0), (4, 0, "b", 1.0))
+    assert three == [*two, (2, "a", 2, psi(1, 1))]
+
+
+def test_batch_copies_are_removed(spark, tmp_path):
+    from plumbline.sources.shared import session_folder
+
+    rows = spark.range(50).select(F.col("id").cast("double").alias("x"))
+    rows.write.parquet(f"{tmp_path}/in")
+    target = new_folder(spark, "copies")
+    baseline = fit_baseline(rows, ("x",))
+    stream = file_stream(spark, f"{tmp_path}/in", rows.schema)
+    monitor_stream(stream, rows, baseline, f"{target}/runs", f"{target}/state").awaitTermination()
+    assert spark.read.parquet(f"{target}/runs").count() == 1
+    names = os.listdir(session_folder(spark).removeprefix("file://"))
+    assert not [n for n in names if n.startswith("batch-")]
