@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ NO_SIGNAL = "no_signal"
 # terms fall below exp(-depth).
 KS_METHODS = ("stephens", "exact")
 KS_EXACT_DEPTH = 45.0
+# Samples of unequal size get an exact value up to this many rows together.
+KS_EXACT_ROWS = 100_000
 KS_TERMS = 100
 
 ERFC_TERMS = 80
@@ -56,13 +60,14 @@ def ks_method(n_ref: Column, n_cur: Column, method: str = "stephens") -> Column:
         raise ValueError(f"method must be one of {', '.join(KS_METHODS)}")
     few = F.when((n_ref < 2) | (n_cur < 2), "too_few")
     if method == "exact":
-        few = few.when(n_ref == n_cur, "exact")
+        few = few.when((n_ref == n_cur) | (n_ref + n_cur <= KS_EXACT_ROWS), "exact")
     return few.otherwise("stephens")
 
 
 def ks_pvalue(d: Column, n_ref: Column, n_cur: Column, method: str = "stephens") -> Column:
     """Two-sided p-value from the Kolmogorov series with Stephens' (1970) small-sample
-    argument. With ``method="exact"`` samples of one size get the exact value."""
+    argument. With ``method="exact"`` samples of one size get the exact value, and so do
+    others of up to KS_EXACT_ROWS rows together."""
     product = n_ref.cast("double") * n_cur
     size = F.nullif(F.sqrt(product / F.nullif(n_ref + n_cur, F.lit(0))), F.lit(0.0))
     chosen = ks_method(n_ref, n_cur, method)
@@ -77,9 +82,16 @@ def ks_pvalue(d: Column, n_ref: Column, n_cur: Column, method: str = "stephens")
     def clamped(p: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
+    exact = _ks_equal_sizes(d, n_ref)
+    if method == "exact":
+        small = (n_ref != n_cur) & (chosen == "exact")
+        walked = F.pandas_udf(_ks_lattice, "double")(
+            F.when(small, d), F.when(small, n_ref).cast("long"), F.when(small, n_cur).cast("long")
+        )
+        exact = F.when(n_ref == n_cur, exact).otherwise(walked)
     return (
         F.when(chosen == "too_few", 1.0)
-        .when(chosen == "exact", clamped(_ks_equal_sizes(d, n_ref)))
+        .when(chosen == "exact", clamped(exact))
         .when(lam < 0.2, 1.0)
         .otherwise(clamped(series))
     )
@@ -112,6 +124,46 @@ def _ks_equal_sizes(d: Column, n: Column) -> Column:
     return F.when(d <= 0, 1.0).otherwise(total)
 
 
+def lattice_tail(d: float, n: int, m: int) -> float:
+    """Probability that the distribution functions of samples of n and m values, drawn from
+    one continuous distribution, are d or more apart somewhere.
+
+    The merged samples are a path of n + m steps, all orders alike. Diagonal by diagonal,
+    the paths that have stayed inside the band around equal shares carry their probability
+    on, and what steps over its edge is added up; every term is positive, so a small tail
+    keeps its digits. Work is n + m times the width of the band.
+    """
+    least = max(1, round(d * n * m))
+    inside = np.ones(1)  # by values drawn from the first sample, from ``low`` on
+    low, tail = 0, 0.0
+    for step in range(n + m):
+        i = np.arange(low, low + len(inside))
+        up = inside * (n - i) / (n + m - step)
+        stay = inside * (m - (step - i)) / (n + m - step)
+        inside = np.append(stay, 0.0)
+        inside[1:] += up
+        i = np.arange(low, low + len(inside))
+        out = np.abs(i * m - (step + 1 - i) * n) >= least
+        tail += float(inside[out].sum())
+        kept = np.flatnonzero(~out)
+        if not len(kept):
+            return tail
+        # The band is one run of places.
+        inside, low = inside[kept[0] : kept[-1] + 1], low + int(kept[0])
+    return tail
+
+
+def _ks_lattice(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """``lattice_tail`` of one row per feature; NULL where it is not asked for."""
+    return pd.Series(
+        [
+            None if pd.isna(x) or pd.isna(a) else 1.0 if x <= 0 else lattice_tail(float(x), int(a), int(b))
+            for x, a, b in zip(d, n, m)
+        ],
+        dtype="float64",
+    )
+
+
 def _erfc(z: Column) -> Column:
     """Complementary error function for z >= 0: power series up to 2, continued
     fraction beyond. Spark has no built-in; this keeps the result off Python."""

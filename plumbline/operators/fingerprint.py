@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
+from plumbline.sources.files import streamed_hashes
 from plumbline.sources.tables import file_frame
 
+# A file from here on is no row of Spark's binary reader, which ends below 2 GB.
+ROW_BYTES = 1 << 30
 # Hex digits per summand (52 bits) and summands per digest.
 CHUNK = 13
 CHUNKS = 5
@@ -15,15 +18,25 @@ NULL_MARK = "~"
 VALUE_MARK = "="
 
 
-def file_fingerprints(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+def file_fingerprints(
+    spark: SparkSession,
+    path: str | list[str],
+    glob: str | None = None,
+    whole_below: int = ROW_BYTES,
+) -> DataFrame:
     """SHA-256 of every file: path, length, content_hash.
 
-    Spark's binary reader opens them, so any file system it knows will do. A file is one
-    row, which ends at 2 GB; a larger one is an error, not a wrong hash.
+    Files below ``whole_below`` bytes are rows of Spark's binary reader, on any file system
+    it knows. Larger ones are read in pieces (see ``sources.files``), one file per task.
     """
-    return file_frame(spark, path, glob).select(
+    files = file_frame(spark, path, glob)
+    small = files.where(F.col("length") < whole_below).select(
         "path", "length", F.sha2("content", 256).alias("content_hash")
     )
+    large = files.where(F.col("length") >= whole_below).select("path")
+    if large.isEmpty():
+        return small
+    return small.unionByName(streamed_hashes(spark, large))
 
 
 def row_digest(df: DataFrame):

@@ -8,14 +8,22 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import col, positive_label, to_category, to_numeric
+from plumbline.operators.categories import (
+    add_positions,
+    category_index,
+    sparse_vector,
+    vocabulary_sizes,
+)
 from plumbline.operators.metrics import evaluation, macro_metrics
 from plumbline.operators.split import stratified_holdout
 from plumbline.operators.training import balanced_weights
-from plumbline.sources.shared import written
+from plumbline.sources.shared import new_folder, written
 from plumbline.spec import FeatureSpec
 
 # Settings of the boosted trees and names of the two classes.
@@ -24,6 +32,9 @@ TREE_STEP = 0.08
 TREE_ROUNDS = 200
 TREE_BINS = 255
 TREE_MIN_ROWS = 20
+# Early stopping: share of the rows held back, and the least relative gain of a round.
+STOP_FRACTION = 0.1
+STOP_TOLERANCE = 1e-4
 CLASS_NAMES = {"census": ("<=50K", ">50K"), "card_fraud": ("legit", "fraud")}
 
 LABEL = "label"
@@ -63,8 +74,15 @@ def feature_stages(spec: FeatureSpec) -> list:
 
 
 def boosted_trees(
-    spec: FeatureSpec, rounds: int = TREE_ROUNDS, depth: int = TREE_DEPTH, seed: int = 42
+    spec: FeatureSpec,
+    rounds: int = TREE_ROUNDS,
+    depth: int = TREE_DEPTH,
+    seed: int = 42,
+    validation: str | None = None,
 ) -> Pipeline:
+    """Features and boosted trees; with a boolean ``validation`` column the rounds end where
+    the rows it marks gain no more."""
+    stopping = {"validationIndicatorCol": validation, "validationTol": STOP_TOLERANCE}
     trees = GBTClassifier(
         featuresCol=FEATURES,
         labelCol=LABEL,
@@ -74,12 +92,31 @@ def boosted_trees(
         maxBins=TREE_BINS,
         minInstancesPerNode=TREE_MIN_ROWS,
         seed=seed,
+        **(stopping if validation else {}),
     )
     return Pipeline(stages=[*feature_stages(spec), trees])
 
 
-def fit_trees(frame: DataFrame, spec: FeatureSpec, rounds: int = TREE_ROUNDS, seed: int = 42) -> PipelineModel:
-    return boosted_trees(spec, rounds, seed=seed).fit(frame)
+def fit_trees(
+    frame: DataFrame,
+    spec: FeatureSpec,
+    rounds: int = TREE_ROUNDS,
+    seed: int = 42,
+    early_stopping: bool = False,
+) -> PipelineModel:
+    """Boosted trees. With ``early_stopping`` a tenth of the rows, by a hash of their values
+    and so with all their copies, is held back, and no more trees are kept than lower the
+    loss over it."""
+    if not early_stopping:
+        return boosted_trees(spec, rounds, seed=seed).fit(frame)
+    content = F.xxhash64(F.lit(seed), *[col(c) for c in frame.columns])
+    held = F.pmod(content, F.lit(10_000)) < int(STOP_FRACTION * 10_000)
+    # Rows of either kind may be missing from a very small table.
+    marked = frame.withColumn("_validation", held)
+    kinds = marked.agg(F.bool_or("_validation"), F.bool_or(~F.col("_validation"))).first()
+    if not all(kinds):
+        return boosted_trees(spec, rounds, seed=seed).fit(frame)
+    return boosted_trees(spec, rounds, seed=seed, validation="_validation").fit(marked)
 
 
 def fit_logistic(frame: DataFrame, spec: FeatureSpec, max_iter: int = 2000) -> PipelineModel:
@@ -93,7 +130,12 @@ def fit_logistic(frame: DataFrame, spec: FeatureSpec, max_iter: int = 2000) -> P
     scaler = StandardScaler(
         inputCol=FEATURES, outputCol="scaled", withMean=True, withStd=True
     )
-    logistic = LogisticRegression(
+    stages = [*feature_stages(spec), scaler, _logistic(n_rows, max_iter)]
+    return Pipeline(stages=stages).fit(weighted)
+
+
+def _logistic(n_rows: int, max_iter: int) -> LogisticRegression:
+    return LogisticRegression(
         featuresCol="scaled",
         labelCol=LABEL,
         weightCol="weight",
@@ -102,7 +144,55 @@ def fit_logistic(frame: DataFrame, spec: FeatureSpec, max_iter: int = 2000) -> P
         elasticNetParam=0.0,
         standardization=False,
     )
-    return Pipeline(stages=[*feature_stages(spec), scaler, logistic]).fit(weighted)
+
+
+@dataclass(frozen=True)
+class WideModel:
+    """A logistic model whose categories are rows of a table, ``index``."""
+
+    spec: FeatureSpec
+    index: DataFrame
+    sizes: dict[str, int]
+    model: PipelineModel
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        return self.model.transform(wide_frame(frame, self.spec, self.index, self.sizes))
+
+
+def wide_frame(
+    frame: DataFrame, spec: FeatureSpec, index: DataFrame, sizes: dict[str, int]
+) -> DataFrame:
+    """A model frame with its features as sparse vectors, made by joins with a category
+    index instead of a vocabulary that every task holds."""
+    raw = [f"k{i}" for i in range(len(spec.categorical))]
+    numbers = [f"n{i}" for i in range(len(spec.numeric))]
+    rows = add_positions(frame, index, {c: f"{c}_i" for c in raw}, sizes)
+    vector = sparse_vector(
+        [F.col(c) for c in numbers], [(F.col(f"{c}_i"), sizes.get(c, 0)) for c in raw]
+    )
+    kept = [c for c in frame.columns if c not in {*raw, *numbers}]
+    # Fields written as a struct are read back as a vector, without a row in Python.
+    path = new_folder(frame.sparkSession, "vectors")
+    rows.select(*[col(c) for c in kept], vector.alias(FEATURES)).write.parquet(path)
+    fields = [f for f in frame.schema if f.name in kept]
+    schema = T.StructType([*fields, T.StructField(FEATURES, VectorUDT())])
+    return frame.sparkSession.read.schema(schema).parquet(path)
+
+
+def fit_logistic_wide(frame: DataFrame, spec: FeatureSpec, max_iter: int = 2000) -> WideModel:
+    """``fit_logistic`` for vocabularies of any size.
+
+    Vectors stay sparse, as features are scaled but not centred: the penalty leaves the
+    intercept alone, so coefficients and probabilities are the same. Of the vocabulary the
+    driver sees its size; the coefficients are one dense vector, as in any model.
+    """
+    raw = tuple(f"k{i}" for i in range(len(spec.categorical)))
+    index = written(category_index(frame, raw), "index")
+    sizes = vocabulary_sizes(index)
+    wide = wide_frame(balanced_weights(frame, LABEL), spec, index, sizes)
+    scaler = StandardScaler(inputCol=FEATURES, outputCol="scaled", withMean=False, withStd=True)
+    fitted = Pipeline(stages=[scaler, _logistic(max(1, frame.count()), max_iter)]).fit(wide)
+    return WideModel(spec, index, sizes, fitted)
 
 
 @dataclass(frozen=True)
@@ -119,6 +209,7 @@ def train_and_evaluate(
     fraction: float = 0.2,
     seed: int = 42,
     rounds: int = TREE_ROUNDS,
+    early_stopping: bool = False,
 ) -> Trained:
     """Stratified split, boosted trees on the train side, metrics on the holdout.
 
@@ -132,7 +223,7 @@ def train_and_evaluate(
     )
     train = frame.where(~F.col("is_holdout")).drop("is_holdout")
     test = frame.where("is_holdout").drop("is_holdout")
-    model = fit_trees(train, spec, rounds, seed)
+    model = fit_trees(train, spec, rounds, seed, early_stopping)
     row = macro_metrics(model.transform(test), LABEL, "prediction").first()
     metrics = {c: float(row[c]) for c in ("accuracy", "f1_macro", "precision_macro", "recall_macro")}
     metrics["n_train"] = float(train.count())

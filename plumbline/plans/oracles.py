@@ -502,6 +502,9 @@ SELECT (SELECT count(*) FROM events) AS n_runs, (SELECT max(event_id) FROM event
     "baseline_roundtrip": f"{numeric_psi_sql('lineitem', LINE_SHIFT, LINE_NUMERIC)} SELECT feature, round(psi, 6) AS psi FROM psi",
     "text_file_fingerprint": """SELECT o_orderkey // 500 AS part,
   CAST(sum(octet_length(encode(o_orderpriority)) + 1) AS BIGINT) AS length,
+  sha256(string_agg(o_orderpriority || chr(10), '' ORDER BY o_orderkey)) AS content_hash FROM orders GROUP BY 1""",
+    "streamed_file_fingerprint": """SELECT o_orderkey // 500 AS part,
+  CAST(sum(octet_length(encode(o_orderpriority)) + 1) AS BIGINT) AS length,
   sha256(string_agg(o_orderpriority || chr(10), '' ORDER BY o_orderkey)) AS content_hash FROM orders GROUP BY 1""",
     "check_with_hook": f"""WITH {report_tables(LINE_SHIFT)} SELECT 'shifted' AS scenario, {reasons(0, 2, 3)} <> '' AS triggered,
   {reasons(0, 2, 3)} AS reasons, (SELECT count(*) FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01') AS n_reference FROM sm""",
@@ -541,6 +544,31 @@ f AS (SELECT k.window_start, k.event_type, k.n, greatest(h.n_ref / (SELECT sum(n
   LEFT JOIN d ON d.window_start = k.window_start AND d.event_type = k.event_type AND d.bin = h.bin),
 z AS (SELECT window_start, event_type, CAST(n AS BIGINT) AS n, sum((pa - pe) * ln(pa / pe)) AS psi FROM f GROUP BY 1, 2, 3)
 SELECT window_start, event_type, n, round(psi, 6) AS psi, {BAND} AS psi_band FROM z""",
+    "csv_malformed": """SELECT CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'malformed' ELSE 'good' END AS kind,
+  o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey || ',' || o_orderpriority
+    WHEN o_orderkey % 11 = 0 THEN o_orderkey || ',' || o_orderpriority || ',' || CASE WHEN o_orderkey % 13 = 0 THEN 'abc' ELSE o_orderkey || '' END || ',more'
+    WHEN o_orderkey % 13 = 0 THEN o_orderkey || ',' || o_orderpriority || ',abc'
+    ELSE o_orderpriority || '|' || o_orderkey || '.0' END AS held FROM orders""",
+    "lr_one_feature": """WITH RECURSIVE e AS (SELECT CAST(value AS DOUBLE) AS v, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS y
+  FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+s AS (SELECT avg(v) AS mu, stddev_samp(v) AS sd, count(*) AS n, sum(y) AS pos FROM e),
+x AS (SELECT (v - mu) / sd AS x, y, n / (2.0 * CASE WHEN y = 1 THEN pos ELSE n - pos END) / n AS w, 1.0 / n AS lam FROM e, s),
+step AS (SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1
+  UNION ALL SELECT k + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT k, b0, b1, sum(w * (p - y)) AS g0, sum(w * (p - y) * x) + any_value(lam) * b1 AS g1, sum(w * p * (1 - p)) AS h00,
+      sum(w * p * (1 - p) * x) AS h01, sum(w * p * (1 - p) * x * x) + any_value(lam) AS h11
+    FROM (SELECT k, b0, b1, x, y, w, lam, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM step, x WHERE k < 25) GROUP BY k, b0, b1))
+SELECT round(b1 , 4) AS coefficient, round(b0, 4) AS intercept FROM step WHERE k = 25""",
+    "holdout_counts": """SELECT CAST(contains(l_returnflag, 'R') AS INTEGER) AS label, count(*) - CAST(ceil(round(0.2 * count(*), 9)) AS BIGINT) AS n_train,
+  CAST(ceil(round(0.2 * count(*), 9)) AS BIGINT) AS n_test FROM lineitem GROUP BY 1""",
+    "category_vocabulary": """WITH c AS (SELECT 'o_custkey' AS feature, CAST(o_custkey AS VARCHAR) AS category FROM orders
+  UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders)
+SELECT feature, category, count(*) AS n, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, category) - 1 AS position
+FROM c WHERE category IS NOT NULL GROUP BY feature, category""",
+    "category_positions": """WITH e AS (SELECT * FROM orders WHERE o_orderdate < DATE '1995-01-01'),
+c AS (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, CAST(o_custkey AS VARCHAR)) - 1 AS customer_no FROM e GROUP BY o_custkey),
+p AS (SELECT o_orderpriority, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS priority_no FROM e GROUP BY o_orderpriority)
+SELECT o_orderkey, customer_no, priority_no FROM orders LEFT JOIN c USING (o_custkey) LEFT JOIN p USING (o_orderpriority)""",
     "stream_psi_on_close": f"""WITH l AS ({long_numeric('events', EVENT_SPLIT, ('value',))}), {EDGES}, {BINS},
 b AS (SELECT ts, event_type, bin FROM events JOIN gb ON value >= lo AND (value < hi OR (is_last AND value = hi))),
 d AS (SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, bin, count(*) AS n FROM b

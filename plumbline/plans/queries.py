@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import positive_label, to_numeric
 from plumbline.functions.stats import interpret_pvalue, psi_band
 from plumbline.operators import drift, ledger, metrics, report, split, summary, training
+from plumbline.operators.categories import add_positions, category_index
 from plumbline.operators.fingerprint import file_fingerprints, row_digest, table_fingerprint
 from plumbline.operators.policy import alert_payloads, apply_policy
 from plumbline.operators.promotion import replay_promotions
@@ -29,6 +30,7 @@ from plumbline.sources.tables import (
     clean_markers,
     drop_incomplete,
     read_csv,
+    read_csv_checked,
     require_columns,
     select_features,
     write_windows,
@@ -670,19 +672,59 @@ def file_fingerprint(spark, folder):
     return files.withColumn("path", F.substring_index("path", "/", -1))
 
 
-@query
-def text_file_fingerprint(spark, folder):
+def _text_hashes(spark, folder, **options):
     """Priorities of 500 orders to a text file, and the hash of each file."""
     target = new_folder(spark, "texts")
     part = F.floor(F.col("o_orderkey") / 500).alias("part")
     lines = table(spark, folder, "orders").select(part, "o_orderkey", "o_orderpriority")
     rows = lines.repartition("part").sortWithinPartitions("part", "o_orderkey")
     rows.drop("o_orderkey").write.partitionBy("part").text(target)
-    return file_fingerprints(spark, target, "*.txt").select(
+    return file_fingerprints(spark, target, "*.txt", **options).select(
         F.regexp_extract("path", "part=(\\d+)", 1).cast("bigint").alias("part"), "length", "content_hash"
     )
 
 
+@query
+def text_file_fingerprint(spark, folder):
+    """Files as rows of Spark's reader."""
+    return _text_hashes(spark, folder)
+
+
+@query
+def streamed_file_fingerprint(spark, folder):
+    """The same files in pieces, as files beyond the size of a row are read."""
+    return _text_hashes(spark, folder, whole_below=1)
+
+
+@query
+def csv_malformed(spark, folder):
+    """Orders as lines of text, some of them short, long or with a word for a price."""
+    key = F.col("o_orderkey")
+    fields = [key.cast("string"), F.col("o_orderpriority")]
+    price = F.when(key % 13 == 0, "abc").otherwise(key.cast("string"))
+    line = (
+        F.when(key % 7 == 0, F.concat_ws(",", *fields))
+        .when(key % 11 == 0, F.concat_ws(",", *fields, price, F.lit("more")))
+        .otherwise(F.concat_ws(",", *fields, price))
+    )
+    target = new_folder(spark, "lines")
+    table(spark, folder, "orders").select(line.alias("o_orderkey,priority,price")).write.option(
+        "header", True
+    ).option("quote", "").option("sep", "\x01").csv(target)
+    good, malformed = read_csv_checked(
+        spark, target, "o_orderkey bigint, priority string, price double"
+    )
+    return good.select(
+        F.lit("good").alias("kind"), "o_orderkey", F.concat_ws("|", "priority", "price").alias("held")
+    ).unionByName(
+        malformed.select(
+            F.lit("malformed").alias("kind"),
+            F.split("line", ",")[0].cast("bigint").alias("o_orderkey"),
+            F.col("line").alias("held"),
+        )
+    )
+
+
 # --- ledgers -------------------------------------------------------------------------
 
 
@@ -1015,6 +1057,70 @@ def lr_forward_eval(spark, folder):
     return rounded(results, *[c for c in results.columns if c not in ("model", "eval_set")])
 
 
+@query
+def lr_one_feature(spark, folder):
+    """Coefficient and intercept of a balanced logistic model of early purchases."""
+    events = table(spark, folder, "events").where(F.col("ts") < _day("2024-01-16")).select(
+        "value", (F.col("event_type") == "purchase").cast("int").alias("bought")
+    )
+    spec = FeatureSpec(("value",), target="bought")
+    fitted = models.fit_logistic(models.model_frame(events, spec), spec).stages[-1]
+    return spark.createDataFrame(
+        [(round(float(fitted.coefficients[0]), 4), round(fitted.intercept, 4))],
+        "coefficient double, intercept double",
+    )
+
+
+@query
+def holdout_counts(spark, folder):
+    """Rows of each class on both sides of the split that training uses."""
+    items = table(spark, folder, "lineitem")
+    frame = models.model_frame(
+        items.withColumn("item", row_digest(items)), ITEM_MODEL, "R", keep=("item",)
+    )
+    return (
+        split.stratified_holdout(frame, models.LABEL, "item")
+        .groupBy(F.col(models.LABEL).cast("int").alias("label"))
+        .agg(
+            F.count_if(~F.col("is_holdout")).alias("n_train"),
+            F.count_if("is_holdout").alias("n_test"),
+        )
+    )
+
+
+@query
+def category_vocabulary(spark, folder):
+    """Every customer, priority and status of the orders, by falling number of orders."""
+    orders = table(spark, folder, "orders")
+    features = ("o_custkey", "o_orderpriority", "o_orderstatus")
+    return category_index(orders, features, **_many(orders))
+
+
+@query
+def category_positions(spark, folder):
+    """Places of the categories of all orders in a vocabulary of the early ones."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    early = orders.where(F.col("o_orderdate") < _day("1995-01-01"))
+    index = category_index(early, ("o_custkey", "o_orderpriority"))
+    names = {"o_custkey": "customer_no", "o_orderpriority": "priority_no"}
+    return add_positions(orders, index, names).select("o_orderkey", *names.values())
+
+
+@query
+def ks_exact_unequal(spark, folder):
+    """Exact p-values of balances of a nation's customers against all others'."""
+    customers = table(spark, folder, "customer")
+    found = None
+    for nation in range(3):
+        here = F.col("c_nationkey") == nation
+        pair = Pair.of(customers, here, ~here)
+        row = drift.ks_test(drift.numeric_drift(pair, ("c_acctbal",)), "exact").select(
+            F.lit(nation).alias("nation"), "n_ref", "n_cur", "ks_statistic", "ks_pvalue", "ks_pvalue_method"
+        )
+        found = row if found is None else found.unionByName(row)
+    return rounded(found, "ks_statistic", "ks_pvalue")
+
+
 @query
 def batch_scoring(spark, folder):
     """Model fitted on the labeled documents, stored, read back and applied to all."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import col, null_markers, quoted
+from plumbline.sources.shared import written
 from plumbline.spec import FeatureSpec
 
 # Texts that mean "missing", exactly as written in the files.
@@ -73,6 +75,33 @@ def read_csv(
     return df if keep_incomplete else drop_incomplete(df)
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, **options: str
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed) of CSV files with a header.
+
+    ``malformed`` has the ``line`` of every record with too few or too many fields or with a
+    value that is not of its column's type; ``rows`` has all others, with missing markers as
+    NULL. Records that quotes carry over line feeds need the option ``multiLine``.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    line = "_line"
+    while line in wanted.names:
+        line = "_" + line
+    reader = (
+        spark.read.option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", line)
+        .options(**options)
+        .schema(T.StructType([*wanted, T.StructField(line, T.StringType())]))
+    )
+    # Read once: a scan of the line alone would not parse the others.
+    parsed = written(reader.csv(path), "csv")
+    good = clean_markers(parsed.where(F.col(line).isNull()).drop(line))
+    return good, parsed.where(F.col(line).isNotNull()).select(F.col(line).alias("line"))
+
+
+
 def write_windows(df: DataFrame, path: str, window: str = "window", fmt: str = "csv") -> None:
     """Export the windows of a table, one folder each."""
     writer = df.write.mode("overwrite").partitionBy(window)

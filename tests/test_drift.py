@@ -1,5 +1,6 @@
 """Drift statistics on small frames, and the rules that are easy to get wrong."""
 
+import itertools
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.functions.stats import chi2_pvalue, interpret_pvalue, ks_method, ks_pvalue, psi_band
+from plumbline.functions.stats import chi2_pvalue, lattice_tail, interpret_pvalue, ks_method, ks_pvalue, psi_band
 from plumbline.operators import drift, report
 from plumbline.operators.quantiles import exact_quantiles, fit_baseline, quantile_edges
 from plumbline.sources.shared import written
@@ -232,16 +233,52 @@ def test_ks_pvalue_is_exact_for_equal_sizes(spark):
     assert np.allclose(found, [brute_equal_tail(n, h) if h else 1.0 for n, h in cases], atol=1e-12)
 
 
+def brute_tail(n, m, h):
+    """Share of all orders of n and m values whose functions part by h / (n * m) or more."""
+    apart = total = 0
+    for chosen in itertools.combinations(range(n + m), n):
+        chosen, i, gap = set(chosen), 0, 0
+        for step in range(n + m):
+            i += step in chosen
+            gap = max(gap, abs(i * m - (step + 1 - i) * n))
+        total += 1
+        apart += gap >= h
+    return apart / total
+
+
+def test_exact_ks_for_unequal_sizes(spark):
+    cases = [(n, m, h) for n, m in ((2, 3), (3, 7), (6, 4), (5, 8)) for h in range(1, n * m + 1, 3)]
+    expected = [brute_tail(n, m, h) for n, m, h in cases]
+    assert np.allclose([lattice_tail(h / (n * m), n, m) for n, m, h in cases], expected, atol=1e-13)
+    df = spark.createDataFrame([(n, m, h / (n * m)) for n, m, h in cases], "n bigint, m bigint, d double")
+    found = df.select(
+        ks_pvalue(F.col("d"), F.col("n"), F.col("m"), "exact"), ks_method(F.col("n"), F.col("m"), "exact")
+    ).collect()
+    assert np.allclose([r[0] for r in found], expected, atol=1e-13)
+    assert {r[1] for r in found} == {"exact"}
+    # A tiny tail keeps its digits: only two of all orders part the samples wholly.
+    assert lattice_tail(1.0, 30, 41) == pytest.approx(2 / math.comb(71, 30), rel=1e-9)
+    assert lattice_tail(0.0196, 9_000, 10_500) == pytest.approx(0.0477, abs=3e-3)
+
+
 def test_ks_pvalue_forms(spark):
     rows = [(12, 12, 7 / 12), (100, 100, 0.19), (200, 300, 0.1233), (400, 390, 0.0968), (10_000, 10_000, 0.01)]
     df = spark.createDataFrame(rows, "n bigint, m bigint, d double")
     found = [r[0] for r in df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m"), "exact")).collect()]
-    assert np.allclose(found[:4], [0.0314, 0.0539, 0.0476, 0.0462], atol=2e-4)
+    assert np.allclose(found[:2], [0.0314, 0.0539], atol=2e-4)
     assert found[4] == pytest.approx(0.699, abs=5e-3)
     # By default one more row never changes the formula.
     plain = df.select(ks_pvalue(F.col("d"), F.col("n"), F.col("m")), ks_method(F.col("n"), F.col("m")))
     assert {r[1] for r in plain.collect()} == {"stephens"}
-    assert plain.collect()[2][0] == found[2]
+    assert np.allclose([r[0] for r in plain.collect()[2:4]], [0.0476, 0.0462], atol=2e-4)
+    # Exact as well, and near the series at such sizes; beyond the bound the series itself.
+    assert np.allclose(found[2:4], [0.0476, 0.0462], atol=5e-3) and found[2] != plain.collect()[2][0]
+    large = spark.createDataFrame([(80_000, 120_000, 0.0062)], "n bigint, m bigint, d double").select(
+        ks_pvalue(F.col("d"), F.col("n"), F.col("m"), "exact").alias("a"),
+        ks_pvalue(F.col("d"), F.col("n"), F.col("m")).alias("b"),
+        ks_method(F.col("n"), F.col("m"), "exact").alias("how"),
+    ).first()
+    assert large["a"] == large["b"] and large["how"] == "stephens"
     with pytest.raises(ValueError):
         ks_method(F.lit(5), F.lit(5), "asymptotic")
 

@@ -17,6 +17,7 @@ from plumbline.sources.tables import (
     clean_markers,
     drop_incomplete,
     read_csv,
+    read_csv_checked,
     require_columns,
     select_features,
     write_windows,
@@ -189,3 +190,35 @@ def test_snapshot_is_one_row_per_column(spark):
 def test_unique_folders(spark):
     assert new_folder(spark, "x") != new_folder(spark, "x")
     assert uuid.UUID(new_folder(spark, "x").rsplit("-", 1)[1])
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    """A sparse file of 3 GB, beyond what a row of the binary reader holds."""
+    path = tmp_path / "large.bin"
+    with path.open("wb") as out:
+        out.truncate(3_000_000_000)
+        out.seek(2_500_000_000)
+        out.write(b"somewhere in it")
+    small = tmp_path / "small.bin"
+    small.write_bytes(b"abc")
+    expected = {}
+    for file in (path, small):
+        digest = hashlib.sha256()
+        with file.open("rb") as held:
+            while piece := held.read(1 << 22):
+                digest.update(piece)
+        expected[file.name] = (file.stat().st_size, digest.hexdigest())
+    rows = file_fingerprints(spark, str(tmp_path), "*.bin").collect()
+    assert {r["path"].rsplit("/", 1)[1]: (r["length"], r["content_hash"]) for r in rows} == expected
+    none = file_fingerprints(spark, str(tmp_path), "*.txt")
+    assert none.count() == 0
+
+
+def test_malformed_records_are_returned(spark, tmp_path):
+    lines = ["a,b,_line", "1,x,2.5", "2,y", "3,z,1.0,extra", "four,w,1.0", '5,"u, v",0.5', "6,?,", ",,"]
+    (tmp_path / "rows.csv").write_text("\n".join(lines) + "\n")
+    good, malformed = read_csv_checked(spark, str(tmp_path / "rows.csv"), "a int, b string, _line double")
+    assert sorted(r["line"] for r in malformed.collect()) == ["2,y", "3,z,1.0,extra", "four,w,1.0"]
+    assert sorted(map(tuple, good.collect()), key=str) == sorted(
+        [(1, "x", 2.5), (5, "u, v", 0.5), (6, None, None), (None, None, None)], key=str
+    )
