@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col
 from plumbline.operators.ranges import CELL, ordered_cells
 from plumbline.operators.sequence import running_max_in
-from plumbline.sources.shared import written
+from plumbline.sources.shared import counted, written
 
 # Why a run was or was not promoted.
 FIRST_CHAMPION = "no_existing_champion"
@@ -134,8 +134,8 @@ def _reached(starts: DataFrame, links: DataFrame) -> DataFrame:
         ahead = found.join(
             jumps, (found["_key"] == jumps["_key"]) & (found["_at"] == jumps["_from"])
         ).select(jumps["_key"], jumps["_to"].alias("_at"))
-        fresh = written(ahead.distinct().join(found, ["_key", "_at"], "left_anti"))
-        if fresh.isEmpty():
+        fresh, n = counted(ahead.distinct().join(found, ["_key", "_at"], "left_anti"))
+        if not n:
             return found
         found = found.unionByName(fresh)
         further = jumps.select(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.sources.shared import written
+from plumbline.sources.shared import counted, written
 
 ROWS_PER_RANGE = 200_000
 
@@ -129,11 +129,16 @@ def ordered_cells(
 
     Rows are range-partitioned by the real values, NULLs first, as a window orders them,
     and a cell is a partition of about ``rows_per_range`` rows. One order value that many
-    rows share is cut along ``tie``. A ``derived`` frame (the result of a shuffle) is
-    written first, as it is read for its size, its sample and its rows.
+    rows share is cut along ``tie``. Rows that fill no more than one cell are one as they
+    are. A ``derived`` frame (the result of a shuffle) is written first, as it is read for
+    its size, its sample and its rows; its size is counted while it is written.
     """
     if derived:
-        df = written(df)
-    n_cells = max(1, math.ceil(df.count() / rows_per_range))
+        df, n_rows = counted(df)
+    else:
+        n_rows = df.count()
+    n_cells = max(1, math.ceil(n_rows / rows_per_range))
+    if n_cells == 1:
+        return df.withColumn(CELL, F.lit(0))
     ranged = df.repartitionByRange(n_cells, col(order), col(tie))
     return written(ranged.withColumn(CELL, F.spark_partition_id()), "cells")
