@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.shared import written
+from plumbline.sources.shared import written_with
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return inner.unionByName(own).where(F.col("a") != F.col("b")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and sum, which tell whether they changed."""
     hashed = F.xxhash64("a", "b").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(hashed)).first())
+    table, facts = written_with(edges, "edges", n=F.count(F.lit(1)), total=F.sum(hashed))
+    return table, (facts["n"], facts["total"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,16 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
     numbers per turn, and a hub is only a hot join key. Turns grow with the logarithm of
     the longest path. Edges may repeat and point either way; loops and NULLs are ignored.
     """
-    edges = written(
+    edges, state = _stored(
         edges.where(F.col("a") != F.col("b"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
-        "edges",
+        .distinct()
     )
-    state = _state(edges)
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
-        before, state = state, _state(edges)
+        before = state
+        edges, state = _stored(_small_star(_large_star(edges)))
         if state == before:
             break
     roots = edges.select(F.col("b").alias("id"), F.col("a").alias("root"))

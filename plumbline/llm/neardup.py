@@ -26,7 +26,7 @@ from plumbline.functions.columns import col
 from plumbline.llm.links import components
 from plumbline.llm.names import unused
 from plumbline.llm.words import blocks, mix, shingle_sets
-from plumbline.sources.shared import written
+from plumbline.sources.shared import counted, written
 
 # Two sets of similarity 0.8 share none of 40 bands of 5 minima once in eight million.
 BANDS, BAND_ROWS = 40, 5
@@ -46,6 +46,11 @@ BLOCK = 256
 # Bits of a set's bitmap for each of its shingles, rounded up to a power of two.
 BITMAP_BITS = 8
 
+# Classes of equal sets with more rows than this, and than one in so many of all rows, go
+# to the rows by broadcast: MOST_LARGE of them at most from LEAST_LARGE * MOST_LARGE rows on,
+# and fewer below.
+LEAST_LARGE, MOST_LARGE = 256, 10_000
+
 _random = np.random.default_rng(20)
 _SCALE = _random.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _random.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -368,16 +373,21 @@ def near_duplicates(
     source = docs.select(
         col(id_column).cast("bigint").alias("id"), col(text_column).alias("text")
     )
-    signed = written(signatures(source, "id", "text", width), "signatures")
+    signed, n_rows = counted(signatures(source, "id", "text", width), "signatures")
     full = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = full.groupBy("set_key").agg(F.min("id").alias("rep"))
-    members = written(full.select("id", "n", "set_key").join(classes, "set_key"), "members")
+    classes = written(
+        full.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("members")),
+        "classes",
+    )
     # Rows of one id with different texts.
-    twice = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"))
-    twice = twice.where(F.col("a") < F.col("last")).drop("last")
-    same = members.join(twice, "id").select("a", F.col("rep").alias("b"))
+    ids = full.groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y"))
+    twice = full.join(ids.where(F.col("x") != F.col("y")).select("id"), "id", "left_semi")
+    twice = twice.select("id", "set_key").distinct().join(classes, "set_key").select("id", "rep")
+    same = twice.groupBy("id").agg(F.min("rep").alias("a")).join(twice, "id").select(
+        "a", F.col("rep").alias("b")
+    )
 
-    reps = full.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     bands = reps.select("id", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
     hubs = hubs.where(F.col("hub") < F.col("last")).drop("last")
@@ -396,8 +406,24 @@ def near_duplicates(
     loose = _verified(_loose_pairs(met, _labels(linked), details, percent), sets, percent)
     roots = components(linked.unionByName(loose).unionByName(same))
 
-    named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "id", "n", F.coalesce("root", "rep").alias("component_id")
+    rooted = written(
+        classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
+            "set_key", "members", F.coalesce("root", "rep").alias("component_id")
+        ),
+        "rooted",
+    )
+    rows = full.select("id", "n", "set_key")
+    # Large classes are 10,000 at most; the others can't fill a task.
+    large = F.col("members") > max(LEAST_LARGE, n_rows // MOST_LARGE)
+    frequent = F.broadcast(rooted.where(large).drop("members"))
+    named = (
+        rows.join(frequent, "set_key")
+        .unionByName(
+            rows.join(frequent.select("set_key"), "set_key", "left_anti").join(
+                rooted.where(~large).drop("members"), "set_key"
+            )
+        )
+        .drop("set_key")
     )
     alone = signed.where((F.col("n") == 0) | F.col("id").isNull()).select(
         "id", "n", F.col("id").alias("component_id")

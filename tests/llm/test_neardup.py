@@ -157,3 +157,12 @@ def test_components_of_a_long_path(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     found = {r["id"]: r["root"] for r in components(df).collect()}
     assert found == {**{i: 0 for i in range(200)}, 500: 500, 501: 500}
+
+
+def test_large_classes_are_joined_by_broadcast(spark, rows, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAST_LARGE", 2)
+    monkeypatch.setattr(neardup, "MOST_LARGE", 1_000_000)
+    copies = rows + [(10_000 + k, rows[3][1]) for k in range(40)] + [(20_000, rows[3][1].upper())]
+    df = spark.createDataFrame([(i, t) for i, t in copies], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, width=2).collect()}
+    assert found == brute([(i, t) for i, t in copies], 2)
