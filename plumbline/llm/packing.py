@@ -1,7 +1,8 @@
 """Best-fit packing of documents into sequences, under conflicts.
 
-Rows are dealt by number into groups of bounded size, so neither a source nor a cluster of
-copies gathers in one task, and each group is packed on its own. Inside a group the
+Rows are dealt by a hash of what they hold and of a number among equal ones into groups of
+bounded size, so neither a source nor a cluster of copies gathers in one task, and the same
+documents are packed alike on any cluster. Each group is packed on its own. Inside a group the
 pieces come in descending length. Open bins are ordered by what is left in them and carry
 a bitmap of their sources and duplicate clusters; the search starts at the smallest
 residual that is enough and goes on to the next larger one until a bin is compatible.
@@ -17,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.sources.shared import written
+from plumbline.sources.shared import counted
 
 CAPACITY = 2048
 GROUP_ROWS = 4096
 BYTES_PER_TOKEN = 4
+# Equal rows that are unfolded at a time.
+COPIES = 1024
 
 _BIN_BITS = 24
 
@@ -104,6 +107,29 @@ def _pack(capacity: int):
     return run
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """The rows with a key ``row`` made of what they hold and of a number among equal rows.
+
+    Equal rows are counted, which combines them before the shuffle, and come back in runs
+    of COPIES that are dealt out before they are unfolded.
+    """
+    columns = items.columns
+    runs = items.groupBy(*columns).agg((F.count("*") - 1).alias("last")).select(
+        *columns,
+        "last",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / COPIES))).alias("run"),
+    )
+    first = F.col("run") * COPIES
+    return (
+        runs.repartition(*columns, "run")
+        .select(
+            *columns,
+            F.explode(F.sequence(first, F.least("last", first + COPIES - 1))).alias("copy"),
+        )
+        .select(*columns, F.xxhash64(*columns, "copy").alias("row"))
+    )
+
+
 def packed(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -133,8 +159,6 @@ def packed(
         col(source_column).cast("string").alias("source"),
         cluster.alias("cluster"),
         F.greatest(F.coalesce(length.cast("bigint"), F.lit(1)), F.lit(1)).alias("whole"),
-        # Written down once, so a row keeps its number whatever is computed again.
-        F.monotonically_increasing_id().alias("row"),
     )
     if near is None:
         items = items.withColumn("near", F.lit(None).cast("bigint"))
@@ -144,8 +168,9 @@ def packed(
         )
         named = named.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("near").alias("near"))
         items = items.join(named, "id", "left")
-    items = written(
-        items.withColumn(
+    items, n_items = counted(
+        _numbered(items)
+        .withColumn(
             "piece",
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("whole") / capacity) - 1)),
         )
@@ -153,7 +178,7 @@ def packed(
         .drop("whole"),
         "pieces",
     )
-    n_groups = max(1, -(-items.count() // group_rows))
+    n_groups = max(1, -(-n_items // group_rows))
     return (
         items.withColumn("pack", F.pmod(F.xxhash64("row", "piece"), F.lit(n_groups)).cast("bigint"))
         .groupBy("pack")

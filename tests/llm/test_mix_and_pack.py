@@ -185,6 +185,13 @@ def test_packing_odd_rows(spark):
     assert packed(df.limit(0)).collect() == []
 
 
+def test_packing_does_not_hang_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 4)
+    rows = docs.unionByName(docs.limit(1).crossJoin(spark.range(11)).drop("id"))
+    one, two = (packed(rows.repartition(n), group_rows=60).collect() for n in (2, 7))
+    assert len(one) > 211 and sorted(map(tuple, one), key=str) == sorted(map(tuple, two), key=str)
+
+
 def test_near_copies_do_not_share_a_bin(spark, tmp_path):
     words = [f"word{k}" for k in range(60)]
     rows = [(k, " ".join([*words[:59], f"last{k}"]) + " " * (k % 2), f"s{k}") for k in range(12)]
