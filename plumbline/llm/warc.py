@@ -22,6 +22,8 @@ from plumbline.sources.shared import new_folder, written
 # Shorter payloads are cheaper to keep than to refer to.
 MIN_PAYLOAD = 1000
 RECORDS_PER_ARCHIVE = 4096
+# Payload bytes of an archive; a longer record has one to itself.
+ARCHIVE_BYTES = 1 << 27
 CAPTURED = "1970-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -78,15 +80,18 @@ def write_archives(
     html_column: str = "html",
     min_payload: int = MIN_PAYLOAD,
     records_per_archive: int = RECORDS_PER_ARCHIVE,
+    archive_bytes: int = ARCHIVE_BYTES,
     compression: str = "gzip",
 ) -> None:
-    """One record per row, in archives of a bounded number of records.
+    """One record per row, in archives of bounded numbers of records and bytes.
 
     The payload is the UTF-8 text, empty for NULL. Of rows with equal payloads of at least
     ``min_payload`` bytes the one with the largest id is a response, the others are
     revisits without payload. Rows without id are responses. Rows with equal id and
     payload become equal records. A NULL url gives a record without target. No rows give
-    archives without records; other columns are not read.
+    archives without records; other columns are not read. Records are written by classes of
+    length, the longer the fewer to an archive, with a pass for each class there is; a
+    record of any length that a row can hold has its place.
     """
     again = revisits(payload_headers(pages, id_column, html_column), min_payload)
     text = F.coalesce(col(html_column).cast("string"), F.lit(""))
@@ -119,14 +124,33 @@ def write_archives(
         _field("Content-Length", F.octet_length("block")),
         F.lit("\r\n"),
     )
-    (
-        rows.withColumn("block", block)
-        .select(F.concat(header, F.col("block")).alias("value"))
-        .write.option("lineSep", _END)
-        .option("compression", compression)
-        .option("maxRecordsPerFile", records_per_archive)
-        .text(path)
+    records = rows.withColumn("block", block).select(
+        F.octet_length("html").alias("size"), F.concat(header, F.col("block")).alias("value")
     )
+    classes = _classes(records_per_archive, archive_bytes)
+    size = F.coalesce(F.octet_length(col(html_column).cast("string")), F.lit(0))
+    held = pages.agg(*[F.bool_or(size.between(low, high)) for low, high, _ in classes]).first()
+    for k, (low, high, n) in enumerate(classes):
+        if held[k] or not any(held) and k == 0:
+            (
+                records.where(F.col("size").between(low, high))
+                .select("value")
+                .write.mode("append")
+                .option("lineSep", _END)
+                .option("compression", compression)
+                .option("maxRecordsPerFile", n)
+                .text(path)
+            )
+
+
+def _classes(records: int, archive_bytes: int) -> list[tuple[int, int, int]]:
+    """(shortest, longest, records to an archive) of classes of payload lengths."""
+    classes, low = [], 0
+    while records > 1:
+        high = archive_bytes // records
+        classes.append((low, high, records))
+        low, records = high + 1, records // 16
+    return [*classes, (low, (1 << 31) - 1, 1)]
 
 
 class _Stream:

@@ -45,7 +45,7 @@ def expected():
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"compression": "none"}, {"records_per_archive": 2}])
+@pytest.mark.parametrize("options", [{}, {"compression": "none"}, {"records_per_archive": 2}, {"archive_bytes": 2000}])
 def test_revisits(pages, options):
     found = warc.archived(pages, **options).drop("url")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -87,3 +87,19 @@ def test_broken_archives_are_refused():
 def test_no_rows(spark):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.archived(df).collect() == []
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    """Pages of 1 to 300 kB, and one of 20 MB, in archives of a quarter of a megabyte."""
+    lengths = [1000, 20_000, 300_000, 100_000] * 30
+    rows = [(k, "u", f"{k} " + "x" * n) for k, n in enumerate(lengths)] + [(999, "u", "y" * 20_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = new_folder(spark, "warc")
+    warc.write_archives(df, path, compression="none", archive_bytes=1 << 18, records_per_archive=64)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    headers = 64 * 1000
+    assert sum(n > (1 << 18) + headers for n in sizes) == 1
+    # A page beyond the bound has an archive to itself.
+    assert sum(n > 300_000 for n in sizes) == 31
+    found = warc.read_archives(spark, path).select("page_id", "payload_bytes").collect()
+    assert sorted(map(tuple, found)) == sorted((i, len(h)) for i, _, h in rows)
