@@ -131,7 +131,7 @@ def ordered_cells(
     and a cell is a partition of about ``rows_per_range`` rows. One order value that many
     rows share is cut along ``tie``. Rows that fill no more than one cell are one as they
     are. A ``derived`` frame (the result of a shuffle) is written first, as it is read for
-    its size, its sample and its rows; its size is counted while it is written.
+    its size, its sample and its rows.
     """
     if derived:
         df, n_rows = counted(df)

@@ -7,8 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,18 +45,12 @@ def written(df: DataFrame, purpose: str = "stage", by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_with(df: DataFrame, purpose: str, **facts: Column) -> tuple[DataFrame, dict]:
-    """``written``, and aggregates over all rows, taken while they are written."""
-    path = new_folder(df.sparkSession, purpose)
-    seen = Observation()
-    df.observe(seen, *[c.alias(name) for name, c in facts.items()]).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
-
-
 def counted(df: DataFrame, purpose: str = "stage") -> tuple[DataFrame, int]:
-    """``written``, and its number of rows."""
-    table, facts = written_with(df, purpose, n=F.count(F.lit(1)))
-    return table, facts["n"]
+    """``written``, and its number of rows, which the footers of its files tell. (An
+    ``Observation`` would take no job, but with one on the session models of Spark ML can
+    no longer be sent to tasks.)"""
+    table = written(df, purpose)
+    return table, table.count()
 
 
 @contextmanager
