@@ -261,6 +261,17 @@ SELECT "window", count(*) AS n_rows, CAST(sum(CAST(event_type = 'error' AS INTEG
   round(avg(CAST(event_type = 'error' AS INTEGER)), 6) AS positive_rate,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS time_min, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS time_max
 FROM w GROUP BY "window" """,
+    "sketched_ranks": """SELECT feature, CAST(unnest(range(11)) AS BIGINT) AS decile, n, TRUE AS within_error
+FROM (SELECT 'value' AS feature, count(value) AS n FROM events UNION ALL SELECT 'user_id', count(user_id) FROM events)""",
+    "sketched_numbers": f"""WITH l AS (SELECT * FROM ({long_numeric('events', 'ts', ('value', 'user_id'))})
+  WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21')
+SELECT feature, count(DISTINCT CAST(ts AS DATE)) AS n_parts, count(*) AS n_rows, count(v) AS n, round(avg(v), 6) AS mean,
+  round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max FROM l GROUP BY feature""",
+    "sketched_categories": f"""WITH l AS (SELECT * FROM ({long_text('events', 'ts', ('event_type', 'user_id'))})
+  WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21'),
+c AS (SELECT feature, v AS value, count(*) AS n, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, v) AS position
+  FROM l WHERE v IS NOT NULL GROUP BY feature, v)
+SELECT feature, value, n, position, TRUE AS unique_within_error FROM c WHERE position <= 15""",
     "quantile_edges": f"""WITH l AS ({long_numeric('lineitem', LINE_SPLIT, LINE_NUMERIC)}), {EDGES}
 SELECT feature, CAST(i AS BIGINT) AS edge_no, round(es[i + 1], 6) AS edge
 FROM (SELECT feature, es, unnest(range(len(es))) AS i FROM e)""",

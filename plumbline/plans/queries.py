@@ -20,6 +20,17 @@ from plumbline.operators.policy import alert_payloads, apply_policy
 from plumbline.operators.promotion import replay_promotions
 from plumbline.operators.quantiles import edge_rows, fit_baseline, quantile_edges
 from plumbline.operators.sequence import number_rows, previous_row, running_max_before
+from plumbline.operators.sketches import (
+    distinct_error,
+    merged,
+    rank_error,
+    sketch_parts,
+    sketched_categorical_profile,
+    sketched_numeric_profile,
+    sketched_quantiles,
+    store_parts,
+    stored_parts,
+)
 from plumbline.plans import models
 from plumbline.plans.check import evaluate_pair, run_drift_check
 from plumbline.plans.retrain import Ledgers, run_retrain, score_with_production
@@ -243,6 +254,74 @@ def window_profile(spark, folder):
     )
 
 
+# --- sketches kept per day ----------------------------------------------------------
+
+EVENT = FeatureSpec(("value", "user_id"), ("event_type", "user_id"))
+
+
+def _event_days(spark, folder, first=None, last=None):
+    """Sketches of every day of events, those of two days written again, merged."""
+    events = table(spark, folder, "events")
+    path = new_folder(spark, "sketches")
+    day = F.to_date("ts")
+    store_parts(sketch_parts(events, EVENT, day), path)
+    again = events.where((F.col("ts") >= _day("2024-01-10")) & (F.col("ts") < _day("2024-01-12")))
+    store_parts(sketch_parts(again, EVENT, day), path)
+    return merged(stored_parts(spark, path, first, last))
+
+
+@query
+def sketched_ranks(spark, folder):
+    """Are the deciles merged from days of sketches within the error stated for their ranks?
+    Counted over all events."""
+    shares = [i / 10 for i in range(11)]
+    found = sketched_quantiles(_event_days(spark, folder), shares).collect()
+    tests = {}
+    for k, r in enumerate(found):
+        value = to_numeric(F.col(r["feature"]))
+        below, upto = F.avg((value < r["value"]).cast("int")), F.avg((value <= r["value"]).cast("int"))
+        within = (below - rank_error() <= r["share"]) & (upto + rank_error() >= r["share"])
+        tests[k] = F.struct(
+            F.lit(r["feature"]).alias("feature"),
+            F.lit(round(10 * r["share"])).cast("bigint").alias("decile"),
+            F.count(value).alias("n"),
+            within.alias("within_error"),
+        )
+    counted = table(spark, folder, "events").agg(*[t.alias(f"t{k}") for k, t in tests.items()])
+    rows = counted.select(F.explode(F.array(*[f"t{k}" for k in tests])).alias("t"))
+    return rows.select("t.*")
+
+
+@query
+def sketched_numbers(spark, folder):
+    """What merges exactly, over sixteen of the days."""
+    days = _event_days(spark, folder, "2024-01-05", "2024-01-20")
+    profile = sketched_numeric_profile(days).join(
+        days.where(F.col("kind") == "numeric").select("feature", "n_parts", "n_rows", "n"), "feature"
+    )
+    kept = ["feature", "n_parts", "n_rows", "n", "mean", "std", "min", "max"]
+    return rounded(profile.select(*kept), "mean", "std", "min", "max")
+
+
+@query
+def sketched_categories(spark, folder):
+    """Most frequent values over sixteen of the days, and whether the numbers of distinct
+    values are within the error stated for them."""
+    days = _event_days(spark, folder, "2024-01-05", "2024-01-20")
+    events = table(spark, folder, "events").where(
+        (F.col("ts") >= _day("2024-01-05")) & (F.col("ts") < _day("2024-01-21"))
+    )
+    exact = summary.categorical_profile(events, list(EVENT.categorical), 1).select(
+        "feature", F.col("n_unique").alias("exact")
+    )
+    off = F.abs(F.col("n_unique") - F.col("exact")) <= F.ceil(distinct_error() * F.col("exact"))
+    return (
+        sketched_categorical_profile(days)
+        .join(F.broadcast(exact), "feature")
+        .select("feature", "value", "n", "position", off.alias("unique_within_error"))
+    )
+
+
 # --- drift statistics ------------------------------------------------------------
 
 
