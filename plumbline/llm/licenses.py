@@ -1,14 +1,20 @@
-"""License scans: lines and blocks of texts against license templates.
+"""License scans: lines, blocks and passages of texts against license templates.
 
 Texts are normalised to lower-case ASCII words. The similarity of a unit (a line, or a
 block of lines between blank ones) to a template is the Dice coefficient of their sets of
 word bigrams. A coefficient of at least t needs sizes within a factor of (2 - t) / t, so
-most units have few candidate templates or none. All of it is one projection of the scan:
-nothing is shuffled.
+most units have few candidate templates or none.
+
+A notice that stands among other words, or runs over several blocks, is found as a passage:
+windows as long as the template slide over the words of the whole text. The same bound says
+how many of a template's bigrams a text must hold, and how many must lie within a window's
+reach, before any window is compared. All of it is projections of the scan: nothing is
+shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
 
@@ -61,8 +67,12 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK_LINE = r"\n[\x20\x09\x0B-\x0D]*\n"
 
 
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -72,11 +82,10 @@ def _normalised(text: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    """Distinct bigrams as 64-bit hashes, which sets of numbers hold without objects."""
+    """Bigrams in order as 64-bit hashes, which sets of numbers hold without objects."""
     n = F.size(words) - 1
     first, second = F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n)
-    pairs = F.zip_with(first, second, lambda a, b: F.xxhash64(a, b))
-    return F.array_distinct(pairs)
+    return F.zip_with(first, second, lambda a, b: F.xxhash64(a, b))
 
 
 def _once(value: Column) -> Column:
@@ -84,6 +93,16 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def _known(templates: Mapping[str, str]) -> list[tuple[str, int, list[str]]]:
+    """(name, words, distinct bigrams) of the templates that have bigrams, by name."""
+    found = ((n, len(template_words(t)), template_bigrams(t)) for n, t in templates.items())
+    return sorted(t for t in found if t[2])
+
+
+def _hashed(bigrams: list[str]) -> Column:
+    return F.array(*[F.xxhash64(*map(F.lit, b.split())) for b in bigrams])
+
+
 def license_hits(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -91,30 +110,41 @@ def license_hits(
     templates: Mapping[str, str] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(id, unit, unit_no, license, dice, n_bigrams) of every unit that is like a template.
+    """(id, unit, unit_no, license, dice, n_bigrams) of all that is like a template.
 
     ``unit`` is ``line`` or ``block`` (two or more lines between blank lines), numbered from
-    0 in the text. The most similar template counts, of equals the first by name. Units of
-    fewer than two words, NULL and empty texts have no hit; a NULL id stays NULL; repeated
-    rows hit alike; no rows give none. Other columns are not read.
+    0 in the text, or ``passage``. Of a line or block the most similar template counts, of
+    equals the first by name. Passages are found for each template by itself, wherever they
+    begin: windows of its length that overlap make one passage, for which the most similar
+    of them, of equals the first, is given; ``unit_no`` is the number of its first word. A
+    notice that fills a line is a passage too.
+
+    Units of fewer than two words, NULL and empty texts have no hit; a NULL id stays NULL;
+    repeated rows hit alike; no rows give none. Texts of any length are compared whole, in
+    time that grows with their length. Other columns are not read.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    known = sorted((name, template_bigrams(text)) for name, text in templates.items())
+    known = _known(templates)
+    texts = docs.select(col(id_column).alias("_id"), col(text_column).alias("text"))
+    hits = _unit_hits(texts, known, threshold).unionByName(_passage_hits(texts, known, threshold))
+    return hits.withColumnRenamed("_id", id_column)
+
+
+def _unit_hits(texts: DataFrame, known: list[tuple], threshold: float) -> DataFrame:
     slack = (2 - threshold) / threshold
     candidates = F.array(
         *[
             F.struct(
                 F.lit(-k).alias("turn"),
                 F.lit(name).alias("license"),
-                F.array(*[F.xxhash64(*map(F.lit, b.split())) for b in held]).alias("bigrams"),
+                _hashed(held).alias("bigrams"),
                 F.lit(len(held)).alias("size"),
             )
-            for k, (name, held) in enumerate(known)
-            if held
+            for k, (name, _, held) in enumerate(known)
         ]
     )
-    text = col(text_column)
+    text = F.col("text")
     blocks = F.transform(
         F.split(text, BLANK_LINE, -1), lambda b, k: F.struct(F.lit("block"), k, b)
     )
@@ -124,14 +154,14 @@ def license_hits(
         lines.cast(kind), F.filter(blocks.cast(kind), lambda b: F.contains(b["held"], F.lit("\n")))
     )
     # A unit of so few words has too few bigrams for any template.
-    fewest = min((len(held) for _, held in known if held), default=0) / slack
+    fewest = min((len(held) for *_, held in known), default=0) / slack
     keys = ["_id", "unit", "unit_no"]
     rows = (
-        docs.select(col(id_column).alias("_id"), F.explode(units).alias("u"))
+        texts.select("_id", F.explode(units).alias("u"))
         .select("_id", "u.unit", "u.unit_no", _once(_normalised(F.col("u.held"))).alias("plain"))
         .select(*keys, _once(F.split("plain", " ")).alias("words"))
         .where((F.size("words") > 1) & (F.size("words") - 1 >= fewest - 1e-9))
-        .select(*keys, _once(_bigrams(F.col("words"))).alias("bigrams"))
+        .select(*keys, _once(F.array_distinct(_bigrams(F.col("words")))).alias("bigrams"))
         .select(*keys, "bigrams", F.size("bigrams").alias("n_bigrams"))
     )
 
@@ -149,7 +179,7 @@ def license_hits(
     return (
         rows.select(*keys, "n_bigrams", F.explode(hits).alias("best"))
         .select(
-            F.col("_id").alias(id_column),
+            "_id",
             "unit",
             F.col("unit_no").cast("bigint").alias("unit_no"),
             F.col("best.license").alias("license"),
@@ -157,3 +187,84 @@ def license_hits(
             F.col("n_bigrams").cast("bigint").alias("n_bigrams"),
         )
     )
+
+
+def fewest_shared(size: int, threshold: float) -> int:
+    """Bigrams that anything as similar as ``threshold`` shares with a template of ``size``:
+    what is shared is not more than what the other side has."""
+    return math.ceil(size * threshold / (2 - threshold) - 1e-9)
+
+
+def _passage_hits(texts: DataFrame, known: list[tuple], threshold: float) -> DataFrame:
+    candidates = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("license"),
+                _hashed(held).alias("bigrams"),
+                F.lit(len(held)).alias("size"),
+                F.lit(words - 1).alias("reach"),
+                F.lit(fewest_shared(len(held), threshold)).alias("fewest"),
+            )
+            for name, words, held in known
+        ]
+    )
+    every = _hashed(sorted({b for *_, held in known for b in held}))
+    least = min((fewest_shared(len(held), threshold) for *_, held in known), default=1)
+    t = F.col("t")
+
+    def in_text(template: Column) -> Column:
+        both = F.array_intersect(template["bigrams"], F.col("shared"))
+        return F.size(both) >= template["fewest"]
+
+    # Places (of bigrams, from 0) where a bigram of the template stands.
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("grams") - 1),
+        lambda i: F.array_contains(t["bigrams"], F.get("grams", i)),
+    )
+
+    def reached(i: Column, j: Column) -> Column:
+        return F.get("places", j + t["fewest"] - 1) < i + t["reach"]
+
+    def window(i: Column) -> Column:
+        held = F.slice("grams", i + 1, t["reach"])
+        shared, n = F.size(F.array_intersect(held, t["bigrams"])), F.size(F.array_distinct(held))
+        dice = F.lit(2.0) * shared / (n + t["size"])
+        return F.struct(dice.alias("dice"), (-i).alias("turn"), n.alias("n"))
+
+    similar = F.filter(
+        F.transform(F.filter("places", reached), window), lambda w: w["dice"] >= threshold
+    )
+
+    # Windows that share no word with the one before them begin a passage.
+    def begins(k: Column) -> Column:
+        before = F.get("windows", k - 1)["turn"]
+        return (k == 0) | (before - F.get("windows", k)["turn"] > F.col("reach"))
+
+    begin = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), begins)
+
+    def best(k: Column, q: Column) -> Column:
+        after = F.coalesce(F.get("begin", q + 1), F.size("windows"))
+        return F.array_max(F.slice("windows", k + 1, after - k))
+
+    return (
+        texts.select("_id", _once(_normalised(F.col("text"))).alias("plain"))
+        .select("_id", _once(F.split("plain", " ")).alias("words"))
+        .where(F.size("words") > 1)
+        .select("_id", _once(_bigrams(F.col("words"))).alias("grams"))
+        .select("_id", "grams", _once(F.array_intersect("grams", every)).alias("shared"))
+        .where(F.size("shared") >= least)
+        .select("_id", "grams", F.explode(F.filter(candidates, in_text)).alias("t"))
+        .select("_id", "grams", "t", _once(places).alias("places"))
+        .select("_id", "t.license", "t.reach", _once(similar).alias("windows"))
+        .where(F.size("windows") > 0)
+        .select("_id", "license", "windows", _once(begin).alias("begin"))
+        .select("_id", "license", F.explode(F.transform("begin", best)).alias("best"))
+        .select(
+            "_id",
+            F.lit("passage").alias("unit"),
+            (-F.col("best.turn")).cast("bigint").alias("unit_no"),
+            "license",
+            F.col("best.dice").alias("dice"),
+            F.col("best.n").cast("bigint").alias("n_bigrams"),
+        )
+    )

@@ -60,6 +60,49 @@ _TEMPLATES = ", ".join(
     f"({_text(name)}, [{', '.join(map(_text, held))}])"
     for name, held in ((n, licenses.template_bigrams(t)) for n, t in licenses.TEMPLATES.items())
 )
+_WINDOWS = ", ".join(
+    f"({_text(name)}, {len(licenses.template_words(text)) - 1}, {_text(gram)}, {len(held)})"
+    for name, text, held in ((n, t, licenses.template_bigrams(t)) for n, t in licenses.TEMPLATES.items())
+    for gram in held
+)
+OP3_PASSAGES = f"""
+WITH t(license, reach, g, size) AS (VALUES {_WINDOWS}),
+w AS (
+    SELECT doc_id, string_split(
+        trim(regexp_replace({_lower('text')}, '[^a-z0-9]+', ' ', 'g')), ' ') AS w
+    FROM documents
+), g AS (
+    SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS gs
+    FROM w WHERE len(w) > 1
+), p AS (
+    SELECT doc_id, license, reach, size, i, g
+    FROM (SELECT doc_id, unnest(gs) AS g, unnest(range(0, len(gs))) AS i FROM g) JOIN t USING (g)
+), near AS (
+    SELECT a.doc_id, a.license, a.reach, a.size, a.i, count(DISTINCT b.g) AS shared
+    FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.license = b.license
+        AND b.i >= a.i AND b.i < a.i + a.reach
+    GROUP BY ALL
+), windows AS (
+    SELECT doc_id, license, reach, i, n, 2.0::DOUBLE * shared / (n + size) AS dice
+    FROM (
+        SELECT near.*, len(list_distinct(gs[i + 1:i + reach])) AS n
+        FROM near JOIN g USING (doc_id)
+    )
+    WHERE 2.0::DOUBLE * shared / (n + size) >= {licenses.THRESHOLD}
+), parted AS (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, license ORDER BY i) AS passage
+    FROM (
+        SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id, license ORDER BY i) > reach, TRUE)
+            ::INTEGER AS fresh
+        FROM windows
+    )
+), first AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, license, passage ORDER BY dice DESC, i) AS turn
+    FROM parted
+)
+SELECT doc_id, 'passage' AS unit, i::BIGINT AS unit_no, license, dice, n::BIGINT AS n_bigrams
+FROM first WHERE turn = 1
+"""
 OP3 = f"""
 WITH t(license, b) AS (VALUES {_TEMPLATES}),
 held AS (
@@ -88,6 +131,8 @@ held AS (
 )
 SELECT doc_id, unit, unit_no::BIGINT AS unit_no, license, dice, n_bigrams::BIGINT AS n_bigrams
 FROM best WHERE turn = 1
+UNION ALL
+SELECT * FROM ({OP3_PASSAGES})
 """
 
 OP4 = f"""

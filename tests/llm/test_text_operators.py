@@ -7,7 +7,7 @@ import time
 import pytest
 
 from plumbline.llm import html, quality, urls
-from plumbline.llm.licenses import license_hits
+from plumbline.llm.licenses import TEMPLATES, license_hits
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GOOD = "\n".join(
@@ -116,7 +116,9 @@ def test_license_hits(spark):
         (None, "All rights reserved."),
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = license_hits(df.selectExpr("*", "1 AS words", "2 AS u", "3 AS best")).collect()
+    names = ["words", "u", "best", "t", "plain", "grams", "shared", "places", "windows", "begin"]
+    hits = license_hits(df.selectExpr("*", *[f"1 AS {n}" for n in names]))
+    found = hits.where("unit <> 'passage'").collect()
     got = sorted(((r["doc_id"], r["unit"], r["unit_no"], r["license"]) for r in found), key=str)
     assert got == sorted(
         [
@@ -129,6 +131,79 @@ def test_license_hits(spark):
         key=str,
     )
     assert license_hits(df.limit(0)).collect() == []
+    # What fills a line or block is a passage too; so is the short notice in a longer line.
+    passages = [(r["doc_id"], r["license"]) for r in hits.where("unit = 'passage'").collect()]
+    assert sorted(passages, key=str) == sorted(
+        [(1, "Apache-2.0"), (1, "Apache-2.0"), (2, "MIT header"), (2, "CC-BY-NC-4.0"), (None, "Proprietary")],
+        key=str,
+    )
+
+
+def _passages(text, templates, threshold):
+    """(first word, license, dice, bigrams) by trying every window of the text."""
+    words = [w for w in re.split("[^a-z0-9]+", (text or "").lower()) if w]
+    grams = list(zip(words, words[1:]))
+    found = []
+    for name, template in templates.items():
+        held = [w for w in re.split("[^a-z0-9]+", template.lower()) if w]
+        want = set(zip(held, held[1:]))
+        similar = []
+        for i in range(len(grams) if want else 0):
+            window = set(grams[i : i + len(held) - 1])
+            dice = 2.0 * len(window & want) / (len(window) + len(want))
+            if grams[i] in want and dice >= threshold:
+                similar.append((i, dice, len(window)))
+        groups = []
+        for one in similar:
+            if groups and one[0] - groups[-1][-1][0] <= len(held) - 1:
+                groups[-1].append(one)
+            else:
+                groups.append([one])
+        for group in groups:
+            i, dice, n = max(group, key=lambda w: (w[1], -w[0]))
+            found.append((i, name, dice, n))
+    return sorted(found)
+
+
+def test_license_passages_against_all_windows(spark):
+    rng = random.Random(4)
+    short = {"a": "x y z y x", "b": "p q", "c": "x y p q z", "d": "y", "e": "p p p p"}
+    texts = [" ".join(rng.choices("xyzpq", k=rng.randrange(0, 40))) for _ in range(300)]
+    apache = TEMPLATES["Apache-2.0 header"]
+    commented = "\n#\n".join("# " + part for part in apache.split(". "))
+    real = [
+        "Copyright 2020 Foo Inc. All rights reserved.",
+        "This article is licensed under CC BY 4.0.",
+        "Released under the MIT License by its authors in 2020.",
+        f"First a sentence. {apache} Then another, and more of the text.",
+        commented + "\nimport os\nimport sys\n" + "value = value + 1\n" * 200,
+        apache.replace(". ", ".\n\n"),
+        "All rights reserved. " * 50,
+        "all rights were not reserved",
+        None,
+        "",
+    ]
+    for templates, threshold, held in ((short, 0.8, texts), (short, 0.6, texts), (TEMPLATES, 0.8, real)):
+        df = spark.createDataFrame(list(enumerate(held)), "doc_id bigint, text string")
+        hits = license_hits(df, templates=templates, threshold=threshold).where("unit = 'passage'")
+        got = sorted((r["doc_id"], r["unit_no"], r["license"], r["dice"], r["n_bigrams"]) for r in hits.collect())
+        want = [(k, *p) for k, text in enumerate(held) for p in _passages(text, templates, threshold)]
+        assert got == want and got
+    licenses = {k: {r[2] for r in got if r[0] == k} for k in {r[0] for r in got}}
+    assert licenses[0] == {"Proprietary"} and licenses[1] == {"CC-BY-4.0"} and licenses[2] == {"MIT"}
+    assert all("Apache-2.0 header" in licenses[k] for k in (3, 4, 5))
+    assert set(licenses) == set(range(7))
+
+
+def test_license_passages_in_a_very_long_text(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    text = " ".join(["word and the license of it"] * 100_000 + [notice] + ["under the sun"] * 100_000)
+    often = "All rights reserved. " * 50_000
+    df = spark.createDataFrame([(1, text), (2, often)], "doc_id bigint, text string")
+    hits = license_hits(df).where("unit = 'passage'").collect()
+    assert [(r["unit_no"], r["license"]) for r in hits if r["doc_id"] == 1] == [(600_000, "Apache-2.0")]
+    # No two of these windows share a word.
+    assert sum(r["doc_id"] == 2 for r in hits) == 50_000
 
 
 def test_license_threshold(spark):
