@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm.vptree import build, nearest
+from plumbline.llm import vptree
+from plumbline.llm.vptree import TopTree, build, distances, nearest
+
 
 def asked():
     return F.col("vec_id") % 10 == 0
@@ -56,6 +58,34 @@ def test_factor_one_is_exact(table, rows, sizes):
     assert found_rows(nearest(table, asked(), k=10, **sizes)) == brute(rows, 10)
 
 
+def test_queries_go_to_leaves_within_reach_only(spark, monkeypatch):
+    # Forty far groups: what is near to a query is in its own leaf, or in one beside it.
+    rng = np.random.default_rng(8)
+    rows = [(i, (100 * (i % 40) + rng.normal(size=4)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    seen = []
+    original = vptree.visits
+    monkeypatch.setattr(vptree, "visits", lambda *a: seen.append(original(*a)) or seen[-1])
+    assert found_rows(nearest(df, asked(), shard_rows=100)) == brute(rows, 10)
+    assert seen[0].count() < 400 * 40 / 4
+
+
+def test_top_tree_leaves_nothing_out():
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.normal(size=(300, 3)), np.ones((100, 3))])
+    tree = TopTree(vectors[::4], 8)
+    leaf = np.full(400, -1)
+    for number, rows in tree.walk(vectors, np.full(400, -1.0), 1.0):
+        assert (leaf[rows] == -1).all()
+        leaf[rows] = number
+    assert (leaf >= 0).all()
+    away = distances(vectors, vectors)
+    reach = np.sort(away, axis=1)[:, 5]
+    opened = {(r, n) for n, rows in tree.walk(vectors, reach, 1.0) for r in rows}
+    for r, c in zip(*np.nonzero(away <= reach[:, None])):
+        assert (r, leaf[c]) in opened
+
+
 def test_larger_factors_prune_more_and_find_most(table, rows):
     exact = {x[::2] for x in brute(rows, 10)}
     for factor in (1.2, 1.5):
