@@ -370,7 +370,10 @@ def nearest(
         F.col("leaf").alias("home"),
     )
     own = asked.withColumns({"leaf": F.col("home"), "reach": F.lit(float("inf"))})
-    at_home = written(_ranked(searched(trees, leaves, own, k, factor, block_queries), k), "near")
+    at_home = _ranked(searched(trees, leaves, own, k, factor, block_queries), k)
+    if all(len(tree.halves) == 1 for tree in top.values()):
+        return at_home  # there are no other leaves
+    at_home = written(at_home, "near")
     reach = at_home.where(F.col("rank") == k).select("query_id", F.col("score").alias("reach"))
     reaching = asked.join(reach, "query_id", "left").withColumn(
         "reach", F.coalesce("reach", F.lit(float("inf")))
