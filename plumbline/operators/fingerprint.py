@@ -27,7 +27,7 @@ def file_fingerprints(
     """SHA-256 of every file: path, length, content_hash.
 
     Files below ``whole_below`` bytes are rows of Spark's binary reader, on any file system
-    it knows. Larger ones are read in pieces (see ``sources.files``), one file per task.
+    it knows. Larger ones are read in pieces (see ``sources.files``), each file by one task.
     """
     files = file_frame(spark, path, glob)
     small = files.where(F.col("length") < whole_below).select(

@@ -5,63 +5,44 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PIECE_BYTES = 1 << 22
 SCHEMA = "path string, length bigint, content_hash string"
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, uri: str):
-        self.path, self.uri = path, uri
+def _uri(path: str) -> str:
+    """Spark writes file:/x, Arrow reads file:///x."""
+    local = path.startswith("file:/") and not path.startswith("file://")
+    return f"file://{path[5:]}" if local else path
 
 
-class _HashReader(DataSourceReader):
-    def __init__(self, files: list[str]):
-        self.files = files
-
-    def partitions(self) -> list[_File]:
-        return [_File(*f.split("\n")) for f in self.files]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        system, path = fs.FileSystem.from_uri(partition.uri)
-        digest, length = hashlib.sha256(), 0
-        with system.open_input_stream(path) as stream:
-            while piece := stream.read(PIECE_BYTES):
-                digest.update(piece)
-                length += len(piece)
-        yield partition.path, length, digest.hexdigest()
-
-
-class FileHashes(DataSource):
-    """One file per task, a few megabytes of it in memory at a time."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "plumbline_file_hashes"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        names = (self.options[str(k)] for k in range(int(self.options["files"])))
-        return _HashReader(list(names))
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for name in batch.column(0).to_pylist():
+            system, path = fs.FileSystem.from_uri(_uri(name))
+            digest, length = hashlib.sha256(), 0
+            with system.open_input_stream(path) as stream:
+                while piece := stream.read(PIECE_BYTES):
+                    digest.update(piece)
+                    length += len(piece)
+            rows.append((name, length, digest.hexdigest()))
+        names, lengths, hashes = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(lengths, pa.int64()), pa.array(hashes, pa.string())],
+            ["path", "length", "content_hash"],
+        )
 
 
 def streamed_hashes(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(path, length, content_hash) of the files named by the ``path`` column of a listing.
 
     For files beyond the 2 GB of a row. The tasks open them with Arrow's file systems, so
-    the store must be one of those (local and shared folders, HDFS, S3). The driver holds
-    the names of the files.
+    the store must be one of those (local and shared folders, HDFS, S3), and hold a few
+    megabytes of a file at a time. They are the listing's own tasks, which Spark packs by
+    size: a large file has one to itself, small ones share it.
     """
-    names = [r["path"] for r in files.select("path").collect()]
-    if not names:
-        return spark.createDataFrame([], SCHEMA)
-    spark.dataSource.register(FileHashes)
-    # Spark writes file:/x, Arrow reads file:///x.
-    uris = [f"file://{n[5:]}" if n.startswith("file:/") and not n.startswith("file://") else n for n in names]
-    options = {str(k): f"{n}\n{u}" for k, (n, u) in enumerate(zip(names, uris))}
-    return spark.read.format(FileHashes.name()).options(files=str(len(names)), **options).load()
+    return files.select("path").mapInArrow(_hashed, SCHEMA)

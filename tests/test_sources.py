@@ -12,10 +12,12 @@ from plumbline.operators import split, summary
 from plumbline.operators.fingerprint import file_fingerprints, table_fingerprint
 from plumbline.operators.quantiles import fit_baseline
 from plumbline.sources.baselines import fit_or_load_baseline, load_baseline, save_baseline
+from plumbline.sources.files import streamed_hashes
 from plumbline.sources.shared import new_folder, shared_folder, written
 from plumbline.sources.tables import (
     clean_markers,
     drop_incomplete,
+    file_frame,
     read_csv,
     read_csv_checked,
     require_columns,
@@ -214,6 +216,17 @@ def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
     assert none.count() == 0
 
 
+def test_small_files_share_tasks_when_hashed_in_pieces(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k}.bin").write_bytes(b"x" * (k + 1))
+    expected = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+    found = streamed_hashes(spark, file_frame(spark, str(tmp_path), "*.bin"))
+    assert found.rdd.getNumPartitions() <= 60
+    assert {r["path"].rsplit("/", 1)[1]: (r["length"], r["content_hash"]) for r in found.collect()} == expected
+    few = spark.createDataFrame([(f"file:{tmp_path}/7.bin",)] * 2, "path string")
+    assert [r["length"] for r in streamed_hashes(spark, few).collect()] == [8, 8]
+
+
 def test_malformed_records_are_returned(spark, tmp_path):
     lines = ["a,b,_line", "1,x,2.5", "2,y", "3,z,1.0,extra", "four,w,1.0", '5,"u, v",0.5', "6,?,", ",,"]
     (tmp_path / "rows.csv").write_text("\n".join(lines) + "\n")
