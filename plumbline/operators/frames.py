@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted
 
+# Rows from which another task is worth its start, and rows that one should not exceed.
+LEAST_ROWS = 50_000
+MOST_ROWS = 500_000
+
 
 def melt(df: DataFrame, parts: Mapping[str, Mapping[str, Column]], keep: Iterable[str] = ()) -> DataFrame:
     """One row per (input row, feature): ``feature`` plus the columns of its part.
@@ -48,3 +53,15 @@ def feature_frame(spark: SparkSession, features: Iterable[str]) -> DataFrame:
     return small_frame(
         spark, [(f,) for f in features], pa.schema([("feature", pa.string())])
     )
+
+
+def spread_evenly(df: DataFrame, n_rows: int) -> DataFrame:
+    """The rows in partitions of one size, the same number for each slot of the cluster.
+
+    For work that goes over them many times: a scan has no more busy tasks than its files
+    have row groups, on any number of machines. Few rows stay as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    turns = max(1, math.ceil(n_rows / (slots * MOST_ROWS)))
+    parts = min(slots * turns, math.ceil(n_rows / LEAST_ROWS))
+    return df.repartition(parts) if parts > 1 else df

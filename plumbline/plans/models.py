@@ -20,10 +20,11 @@ from plumbline.operators.categories import (
     sparse_vector,
     vocabulary_sizes,
 )
+from plumbline.operators.frames import spread_evenly
 from plumbline.operators.metrics import evaluation, macro_metrics
 from plumbline.operators.split import stratified_holdout
 from plumbline.operators.training import balanced_weights
-from plumbline.sources.shared import new_folder, written
+from plumbline.sources.shared import new_folder, short_lived, written
 from plumbline.spec import FeatureSpec
 
 # Settings of the boosted trees and names of the two classes.
@@ -213,20 +214,19 @@ def train_and_evaluate(
 ) -> Trained:
     """Stratified split, boosted trees on the train side, metrics on the holdout.
 
-    Fitting reads the rows many times, so the split frame is written once.
+    The split takes several passes and fitting takes many, so the rows are written before
+    and after it, and each side is dealt evenly to the slots.
     """
-    frame = written(
-        stratified_holdout(
-            model_frame(labeled, spec, needle, keep=(key,)), LABEL, key, fraction, seed
-        ),
-        "split",
-    )
+    with short_lived(model_frame(labeled, spec, needle, keep=(key,)), "frame") as rows:
+        frame = written(stratified_holdout(rows, LABEL, key, fraction, seed), "split")
     train = frame.where(~F.col("is_holdout")).drop("is_holdout")
     test = frame.where("is_holdout").drop("is_holdout")
-    model = fit_trees(train, spec, rounds, seed, early_stopping)
-    row = macro_metrics(model.transform(test), LABEL, "prediction").first()
+    n_train, n_test = train.count(), test.count()
+    model = fit_trees(spread_evenly(train, n_train), spec, rounds, seed, early_stopping)
+    scored = model.transform(spread_evenly(test, n_test))
+    row = macro_metrics(scored, LABEL, "prediction").first()
     metrics = {c: float(row[c]) for c in ("accuracy", "f1_macro", "precision_macro", "recall_macro")}
-    metrics["n_train"] = float(train.count())
+    metrics["n_train"] = float(n_train)
     metrics["n_test"] = float(row["n_test"] or 0)
     return Trained(model, metrics)
 

@@ -16,6 +16,7 @@ from plumbline.functions.stats import interpret_pvalue, psi_band
 from plumbline.operators import drift, ledger, metrics, report, split, summary, training
 from plumbline.operators.categories import add_positions, category_index
 from plumbline.operators.fingerprint import file_fingerprints, row_digest, table_fingerprint
+from plumbline.operators.frames import spread_evenly
 from plumbline.operators.policy import alert_payloads, apply_policy
 from plumbline.operators.promotion import replay_promotions
 from plumbline.operators.quantiles import edge_rows, fit_baseline, quantile_edges
@@ -1117,6 +1118,8 @@ DOC_MODEL = FeatureSpec(("n_chars",), ("lang",), target="quality")
 def gbt_holdout(spark, folder):
     """Boosted trees on a stratified split of all line items; equal items share a side."""
     items = table(spark, folder, "lineitem")
+    # Before the digests, which take longer than all else until the trees.
+    items = spread_evenly(items, items.count())
     trained = models.train_and_evaluate(
         items.withColumn("item", row_digest(items)), ITEM_MODEL, "item", needle="R"
     )

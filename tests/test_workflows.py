@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import ledger, split, training
+from plumbline.operators import frames, ledger, split, training
 from plumbline.operators.drift import bin_counts
 from plumbline.operators.policy import alert_payloads, apply_policy
 from plumbline.operators.quantiles import fit_baseline
@@ -168,6 +168,39 @@ def test_holdout_training_and_scoring(spark):
         models.batch_scores(data.drop("sex"), trained.model, SPEC, ("a", "b"))
 
 
+def _partition_sizes(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_rows_are_spread_evenly(spark, monkeypatch):
+    df = spark.range(0, 900, 1, 1).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("v"))
+    assert _partition_sizes(frames.spread_evenly(df, 900)) == [900]  # too few to move
+    monkeypatch.setattr(frames, "LEAST_ROWS", 100)
+    even = frames.spread_evenly(df, 900)
+    assert sorted(_partition_sizes(even)) == [112] * 4 + [113] * 4
+    assert even.exceptAll(df).isEmpty() and df.exceptAll(even).isEmpty()
+    monkeypatch.setattr(frames, "MOST_ROWS", 50)
+    # Two and a quarter turns of the eight slots are three, but for the least rows of a task.
+    assert len(_partition_sizes(frames.spread_evenly(df, 900))) == 9
+    assert frames.spread_evenly(df.limit(0), 0).count() == 0
+
+
+def test_training_rows_fill_all_slots(spark, monkeypatch):
+    monkeypatch.setattr(frames, "LEAST_ROWS", 10)
+    fitted = []
+
+    def fit(frame, *more):
+        fitted.append(frame)
+        return trees(frame, *more)
+
+    trees = models.fit_trees
+    monkeypatch.setattr(models, "fit_trees", fit)
+    trained = models.train_and_evaluate(labeled(spark).coalesce(1), SPEC, "id", needle=">50K", rounds=1)
+    sizes = _partition_sizes(fitted[0])
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 1
+    assert sum(sizes) == trained.metrics["n_train"] and trained.metrics["n_test"] > 0
+
+
 def test_forward_evaluation_improves_on_drift(spark):
     rng = np.random.default_rng(8)
     n = 900
