@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.sources.files import streamed_hashes
+from plumbline.sources.files import LOCAL, PART_BYTES, chained_hashes, streamed_hashes
 from plumbline.sources.tables import file_frame
 
 # A file from here on is no row of Spark's binary reader, which ends below 2 GB.
@@ -23,20 +23,35 @@ def file_fingerprints(
     path: str | list[str],
     glob: str | None = None,
     whole_below: int = ROW_BYTES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """SHA-256 of every file: path, length, content_hash.
 
     Files below ``whole_below`` bytes are rows of Spark's binary reader, on any file system
-    it knows. Larger ones are read in pieces (see ``sources.files``), each file by one task.
+    it knows; local and shared folders, which Arrow opens as well, have such rows below
+    ``part_bytes`` only. Others are read in pieces (see ``sources.files``), and from
+    ``part_bytes`` on by one task after another, at the call.
     """
     files = file_frame(spark, path, glob)
-    small = files.where(F.col("length") < whole_below).select(
+    lengths, length = files.select("path", "length"), F.col("length")
+    elsewhere = (length >= part_bytes) & ~F.col("path").startswith(LOCAL)
+    beyond_rows = lengths.where(length >= min(whole_below, part_bytes))
+    longest, stores = beyond_rows.agg(F.max(length), F.max(elsewhere)).first()
+    if not stores:
+        whole_below = min(whole_below, part_bytes)
+    hashed = files.where(length < whole_below).select(
         "path", "length", F.sha2("content", 256).alias("content_hash")
     )
-    large = files.where(F.col("length") >= whole_below).select("path")
-    if large.isEmpty():
-        return small
-    return small.unionByName(streamed_hashes(spark, large))
+    if longest is None:
+        return hashed
+    parts_from = max(whole_below, part_bytes)
+    if whole_below < parts_from:
+        pieces = lengths.where((length >= whole_below) & (length < parts_from))
+        hashed = hashed.unionByName(streamed_hashes(spark, pieces))
+    if longest >= parts_from:
+        large = lengths.where(length >= parts_from)
+        hashed = hashed.unionByName(chained_hashes(spark, large, part_bytes))
+    return hashed
 
 
 def row_digest(df: DataFrame):

@@ -5,14 +5,16 @@ import json
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import split, summary
 from plumbline.operators.fingerprint import file_fingerprints, table_fingerprint
 from plumbline.operators.quantiles import fit_baseline
+from plumbline.sources import files
 from plumbline.sources.baselines import fit_or_load_baseline, load_baseline, save_baseline
-from plumbline.sources.files import streamed_hashes
+from plumbline.sources.files import chained_hashes, streamed_hashes
 from plumbline.sources.shared import new_folder, shared_folder, written
 from plumbline.sources.tables import (
     clean_markers,
@@ -227,6 +229,47 @@ def test_small_files_share_tasks_when_hashed_in_pieces(spark, tmp_path):
     assert [r["length"] for r in streamed_hashes(spark, few).collect()] == [8, 8]
 
 
+def test_no_task_reads_more_than_a_part_of_a_large_file(spark, tmp_path):
+    for k, size in enumerate((1, 999, 1000, 1001, 2000, 2777)):
+        (tmp_path / f"a b%20{k}.bin").write_bytes(bytes(i * i % 251 for i in range(size)))
+    expected = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+
+    def found(rows):
+        return {r["path"].rsplit("/", 1)[1]: (r["length"], r["content_hash"]) for r in rows.collect()}
+
+    hashed = chained_hashes(spark, file_frame(spark, str(tmp_path), "*.bin"), 1000)
+    assert found(hashed) == expected
+    steps = spark.read.parquet(hashed.inputFiles()[0].split("/step=")[0]).orderBy("step").collect()
+    done = dict.fromkeys((r["path"] for r in steps), 0)
+    for row in steps:
+        assert 0 <= row["done"] - done[row["path"]] <= 1000
+        done[row["path"]] = row["done"]
+    assert {p.rsplit("/", 1)[1]: d for p, d in done.items()} == {p: size for p, (size, _) in expected.items()}
+    assert max(r["step"] for r in steps) == 2
+    assert found(file_fingerprints(spark, str(tmp_path), "*.bin", part_bytes=1000)) == expected
+    assert found(file_fingerprints(spark, str(tmp_path), "*.bin", whole_below=1, part_bytes=1500)) == expected
+    assert chained_hashes(spark, file_frame(spark, str(tmp_path), "*.txt")).count() == 0
+
+
+def test_a_file_is_hashed_whole_without_a_hash_to_stop_at(tmp_path, monkeypatch):
+    path = tmp_path / "x.bin"
+    path.write_bytes(b"abc" * 1000)
+
+    def step(length, **held):
+        row = {"path": f"file:{path}", "length": length, "content_hash": None, "done": 0, "state": None}
+        batch = pa.RecordBatch.from_pylist([row | held], files.STEP_ARROW)
+        return next(files._next_part(1000)(iter([batch]))).to_pylist()[0]
+
+    begun = step(3000)
+    assert begun["content_hash"] is None and begun["done"] == 1000
+    with pytest.raises(OSError, match="3000 bytes, 4000"):
+        step(4000)
+    monkeypatch.setattr(files, "_library", lambda: None)
+    whole = hashlib.sha256(path.read_bytes()).hexdigest()
+    for row in (step(3000), step(3000, done=1000, state=begun["state"])):
+        assert row["content_hash"] == whole and row["done"] == 3000
+
+
 def test_malformed_records_are_returned(spark, tmp_path):
     lines = ["a,b,_line", "1,x,2.5", "2,y", "3,z,1.0,extra", "four,w,1.0", '5,"u, v",0.5', "6,?,", ",,"]
     (tmp_path / "rows.csv").write_text("\n".join(lines) + "\n")
