@@ -15,6 +15,8 @@ from plumbline.functions.columns import quoted
 # Rows from which another task is worth its start, and rows that one should not exceed.
 LEAST_ROWS = 50_000
 MOST_ROWS = 500_000
+# Times the shortest possible wait for the last task at which rows are dealt again.
+UNEVEN = 1.5
 
 
 def melt(df: DataFrame, parts: Mapping[str, Mapping[str, Column]], keep: Iterable[str] = ()) -> DataFrame:
@@ -59,9 +61,16 @@ def spread_evenly(df: DataFrame, n_rows: int) -> DataFrame:
     """The rows in partitions of one size, the same number for each slot of the cluster.
 
     For work that goes over them many times: a scan has no more busy tasks than its files
-    have row groups, on any number of machines. Few rows stay as they are.
+    have row groups, on any number of machines. Few rows stay as they are, and so do those
+    whose partitions keep the slots about as busy; their sizes cost a table its footers.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     turns = max(1, math.ceil(n_rows / (slots * MOST_ROWS)))
     parts = min(slots * turns, math.ceil(n_rows / LEAST_ROWS))
-    return df.repartition(parts) if parts > 1 else df
+    if parts <= 1:
+        return df
+    sizes = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"))
+    busy, largest = sizes.agg(F.count("*"), F.max("n")).first()
+    if busy and math.ceil(busy / slots) * largest <= UNEVEN * n_rows / min(slots, parts):
+        return df
+    return df.repartition(parts)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, hash_bucket, hash_order
+from plumbline.operators.ranges import ROWS_PER_RANGE
 from plumbline.operators.sequence import before, exact_text, exact_value, rows_at_ranks
 from plumbline.sources.shared import written
 from plumbline.spec import Pair
 
 HASH_BUCKETS = 10_000
+# Leading bits by which ordered hashes are counted, and those that follow.
+CELL_BITS = 16
+REST_BITS = 52 - CELL_BITS
 # Classes up to which their cuts go to every task.
 BROADCAST_CUTS = 10_000
 
@@ -61,24 +67,37 @@ def rows_of_split(full: DataFrame, split: DataFrame, key: str) -> DataFrame:
 
 
 def stratified_holdout(
-    df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: int = 42, **ranges
+    df: DataFrame,
+    label: str,
+    key: str,
+    fraction: float = 0.2,
+    seed: int = 42,
+    hashed_as: str | None = None,
+    **ranges,
 ) -> DataFrame:
     """Add ``is_holdout``: of each class the same share, rounded up.
 
     The holdout of a class is the rows with the smallest hashes, found by selecting
     the cut hash; no class is sorted, however many rows it holds. NULL labels form a
-    class. One class only is the unstratified case.
+    class. One class only is the unstratified case. ``hashed_as`` names a column, left out
+    of the result, that holds ``hash_order`` of key and seed already.
     """
-    hashed = df.withColumn("_hash", hash_order(col(key), seed))
+    hashed = df.withColumn("_hash", col(hashed_as) if hashed_as else hash_order(col(key), seed))
+    hashed = hashed.drop(hashed_as) if hashed_as else hashed
 
     def rank(total: Column) -> Column:
-        return F.array(F.ceil(F.round(total * fraction, 9)))
+        return F.ceil(F.round(total * fraction, 9))
 
     # One row per class that has rows beyond its holdout.
-    cuts = written(rows_at_ranks(hashed, "_hash", key, rank, group=label, **ranges), "cuts")
+    if hashed.count() <= ranges.get("rows_per_range", ROWS_PER_RANGE):
+        cuts = rows_at_ranks(hashed, "_hash", key, lambda n: F.array(rank(n)), group=label, **ranges)
+        cuts = cuts.withColumn("class", F.col("group"))
+    else:
+        cuts = _cuts_in_cells(hashed, label, key, rank, **ranges)
+    cuts = written(cuts.select("class", "order", "tie"), "cuts")
     few = cuts.count() <= BROADCAST_CUTS
     cuts = cuts.select(
-        F.col("group").alias("_class"), F.col("order").alias("_cut"), F.col("tie").alias("_cut_tie")
+        F.col("class").alias("_class"), F.col("order").alias("_cut"), F.col("tie").alias("_cut_tie")
     )
     chosen = before(F.col("_hash"), col(key), F.col("_cut"), F.col("_cut_tie"))
     return (
@@ -89,6 +108,47 @@ def stratified_holdout(
     )
 
 
+def _cuts_in_cells(
+    hashed: DataFrame, label: str, key: str, rank: Callable[[Column], Column], **ranges
+) -> DataFrame:
+    """(class, order, tie) of the row at the rank of each class along (_hash, key).
+
+    Hashes are even, so counts by their leading bits tell where a rank lies, and only the
+    rows of that cell are moved and ordered.
+    """
+    placed = hashed.select(
+        F.struct(col(label).alias("v")).alias("class"),
+        F.shiftright("_hash", REST_BITS).alias("cell"),
+        F.col("_hash").alias("order"),
+        col(key).alias("tie"),
+    )
+    own = Window.partitionBy("class")
+    earlier = own.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (
+        placed.groupBy("class", "cell")
+        .agg(F.count("*").alias("n"))
+        .withColumns(
+            {
+                "before": F.coalesce(F.sum("n").over(earlier), F.lit(0)),
+                "total": F.sum("n").over(own),
+            }
+        )
+        .withColumn("at", (rank(F.col("total")) - F.col("before")).cast("bigint"))
+        .where((F.col("at") >= 0) & (F.col("at") < F.col("n")))
+        .select("class", "cell", "at")
+    )
+    wanted = written(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_CUTS
+    held = placed.join(F.broadcast(wanted) if few else wanted, ["class", "cell"]).select(
+        F.struct("class", "at").alias("place"), "order", "tie"
+    )
+    found = rows_at_ranks(
+        written(held, "held"), "order", "tie",
+        lambda _: F.array(F.col("group")["v"]["at"]), group="place", **ranges,
+    )
+    return found.select(F.col("group")["v"]["class"].alias("class"), "order", "tie")
+
+
 def temporal_windows(
     df: DataFrame, order: str, tie: str, n_windows: int = 3, name: str = "window", **ranges
 ) -> DataFrame:

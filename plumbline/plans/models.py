@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    Bucketizer,
+    OneHotEncoder,
+    SQLTransformer,
+    StandardScaler,
+    StringIndexer,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import col, positive_label, to_category, to_numeric
+from plumbline.functions.columns import col, hash_order, positive_label, to_category, to_numeric
 from plumbline.operators.categories import (
     add_positions,
     category_index,
@@ -22,9 +30,10 @@ from plumbline.operators.categories import (
 )
 from plumbline.operators.frames import spread_evenly
 from plumbline.operators.metrics import evaluation, macro_metrics
+from plumbline.operators.quantiles import quantile_edges
 from plumbline.operators.split import stratified_holdout
 from plumbline.operators.training import balanced_weights
-from plumbline.sources.shared import new_folder, short_lived, written
+from plumbline.sources.shared import counted, new_folder, short_lived, written
 from plumbline.spec import FeatureSpec
 
 # Settings of the boosted trees and names of the two classes.
@@ -33,6 +42,10 @@ TREE_STEP = 0.08
 TREE_ROUNDS = 200
 TREE_BINS = 255
 TREE_MIN_ROWS = 20
+# Rows up to which Spark takes the candidates of its splits from all of them.
+TREE_SAMPLE = TREE_BINS**2
+# Bins whose square is still an int of Spark's.
+MOST_TREE_BINS = 46_340
 # Early stopping: share of the rows held back, and the least relative gain of a round.
 STOP_FRACTION = 0.1
 STOP_TOLERANCE = 1e-4
@@ -40,6 +53,9 @@ CLASS_NAMES = {"census": ("<=50K", ">50K"), "card_fraud": ("legit", "fraud")}
 
 LABEL = "label"
 FEATURES = "features"
+# Marks rows held back for early stopping; number of rows that share a cell.
+HELD = "_validation"
+CELL_ROWS = "rows"
 
 
 def model_frame(
@@ -107,17 +123,123 @@ def fit_trees(
 ) -> PipelineModel:
     """Boosted trees. With ``early_stopping`` a tenth of the rows, by a hash of their values
     and so with all their copies, is held back, and no more trees are kept than lower the
-    loss over it."""
-    if not early_stopping:
-        return boosted_trees(spec, rounds, seed=seed).fit(frame)
-    content = F.xxhash64(F.lit(seed), *[col(c) for c in frame.columns])
-    held = F.pmod(content, F.lit(10_000)) < int(STOP_FRACTION * 10_000)
-    # Rows of either kind may be missing from a very small table.
-    marked = frame.withColumn("_validation", held)
-    kinds = marked.agg(F.bool_or("_validation"), F.bool_or(~F.col("_validation"))).first()
-    if not all(kinds):
-        return boosted_trees(spec, rounds, seed=seed).fit(frame)
-    return boosted_trees(spec, rounds, seed=seed, validation="_validation").fit(marked)
+    loss over it. From more rows than Spark would take its split candidates from, the trees
+    grow over cells of equal bins, see ``_trees_over_cells``."""
+    validation = None
+    if early_stopping:
+        content = F.xxhash64(F.lit(seed), *[col(c) for c in frame.columns])
+        held = F.pmod(content, F.lit(10_000)) < int(STOP_FRACTION * 10_000)
+        # Rows of either kind may be missing from a very small table.
+        marked = frame.withColumn(HELD, held)
+        kinds = marked.agg(F.bool_or(HELD), F.bool_or(~F.col(HELD))).first()
+        if all(kinds):
+            frame, validation = marked, HELD
+    stopping = {"validation": validation} if validation else {}
+    pipeline = boosted_trees(spec, rounds, seed=seed, **stopping)
+    numbers = [f"n{i}" for i in range(len(spec.numeric))]
+    training = frame.where(~F.col(validation)) if validation else frame
+    n_rows = training.count()
+    if n_rows <= TREE_SAMPLE or not numbers:
+        return pipeline.fit(frame)
+    limits = bin_limits(training, numbers)
+    # Numbers that are missing or infinite are for the trees to refuse.
+    if limits is None:
+        return pipeline.fit(frame)
+    return _trees_over_cells(frame, spec, pipeline, limits, n_rows)
+
+
+def bin_limits(rows: DataFrame, numbers: list[str]) -> dict[str, list[float]] | None:
+    """Upper limits of at most ``TREE_BINS`` bins of each number, without that of the last
+    bin: half-way between the values where there are as few, else exact quantiles of all
+    rows. None if a number is missing or infinite."""
+    finite = [F.bool_and(F.coalesce(F.abs(c) < math.inf, F.lit(False))).alias(c) for c in numbers]
+    kinds = [F.approx_count_distinct(c).alias(f"{c}_kinds") for c in numbers]
+    known = rows.agg(*finite, *kinds).first()
+    if not all(known[c] for c in numbers):
+        return None
+    limits = {}
+    for c in numbers:
+        if known[f"{c}_kinds"] > 2 * TREE_BINS:
+            continue
+        values = sorted(r[0] for r in rows.select(c).distinct().limit(TREE_BINS + 1).collect())
+        if len(values) <= TREE_BINS:
+            limits[c] = [_between(*pair) for pair in zip(values, values[1:])]
+    many = [c for c in numbers if c not in limits]
+    # The smallest value has a bin of its own, as it may be that of most rows.
+    edges = quantile_edges(rows, many, TREE_BINS - 1, widen_constant=False) if many else {}
+    return limits | {c: found[:-1] for c, found in edges.items()}
+
+
+def _between(low: float, high: float) -> float:
+    middle = (low + high) / 2
+    return middle if low <= middle < high else low
+
+
+def _trees_over_cells(
+    frame: DataFrame,
+    spec: FeatureSpec,
+    pipeline: Pipeline,
+    limits: dict[str, list[float]],
+    n_rows: int,
+) -> PipelineModel:
+    """The pipeline fitted to one row for all that fall into the same bins, with their number
+    as its weight.
+
+    Trees see of a number no more than its bin, so they are those of all rows. Where hardly
+    two rows share their bins there are as many cells as rows, and no less work.
+    """
+    *categories, assembler, trees = pipeline.getStages()
+    bins = {c: f"{c}_b" for c in limits}
+    buckets = Bucketizer(
+        inputCols=list(bins),
+        outputCols=[f"{c}_r" for c in bins],
+        # A bucket has its lower end, a bin its upper one. One bucket needs a limit too.
+        splitsArray=[
+            [-math.inf, *([math.nextafter(x, math.inf) for x in found] or [0.0]), math.inf]
+            for found in limits.values()
+        ],
+        handleInvalid="keep",
+    )
+    # Buckets come marked as categories, whose order the trees would choose themselves.
+    ordered = ", ".join(f"{c}_r + 0D AS {b}" for c, b in bins.items())
+    binned = [buckets, SQLTransformer(statement=f"SELECT *, {ordered} FROM __THIS__")]
+    # Categories are put in order by their rows, not by their cells.
+    known = Pipeline(stages=categories).fit(frame).stages
+    inputs = [bins.get(c, c) for c in assembler.getInputCols()]
+    assembled = assembler.copy({assembler.inputCols: inputs})
+    cells, n_cells = counted(_cells(frame, spec, binned), "cells")
+    trees = trees.copy(
+        {
+            trees.weightCol: CELL_ROWS,
+            # The least rows of a node, now by weight; halves keep clear of rounding.
+            trees.minInstancesPerNode: 1,
+            trees.minWeightFractionPerNode: (trees.getMinInstancesPerNode() - 0.5) / n_rows,
+            # Spark reads the bins of all cells, not of a sample, for as many as its square.
+            trees.maxBins: min(max(trees.getMaxBins(), math.isqrt(n_cells) + 1), MOST_TREE_BINS),
+        }
+    )
+    prepared = PipelineModel([*known, assembled]).transform(spread_evenly(cells, n_cells))
+    return PipelineModel([*binned, *known, assembled, trees.fit(prepared)])
+
+
+def _cells(frame: DataFrame, spec: FeatureSpec, binned: list[Transformer]) -> DataFrame:
+    """One row for all rows of the same bins, categories and label, with their number."""
+    keys = [f"n{i}_b" for i in range(len(spec.numeric))]
+    keys += [f"k{i}" for i in range(len(spec.categorical))]
+    keys += [c for c in (LABEL, HELD) if c in frame.columns]
+    cells = PipelineModel(binned).transform(frame).groupBy(*keys)
+    return cells.agg(F.count("*").alias(CELL_ROWS))
+
+
+def count_scores(
+    model: PipelineModel, rows: DataFrame, spec: FeatureSpec, n_rows: int
+) -> DataFrame:
+    """Scored rows with ``CELL_ROWS``, how many of the rows each stands for. A model over bins
+    scores a cell once, any other model every row."""
+    if not isinstance(model.stages[0], Bucketizer):
+        return model.transform(spread_evenly(rows, n_rows)).withColumn(CELL_ROWS, F.lit(1))
+    cells, n_cells = counted(_cells(rows, spec, model.stages[:2]), "cells")
+    return PipelineModel(model.stages[2:]).transform(spread_evenly(cells, n_cells))
 
 
 def fit_logistic(frame: DataFrame, spec: FeatureSpec, max_iter: int = 2000) -> PipelineModel:
@@ -214,17 +336,23 @@ def train_and_evaluate(
 ) -> Trained:
     """Stratified split, boosted trees on the train side, metrics on the holdout.
 
-    The split takes several passes and fitting takes many, so the rows are written before
-    and after it, and each side is dealt evenly to the slots.
+    The split and the fit take several passes, so the rows are written before and after the
+    split, with the order that it goes by.
     """
-    with short_lived(model_frame(labeled, spec, needle, keep=(key,)), "frame") as rows:
-        frame = written(stratified_holdout(rows, LABEL, key, fraction, seed), "split")
+    rows = model_frame(labeled, spec, needle, keep=(key,))
+    rows = rows.withColumn("_order", hash_order(col(key), seed))
+    with short_lived(rows, "frame") as rows:
+        split = stratified_holdout(rows, LABEL, key, fraction, seed, hashed_as="_order")
+        # Only what is held back for early stopping depends on the key.
+        frame = written(split if early_stopping else split.drop(key), "split")
     train = frame.where(~F.col("is_holdout")).drop("is_holdout")
     test = frame.where("is_holdout").drop("is_holdout")
     n_train, n_test = train.count(), test.count()
-    model = fit_trees(spread_evenly(train, n_train), spec, rounds, seed, early_stopping)
-    scored = model.transform(spread_evenly(test, n_test))
-    row = macro_metrics(scored, LABEL, "prediction").first()
+    # More rows are read a few times only, and a shuffle would be repeated each time.
+    train = spread_evenly(train, n_train) if n_train <= TREE_SAMPLE else train
+    model = fit_trees(train, spec, rounds, seed, early_stopping)
+    scored = count_scores(model, test, spec, n_test)
+    row = macro_metrics(scored, LABEL, "prediction", CELL_ROWS).first()
     metrics = {c: float(row[c]) for c in ("accuracy", "f1_macro", "precision_macro", "recall_macro")}
     metrics["n_train"] = float(n_train)
     metrics["n_test"] = float(row["n_test"] or 0)

@@ -55,10 +55,11 @@ def counted(df: DataFrame, purpose: str = "stage") -> tuple[DataFrame, int]:
 
 @contextmanager
 def short_lived(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
-    """``written`` for as long as the block runs; the table is removed after it."""
+    """``written`` for as long as the block runs; the table is removed after it. It is
+    packed closely, as it may hold digests."""
     path = new_folder(df.sparkSession, purpose)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         yield df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
         _remove(df.sparkSession, path)

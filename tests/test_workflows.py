@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import os
 
 import numpy as np
@@ -9,7 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import frames, ledger, split, training
+from plumbline.functions import columns
+from plumbline.operators import frames, ledger, metrics, split, training
 from plumbline.operators.drift import bin_counts
 from plumbline.operators.policy import alert_payloads, apply_policy
 from plumbline.operators.quantiles import fit_baseline
@@ -185,6 +187,120 @@ def test_rows_are_spread_evenly(spark, monkeypatch):
     assert frames.spread_evenly(df.limit(0), 0).count() == 0
 
 
+def test_even_rows_are_not_moved(spark, monkeypatch):
+    monkeypatch.setattr(frames, "LEAST_ROWS", 100)
+    even = spark.range(0, 900, 1, 8)
+    assert frames.spread_evenly(even, 900) is even
+    halves = even.coalesce(2)
+    assert len(_partition_sizes(frames.spread_evenly(halves, 900))) == 8
+
+
+def _discrete(spark, n=3000, seed=11):
+    """Two numbers of few values, a category that may be missing, and a noisy class."""
+    rng = np.random.default_rng(seed)
+    x, z, k = rng.integers(-20, 20, n) / 4, rng.integers(0, 200, n), rng.integers(0, 5, n)
+    y = x + 0.02 * z + 0.5 * (k == 3) + rng.logistic(size=n) > 2.5
+    rows = [(i, float(a), int(b), f"c{c}" if c else None, int(d)) for i, (a, b, c, d) in enumerate(zip(x, z, k, y))]
+    return spark.createDataFrame(rows, "id long, x double, z int, k string, y int")
+
+
+DISCRETE = FeatureSpec(("x", "z"), ("k",), target="y")
+
+
+@pytest.mark.parametrize("early_stopping", [False, True])
+def test_trees_over_cells_are_those_of_all_rows(spark, monkeypatch, early_stopping):
+    frame = models.model_frame(_discrete(spark), DISCRETE).cache()
+    plain = models.fit_trees(frame, DISCRETE, rounds=8, early_stopping=early_stopping)
+    monkeypatch.setattr(models, "TREE_SAMPLE", 1000)
+    celled = models.fit_trees(frame, DISCRETE, rounds=8, early_stopping=early_stopping)
+    assert len(celled.stages) == len(plain.stages) + 2
+    assert celled.stages[-1].getNumTrees == plain.stages[-1].getNumTrees
+    assert celled.stages[-1].totalNumNodes == plain.stages[-1].totalNumNodes
+    # Values between and beyond those of the training, and missing ones.
+    odd = spark.createDataFrame(
+        [(-9.0, 500, "c1"), (None, 3, "c3"), (1.1, None, "new"), (float("inf"), -7, None)],
+        "x double, z int, k string",
+    )
+    rows = frame.drop("label").unionByName(models.model_frame(odd, DISCRETE)).coalesce(1)
+    a, b = ([r["score"] for r in models.positive_score(m.transform(rows)).collect()] for m in (plain, celled))
+    assert len(a) == 3004 and np.allclose(a, b, rtol=0, atol=1e-9)
+    path = new_folder(spark, "test-celled")
+    models.save_model(celled, path)
+    again = models.positive_score(models.load_model(path).transform(rows))
+    assert [r["score"] for r in again.collect()] == b
+
+
+def test_trees_fit_one_row_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(models, "TREE_SAMPLE", 1000)
+    data = _discrete(spark)
+    copies = data.unionByName(data.withColumn("id", F.col("id") + 10_000))
+    sizes = []
+
+    def counted(df, purpose):
+        found = cells(df, purpose)
+        sizes.append((found[1], found[0].agg(F.sum(models.CELL_ROWS)).first()[0]))
+        return found
+
+    cells = models.counted
+    monkeypatch.setattr(models, "counted", counted)
+    trained = models.train_and_evaluate(copies, DISCRETE, "id", rounds=2)
+    (fitted, n_train), (scored, n_test) = sizes
+    assert fitted <= 2990 < n_train == trained.metrics["n_train"] == 4799
+    assert scored < n_test == trained.metrics["n_test"] == 1201
+    # Every row scored by itself gives the same metrics.
+    rows = models.model_frame(copies, DISCRETE, keep=("id",))
+    test = split.stratified_holdout(rows, "label", "id").where("is_holdout")
+    single = metrics.macro_metrics(trained.model.transform(test), "label", "prediction").first()
+    for name in ("accuracy", "f1_macro", "precision_macro", "recall_macro"):
+        assert trained.metrics[name] == pytest.approx(single[name])
+
+
+def test_bins_of_many_values(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    values = np.round(rng.lognormal(5, 2, 4000), 3)
+    rows = [(0.0 if i % 3 == 0 else float(v), 7.0) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "n0 double, n1 double")
+    limits = models.bin_limits(df, ["n0", "n1"])
+    assert limits["n1"] == []
+    assert limits["n0"][0] == 0.0 and len(limits["n0"]) < models.TREE_BINS
+    place = np.searchsorted(limits["n0"], [r[0] for r in rows], side="left")
+    counts = np.bincount(place)
+    # The heavy value has its bin, all others share the rest evenly.
+    assert counts[0] == 1334 and counts[1:].max() <= 2 * 4000 / 254
+    for bad in (None, float("inf")):
+        assert models.bin_limits(df.union(spark.createDataFrame([(bad, 7.0)], df.schema)), ["n0", "n1"]) is None
+
+
+def test_missing_numbers_are_refused_at_any_size(spark, monkeypatch):
+    gaps = _discrete(spark).withColumn("x", F.when(F.col("id") != 5, F.col("x")))
+    frame = models.model_frame(gaps, DISCRETE)
+    for limit in (10**6, 1000):
+        monkeypatch.setattr(models, "TREE_SAMPLE", limit)
+        with pytest.raises(Exception, match="NaN"):
+            models.fit_trees(frame, DISCRETE, rounds=1)
+
+
+def test_holdout_by_cells_is_the_holdout(spark):
+    rows = [(i % 700 if i % 11 else None, None if i % 5 == 0 else i % 3) for i in range(4000)]
+    rows += [(7, 1)] * 900  # a key that many rows share
+    df = spark.createDataFrame(rows, "k int, y int").withColumn("order", columns.hash_order(F.col("k"), 42))
+
+    def chosen(**how):
+        held = split.stratified_holdout(df, "y", "k", **how).where("is_holdout")
+        return sorted(held.select(F.coalesce("k", F.lit(-1)), F.coalesce("y", F.lit(-1))).collect())
+
+    ranked = chosen()
+    assert ranked == chosen(rows_per_range=100) == chosen(rows_per_range=100, hashed_as="order")
+    assert "order" not in split.stratified_holdout(df, "y", "k", hashed_as="order").columns
+    assert 0 < len(ranked) <= math.ceil(len(rows) * 0.2) + 3
+
+
+def test_metrics_of_counted_rows(spark):
+    counted = spark.createDataFrame([(0.0, 0.0, 5), (0.0, 1.0, 2), (1.0, 1.0, 3), (1.0, 0.0, 4)], "y double, p double, n int")
+    single = counted.select("y", "p", F.explode(F.sequence(F.lit(1), "n")))
+    assert metrics.macro_metrics(counted, "y", "p", "n").first() == metrics.macro_metrics(single, "y", "p").first()
+
+
 def test_training_rows_fill_all_slots(spark, monkeypatch):
     monkeypatch.setattr(frames, "LEAST_ROWS", 10)
     fitted = []
